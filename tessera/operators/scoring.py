@@ -22,6 +22,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def tenth(x: Column) -> Column:
+    """One place; the step over six makes ties of sums that should be exact round up on every engine."""
+    return F.round(F.round(x, 6), 1)
+
+
 def points(condition: Column, n: float) -> Column:
     return F.when(condition, float(n)).otherwise(0.0)
 
@@ -33,14 +38,14 @@ def momentum(label: str = "momentum_label", returns: tuple[str, ...] = ("return_
     score = lookup(MOMENTUM_BASE, label, 40) + clamp(mean, -30.0, 30.0) * 0.5
     for m in means:
         score = score + points(F.coalesce(F.col(m) > 0, F.lit(False)), 5)
-    return F.when(F.col(label) == "insufficient", 0.0).otherwise(F.round(clamp(score, 0.0, 100.0), 1))
+    return F.when(F.col(label) == "insufficient", 0.0).otherwise(tenth(clamp(score, 0.0, 100.0)))
 
 
 def catalyst(status: str, events: str, high: str, primary: str, press: str, weak: str, warnings: str) -> Column:
     """R2: base of the coverage, capped counts for and against."""
     capped = lambda c, each, most: F.least(F.col(c) * float(each), F.lit(float(most)))
     score = lookup(COVERAGE_BASE, status, 5) + capped(events, 2, 8) + capped(high, 4, 12) + capped(primary, 3, 12) + capped(press, 2, 8) - capped(weak, 2, 8) - F.least(F.col(warnings), F.lit(3)) * 2.0
-    return F.round(clamp(score, 0.0, 100.0), 1)
+    return tenth(clamp(score, 0.0, 100.0))
 
 
 def fundamentals(available: str, fields: list[str], market: dict[str, int], stale: Column) -> Column:
@@ -50,12 +55,12 @@ def fundamentals(available: str, fields: list[str], market: dict[str, int], stal
         score = score + points(F.col(f).isNotNull(), 7)
     for f, n in market.items():
         score = score + points(F.col(f).isNotNull(), n)
-    return F.when(~F.col(available), 0.0).otherwise(F.round(clamp(score - points(stale, 15), 0.0, 100.0), 1))
+    return F.when(~F.col(available), 0.0).otherwise(tenth(clamp(score - points(stale, 15), 0.0, 100.0)))
 
 
 def completeness(missing: str, blocking: str) -> Column:
     """R5."""
-    return F.round(clamp(100.0 - F.least(F.col(missing) * 3.0, F.lit(60.0)) - F.least(F.col(blocking) * 10.0, F.lit(40.0)), 0.0, 100.0), 1)
+    return tenth(clamp(100.0 - F.least(F.col(missing) * 3.0, F.lit(60.0)) - F.least(F.col(blocking) * 10.0, F.lit(40.0)), 0.0, 100.0))
 
 
 def risk_penalty(flags: dict[str, int], warnings: str) -> Column:
@@ -69,7 +74,7 @@ def weighted(weights: dict[str, float]) -> Column:
 
 def candidate(df: DataFrame, penalty: str = "risk_penalty") -> DataFrame:
     """Weighted score less the penalty, grade, and the labels that apply, in order."""
-    out = df.withColumn("candidate_score", F.round(clamp(weighted(CANDIDATE_WEIGHTS) - F.col(penalty), 0.0, 100.0), 1))
+    out = df.withColumn("candidate_score", tenth(clamp(weighted(CANDIDATE_WEIGHTS) - F.col(penalty), 0.0, 100.0)))
     none = (F.col("momentum_score") == 0) & (F.col("fundamentals_score") == 0)
     grade = F.when(none, "data_insufficient").when(F.col("candidate_score") >= 65, "strong").when(F.col("candidate_score") >= 40, "moderate").otherwise("weak")
     out = out.withColumn("grade", grade)
@@ -79,7 +84,7 @@ def candidate(df: DataFrame, penalty: str = "risk_penalty") -> DataFrame:
 
 def combined(df: DataFrame, missing: str = "missing_count") -> DataFrame:
     """Weighted score less 1.5 for each missing item up to 15, and a label of interest."""
-    out = df.withColumn("combined_score", F.round(clamp(weighted(COMBINED_WEIGHTS) - F.least(F.col(missing) * 1.5, F.lit(15.0)), 0.0, 100.0), 1))
+    out = df.withColumn("combined_score", tenth(clamp(weighted(COMBINED_WEIGHTS) - F.least(F.col(missing) * 1.5, F.lit(15.0)), 0.0, 100.0)))
     c = F.col("combined_score")
     return out.withColumn("interest_label", F.when(F.col("grade") == "data_insufficient", "insufficient_data").when(c >= 65, "high").when(c >= 40, "medium").when(c >= 20, "low").otherwise("watch"))
 
@@ -123,4 +128,4 @@ def source_quality(strong: str, weak: str, base: dict[str, int] | None = None) -
     base = base or {"strong": 80, "adequate": 55, "weak": 35, "insufficient": 15}
     points_ = F.when(s & ~w, base["strong"]).when(s & w, base["adequate"]).when(w, base["weak"]).otherwise(base["insufficient"])
     score = points_ + F.least(F.col(strong) * 2.0, F.lit(10.0)) - F.least(F.col(weak) * 1.0, F.lit(10.0)) + points(s, 8)
-    return overall, F.round(clamp(score.cast("double"), 0.0, 100.0), 1)
+    return overall, tenth(clamp(score.cast("double"), 0.0, 100.0))

@@ -37,7 +37,7 @@ def period_returns(prices: DataFrame, key: str = "instrument") -> DataFrame:
 def moving_averages(prices: DataFrame, key: str = "instrument") -> DataFrame:
     """Trailing means over 50 and 200 points and the latest close's deviation from them."""
     rows = from_latest(prices, key).groupBy(key).agg(at(0).alias("last_close"), trailing_mean(50).alias("ma50"), trailing_mean(200).alias("ma200"))
-    return rows.select(key, "last_close", F.round("ma50", 4).alias("ma50"), F.round("ma200", 4).alias("ma200"), pct(F.col("last_close"), F.col("ma50")).alias("pct_above_ma50"), pct(F.col("last_close"), F.col("ma200")).alias("pct_above_ma200"))
+    return rows.select(key, "last_close", "ma50", "ma200", pct(F.col("last_close"), F.col("ma50")).alias("pct_above_ma50"), pct(F.col("last_close"), F.col("ma200")).alias("pct_above_ma200"))
 
 
 def vote(returns: list[str], deviations: list[str]) -> Column:
@@ -75,7 +75,7 @@ def week52_extremes(prices: DataFrame, key: str = "instrument", days: int = 365)
     latest = prices.filter(F.col("close").isNotNull()).groupBy(key).agg(F.max("date").alias("last"))
     rows = prices.filter(F.col("close").isNotNull()).join(latest, key).filter(F.col("date") >= F.date_sub("last", days))
     out = rows.groupBy(key).agg(F.min(F.struct((-F.col("close")).alias("c"), "date")).alias("hi"), F.min(F.struct(F.col("close").alias("c"), "date")).alias("lo"), F.min("date").alias("first"), F.max("date").alias("last"))
-    return out.select(key, F.round(-F.col("hi.c"), 4).alias("week52_high"), F.col("hi.date").alias("high_date"), F.round("lo.c", 4).alias("week52_low"), F.col("lo.date").alias("low_date"), (F.datediff("last", "first") < 300).alias("short_span"))
+    return out.select(key, (-F.col("hi.c")).alias("week52_high"), F.col("hi.date").alias("high_date"), F.col("lo.c").alias("week52_low"), F.col("lo.date").alias("low_date"), (F.datediff("last", "first") < 300).alias("short_span"))
 
 
 def latest_close(prices: DataFrame, key: str = "instrument") -> DataFrame:

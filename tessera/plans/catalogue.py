@@ -33,7 +33,7 @@ def _money(c: str):
 
 @query
 def trend_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return W.trend_signals(prices(spark, sf)).withColumn("last_close", F.round("last_close", 4))
+    return W.trend_signals(prices(spark, sf))
 
 
 @query

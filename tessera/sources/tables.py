@@ -16,14 +16,14 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily price series: instrument (supplier), date, close (value per unit sold that day), volume."""
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("instrument"), F.col("l_shipdate").cast("date").alias("date"))
     value = F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double")
-    return li.agg(F.round(value / F.sum(F.col("l_quantity").cast(MONEY)).cast("double"), 4).alias("close"), F.sum(F.col("l_quantity").cast("long")).alias("volume"))
+    return li.agg((value / F.sum(F.col("l_quantity").cast(MONEY)).cast("double")).alias("close"), F.sum(F.col("l_quantity").cast("long")).alias("volume"))
 
 
 def benchmark_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, close over all instruments."""
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date"))
     value = F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double")
-    return li.agg(F.round(value / F.sum(F.col("l_quantity").cast(MONEY)).cast("double"), 4).alias("close"))
+    return li.agg((value / F.sum(F.col("l_quantity").cast(MONEY)).cast("double")).alias("close"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
