@@ -71,9 +71,9 @@ ORACLE_SQL = {
             SELECT i, i AS v, 0 AS k FROM (SELECT unnest(range(16)) AS i)
             UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM turns WHERE k < 4
         ), crc AS (SELECT list(v ORDER BY i) AS t FROM turns WHERE k = 4
-        ), texts AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents
+        ), texts AS (SELECT DISTINCT coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents
         ), coded AS (
-            SELECT text, xor(list_reduce(list_transform(range(0, 2 * strlen(text)), lambda i: strpos('0123456789ABCDEF', hex(encode(text))[i + 2 - 2 * (i % 2)]) - 1), lambda c, x: xor(c // 16, t[1 + xor(c, x) % 16]), {_MASK}::BIGINT), {_MASK}::BIGINT) AS c
+            SELECT text, xor(list_reduce(list_transform(range(0, 2 * strlen(text)), lambda i: strpos('0123456789ABCDEF', h[i + 2 - 2 * (i % 2)]) - 1), lambda c, x: xor(c // 16, t[1 + xor(c, x) % 16]), {_MASK}::BIGINT), {_MASK}::BIGINT) AS c
             FROM texts, crc
         ), sized AS (
             SELECT doc_id, strlen(coalesce(documents.text, '')) + 16 AS size, c AS text_crc32 FROM documents JOIN coded ON coalesce(documents.text, '') = coded.text
@@ -84,6 +84,41 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
                row_number() OVER (PARTITION BY shard ORDER BY i) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
     """,
+    # the permutations of op10 are carried out round by round, for every block of every pass
+    "op10_mixing": f"""
+        WITH RECURSIVE sized AS (SELECT doc_id, source, {_WORDS} AS size FROM documents
+        ), sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+        ), ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM sizes
+        ), weighed AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS most FROM ranked
+        ), filled AS (
+            SELECT *, coalesce(sum(most) OVER w, 0) AS most_before, coalesce(sum(weight) OVER w, 0) AS weight_before, sum(weight) OVER () AS weights, sum(source_size) OVER () AS total
+            FROM weighed WINDOW w AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), level AS (SELECT max((1.5::DOUBLE * total - most_before) / (weights - weight_before)) AS level FROM filled
+        ), goal AS (SELECT source, source_size, rank, least(most, level * weight) AS target FROM filled, level
+        ), plan AS (
+            SELECT rank, source_size, CAST(round(target) AS BIGINT) AS words, (source_size + 127) // 128 AS blocks, source_size - ((source_size + 127) // 128 - 1) * 128 AS tail FROM goal WHERE source_size > 0
+        ), cut AS (SELECT *, words // source_size AS whole, words % source_size AS rest FROM plan
+        ), walk AS (
+            SELECT rank, turn, j, j AS x, 0 AS r, blocks FROM (SELECT rank, blocks, turn, unnest(range(blocks)) AS j FROM (SELECT rank, blocks, unnest(range(whole + 1)) AS turn FROM cut))
+            UNION ALL
+            SELECT rank, turn, j, CASE WHEN substr(md5('7:' || rank || ':' || turn || ':' || r || ':' || greatest(x, other)), 1, 1) >= '8' THEN other ELSE x END, r + 1, blocks
+            FROM (SELECT *, ((('0x' || substr(md5('7:' || rank || ':' || turn || ':' || r), 1, 12))::BIGINT % blocks) - x + blocks) % blocks AS other FROM walk WHERE r < 12)
+        ), slots AS (SELECT rank, turn, j, x AS block FROM walk WHERE r = 12
+        ), tails AS (SELECT rank, j AS tail_at FROM slots JOIN cut USING (rank) WHERE turn = whole AND block = blocks - 1
+        ), takes AS (
+            SELECT rank, block, CASE WHEN turn < whole THEN len ELSE greatest(0, least(len, rest - j * 128 + CASE WHEN tail_at < j THEN 128 - tail ELSE 0 END)) END AS take
+            FROM (SELECT *, CASE WHEN block = blocks - 1 THEN tail ELSE 128 END AS len FROM slots JOIN cut USING (rank) JOIN tails USING (rank))
+        ), docs AS (
+            SELECT doc_id, size, rank, sized.source, source_size, target, sum(size) OVER (PARTITION BY rank ORDER BY doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+            FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source
+        ), pieces AS (
+            SELECT doc_id, rank, before, size, unnest(range(CAST(before // 128 AS BIGINT), CAST((before + size - 1) // 128 + 1 AS BIGINT))) AS block FROM docs WHERE size > 0
+        ), got AS (
+            SELECT doc_id, sum(greatest(0, least(least((block + 1) * 128, before + size) - block * 128, take) - (greatest(block * 128, before) - block * 128))) AS taken
+            FROM pieces JOIN takes USING (rank, block) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM docs LEFT JOIN got USING (doc_id)
+    """,
     "op6_exact_dedup": f"""
         WITH keyed AS (SELECT doc_id, sha256({_NORMAL}) AS digest FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, digest AS text_sha256
