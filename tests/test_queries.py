@@ -7,8 +7,7 @@ import os
 
 import duckdb
 import pytest
-from tessera.plans import oracles
-from tessera.plans.catalogue import QUERIES
+from tessera.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,10 +36,10 @@ def test_query_equals_sql(spark, sf, duck, name):
     got = QUERIES[name](spark, sf)
     columns = sorted(got.columns)
     rows = sorted(repr([plain(r[c]) for c in columns]) for r in got.collect())
-    if name not in oracles.SQL:
+    if name not in SQL:
         assert rows
         return
-    found = duck.execute(oracles.SQL[name])
+    found = duck.execute(SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     want = sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in found.fetchall())
