@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     """The feed as a stream of its Parquet files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{sf_dir}/event[s].parquet"  # a pattern, so that a single file may be the source as well as a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
