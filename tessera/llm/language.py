@@ -16,11 +16,14 @@ NO_LANGUAGE = "und"
 
 
 def trigrams(data: bytes) -> Iterator[np.ndarray]:
-    """Buckets of the byte trigrams of the text, A-Z lower-cased, a piece of it at a time."""
+    """Buckets of the byte trigrams of the text, A-Z lower-cased, a piece of it at a time; bucket BUCKETS if one is a digit."""
     data = data.lower()
     for at in range(0, max(0, len(data) - 2), PIECE):
         a = np.frombuffer(data, np.uint8, min(PIECE + 2, len(data) - at), at).astype(np.uint32)
-        yield (a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA6B) + a[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(16)
+        h = (a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA6B) + a[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(16)
+        digit = (a >= 48) & (a < 58)
+        h[digit[:-2] | digit[1:-1] | digit[2:]] = BUCKETS
+        yield h
 
 
 def batches_of(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
@@ -53,7 +56,7 @@ def profiles(docs: DataFrame, declared: str, text: str, least_share: float = 0.0
                 for lang in set(labels[first : first + len(texts)]):
                     mine = b"\0\0\0".join(t for t, x in zip(texts, labels[first:]) if x == lang)
                     for h in trigrams(mine):
-                        counts[lang] += np.bincount(h, minlength=BUCKETS)
+                        counts[lang] += np.bincount(h, minlength=BUCKETS + 1)[:BUCKETS]
         for lang, row in enumerate(counts):
             used = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), lang, np.int32)), pa.array(used.astype(np.int32)), pa.array(row[used])], names=["lang", "bucket", "n"])
@@ -64,28 +67,27 @@ def profiles(docs: DataFrame, declared: str, text: str, least_share: float = 0.0
         table = rows.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS rows
         np.add.at(out, (table.column("lang").to_numpy(), table.column("bucket").to_numpy()), table.column("n").to_numpy())
     out += 0.5
-    return langs, np.log(out / out.sum(axis=1, keepdims=True)).astype(np.float32)
+    return langs, np.log(out / out.sum(axis=1, keepdims=True))
 
 
 def evidence(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str, columns: list[Column], temper: float) -> DataFrame:
     """RID, the given columns, and `told`: for each language, then for no language (uniform trigrams), the log likelihood of the
-    text, tempered because trigrams overlap, less the largest."""
-    held = docs.sparkSession.sparkContext.broadcast(logs)
+    text, tempered because trigrams overlap, less the largest. Trigrams with digits say nothing."""
+    uniform = np.full((1, BUCKETS), -np.log(BUCKETS))
+    held = docs.sparkSession.sparkContext.broadcast(np.pad(np.concatenate([logs, uniform]), ((0, 0), (0, 1))).astype(np.float32))
     names = [RID, *[f"c{i}" for i in range(len(columns))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(held.value)
         for batch in batches:
-            told = np.zeros((batch.num_rows, len(table) + 1), np.float64)
+            told = np.zeros((batch.num_rows, len(table)), np.float64)
             for first, texts in batches_of(batch.column("t")):
-                sizes = np.array([max(0, len(t) - 2) for t in texts])
-                told[first : first + len(texts), -1] = sizes * -np.log(BUCKETS)
                 long = [i for i, t in enumerate(texts) if len(t) > 2]
                 if len(texts) == 1:
                     for h in trigrams(texts[0]):
-                        told[first, :-1] += table[:, h].sum(axis=1, dtype=np.float64)
+                        told[first] += table[:, h].sum(axis=1, dtype=np.float64)
                 elif long:
-                    (h,) = trigrams(b"".join(texts[i] for i in long)) if sum(len(texts[i]) for i in long) <= PIECE + 2 else (np.concatenate(list(trigrams(b"".join(texts[i] for i in long)))),)
+                    h = np.concatenate(list(trigrams(b"".join(texts[i] for i in long))))
                     ends = np.cumsum([len(texts[i]) for i in long])
                     cuts = np.stack([np.r_[0, ends[:-1]], ends - 2], axis=1).ravel()  # every other run spans two texts
                     cuts = cuts[:-1] if cuts[-1] >= len(h) else cuts
