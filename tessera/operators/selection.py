@@ -52,9 +52,17 @@ def category_cap(df: DataFrame, key: str, category: str, order: list[Column], ea
 
 def budget(df: DataFrame, key: str, order: str, size: str, most: int, items: int | None = None) -> DataFrame:
     """Rows of a key in `order` while their sizes fit in `most`; a row that doesn't fit is skipped, not the end;
-    the first always stays. Survivors are numbered E1, E2, .... The fold goes over one key's (order, size) pairs only.
+    the first always stays. Survivors are numbered E1, E2, .... Whether a row fits depends on the earlier ones, so one key's
+    (order, size) pairs are folded. What is used only grows, so of equal sizes the first rows are taken: more of a size than
+    fit, or than `items`, needn't be gathered, which bounds a key's list by the budget, whatever the key's rows.
     """
-    lists = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("all"))
+    of_size = F.row_number().over(Window.partitionBy(key, size).orderBy(order))
+    fits_at_most = F.when(F.col(size) > 0, F.lit(most) / F.col(size)).otherwise(float("inf"))
+    pairs = df.withColumn("__n", of_size)
+    if items is not None:
+        pairs = pairs.filter(F.col("__n") <= items)
+    pairs = pairs.filter((F.col("__n") <= fits_at_most) | (F.col("__n") == 1))
+    lists = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("all"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
 
     def step(acc, x):

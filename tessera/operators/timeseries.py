@@ -61,10 +61,10 @@ def trend_signals(prices: DataFrame, key: str = "instrument") -> DataFrame:
 def relative_strength(prices: DataFrame, benchmark: DataFrame, key: str = "instrument", span: int = 63) -> DataFrame:
     """Ratio of growth over the last min(span, points - 1) steps of both, if over 5; the two are aligned from the end."""
     own = from_latest(prices, key)
-    n = own.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    n = own.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("__all", F.lit(1))
     ref = from_latest(benchmark.withColumn("__all", F.lit(1)), "__all").select("back", F.col("close").alias("ref")).filter(F.col("back") <= span)
-    m = ref.agg(F.max("back").alias("m"))
-    steps = n.join(F.broadcast(m)).withColumn("steps", F.least(F.lit(span), F.col("n") - 1, F.col("m"))).filter("steps > 5").select(key, "steps")
+    m = ref.agg(F.max("back").alias("m")).withColumn("__all", F.lit(1))  # one row
+    steps = n.join(F.broadcast(m), "__all").withColumn("steps", F.least(F.lit(span), F.col("n") - 1, F.col("m"))).filter("steps > 5").select(key, "steps")
     ends = own.filter(F.col("back") <= span).join(steps, key).filter("back = 0 OR back = steps").join(F.broadcast(ref), "back")
     rows = ends.groupBy(key, "steps").agg(*[F.max(F.when(F.col("back") == b, F.col(c))).alias(a) for a, b, c in (("p1", 0, "close"), ("p0", F.col("steps"), "close"), ("r1", 0, "ref"), ("r0", F.col("steps"), "ref"))])
     return rows.select(key, "steps", F.round((F.col("p1") / F.nullif("p0", F.lit(0.0))) / (F.col("r1") / F.nullif("r0", F.lit(0.0))), 3).alias("relative_strength"))

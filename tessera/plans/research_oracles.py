@@ -1,6 +1,6 @@
 """SQL for research_queries."""
 
-from tessera.plans.oracles import FACTS, FEED, PRICES
+from tessera.plans.oracles import FACTS, FEED, PRICES, TREND
 
 _D = "docs AS (SELECT doc_id, source, lower(substr(coalesce(text, ''), 1, 300)) AS t FROM documents)"
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
@@ -68,4 +68,28 @@ SQL = {
     "event_dates": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(ts AS DATE) END AS day FROM events",
     "exchange_attributes": """SELECT c_custkey, r_name AS region, CASE r_name WHEN 'EUROPE' THEN 'EUR' WHEN 'AMERICA' THEN 'USD' ELSE 'LOCAL' END AS quote_currency, CASE WHEN c_custkey % 10 = 0 THEN 'mock' WHEN c_acctbal > 0 THEN 'real' ELSE 'unknown' END AS provenance,
         CASE WHEN c_custkey % 700 BETWEEN 100 AND 599 THEN ((c_custkey % 700) // 100) || 'xx' ELSE 'unknown' END AS http_class FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "thesis_parse": """WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), f AS (SELECT doc_id,
+          list_filter([CASE WHEN contains(t, 'the ') THEN 'trade' END, CASE WHEN contains(t, 'tion') THEN 'motion' END, CASE WHEN contains(t, 'und ') THEN 'union' END], lambda x: x IS NOT NULL) AS a,
+          list_filter([CASE WHEN contains(t, ' les ') THEN 'europe' END, CASE WHEN contains(t, ' los ') THEN 'south' END, CASE WHEN contains(t, ' der ') THEN 'north' END], lambda x: x IS NOT NULL) AS b,
+          list_filter([CASE WHEN contains(t, 'without ') THEN 'without' END, CASE WHEN contains(t, 'sans ') THEN 'sans' END], lambda x: x IS NOT NULL) AS c FROM d)
+        SELECT doc_id, array_to_string(a, ',') AS theme, array_to_string(b, ',') AS region, array_to_string(c, ',') AS exclusion, least(1.0::DOUBLE, (len(a) + len(b) + len(c)) / 8.0::DOUBLE) AS confidence, len(a) <> 1 AS needs_narrowing FROM f""",
+    "sector_match": """WITH m AS (SELECT * FROM (VALUES ('economy', 'consumer'), ('standard', 'consumer'), ('promo', 'consumer'), ('small', 'industrial'), ('medium', 'industrial'), ('large', 'energy')) t(a, s)),
+        p AS (SELECT p_partkey, lower(p_type) AS v, ['', 'promo', 'small', 'burnished'][p_partkey % 4 + 1] AS w FROM part)
+        SELECT p_partkey, x.s AS sector, w = '' OR coalesce(x.s = y.s, v = w) AS matches FROM p LEFT JOIN m x ON x.a = v LEFT JOIN m y ON y.a = w""",
+    "qualifying_facts": """WITH f AS (SELECT l_partkey, ['revenue', 'income', 'employees'][l_linenumber % 3 + 1] AS field, CASE WHEN l_tax > 0.02::DOUBLE THEN l_quantity END AS value, l_discount > 0.05::DOUBLE AS high, l_returnflag <> 'R' AS ok, l_orderkey, l_linenumber, l_quantity FROM lineitem)
+        SELECT l_partkey, field, value, l_orderkey AS order_key FROM f WHERE field <> 'employees' AND value IS NOT NULL AND high AND ok QUALIFY row_number() OVER (PARTITION BY l_partkey, field ORDER BY l_orderkey, l_linenumber, l_quantity) = 1""",
+    "comparable_cascade": """WITH n AS (SELECT o_custkey, count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY 1), r AS (SELECT c_custkey, c_nationkey, c_acctbal, CASE WHEN orders IS NULL THEN 'no_analysis' WHEN done = 0 THEN 'draft_only' WHEN c_acctbal < 500 THEN 'not_valid' END AS reason FROM customer LEFT JOIN n ON c_custkey = o_custkey)
+        SELECT c_custkey, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY c_nationkey, reason IS NULL ORDER BY c_acctbal DESC, c_custkey) > 10 THEN 'over_cap' ELSE 'comparable' END AS reason FROM r""",
+    "price_provenance": """WITH l AS (SELECT l_suppkey, max(CAST(l_shipdate AS DATE)) AS last FROM lineitem GROUP BY 1)
+        SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'own' ELSE 'snapshot' END END AS provider, CASE WHEN s_suppkey % 4 > 0 THEN 'T5' END AS tier, CASE WHEN s_suppkey % 4 > 0 AND s_suppkey % 5 > 0 THEN 'USD' END AS currency, CASE WHEN s_suppkey % 4 > 0 THEN last END AS as_of, CASE WHEN s_suppkey % 4 > 0 THEN 'available' ELSE 'unavailable' END AS status
+        FROM supplier LEFT JOIN l ON s_suppkey = l_suppkey""",
+    "evidence_pack": """WITH c AS (SELECT s_nationkey AS k, 1 AS priority, s_name AS item, s_acctbal AS weight FROM supplier UNION ALL SELECT c_nationkey, 2, c_name, c_acctbal FROM customer), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY priority, weight DESC, item) AS n FROM c)
+        SELECT k, priority, item, weight, 'E' || n AS label FROM n WHERE n <= 12""",
+    "snapshot_compose": f"""WITH {TREND}, x AS (SELECT s_suppkey, s_name, CASE WHEN s_acctbal > 3000 THEN s_acctbal END AS balance, last_close, return_6m, momentum_label FROM supplier LEFT JOIN (SELECT * FROM trend WHERE instrument % 6 > 0) ON s_suppkey = instrument)
+        SELECT *, array_to_string(list_filter([CASE WHEN s_name IS NULL THEN 's_name' END, CASE WHEN balance IS NULL THEN 'balance' END, CASE WHEN last_close IS NULL THEN 'last_close' END, CASE WHEN return_6m IS NULL THEN 'return_6m' END, CASE WHEN momentum_label IS NULL THEN 'momentum_label' END], lambda v: v IS NOT NULL), ',') AS missing FROM x""",
+    "weak_datapoints": """WITH d AS (SELECT p_partkey, unnest(['revenue', 'name', 'debt']) AS field, CASE WHEN p_partkey % 5 > 0 THEN 'T' || (p_size % 6 + 1) END AS tier FROM part)
+        SELECT p_partkey, field, tier, CASE WHEN tier IS NULL THEN 'unsourced' ELSE 'weak_source' END AS warning FROM d WHERE tier IS NULL OR (field <> 'name' AND tier NOT IN ('T1', 'T2'))""",
+    "grid_facts": f"""WITH {FACTS}, n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY fy) AS n FROM facts), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY fy) AS c FROM n WHERE n <= 3 AND gross IS NOT NULL)
+        SELECT entity, label, CAST(c AS INTEGER) AS "column", CASE WHEN n <> 2 THEN fy END AS period, value, CASE WHEN n = 2 THEN 'excerpt_only' ELSE 'candidate' END AS status FROM (SELECT entity, 'revenue' AS label, c, n, fy, revenue AS value FROM k UNION ALL SELECT entity, 'gross', c, n, fy, gross FROM k)""",
+    "report_join": "SELECT c_nationkey, o_orderkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
 }

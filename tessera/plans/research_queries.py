@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import events as E
+from tessera.operators import documents as D
+from tessera.operators import packs as PK
 from tessera.operators import research as RS
 from tessera.operators import scoring as R
 from tessera.operators import screening as P
 from tessera.operators import selection as S
+from tessera.operators import timeseries as W
 from tessera.plans.catalogue import query
 from tessera.sources import parsers as SP
 from tessera.sources.tables import event_feed, facts, prices, table
@@ -295,3 +298,100 @@ def exchange_attributes(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").join(n, "c_nationkey", "left")
     quote = F.when(F.col("r_name") == "EUROPE", "EUR").when(F.col("r_name") == "AMERICA", "USD").otherwise("LOCAL")
     return c.select("c_custkey", F.col("r_name").alias("region"), quote.alias("quote_currency"), T.provenance(F.col("c_custkey") % 10 == 0, F.col("c_acctbal") > 0).alias("provenance"), T.http_class(F.col("c_custkey") % 700).alias("http_class"))
+
+
+# --- packs and records
+
+
+@query
+def thesis_parse(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", *[c.alias(n) for n, c in PK.parse_thesis(F.coalesce("text", F.lit(""))).items()])
+
+
+@query
+def sector_match(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    wanted = F.when(F.col("p_partkey") % 4 == 0, "").when(F.col("p_partkey") % 4 == 1, "Promo").when(F.col("p_partkey") % 4 == 2, "small").otherwise("BURNISHED")
+    return p.select("p_partkey", PK.canonical_sector(F.col("p_type")).alias("sector"), PK.sector_matches(wanted, F.col("p_type")).alias("matches"))
+
+
+@query
+def qualifying_facts(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    field = F.element_at(F.array(*map(F.lit, ["revenue", "income", "employees"])), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    f = li.select("l_partkey", field.alias("field"), F.when(F.col("l_tax") > 0.02, F.col("l_quantity")).alias("value"), F.when(F.col("l_discount") > 0.05, "high").otherwise("low").alias("confidence"), F.when(F.col("l_returnflag") == "A", "group").when(F.col("l_returnflag") == "R", "segment").alias("scope"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("o"))
+    return PK.qualifying(f, ["l_partkey"], "field", "o", ["revenue", "income"]).select("l_partkey", "field", "value", F.col("o.l_orderkey").alias("order_key"))
+
+
+@query
+def comparable_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    reasons = {"no_analysis": F.col("orders").isNull(), "draft_only": F.col("done") == 0, "not_valid": F.col("c_acctbal") < 500}
+    return PK.comparable(c.join(n, "c_custkey", "left"), ["c_nationkey"], reasons, [F.desc("c_acctbal"), F.asc("c_custkey")], 10).select("c_custkey", "reason")
+
+
+@query
+def price_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").join(prices(spark, sf).groupBy(F.col("instrument").alias("s_suppkey")).agg(F.max("date").alias("last")), "s_suppkey", "left")
+    key = F.col("s_suppkey")
+    out = PK.price_provenance(key % 4 > 0, F.when(key % 3 == 0, "own"), F.lit("snapshot"), F.when(key % 5 == 0, "not_sourced").otherwise("USD"), F.col("last"))
+    return s.select("s_suppkey", *[c.alias(n) for n, c in out.items()])
+
+
+@query
+def excerpt_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    b = D.paragraphs(table(spark, sf, "documents"), "doc_id", "text").withColumn("relevance", D.relevance(F.col("block"))).withColumn("kind", T.classify(F.col("block"), D.CLASSES))
+    return PK.excerpts(b, "doc_id", "block_no", "block", "relevance", "kind").select("doc_id", "block_no", "relevance", "kind", "lead", "place")
+
+
+@query
+def evidence_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """A nation's suppliers, then customers, as channels."""
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.lit(1).alias("priority"), F.col("s_name").alias("item"), F.col("s_acctbal").alias("weight"))
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.lit(2).alias("priority"), F.col("c_name").alias("item"), F.col("c_acctbal").alias("weight"))
+    return PK.evidence_pack(s.unionByName(c), "k", "priority", [F.desc("weight"), F.asc("item")], 12)
+
+
+@query
+def snapshot_compose(spark: SparkSession, sf: str) -> DataFrame:
+    """identity, price and trend of a supplier."""
+    t = W.trend_signals(prices(spark, sf)).select(F.col("instrument").alias("s_suppkey"), "last_close", "return_6m", "momentum_label")
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_acctbal") > 3000, F.col("s_acctbal")).alias("balance"))
+    return PK.snapshot(s.join(t.filter("s_suppkey % 6 > 0"), "s_suppkey", "left"), "s_suppkey", ["s_name", "balance", "last_close", "return_6m", "momentum_label"])
+
+
+@query
+def weak_datapoints(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    tier = F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("T"), (F.col("p_size") % 6 + 1).cast("string")))
+    d = p.select("p_partkey", F.explode(F.array(*map(F.lit, ["revenue", "name", "debt"]))).alias("field"), tier.alias("tier"))
+    return PK.weak_datapoints(d, ["p_partkey"], ["revenue", "debt"], ["T1", "T2"])
+
+
+@query
+def grid_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """V1 on tables made of a nation's facts: revenue and gross of up to three years under a header that lacks the second year."""
+    f = facts(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy("fy"))).filter("n <= 3 AND gross IS NOT NULL")
+    at = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("fy", F.col(c).alias("v")))), lambda x: F.format_number(x.v, 2))
+    header = F.concat(F.array(F.lit("Item")), F.transform(F.sort_array(F.collect_list(F.struct("fy", "n"))), lambda x: F.when(x.n == 2, "restated").otherwise(F.concat(F.lit("FY "), x.fy))))
+    g = f.groupBy("entity").agg(header.alias("header"), at("revenue").alias("a"), at("gross").alias("b"), at("orders").alias("c"))
+    rows = g.select("entity", "header", F.explode(F.array(F.concat(F.array(F.lit("Total Revenue")), "a"), F.concat(F.array(F.lit("Gross amount")), "b"), F.concat(F.array(F.lit("Something")), "c"))).alias("cells"))
+    return PK.grid_facts(rows, ["entity"], {"revenue": "revenue", "gross": "gross"})
+
+
+@query
+def report_join(spark: SparkSession, sf: str) -> DataFrame:
+    """A nation's newest completed order whose customer has a balance."""
+    o = table(spark, sf, "orders").filter("o_orderstatus = 'F'").join(table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    return S.latest(o, ["c_nationkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("c_nationkey", "o_orderkey", "o_totalprice")
+
+
+@query
+def flat_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct blocks of documents of a source, ranked by relevance, within a budget of characters."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL").select("source", "doc_id", F.length("text").alias("size"), T.short_hash(F.col("text")).alias("h"), D.relevance(F.col("text")).alias("relevance"))
+    one = S.latest(d, ["source", "h"], [F.asc("doc_id")])
+    ranked = one.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("relevance"), "doc_id")).cast("long"))
+    return S.budget(ranked.drop("h"), "source", "place", "size", 20_000, 10)

@@ -82,6 +82,21 @@ def test_budget_skips_but_goes_on(spark):
     assert got == {("a", 1): "E1", ("a", 2): "E2", ("a", 4): "E3", ("b", 1): "E1"}  # the first always stays
 
 
+@pytest.mark.parametrize("items", [None, 3])
+def test_budget_equals_the_plain_rule(spark, items):
+    import random
+
+    random.seed(8)
+    rows = [(f"k{random.randrange(6)}", i, random.choice([0, 1, 7, 7, 30, 90, 400])) for i in range(900)]
+    want, used, n = set(), {}, {}
+    for k, o, s in rows:
+        if n.get(k, 0) == 0 or (used[k] + s <= 200 and (items is None or n[k] < items)):
+            used[k], n[k] = used.get(k, 0) + s, n.get(k, 0) + 1
+            want.add((k, o, f"E{n[k]}"))
+    got = S.budget(spark.createDataFrame(rows, "k string, o long, s long"), "k", "o", "s", 200, items)
+    assert {(r.k, r.o, r.label) for r in got.collect()} == want
+
+
 def test_floors_hold_against_the_newest(spark):
     rows = [("k", "a", i) for i in range(20)] + [("k", "b", -i) for i in range(1, 6)]
     got = S.class_floor(spark.createDataFrame(rows, "k string, c string, t int"), "k", "c", [F.desc("t")], 4, 10).collect()
