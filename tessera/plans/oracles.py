@@ -234,6 +234,12 @@ SQL = {
     "safety_scan": f"WITH {_DOCS}, n AS (SELECT doc_id, text, {_neutral('text')} AS clean FROM docs) SELECT doc_id, {_scan('text')} AS hits, {_scan('clean')} AS hits_after FROM n",
     "neutralize_text": f"SELECT conv_id, turn, md5({_neutral('''coalesce(text, '')''')}) AS text_md5 FROM conversations",
     "year_infer": r"WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\b(?:199\d|20\d\d)\b'), lambda y: CAST(y AS INTEGER)) AS ys FROM documents) SELECT doc_id, list_max(ys) AS year FROM d",
+    "number_facts": r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\w.,])(\d[\d.,]*\d%?|\d%?)', 1)) AS raw FROM documents WHERE text IS NOT NULL),
+        k AS (SELECT doc_id, CASE WHEN ends_with(raw, '%') THEN 'percent' WHEN regexp_matches(raw, '^(199\d|20\d\d)$') THEN 'year' ELSE 'number' END AS kind, rtrim(raw, '%') AS s FROM e),
+        c AS (SELECT *, length(s) - length(replace(s, ',', '')) AS commas, length(s) - length(replace(s, '.', '')) AS dots FROM k),
+        v AS (SELECT doc_id, kind, try_cast(CASE WHEN commas > 0 AND dots > 0 THEN CASE WHEN strpos(reverse(s), ',') < strpos(reverse(s), '.') THEN replace(replace(s, '.', ''), ',', '.') ELSE replace(s, ',', '') END
+          WHEN commas > 1 OR regexp_matches(s, '^\d{1,3},\d{3}$') THEN replace(s, ',', '') WHEN commas > 0 THEN replace(s, ',', '.') WHEN dots > 1 THEN replace(s, '.', '') ELSE s END AS DOUBLE) AS value FROM c)
+        SELECT doc_id, kind, count(*) AS n, max(value) AS largest, min(value) <> max(value) AS ambiguous FROM v WHERE value IS NOT NULL GROUP BY 1, 2""",
     "fact_reconcile": """WITH c AS (SELECT l_partkey AS label, l_linenumber AS scope, l_returnflag AS method, l_quantity AS value, 0.5::DOUBLE + l_discount * 4 AS confidence, l_orderkey * 10 + l_linenumber AS tie FROM lineitem),
         b AS (SELECT *, row_number() OVER (PARTITION BY label, scope ORDER BY confidence DESC, tie ASC, value DESC, method DESC) AS r FROM c),
         g AS (SELECT label, scope, min(value) AS low, max(value) AS high, count(DISTINCT method) AS methods, count(*) AS n, max(confidence) FILTER (r = 1) AS conf, max(value) FILTER (r = 1) AS v FROM b GROUP BY 1, 2),

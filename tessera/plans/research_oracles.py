@@ -1,10 +1,10 @@
 """SQL for research_queries."""
 
-from tessera.plans.oracles import FACTS, FEED, PRICES, TREND
+from tessera.plans.oracles import _CLASSES, FACTS, FEED, PRICES, TREND, _hits
 
 _D = "docs AS (SELECT doc_id, source, lower(substr(coalesce(text, ''), 1, 300)) AS t FROM documents)"
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
-_HAVE = ["name", "price", "revenue", "debt", "risk"]
+_RELEVANCE = rf"""{_hits([w for ws in _CLASSES.values() for w in ws])} + 6 * least(len(regexp_extract_all(text, '\d[\d.,]*\s*(?:%|million|bn)')), 3) + CASE WHEN length(text) > 400 THEN 2 ELSE 0 END - CASE WHEN regexp_matches(low, 'all rights reserved|licen[cs]ed under|cookie|copyright') THEN 8 ELSE 0 END"""
 
 SQL = {
     "price_csv_scan": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, 1.5::DOUBLE AS open, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS DOUBLE) AS low, o_totalprice AS close, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS volume
@@ -92,4 +92,15 @@ SQL = {
     "grid_facts": f"""WITH {FACTS}, n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY fy) AS n FROM facts), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY fy) AS c FROM n WHERE n <= 3 AND gross IS NOT NULL)
         SELECT entity, label, CAST(c AS INTEGER) AS "column", CASE WHEN n <> 2 THEN fy END AS period, value, CASE WHEN n = 2 THEN 'excerpt_only' ELSE 'candidate' END AS status FROM (SELECT entity, 'revenue' AS label, c, n, fy, revenue AS value FROM k UNION ALL SELECT entity, 'gross', c, n, fy, gross FROM k)""",
     "report_join": "SELECT c_nationkey, o_orderkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "excerpt_ranking": rf"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n+')) AS raw, generate_subscripts(regexp_split_to_array(text, '\n+'), 1) - 1 AS block_no FROM documents), b AS (SELECT doc_id, block_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text FROM p), l AS (SELECT *, lower(text) AS low FROM b WHERE length(text) >= 40),
+        c AS (SELECT doc_id, block_no, text, {_RELEVANCE} AS relevance, {', '.join(f'{_hits(w)} AS {n}' for n, w in _CLASSES.items())} FROM l),
+        k AS (SELECT doc_id, block_no, relevance, CASE WHEN greatest(financial, risk, business) = 0 THEN 'general' WHEN financial = greatest(financial, risk, business) THEN 'financial' WHEN risk = greatest(financial, risk, business) THEN 'risk' ELSE 'business' END AS kind,
+               substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 160) AS beg, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) = 1 AS lead FROM c),
+        d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, beg ORDER BY lead DESC, relevance DESC, block_no) = 1), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lead, kind ORDER BY relevance DESC, block_no) AS rnd FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lead DESC, rnd, relevance DESC, block_no) AS place FROM r)
+        SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, CAST(relevance AS INTEGER) AS relevance, kind, lead, CAST(place AS INTEGER) AS place FROM o WHERE place <= 8""",
+    "flat_budget": rf"""WITH RECURSIVE d AS (SELECT source, doc_id, length(text) AS size, lower(text) AS low, text FROM documents WHERE text IS NOT NULL), f AS (SELECT source, doc_id, size, {_RELEVANCE} AS relevance FROM d QUALIFY row_number() OVER (PARTITION BY source, substr(sha1(trim(low)), 1, 16) ORDER BY doc_id) = 1),
+        o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY relevance DESC, doc_id) AS place FROM f),
+        walk AS (SELECT source, doc_id, size, relevance, place, size AS used, 1 AS n, TRUE AS kept FROM o WHERE place = 1
+          UNION ALL SELECT o.source, o.doc_id, o.size, o.relevance, o.place, CASE WHEN used + o.size <= 20000 AND n < 10 THEN used + o.size ELSE used END, CASE WHEN used + o.size <= 20000 AND n < 10 THEN n + 1 ELSE n END, used + o.size <= 20000 AND n < 10 FROM walk JOIN o ON o.source = walk.source AND o.place = walk.place + 1)
+        SELECT source, doc_id, CAST(size AS INTEGER) AS size, CAST(relevance AS INTEGER) AS relevance, place, 'E' || n AS label FROM walk WHERE kept""",
 }
