@@ -103,4 +103,16 @@ SQL = {
         walk AS (SELECT source, doc_id, size, relevance, place, size AS used, 1 AS n, TRUE AS kept FROM o WHERE place = 1
           UNION ALL SELECT o.source, o.doc_id, o.size, o.relevance, o.place, CASE WHEN used + o.size <= 20000 AND n < 10 THEN used + o.size ELSE used END, CASE WHEN used + o.size <= 20000 AND n < 10 THEN n + 1 ELSE n END, used + o.size <= 20000 AND n < 10 FROM walk JOIN o ON o.source = walk.source AND o.place = walk.place + 1)
         SELECT source, doc_id, CAST(size AS INTEGER) AS size, CAST(relevance AS INTEGER) AS relevance, place, 'E' || n AS label FROM walk WHERE kept""",
+    "symbol_builder": "SELECT s_suppkey, 't' || s_suppkey || '.' || CASE r_name WHEN 'AFRICA' THEN 'af' WHEN 'AMERICA' THEN 'us' WHEN 'ASIA' THEN 'as' WHEN 'EUROPE' THEN 'eu' ELSE 'us' END AS symbol FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
+    "lei_records": "SELECT c_custkey, 'LEI0' || lpad(CAST(c_custkey AS VARCHAR), 14, '0') || CASE WHEN c_custkey % 4 = 0 THEN 'XX' ELSE '42' END AS lei, c_custkey % 4 > 0 AS valid, c_name AS name, c_nationkey AS country FROM customer",
+    "source_gaps": "SELECT c_nationkey, source, count(*) AS gaps FROM customer, (SELECT unnest(['1-URGENT', '5-LOW']) AS source) s WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = source AND o_totalprice > 250000) GROUP BY 1, 2",
+    "brand_tokens": """WITH t AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name || ' Holding Inc. ' || p_name || ' ' || p_type), '[^a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ('inc', 'corp', 'ltd', 'plc', 'holding', 'group', 'company', 'customer', 'supplier')) AS a FROM part)
+        SELECT p_partkey, array_to_string(list_filter(a, lambda v, i: list_position(a, v) = i), ' ') AS tokens FROM t""",
+    "document_kinds": r"""WITH x AS (SELECT page_id, lower(['Annual report', 'half-year figures', 'Results 2001', 'Slides', 'Home'][page_id % 5 + 1] || ' ' || url) AS t FROM pages)
+        SELECT CASE WHEN regexp_matches(t, 'annual|10-k') THEN 'annual_report' WHEN regexp_matches(t, 'interim|half-year|10-q') THEN 'interim_report' WHEN regexp_matches(t, 'results|earnings') THEN 'results_release' WHEN regexp_matches(t, 'presentation|slides') THEN 'presentation' ELSE 'other' END AS kind, count(*) AS n, CAST(min(CASE WHEN page_id % 2 = 0 THEN -(page_id % 30 + 1990) ELSE 10000 END) AS INTEGER) AS newest FROM x GROUP BY 1""",
+    "fact_scopes": """WITH h AS (SELECT p_partkey, p_size, CASE p_size % 3 WHEN 0 THEN p_type || ' Segment' WHEN 1 THEN 'group' ELSE CASE WHEN p_partkey % 2 = 0 THEN p_type END END AS scope FROM part)
+        SELECT p_partkey, scope, CASE WHEN coalesce(scope, 'group') <> 'group' THEN 'segment' ELSE ['topline', 'earnings', 'earnings', 'cash', 'position', 'other'][p_partkey % 6 + 1] END AS category, least(p_size + least((p_partkey % 5) * 15, 45), 100) AS credit FROM h""",
+    "gap_lists": """WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k, count(*) AS n FROM orders GROUP BY 1, 2)
+        SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY k) AS labels, CAST(count(*) AS INTEGER) AS n_labels, CAST(sum(n) AS INTEGER) AS n_all FROM f GROUP BY 1""",
+    "narration": f"""WITH {FACTS} SELECT entity, fy, CASE WHEN gross IS NULL THEN fy || ': no lines' ELSE fy || ': revenue ' || format('{{:,.2f}}', round(revenue / 1000000, 6)) || 'm over ' || CAST(orders AS INTEGER) || ' orders' END AS summary FROM facts""",
 }

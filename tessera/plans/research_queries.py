@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import domain as DM
 from tessera.functions import text as T
 from tessera.operators import events as E
 from tessera.operators import documents as D
@@ -395,3 +396,71 @@ def flat_budget(spark: SparkSession, sf: str) -> DataFrame:
     one = S.latest(d, ["source", "h"], [F.asc("doc_id")])
     ranked = one.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("relevance"), "doc_id")).cast("long"))
     return S.budget(ranked.drop("h"), "source", "place", "size", 20_000, 10)
+
+
+# --- names, scopes, kinds
+
+
+@query
+def symbol_builder(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
+    s = table(spark, sf, "supplier").join(n, "s_nationkey", "left")
+    return s.select("s_suppkey", DM.symbol(F.concat(F.lit(" T"), F.col("s_suppkey").cast("string")), F.col("r_name")).alias("symbol"))
+
+
+@query
+def lei_records(spark: SparkSession, sf: str) -> DataFrame:
+    """S12 on JSON records of customers, of which every fourth has a malformed identifier."""
+    c = table(spark, sf, "customer")
+    lei = F.concat(F.lit("LEI0"), F.lpad(F.col("c_custkey").cast("string"), 14, "0"), F.when(F.col("c_custkey") % 4 == 0, "XX").otherwise("42"))
+    j = c.select("c_custkey", F.to_json(F.struct(F.struct(lei.alias("lei"), F.struct(F.col("c_name").alias("legalName"), F.col("c_nationkey").alias("country")).alias("entity")).alias("attributes"))).alias("record"))
+    r = j.select("c_custkey", F.from_json("record", "attributes struct<lei:string,entity:struct<legalName:string,country:int>>").alias("r"))
+    return r.select("c_custkey", F.col("r.attributes.lei").alias("lei"), DM.is_lei(F.col("r.attributes.lei")).alias("valid"), F.col("r.attributes.entity.legalName").alias("name"), F.col("r.attributes.entity.country").alias("country"))
+
+
+@query
+def source_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions are sources; a nation's customers without any order of a priority leave a gap row for it."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    have = table(spark, sf, "orders").filter("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("source")).distinct()
+    wanted = c.select("c_custkey", "c_nationkey", F.explode(F.array(*map(F.lit, ["1-URGENT", "5-LOW"]))).alias("source"))
+    return P.anti(wanted, have, ["c_custkey", "source"]).groupBy("c_nationkey", "source").agg(F.count(F.lit(1)).alias("gaps"))
+
+
+@query
+def brand_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", F.array_join(DM.brand_tokens(F.concat_ws(" ", "p_name", F.lit("Holding Inc."), "p_name", "p_type")), " ").alias("tokens"))
+
+
+@query
+def document_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").withColumn("title", F.element_at(F.array(*map(F.lit, ["Annual report", "half-year figures", "Results 2001", "Slides", "Home"])), (F.col("page_id") % 5 + 1).cast("int")))
+    x = p.select(DM.document_kind(F.concat_ws(" ", "title", "url")).alias("kind"), DM.period_rank(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("FY "), F.col("page_id") % 30 + 1990))).alias("rank"))
+    return x.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("newest"))
+
+
+@query
+def fact_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    heading = F.when(F.col("p_size") % 3 == 0, F.concat(F.col("p_type"), F.lit(" Segment"))).when(F.col("p_size") % 3 == 1, "Consolidated").otherwise(F.col("p_type"))
+    s = DM.scope(heading, F.when(F.col("p_partkey") % 2 == 0, "Divisions"))
+    field = F.element_at(F.array(*map(F.lit, [*DM.CATEGORIES, "people"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return p.select("p_partkey", s.alias("scope"), DM.fact_category(field, s).alias("category"), DM.primary_credit(F.col("p_size"), F.col("p_partkey") % 5).alias("credit"))
+
+
+@query
+def gap_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct labels of a customer's orders in order of first appearance, and a map under both spellings."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("x"))
+    labels = F.array_distinct(F.transform("x", lambda y: y.o_orderpriority))
+    both = F.map_concat(F.create_map(F.lit("labels"), F.size(labels)), F.create_map(F.lit("label_list"), F.size("x")))
+    return o.select("o_custkey", F.array_join(labels, "|").alias("labels"), F.element_at(both, "labels").alias("n_labels"), F.element_at(both, "label_list").alias("n_all"))
+
+
+@query
+def narration(spark: SparkSession, sf: str) -> DataFrame:
+    """A sentence on what a nation's year has."""
+    f = facts(spark, sf)
+    text = F.when(F.col("gross").isNull(), F.format_string("%d: no lines", "fy")).otherwise(F.format_string("%d: revenue %s over %d orders", F.col("fy"), T.money(F.round(F.col("revenue") / 1e6, 6)), F.col("orders").cast("int")))
+    return f.select("entity", "fy", text.alias("summary"))
