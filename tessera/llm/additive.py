@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import partitions, stored
 
 SAMPLE = 8192  # vectors that the codebooks are fitted on
+CODE_BLOCK, SLICES = 65536, 4  # codes in a row of the index; parts of the index from which each query's best are gathered
 
 
 def unit(column: pa.Array, width: int) -> np.ndarray:
@@ -79,50 +80,76 @@ def neighbours(
     codebooks = spark.sparkContext.broadcast(fit(trained, books, words, 6, seed))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            ids, codes, norms = (np.concatenate(x).tobytes() for x in zip(*held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([codes], pa.binary()), pa.array([norms], pa.binary())], names=["ids", "codes", "norms"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                codes, norms = encode(unit(part.column("v"), width), codebooks.value, beam)
-                ids = part.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary())], names=["ids", "codes", "norms"])
+                held.append((part.column("id").to_numpy().astype("<i8"), *encode(unit(part.column("v"), width), codebooks.value, beam)))
+                if sum(len(h[0]) for h in held) >= CODE_BLOCK:
+                    yield out()
+        if held:
+            yield out()
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, query_block):
-                part = batch.slice(at, query_block)
-                x, ids = unit(part.column("v"), width), part.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["queries", "vectors"])
+            if not batch.num_rows:
+                continue
+            ids, x, part = batch.column("id").to_numpy(), unit(batch.column("v"), width).astype(np.float32), batch.column("part").to_numpy()
+            for run in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(part)) + 1):
+                for at in range(0, len(run), query_block):
+                    some = run[at : at + query_block]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[some[:1]], pa.int64()), pa.array([ids[some].astype("<i8").tobytes()], pa.binary()), pa.array([x[some].tobytes()], pa.binary())], names=["part", "queries", "vectors"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cb = codebooks.value
+        """Rows come in order of query block and slice; the best of a slice's codes are kept for each query, and put out at its end."""
+        cb, now, qs, x, near, vec = codebooks.value, None, None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            real = np.isfinite(near)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, near.shape[1]).reshape(near.shape)[real]), pa.array(vec[real]), pa.array(near[real])], names=["query_id", "vec_id", "near"])
+
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda c, t: np.frombuffer(batch.column(c)[r].as_py(), t)
-                ids, norms, qs = get("ids", "<i8"), get("norms", np.float32), get("queries", "<i8")
-                codes, x = get("codes", np.uint8).reshape(len(ids), -1), get("vectors", np.float32).reshape(len(qs), -1)
-                out_q, out_v, out_s = [], [], []
-                for at in range(0, len(qs), 256):
-                    q = x[at : at + 256]
-                    total = np.zeros((len(ids), len(q)), np.float32)
-                    for m in range(len(cb)):
-                        total += (cb[m] @ q.T)[codes[:, m]]
-                    total /= np.maximum(norms, 1e-12)[:, None]
-                    keep = min(rerank + 1, len(ids))
-                    best = np.argpartition(-total, keep - 1, axis=0)[:keep] if keep < len(ids) else np.tile(np.arange(len(ids))[:, None], (1, len(q)))
-                    out_q.append(np.repeat(qs[at : at + 256], len(best)))
-                    out_v.append(ids[best.T].ravel())
-                    out_s.append(total[best, np.arange(len(q))].T.ravel())
-                if out_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (out_q, out_v, out_s)], names=["query_id", "vec_id", "near"])
+                get = lambda c, t: np.frombuffer(batch.column(c)[r].as_py(), t)  # noqa: B023, E731
+                mark = (batch.column("block")[r].as_py(), batch.column("slice")[r].as_py())
+                if mark != now:
+                    if now is not None:
+                        yield out()
+                    now, qs = mark, get("queries", "<i8")
+                    x = get("vectors", np.float32).reshape(len(qs), -1)
+                    near, vec = np.full((len(qs), rerank + 1), -np.inf, np.float32), np.zeros((len(qs), rerank + 1), np.int64)
+                ids, norms = get("ids", "<i8"), get("norms", np.float32)
+                codes = get("codes", np.uint8).reshape(len(ids), -1)
+                for q in range(0, len(qs), 256):
+                    tables = np.ascontiguousarray(cb @ x[q : q + 256].T)  # book, word, query
+                    for c in range(0, len(ids), 8192):
+                        total = np.zeros((min(8192, len(ids) - c), tables.shape[2]), np.float32)
+                        for m in range(len(cb)):
+                            total += tables[m][codes[c : c + 8192, m]]
+                        total /= np.maximum(norms[c : c + 8192], 1e-12)[:, None]
+                        s = np.concatenate([near[q : q + 256], total.T], axis=1)
+                        v = np.concatenate([vec[q : q + 256], np.broadcast_to(ids[c : c + 8192], total.T.shape)], axis=1)
+                        best = np.argpartition(-s, rerank, axis=1)[:, : rerank + 1]
+                        near[q : q + 256], vec[q : q + 256] = np.take_along_axis(s, best, 1), np.take_along_axis(v, best, 1)
+        if now is not None:
+            yield out()
 
     codes = stored(usable.mapInArrow(code, "ids binary, codes binary, norms binary"), "codes")
     asked = usable.filter(F.pmod("id", F.lit(every)) == 0)
-    queries = stored(asked.repartition(max(1, -(-asked.count() // query_block)), "id").mapInArrow(block, "queries binary, vectors binary").withColumn("block", F.monotonically_increasing_id()), "queries")
-    numbers = [r[0] for r in queries.select("block").collect()]  # one for every query_block queries
-    pairs = codes.withColumn("block", F.explode(F.array(*[F.lit(b) for b in numbers]))).join(queries, "block") if numbers else None
-    if pairs is None:
+    parts = -(-asked.count() // query_block)
+    if not parts:
         return empty
-    found = pairs.repartition(n).mapInArrow(score, "query_id long, vec_id long, near float").filter("query_id <> vec_id").distinct()
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(n, "part").sortWithinPartitions("part")
+    queries = stored(asked.mapInArrow(block, "part long, queries binary, vectors binary").withColumn("block", F.monotonically_increasing_id()), "queries")
+    pairs = codes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(queries, "part")
+    sliced = pairs.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(SLICES)).cast("int")).repartition(n, "block", "slice").sortWithinPartitions("block", "slice")
+    found = sliced.mapInArrow(score, "query_id long, vec_id long, near float").filter("query_id <> vec_id")
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).filter(F.col("place") <= rerank).select("query_id", "vec_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     held = usable.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
