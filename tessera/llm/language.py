@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import RID, numbered, stored
 
-BUCKETS, PIECE = 1 << 16, 1 << 22
+BUCKETS, PIECE = 1 << 16, 1 << 20
 NO_LANGUAGE = "und"
 
 
@@ -185,5 +185,6 @@ def of_pages(pages: DataFrame, **options) -> DataFrame:
 
 def accepted_only(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that of_documents rejects; all columns stay."""
-    gone = of_documents(docs, **options).filter(~F.col("accepted")).select(RID)
+    decided = stored(of_documents(docs, **options).select(RID, "accepted"), "decided")  # a filter on the plan itself would repeat its expressions
+    gone = decided.filter(~F.col("accepted")).select(RID)
     return numbered(docs).join(gone, RID, "left_anti").drop(RID)
