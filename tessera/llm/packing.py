@@ -14,12 +14,33 @@ from pyspark.sql import Window
 from .common import running_totals, stored
 
 END_ID = 1
-CACHE = 400_000
+CACHE = 400_000  # chunks and words whose ids are kept
+MOST_BASES = 200_000
 _coders: dict = {}
 
 
+class Known(dict):
+    """What `make` gives for a key. Keeps the first `most` keys, which hold the common ones, and starts anew after four times as many
+    others, in case the texts have changed."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.missed = make, most, 0
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > 4 * self.most:
+                self.clear()
+                self.missed = 0
+        return value
+
+
 class Coder:
-    """Packed ids (little-endian unsigned 32-bit) of texts. Keeps the ids of chunks between white space, CACHE of them at most.
+    """Packed ids (little-endian unsigned 32-bit) of texts. Keeps the ids of chunks between white space and of their words.
 
     Texts with characters beyond Latin Extended-A, whose normalisation isn't plain lower(), go to the library whole.
     """
@@ -30,29 +51,29 @@ class Coder:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.model, self.seen = self.whole.model, {}
-        letters, digits, space = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\x09-\\x0d \x85\xa0"
-        self.split = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+").findall
+        letters, digits, space = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\x09-\\x0D \x85\xa0"
+        split = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+").findall
         self.odd = re.compile("[^\x00-\x1b\x20-įı-ſ]").search
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
-        self.bytes = dict(zip(shown, shown)) | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+        letter_of = dict(zip(shown, shown)) | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+        tokenize = self.whole.model.tokenize
+
+        packed = [i.to_bytes(4, "little") for i in range(max(self.whole.get_vocab().values()) + 1)]
+
+        def ids(chunk: str) -> bytes:
+            words = (chunk,)
+            if not chunk.isalpha():
+                words = (chunk[:-1], chunk[-1]) if chunk[:-1].isalpha() and chunk[-1] in ",.;:!?" else split(chunk)
+                if len(words) > 1:
+                    return b"".join(map(self.chunk, words))
+            return b"".join([packed[t.id] for w in words for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letter_of))])
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = [t.id for word in self.split(chunk) for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        self.chunk = Known(ids, CACHE).__getitem__
 
     def encode(self, text: str) -> bytes:
         if self.odd(text):
             return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
-        chunks = text.lower().split()
-        try:
-            return b"".join(map(self.seen.__getitem__, chunks))
-        except KeyError:
-            if len(self.seen) > CACHE:
-                self.seen.clear()
-            for c in set(chunks).difference(self.seen):
-                self.seen[c] = self._chunk(c)
-            return b"".join(map(self.seen.__getitem__, chunks))
+        return b"".join(map(self.chunk, text.lower().split()))
 
 
 def coder(path: str) -> Coder:
@@ -102,6 +123,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, block: int = 128,
     sums = tokens.groupBy("key", "part").agg(F.sum("n").alias("n"))
     every = Window.partitionBy("key")
     bases = sums.select("key", "part", F.coalesce(F.sum("n").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(every).alias("total"))
+    bases = stored(bases, "bases")  # a row for each source and part that has it: broadcast only while these are few
+    bases = F.broadcast(bases) if bases.count() <= MOST_BASES else bases
     at = tokens.join(bases, ["key", "part"]).withColumn("s", F.col("base") + F.col("local")).withColumn("full", F.expr(f"total div {block}"))
     spans = F.expr(f"transform(sequence(s div {block}, (s + n - 1) div {block}), b -> named_struct('block', b, 'start', greatest(b * {block}, s) - s, 'length', least((b + 1) * {block}, s + n) - greatest(b * {block}, s), 'offset', greatest(b * {block}, s) - b * {block}))")
     bits = F.transform(
