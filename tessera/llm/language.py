@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import RID, numbered, stored
 
 BUCKETS, PIECE = 1 << 16, 1 << 20
+HELD = 32  # languages whose counts a task holds at a time
 NO_LANGUAGE = "und"
 
 
@@ -40,33 +41,45 @@ def batches_of(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, list[b
         yield first, held
 
 
-def profiles(docs: DataFrame, declared: str, text: str, least_share: float = 0.01) -> tuple[list[str], np.ndarray]:
-    """Languages declared by at least least_share of the labelled rows (at most 1/least_share), and log probabilities of the
-    trigram buckets in each, from all rows that declare one; every partition sends one count a language and bucket."""
-    labels = docs.filter(F.col(declared).isNotNull()).groupBy(F.col(declared).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    total = labels.agg(F.sum("n")).first()[0] or 0
-    langs = sorted(r[0] for r in labels.filter(F.col("n") >= least_share * total).collect())
-    at = {lang: i for i, lang in enumerate(langs)}
+def profiles(docs: DataFrame, declared: str, text: str) -> tuple[list[str], np.ndarray]:
+    """Every declared language whose rows have trigrams ('' and NO_LANGUAGE declare none), and log probabilities of the trigram
+    buckets in each, from all rows that declare one. A bucket gets half a pseudo-count, less in a language with fewer than
+    BUCKETS trigrams: all together at most half of these, so that a small profile isn't nearly uniform and draws no junk.
+
+    A partition sends counts by language and bucket, and holds those of HELD languages at a time; the driver and the scoring
+    tasks hold a row of BUCKETS numbers a language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(langs), BUCKETS), np.int64)
+        counts: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, row in counts.items():
+                used = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(row[used])], names=["lang", "bucket", "n"])
+            counts.clear()
+
         for batch in batches:
-            labels = [at[x] for x in batch.column("l").to_pylist()]
+            labels = batch.column("l").to_pylist()
             for first, texts in batches_of(batch.column("t")):
                 for lang in set(labels[first : first + len(texts)]):
                     mine = b"\0\0\0".join(t for t, x in zip(texts, labels[first:]) if x == lang)
                     for h in trigrams(mine):
+                        if lang not in counts:
+                            if len(counts) == HELD:
+                                yield from flush()
+                            counts[lang] = np.zeros(BUCKETS, np.int64)
                         counts[lang] += np.bincount(h, minlength=BUCKETS + 1)[:BUCKETS]
-        for lang, row in enumerate(counts):
-            used = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), lang, np.int32)), pa.array(used.astype(np.int32)), pa.array(row[used])], names=["lang", "bucket", "n"])
-
-    out = np.zeros((len(langs), BUCKETS), np.float64)
-    if langs:
-        rows = docs.select(F.col(declared).cast("string").alias("l"), F.col(text).cast("binary").alias("t")).filter(F.col("l").isin(langs) & F.col("t").isNotNull())
-        table = rows.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS rows
-        np.add.at(out, (table.column("lang").to_numpy(), table.column("bucket").to_numpy()), table.column("n").to_numpy())
-    out += 0.5
+        yield from flush()
+
+    rows = docs.select(F.col(declared).cast("string").alias("l"), F.col(text).cast("binary").alias("t")).filter(F.col("l").isNotNull() & ~F.col("l").isin("", NO_LANGUAGE) & F.col("t").isNotNull())
+    table = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table = table.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns")).orderBy("lang").toArrow()  # at most BUCKETS entries a language
+    langs, out = table.column("lang").to_pylist(), np.zeros((len(table), BUCKETS), np.float64)
+    for row, buckets, ns in zip(out, table.column("buckets"), table.column("ns")):
+        row[buckets.values.to_numpy()] = ns.values.to_numpy()
+    total = out.sum(axis=1, keepdims=True)
+    out += np.minimum(0.5, 0.5 * total / BUCKETS)
     return langs, np.log(out / out.sum(axis=1, keepdims=True))
 
 

@@ -286,6 +286,20 @@ def test_evidence_outweighs_and_fills_in(spark):
     assert len(got) == len(rows)
 
 
+def test_rare_languages_are_profiled(spark, sf, monkeypatch):
+    monkeypatch.setattr(language, "HELD", 2, raising=False)
+    many = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] * 10
+    rng = np.random.default_rng(5)
+    said = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(120))
+    rare = [(10**6 + i, said("\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6"), "el", "s") for i in range(6)] + [(10**6 + 10 + i, said("kjwzyx"), "pl", "s") for i in range(6)]
+    junk = [(10**6 + 21, said("!?%&#~^|"), None, "s"), (10**6 + 22, None, "xx", "s"), (10**6 + 23, said("QVW\u0436\u0448"), "und", "s")]
+    docs = spark.createDataFrame([*many, *rare, *junk], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.of_documents(docs).filter(f"doc_id >= {10**6}").collect()}
+    assert len(rare) < 0.01 * docs.count()
+    assert all((got[d].language, got[d].accepted) == (lang, True) for d, _, lang, _ in rare)
+    assert got[10**6 + 21].language == got[10**6 + 23].language == language.NO_LANGUAGE
+
+
 def test_language_of_awkward_rows(make, spark):
     docs = make(AWKWARD)
     assert language.of_documents(docs).count() == len(AWKWARD)
