@@ -38,8 +38,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds RID. The numbers repeat as long as df is read from files in the same session, so two branches of a plan agree."""
-    return df.withColumn(RID, F.monotonically_increasing_id())
+    """Adds RID, unless df has it. Two scans of the same files may number rows differently, since the splits follow the cores
+    that are alive: what joins a result with its rows takes both from kept_numbers()."""
+    return df if RID in df.columns else df.withColumn(RID, F.monotonically_increasing_id())
+
+
+def kept_numbers(df: DataFrame, name: str = "numbered") -> DataFrame:
+    """df with RID, written once, so that all later scans have the same numbers."""
+    return df if RID in df.columns else stored(numbered(df), name, "zstd")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, ascii_lower, numbered, stored
+from .common import RID, ascii_lower, kept_numbers, numbered, stored
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 1000) -> DataFrame:
@@ -19,8 +19,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     With m counters any digest over 3.5/m of the rows is found, and at most 1.75 * share can look as frequent.
 
     Null texts count as empty. A null id is smaller than any other; of rows with equal text and id exactly one stays. An
-    empty table gives an empty result. Columns other than id and text are ignored. docs must be read from files (or be
-    otherwise repeatable) for RID to be joined with it.
+    empty table gives an empty result. Columns other than id and text are ignored. RID is that of docs, if it has one, as
+    kept_numbers() gives it; a result can be joined with no other docs.
     """
     text = ascii_lower(F.col(text_col))
     keyed = stored(numbered(docs).select(F.col(id_col).alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"), RID), "digests")
@@ -37,5 +37,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups drops; all columns stay."""
+    docs = kept_numbers(docs)
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(RID)
-    return numbered(docs).join(gone, RID, "left_anti").drop(RID)
+    return docs.join(gone, RID, "left_anti").drop(RID)

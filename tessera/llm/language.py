@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, numbered, stored
+from .common import RID, kept_numbers, numbered, stored
 
 BUCKETS, PIECE = 1 << 16, 1 << 20
 HELD = 32  # languages whose counts a task holds at a time
@@ -198,6 +198,7 @@ def of_pages(pages: DataFrame, **options) -> DataFrame:
 
 def accepted_only(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that of_documents rejects; all columns stay."""
+    docs = kept_numbers(docs)
     decided = stored(of_documents(docs, **options).select(RID, "accepted"), "decided")  # a filter on the plan itself would repeat its expressions
     gone = decided.filter(~F.col("accepted")).select(RID)
-    return numbered(docs).join(gone, RID, "left_anti").drop(RID)
+    return docs.join(gone, RID, "left_anti").drop(RID)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import RID, WORD, numbered, partitions, running_totals, stored
+from .common import RID, WORD, kept_numbers, numbered, partitions, running_totals, stored
 
 ROUNDS = 12
 
@@ -107,13 +107,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each pass that takes words of a document, one row with docs' columns and, as text, the words
     taken with the white space after them (n_chars, if there, follows)."""
     text = options.get("text_col", "text")
+    columns, docs = docs.columns, kept_numbers(docs)
     documents, placed = mix(docs, **options)
     parts = placed.groupBy(RID, "turn").agg(F.sum("n_words").alias("__taken"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__parts"))
     parts = parts.join(documents.select(RID, F.col("size").alias("__size")), RID).drop("turn")
     spaced = F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice("__words", (p.first_word + 1).cast("int"), p.n_words.cast("int")))), "")
-    out = numbered(docs).join(parts, RID).withColumn("__words", F.when(F.col("__taken") < F.col("__size"), spaced))
+    out = docs.join(parts, RID).withColumn("__words", F.when(F.col("__taken") < F.col("__size"), spaced))
     out = out.withColumn(text, F.when(F.col("__taken") < F.col("__size"), cut).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(columns)

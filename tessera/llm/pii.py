@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, numbered, stored
+from .common import RID, kept_numbers, numbered, stored
 
 KINDS = ["email", "ip", "card", "phone", "generalise", "remove"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -161,6 +161,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """docs with base spans and disclosing terms replaced by [KIND], or removed where the disclosure is certain."""
     text = options.get("text_col", "text")
+    columns, docs = docs.columns, kept_numbers(docs)
     spans = detect(docs, **options).filter(F.size("spans") > 0).select(RID, F.col("spans").alias("__spans"))
 
     def step(acc, s):
@@ -171,6 +172,6 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
             F.when(s.end <= acc.at, acc.out).otherwise(F.concat(acc.out, F.substring(F.col(text), acc.at + 1, skip - acc.at), F.when(s.start >= acc.at, tag).otherwise(F.lit("")))).alias("out"), F.greatest(s.end, acc.at).alias("at")
         )
 
-    joined = numbered(docs).join(spans, RID, "left")
+    joined = docs.join(spans, RID, "left")
     done = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc.out, F.substring(F.col(text), acc.at + 1, F.length(text))))
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(done)).select(docs.columns)
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(done)).select(columns)

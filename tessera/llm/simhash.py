@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, components, numbered, partitions, stored
+from .common import RID, components, kept_numbers, numbered, partitions, stored
 
 BITS, BLOCKS, FANOUT = 64, 4, 8
 
@@ -229,5 +229,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component; all columns stay."""
+    docs = kept_numbers(docs)
     gone = near_groups(docs, id_col, text_col).filter(~F.col("kept")).select(RID)
-    return numbered(docs).join(gone, RID, "left_anti").drop(RID)
+    return docs.join(gone, RID, "left_anti").drop(RID)

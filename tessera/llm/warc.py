@@ -13,7 +13,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, new_path, numbered, partitions, stored
+from .common import RID, kept_numbers, new_path, partitions, stored
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -85,12 +85,13 @@ def write(pages: DataFrame, least: int = 0, most_bytes: int = 64 << 20, id_col:
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    keyed = stored(numbered(pages).select(RID, F.col(id_col).alias("id"), F.sha1(html).alias("digest"), F.octet_length(html).alias("n")), "payloads")
+    pages = kept_numbers(pages)
+    keyed = stored(pages.select(RID, F.col(id_col).alias("id"), F.sha1(html).alias("digest"), F.octet_length(html).alias("n")), "payloads")
     large = keyed.filter(F.col("n") >= least)
     first = large.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", RID)).alias("first"))
     name = lambda number, row: F.concat(F.lit("urn:page:"), F.coalesce(number.cast("string"), F.lit("null")), F.lit(":"), row.cast("string"))
     again = large.join(first, "digest").filter(F.col(RID) != F.col(f"first.{RID}")).select(RID, name(F.col("first.id"), F.col(f"first.{RID}")).alias("refers_to"))
-    rows = numbered(pages).select(RID, name(F.col(id_col), F.col(RID)).alias("name"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
+    rows = pages.select(RID, name(F.col(id_col), F.col(RID)).alias("name"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.join(again, RID, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
