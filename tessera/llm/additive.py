@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import partitions, stored
 
 SAMPLE = 8192  # vectors that the codebooks are fitted on
+TRIAL = 256  # queries whose true neighbours are found by brute force, to choose the number of candidates
 CODE_BLOCK, SLICES = 65536, 4  # codes in a row of the index; parts of the index from which each query's best are gathered
 
 
@@ -53,18 +54,81 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
     return codes[np.arange(n), best], np.linalg.norm(x - rest[np.arange(n), best], axis=1).astype(np.float32)
 
 
+def tables_of(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Products by book, word, query."""
+    return np.ascontiguousarray(books @ x.T)
+
+
+def scores_of(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Approximate cosines, a row for each code and a column for each query of tables."""
+    total = np.zeros((len(codes), tables.shape[2]), np.float32)
+    for m in range(len(tables)):
+        total += tables[m][codes[:, m]]
+    return total / np.maximum(norms, 1e-12)[:, None]
+
+
+def candidates_needed(usable: DataFrame, asked: DataFrame, codes: DataFrame, books: np.ndarray, beam: int, width: int, k: int, recall: float) -> int:
+    """As many candidates as hold the share `recall` of the true k nearest of TRIAL queries: those are found by brute force over
+    all vectors, and their places among all codes are counted. The driver holds TRIAL x k rows."""
+    spark = usable.sparkSession
+    trial = asked.orderBy(F.xxhash64("id"), "id").limit(TRIAL).toArrow().combine_chunks()
+    ids, x = trial.column("id").to_numpy(), unit(trial.column("v").combine_chunks(), width)
+    held = spark.sparkContext.broadcast((ids, x))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = held.value
+        best, of = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                mine = part.column("id").to_numpy()
+                s = x @ unit(part.column("v"), width).T
+                s[ids[:, None] == mine] = -np.inf
+                s, v = np.concatenate([best, s], axis=1), np.concatenate([of, np.broadcast_to(mine, s.shape)], axis=1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best, of = np.take_along_axis(s, top, 1), np.take_along_axis(v, top, 1)
+        real = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(real)[0]), pa.array(of[real]), pa.array(best[real])], names=["query", "id", "score"])
+
+    found = usable.mapInArrow(nearest, "query long, id long, score double")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= k)
+    true = stored(found.select("query", "id"), "nearest").join(usable, "id").select("query", "v").toArrow().combine_chunks()
+    if not len(true):
+        return 0
+    query = true.column("query").to_numpy()
+    mine, norms = encode(unit(true.column("v").combine_chunks(), width), books, beam)
+    tables = tables_of(x.astype(np.float32), books)
+    least = np.concatenate([scores_of(tables[:, :, query[i : i + 1]], mine[i : i + 1], norms[i : i + 1])[0] for i in range(len(query))])
+    bounds = spark.sparkContext.broadcast((tables, query, least))
+
+    def better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, query, least = bounds.value
+        n = np.zeros(len(query), np.int64)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                codes, norms = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("codes", np.uint8), ("norms", np.float32)))
+                codes = codes.reshape(len(norms), -1)
+                for c in range(0, len(norms), 4096):
+                    n += (scores_of(tables, codes[c : c + 4096], norms[c : c + 4096])[:, query] >= least).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["pair", "n"])
+
+    places = codes.mapInArrow(better, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().column("n").to_numpy()
+    return int(np.sort(places)[max(0, int(np.ceil(recall * len(places))) - 1)])
+
+
 def neighbours(
-    table: DataFrame, every: int = 50, k: int = 5, books: int = 16, words: int = 256, beam: int = 4, rerank: int = 256, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 3
+    table: DataFrame, every: int = 50, k: int = 5, books: int = 16, words: int = 256, beam: int = 4, rerank: int = 256, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 3, recall: float = 0.95
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every` its k nearest others by cosine.
 
     Unit vectors are written as sums of one codeword from each full-dimensional book, fitted to residuals on SAMPLE
     vectors and encoded by beam search; the norm of the sum is stored. Queries, in blocks of query_block, score all codes
-    through tables of query-codeword products, block by block; the best `rerank` of each query over all blocks are scored
-    exactly, in double precision, on the original vectors. Ties go to the smaller id.
+    through tables of query-codeword products, block by block; the best candidates of each query over all blocks are scored
+    exactly, in double precision, on the original vectors. They are `rerank`, or more where the share `recall` of the true
+    neighbours of TRIAL queries needs more in this table (candidates_needed). Ties go to the smaller id.
 
     Vectors null, zero or holding null or non-finite components take no part, nor do null ids and vectors of another length
-    than the longest in the sample. Of rows with equal id the one with the smallest vector counts. Fewer candidates than k:
+    than the most frequent in the sample (of equally frequent ones the longest). Of rows with equal id the one with the smallest vector counts. Fewer candidates than k:
     all. Empty table, empty result.
     """
     spark, n = table.sparkSession, partitions(table.sparkSession)
@@ -74,7 +138,8 @@ def neighbours(
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(sample):
         return empty
-    width = max(map(len, sample))
+    lengths = np.bincount(pc.list_value_length(sample).to_numpy(zero_copy_only=False))
+    width = int(np.flatnonzero(lengths == lengths.max())[-1])
     usable = usable.filter(F.size("v") == width)
     trained = unit(sample.filter(pc.equal(pc.list_value_length(sample), width)), width)
     codebooks = spark.sparkContext.broadcast(fit(trained, books, words, 6, seed))
@@ -127,12 +192,9 @@ def neighbours(
                 ids, norms = get("ids", "<i8"), get("norms", np.float32)
                 codes = get("codes", np.uint8).reshape(len(ids), -1)
                 for q in range(0, len(qs), 256):
-                    tables = np.ascontiguousarray(cb @ x[q : q + 256].T)  # book, word, query
+                    tables = tables_of(x[q : q + 256], cb)
                     for c in range(0, len(ids), 8192):
-                        total = np.zeros((min(8192, len(ids) - c), tables.shape[2]), np.float32)
-                        for m in range(len(cb)):
-                            total += tables[m][codes[c : c + 8192, m]]
-                        total /= np.maximum(norms[c : c + 8192], 1e-12)[:, None]
+                        total = scores_of(tables, codes[c : c + 8192], norms[c : c + 8192])
                         s = np.concatenate([near[q : q + 256], total.T], axis=1)
                         v = np.concatenate([vec[q : q + 256], np.broadcast_to(ids[c : c + 8192], total.T.shape)], axis=1)
                         best = np.argpartition(-s, rerank, axis=1)[:, : rerank + 1]
@@ -142,9 +204,12 @@ def neighbours(
 
     codes = stored(usable.mapInArrow(code, "ids binary, codes binary, norms binary"), "codes")
     asked = usable.filter(F.pmod("id", F.lit(every)) == 0)
-    parts = -(-asked.count() // query_block)
-    if not parts:
+    total = asked.count()
+    if not total:
         return empty
+    rerank = max(rerank, candidates_needed(usable, asked, codes, codebooks.value, beam, width, k, recall))
+    query_block = max(1, min(query_block, (1 << 22) // rerank))  # bounds what a task holds of a block's candidates
+    parts = -(-total // query_block)
     asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(n, "part").sortWithinPartitions("part")
     queries = stored(asked.mapInArrow(block, "part long, queries binary, vectors binary").withColumn("block", F.monotonically_increasing_id()), "queries")
     pairs = codes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(queries, "part")

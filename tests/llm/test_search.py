@@ -42,3 +42,19 @@ def test_awkward_vectors(spark):
     assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, k + 1): j for q, near in want.items() for k, (_, j) in enumerate(near)}
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert additive.neighbours(empty).count() == 0
+
+
+def test_candidates_follow_the_measured_recall(spark):
+    """Coarse codes and few candidates: the table itself tells how many it needs."""
+    x = np.random.default_rng(8).normal(size=(4000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = additive.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), books=3, words=32, rerank=8).collect()
+    want = brute(rows)
+    assert len(got) == 5 * len(want)
+    assert sum(r.vec_id in {j for _, j in want[r.query_id]} for r in got) >= 0.93 * len(got)
+
+
+def test_one_long_vector_leaves_the_others(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(9).normal(size=(120, 4)))]
+    got = additive.neighbours(spark.createDataFrame([*rows, (150, [1.0] * 9)], "vec_id long, embedding array<double>")).collect()
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, n + 1): j for q, near in brute(rows).items() for n, (_, j) in enumerate(near)}
