@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -10,26 +11,61 @@ from pyspark.sql import functions as F
 
 RID = "__tessera_row"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = "4m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_own: dict[str, tempfile.TemporaryDirectory] = {}  # folders of local sessions without a setting, by application
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) as Spark itself resolves a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir, with its scheme, so that Spark and Arrow mean the same
+    place. Where it is unset a local session gets a temporary folder of its own; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.TemporaryDirectory(prefix="tessera-", ignore_cleanup_errors=True)
+        at = "file://" + _own[context.applicationId].name
+    fs, path = _hadoop(spark, at)
+    return fs.makeQualified(path).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While jobs run in it, batches that go to Python have at most BATCH of data (a longer row goes alone)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def stored(df: DataFrame, name: str, codec: str = "snappy", path: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    path = path or new_path(df.sparkSession, name)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -80,10 +116,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): a row (node, root) for each node that isn't its component's smallest.
 
     Alternating stars: every node links its larger neighbours to the smallest it knows, then its smaller ones, until the
-    edges no longer change. Each round is written to the shared folder.
+    edges no longer change. Each round is written to the shared folder, and the round before it deleted.
     """
+    spark = edges.sparkSession
     big, small = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    now = stored(edges.filter("a <> b").select(big, small).distinct(), "edges")
+    path = new_path(spark, "edges")
+    now = stored(edges.filter("a <> b").select(big, small).distinct(), "edges", path=path)
     sign = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
     was = None
     for _ in range(rounds):
@@ -96,7 +134,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, both.a == least.u).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         rest = large.join(least, large.a == least.u).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(rest.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).select(big, small).distinct(), "edges")
+        old, path = path, new_path(spark, "edges")
+        now = stored(rest.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).select(big, small).distinct(), "edges", path=path)
+        drop_path(spark, old)
     else:
         raise RuntimeError(f"components not settled in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
