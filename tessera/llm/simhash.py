@@ -189,11 +189,8 @@ def link(distinct: DataFrame, most: int = 3, limit: int = 16384) -> DataFrame:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
     for depth in range(7):
-        choice = None
-        for mask, parts in masks.items():
-            value = F.array(*[F.lit(signed(p)).cast("long") for p in parts])
-            choice = F.when(F.col("mask") == signed(mask), value) if choice is None else choice.when(F.col("mask") == signed(mask), value)
-        keyed = todo.select("fp", F.explode(choice).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        table = spark.createDataFrame([(signed(mask), list(map(signed, parts))) for mask, parts in masks.items()], "mask long, parts array<long>")  # at most BLOCKS ** depth rows
+        keyed = todo.join(F.broadcast(table), "mask").select("fp", F.explode("parts").alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         masks = {p: split_mask(p) for parts in masks.values() for p in parts}
         if depth < 6:
             keyed = stored(keyed, "keyed")
