@@ -1,9 +1,11 @@
 import base64
 import collections
+import fractions
 import functools
 import gzip
 import hashlib
 import io
+import itertools
 import math
 import re
 import zlib
@@ -13,6 +15,7 @@ import pytest
 import xxhash
 from llm.awkward import AWKWARD
 from tessera.llm import language, packing, pii, scoring, simhash, warc
+from tessera.llm.common import components
 from tessera.llm.queries import TOKENIZER
 
 
@@ -98,6 +101,18 @@ def test_links_in_dense_groups(spark, limit):
     assert [find(i) for i in range(len(fps))] == want
 
 
+def test_many_fingerprints_that_share_bits(spark):
+    """Over 100,000 fingerprints agree in 40 bits: groups are split again and again, and planted links are found."""
+    rng = np.random.default_rng(2)
+    fps = set((rng.integers(0, 1 << 24, 110_000, dtype=np.uint64) | np.uint64(0xABCDEF0123 << 24)).tolist())
+    edges = simhash.link(spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long"), 3, 2000)
+    roots = {r.node: r.root for r in components(edges).collect()}
+    find = lambda x: roots.get(simhash.signed(x), simhash.signed(x))
+    near = lambda x: [y for k in (1, 2, 3) for bits in itertools.combinations(range(24), k) if (y := x ^ sum(1 << b for b in bits)) in fps]
+    for x in sorted(fps)[::4000]:
+        assert all(find(x) == find(y) for y in near(x))
+
+
 def test_gray_index_finds_every_link():
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
@@ -127,9 +142,7 @@ def test_simhash_dedup(make):
 def library():
     from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_file(TOKENIZER)
-    coder.encode_special_tokens = True
-    return coder
+    return Tokenizer.from_file(TOKENIZER)
 
 
 def tokens(t):
@@ -178,6 +191,37 @@ def test_windows_keep_to_the_sources_shares(make):
         assert abs(run["b"] - share * sum(run.values())) <= 2 * 128
 
 
+def scheduled(blocks, weights, per):
+    """Deficit round-robin, a round after the other: the sources of the blocks in the order in which they are sent."""
+    quantum = {s: fractions.Fraction(w) * per / sum(fractions.Fraction(x) for x in weights.values() if x > 0) for s, w in weights.items() if w > 0}
+    left, deficit, out = dict(blocks), collections.Counter(), []
+    while any(left.get(s) for s in quantum):
+        for s in sorted(quantum, key=lambda s: "-" if s is None else "=" + s):
+            deficit[s] += quantum[s]
+            while deficit[s] >= 1 and left.get(s):
+                deficit[s] -= 1
+                left[s] -= 1
+                out.append(s)
+    return out + [s for s in sorted(left, key=lambda s: "-" if s is None else "=" + s) for _ in range(left[s])]
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 3, None: 2}, {"b": 0.5, "nowhere": 4}, {"a": 5, "b": 1, None: 0}])
+def test_weights_against_a_scheduler(make, weights):
+    rows = [(i, " ".join(f"w{i} x y z" for _ in range(30 + i % 7)), ["a", "b", None, "a"][i % 4]) for i in range(160)]
+    got = packing.pack(make(rows), TOKENIZER, window=64, block=16, weights=weights).collect()
+    source = {d: s for d, _, s in rows}
+    size = collections.Counter()
+    for d, t, s in rows:
+        size[s] += len(tokens(t))
+    at = {}
+    for r in got:
+        at |= {r.sequence_id * 64 + r.offset + i: source[r.doc_id] for i in range(r.length)}
+    want = scheduled({s: n // 16 for s, n in size.items()}, weights, 4)
+    assert [at[16 * i] for i in range(len(want))] == want
+    assert all(len({at[16 * i + j] for j in range(16)}) == 1 for i in range(len(want)))
+    assert sorted(at) == list(range(sum(size.values())))
+
+
 def test_coder_equals_library():
     coder = packing.Coder(TOKENIZER)
     for t in [t for _, t, _ in AWKWARD if t] + ["It's WE'LL'd a--b 12½³ naïve\x85ß\xa0ŠŽ ...'s!", "é ﬁ ǅ", "a\x1cb", "''s 's't"]:
