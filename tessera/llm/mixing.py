@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import RID, WORD, kept_numbers, numbered, partitions, running_totals, stored
 
@@ -58,8 +57,9 @@ def mix(
 
     Each source's words (maximal runs without ASCII white space) in order of id are packed into blocks of `block`; the
     source takes round(target) words: whole passes over its blocks, then blocks of one more permutation, the last one
-    cut to fit. Every such slot draws one of the output shards; the counts per shard and source are thus multinomial,
-    conditioned on the totals meeting the targets (free draws would miss them by chance and could exceed the cap). Shards
+    cut to fit. Every such slot draws a lot; in order of lots, each output shard has the next shard_slots (the last shard
+    may have fewer). The counts of sources per shard are thus multinomial draws conditioned on both margins: shards of equal
+    size, and totals that meet the targets (free draws would miss them by chance and could exceed the cap). Shards
     number a source's slots one after the other; the pass's permutation maps a number to a block, and placements join
     blocks by (source, block).
 
@@ -82,13 +82,13 @@ def mix(
     more = F.when(F.col("tail_at") < some, F.ceil((F.col("rest") + block - F.col("tail")) / block)).otherwise(some)
     plan = stored(plan.withColumn("slots", F.col("whole") * F.col("blocks") + more), "plan")
 
-    shards = max(1, (plan.agg(F.sum("slots")).first()[0] or 0) // shard_slots)
     step = 65536  # slots that one row is spread to at once
     runs = plan.filter("slots > 0").select("rank", "slots", F.explode(F.expr(f"sequence(0, (slots - 1) div {step})")).alias("run")).repartition(n, "rank", "run")
-    draws = runs.select("rank", F.explode(F.expr(f"sequence(run * {step}, least(slots, (run + 1) * {step}) - 1)")).alias("draw")).withColumn("output_shard", F.pmod(F.xxhash64(F.lit(seed), "rank", "draw"), F.lit(shards)))
-    counts = stored(draws.groupBy("output_shard", "rank").agg(F.count(F.lit(1)).alias("n")), "counts")
-    earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("first", earlier("rank", "output_shard")).withColumn("place", earlier("output_shard", "rank")).repartition(n, "output_shard", "rank")
+    draws = runs.select("rank", F.explode(F.expr(f"sequence(run * {step}, least(slots, (run + 1) * {step}) - 1)")).alias("draw"))
+    drawn = running_totals(draws.withColumn("lot", F.xxhash64(F.lit(seed), "rank", "draw")).withColumn("one", F.lit(1).cast("long")), ["lot", "rank", "draw"], ["one"])
+    counts = stored(drawn.groupBy(F.expr(f"index div {shard_slots}").alias("output_shard"), "rank").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = running_totals(counts, ["output_shard"], ["n"], ["rank"]).withColumnRenamed("n_before", "first").drop("index")
+    counts = running_totals(counts, ["rank"], ["n"], ["output_shard"]).withColumnRenamed("n_before", "place").drop("index").repartition(n, "output_shard", "rank")
     slots = counts.join(plan.drop("slots"), "rank").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
     slots = slots.withColumn("number", F.col("first") + F.col("i")).withColumn("turn", F.expr("number div blocks")).withColumn("j", F.expr("number % blocks"))
     slots = slots.withColumn("block", permuted(F.col("j"), seed, F.col("rank"), F.col("turn"), F.col("blocks"), F.element_at("keys", (F.col("turn") + 1).cast("int"))))
@@ -105,7 +105,10 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each pass that takes words of a document, one row with docs' columns and, as text, the words
-    taken with the white space after them (n_chars, if there, follows)."""
+    taken with the white space after them (n_chars, if there, follows).
+
+    Documents without words, null texts too, are in no mix. Repeated rows and ids are mixed each by itself, null sources as
+    one source. Other columns stay as they are, whatever their names. Empty table, empty result."""
     text = options.get("text_col", "text")
     columns, docs = docs.columns, kept_numbers(docs)
     documents, placed = mix(docs, **options)

@@ -119,11 +119,29 @@ def test_mix_meets_targets(spark, make, sf, block):
         at = collections.defaultdict(set)
         for r in placed:
             at[r.output_shard].add(r.position)
-        assert all(max(p) < 4 * len(p) + 50 for p in at.values())
+        last = max(at, default=0)  # shards of equal size, with positions gapless from 0 (a block without words has none)
+        assert set(at) == set(range(last + 1)) and all(max(p) < 50 and (s == last or len(p) >= 40) for s, p in at.items())
+        every = {(r.output_shard, r.position) for r in placed}
+        assert len({(r.rank, r.turn, r.block, r.output_shard, r.position) for r in placed}) == len(every)
         assert sorted(map(tuple, mixing.mix(docs, block=block, shard_slots=50)[1].collect())) == sorted(map(tuple, placed))
     assert mixing.mix(make([]))[1].count() == 0 and mixing.mix(make([]))[0].count() == 0
 
 
+def test_shards_draw_sources_in_proportion(make):
+    """Counts of sources per shard vary as draws without replacement do."""
+    rows = [(i, "w " * 64, "a" if i % 3 else "b") for i in range(1800)]
+    _, placed = mixing.mix(make(rows), block=8, shard_slots=200)
+    counts = collections.defaultdict(collections.Counter)
+    for r in placed.select("output_shard", "position", "rank").distinct().collect():
+        counts[r.output_shard][r["rank"]] += 1
+    full = [c for s, c in counts.items() if s < max(counts)]
+    assert all(sum(c.values()) == 200 for c in full) and len(full) > 80
+    total = sum((c for c in full), collections.Counter())
+    p = total[0] / sum(total.values())
+    mean, variance = 200 * p, sum((c[0] - 200 * p) ** 2 for c in full) / len(full)
+    assert 0.6 * mean * (1 - p) < variance < 1.5 * mean * (1 - p)
+
+
 def test_permutation_is_one_and_has_its_inverse(spark):
     from pyspark.sql import functions as F
 
