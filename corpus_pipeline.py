@@ -10,27 +10,29 @@ from tessera.llm.queries import TOKENIZER
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified."""
+    """Documents whose language is identified, as language.accepted_only defines it: a null or empty text is judged by what its row
+    declares, repeated rows stay or go together, other columns pass whatever their names; an empty table stays empty."""
     return language.accepted_only(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id."""
+    """Of equal texts (null equals empty) the row with the largest doc_id, null being the smallest; of equal rows one. Columns pass."""
     return exact_dedup.dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
+    """The document with the smallest doc_id of each group of linked fingerprints; texts without words are one group. Columns pass."""
     return simhash.dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document, a row for each pass over it."""
+    """The words that the mix takes of each document, a row for each pass over it; documents without words are in none. Null sources
+    are one source; columns pass."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens. A null text would be empty, its end id alone; equal ids are packed each by itself."""
     return packing.pack(docs, TOKENIZER)
 
 

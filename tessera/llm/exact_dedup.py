@@ -36,7 +36,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns stay."""
+    """docs without the rows that exact_groups drops; all columns stay, whatever their names. Null and empty texts are equal, so one of
+    them stays; of rows with equal text and id one stays. Empty table, empty result."""
     docs = kept_numbers(docs)
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(RID)
     return docs.join(gone, RID, "left_anti").drop(RID)

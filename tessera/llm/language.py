@@ -17,12 +17,12 @@ NO_LANGUAGE = "und"
 
 
 def trigrams(data: bytes) -> Iterator[np.ndarray]:
-    """Buckets of the byte trigrams of the text, A-Z lower-cased, a piece of it at a time; bucket BUCKETS if one is a digit."""
+    """Buckets of the byte trigrams of the text, A-Z lower-cased, a piece of it at a time; bucket BUCKETS if one is a digit or NUL."""
     data = data.lower()
     for at in range(0, max(0, len(data) - 2), PIECE):
         a = np.frombuffer(data, np.uint8, min(PIECE + 2, len(data) - at), at).astype(np.uint32)
         h = (a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA6B) + a[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(16)
-        digit = (a >= 48) & (a < 58)
+        digit = ((a >= 48) & (a < 58)) | (a == 0)
         h[digit[:-2] | digit[1:-1] | digit[2:]] = BUCKETS
         yield h
 
@@ -85,7 +85,7 @@ def profiles(docs: DataFrame, declared: str, text: str) -> tuple[list[str], np.n
 
 def evidence(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str, columns: list[Column], temper: float) -> DataFrame:
     """RID, the given columns, and `told`: for each language, then for no language (uniform trigrams), the log likelihood of the
-    text, tempered because trigrams overlap, less the largest. Trigrams with digits say nothing."""
+    text, tempered because trigrams overlap, less the largest. Trigrams with digits or NUL say nothing."""
     uniform = np.full((1, BUCKETS), -np.log(BUCKETS))
     held = docs.sparkSession.sparkContext.broadcast(np.pad(np.concatenate([logs, uniform]), ((0, 0), (0, 1))).astype(np.float32))
     names = [RID, *[f"c{i}" for i in range(len(columns))]]
@@ -183,13 +183,19 @@ def identify(
 
 
 def of_documents(docs: DataFrame, **options) -> DataFrame:
-    """Documents declare `lang`; their `source` stands for the host and has no address suffix unless it has a dot."""
+    """Documents declare `lang`; their `source` stands for the host and has no address suffix unless it has a dot.
+
+    Null text, lang and source say nothing; rows with equal doc_id each have their row. Empty table, empty result.
+    """
     source = F.col("source").cast("string")
     return identify(docs, F.lower("lang"), F.when(source.contains("."), F.regexp_extract(source, r"([^.]+)$", 1)), source, **options)
 
 
 def of_pages(pages: DataFrame, **options) -> DataFrame:
-    """Web pages declare a language in their markup; host and suffix come from the address, the text is what tags leave."""
+    """Web pages declare a language in their markup; host and suffix come from the address, the text is what tags leave.
+
+    Null html is an empty text, a null or odd url has no host; rows with equal page_id each have their row. Empty table, empty result.
+    """
     host = url_host(F.col("url"))
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     suffix = F.regexp_extract(host, r"\.([^.]+)$", 1)
@@ -197,7 +203,8 @@ def of_pages(pages: DataFrame, **options) -> DataFrame:
 
 
 def accepted_only(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that of_documents rejects; all columns stay."""
+    """docs without the documents that of_documents rejects; all columns stay, whatever their names. Rows without a text are judged
+    by what they declare and by their source; repeated rows stay or go together. Empty table, empty result."""
     docs = kept_numbers(docs)
     decided = stored(of_documents(docs, **options).select(RID, "accepted"), "decided")  # a filter on the plan itself would repeat its expressions
     gone = decided.filter(~F.col("accepted")).select(RID)

@@ -36,6 +36,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.of_documents(table(spark, sf_dir, "documents")).drop(RID)
 
 
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's operator where markup, address suffix and hosts speak: on the web pages."""
+    return language.of_pages(table(spark, sf_dir, "pages")).drop(RID)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop(RID)
 
@@ -58,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(taken, RID, "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_additive_quantisation, op4_packing, op5_language_id, op6_exact_dedup, op7_warc, op8_pii, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_additive_quantisation, op4_packing, op5_language_id, page_languages, op6_exact_dedup, op7_warc, op8_pii, op9_simhash, op10_mixing)}
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

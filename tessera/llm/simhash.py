@@ -225,7 +225,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component; all columns stay."""
+    """docs with one row of each component, that of its smallest id; all columns stay, whatever their names.
+
+    Shingles of three words and at most three bits, as in near_groups: the rule of op9's contract. Texts without words are one
+    component, null ones too; of rows with equal text and id one stays. Empty table, empty result.
+    """
     docs = kept_numbers(docs)
     gone = near_groups(docs, id_col, text_col).filter(~F.col("kept")).select(RID)
     return docs.join(gone, RID, "left_anti").drop(RID)
