@@ -300,6 +300,69 @@ def test_disclosing_terms(make):
     assert pii.report(make([])).count() == 0
 
 
+def brute_disclosed(rows, support=3, threshold=0.8, certain=0.99, near=8, reach=200):
+    """Spans beyond the base ones, by the definition: counts over all documents, then every occurrence in those that hold the entity."""
+    term = re.compile(r"[^\W\d_]{3,}")
+    holds, pairs, has = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    for n, (_, t, _) in enumerate(rows):
+        t, base = t or "", brute_spans(t or "")
+        for w in set(term.findall(t.lower())):
+            has[w].add(n)
+        free = [m for m in term.finditer(t) if all(m.end() <= s or m.start() >= e for s, _, e in base)]
+        for s, k, e in base:
+            holds[k, t[s:e].lower()].add(n)
+            before = [m for m in term.finditer(t[:s]) if m.start() > s - reach or s <= reach][-near:]
+            after = [m for m in term.finditer(t) if m.start() >= e and (m.end() < e + reach or len(t) <= e + reach)][:near]
+            spots = {m.span() for m in before} | {m.span() for m in after}
+            for m in free:
+                if m.span() in spots:
+                    pairs[(k, t[s:e].lower()), m.group().lower()].add(n)
+    told = {}
+    for (c, w), docs in pairs.items():
+        information = math.log2(len(rows) / len(holds[c]))
+        pmi = math.log2(len(docs) * len(rows) / (len(holds[c]) * len(has[w])))
+        if len(docs) >= support and information > 0 and pmi / information >= threshold:
+            told[c, w] = "remove" if pmi / information >= certain else "generalise"
+    out = []
+    for n, (_, t, _) in enumerate(rows):
+        t, mine = t or "", {}
+        for m in term.finditer(t):
+            kinds = {k for (c, w), k in told.items() if n in holds[c] and w == m.group().lower()}
+            if kinds and all(m.end() <= s or m.start() >= e for s, _, e in brute_spans(t)):
+                mine[m.span()] = max(kinds)
+        out.append({f"{k}:{s}:{e}" for (s, e), k in mine.items()})
+    return out
+
+
+def test_disclosure_against_the_definition(make):
+    import random
+
+    random.seed(11)
+    words, texts = [f"{a}{b}{c}" for a in ("gar", "mol", "tis") for b in ("en", "ov", "ul") for c in ("da", "rik", "sem", "to")], []
+    people = [(f"{w}@mail.example.org", w.capitalize(), random.choice(words)) for w in ("anselmo", "bertrand", "cyprian", "dorothea")]
+    for n in range(160):
+        text = random.choices(words, k=random.randint(0, 40))
+        for address, name, other in random.sample(people, n % 3):
+            at = random.randint(0, len(text))
+            text[at:at] = [name, address] if n % 4 else [other, address, "4111 1111 1111 1111"]
+            if n % 5 == 0:
+                text.append(name)
+        texts.append(" ".join(text))
+    rows = [(n, t, "a") for n, t in enumerate([*texts, None, ""])]
+    for options in ({}, {"near": 2, "support": 2, "threshold": 0.4, "certain": 0.7}, {"near": 3, "reach": 14}):
+        want = brute_disclosed(rows, **options)
+        got = {r.doc_id: set(filter(lambda s: s.split(":")[0] in ("generalise", "remove"), r.spans.split(","))) for r in pii.report(make(rows), **options).collect()}
+        assert [got[n] for n in range(len(rows))] == want
+        assert options.get("reach") or sum(map(len, want)) > 20
+
+
+def test_terms_go_far_from_the_entity_too_and_generalise(make):
+    far = " and so on with other words that say nothing in particular to anyone who reads them"
+    rows = [(i, f"Wintermute w.mute@example.org{far * 5} Wintermute again", "a") for i in range(6)] + [(i, f"Wintermute is a name{far}", "a") for i in (6,)] + [(i, f"number {i}{far}", "a") for i in range(7, 90)]
+    got = {r.doc_id: r.text for r in pii.sanitised(make(rows)).collect()}
+    assert got[0].startswith("W\u2026 [EMAIL] and so on") and got[0].endswith("W\u2026 again") and got[6] == rows[6][1]
+
+
 def test_pii_of_awkward_rows(make):
     rows = [(i, t, "a") for i, t in enumerate(TRICKY)] + AWKWARD[:8]
     got = pii.report(make(rows)).collect()
@@ -330,6 +393,65 @@ def test_evidence_outweighs_and_fills_in(spark):
     assert len(got) == len(rows)
 
 
+def brute_posteriors(rows, temper=0.3, strength=20.0, unknown=1e-3):
+    """Posteriors of (text, declared, suffix, host) rows, a row at a time and without arrays of Spark."""
+    b = language.BUCKETS
+    grams = lambda t: [h for part in language.trigrams((t or "").encode()) for h in part.tolist() if h < b]
+    langs = sorted({d for t, d, _, _ in rows if d and t and grams(t)})
+    logs = []
+    for lang in langs:
+        n = np.zeros(b)
+        for t, d, _, _ in rows:
+            if d == lang:
+                np.add.at(n, grams(t), 1)
+        n += min(0.5, 0.5 * n.sum() / b)
+        logs.append(np.log(n / n.sum()))
+    logs.append(np.full(b, -math.log(b)))
+    k = len(langs)
+    prior = [(1 - unknown) / max(1, k)] * k + [unknown]
+    told, own = [], []
+    for t, *_ in rows:
+        s = np.array([temper * x[grams(t)].sum() for x in logs])
+        told.append(s - s.max())
+        p = np.exp(told[-1]) * prior
+        own.append(p / p.sum())
+    total = sum(own)
+    p0 = (total + 1) / (len(rows) + k + 1)
+    parent = lambda h: h.split(".", 1)[1] if h and re.match(r"[^.]+\..", h) else None
+    out = []
+    for i, (_, d, s, h) in enumerate(rows):
+        def share(value, key, towards):
+            if value is None:
+                return towards
+            n = np.maximum(0, sum(own[j] for j in range(len(rows)) if key(rows[j]) == value) - own[i])
+            return (n + strength * towards) / (n.sum() + strength)
+
+        p1 = share(parent(h), lambda r: parent(r[3]), p0)
+        p2 = share(h, lambda r: r[3], p1)
+        log = np.log(p2) + told[i] + np.log(share(d, lambda r: r[1], p0) / p0) + np.log(share(s, lambda r: r[2], p0) / p0)
+        p = np.exp(log - log.max())
+        out.append(p / p.sum())
+    return [*langs, language.NO_LANGUAGE], out
+
+
+def test_posteriors_against_the_definition(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    vocabulary = {"en": "the cat dog went with friend river and".split(), "de": "der hund katze gehen mit freund fluss und".split(), "fr": "le chat chien avec ami vers fleuve et".split()}
+    rows = []
+    for i in range(90):
+        lang = list(vocabulary)[i % 3]
+        text = " ".join(rng.choice(vocabulary[lang if i % 11 else "de"], 1 + i % 9)) if i % 13 else None
+        rows.append((text, lang if i % 4 else (None, "en")[i % 8 == 0], ("com", "de", None)[i % 5 % 3], (f"h{i % 4}.shop.{lang}", f"www.{lang}.org", "plain", None)[i % 7 % 4]))
+    names, want = brute_posteriors(rows)
+    docs = spark.createDataFrame([(i, *r, 1) for i, r in enumerate(rows)], "doc_id long, text string, declared string, suffix string, host string, told int")
+    got = {r.doc_id: r for r in language.identify(docs, F.col("declared"), F.col("suffix"), F.col("host")).collect()}
+    for i, p in enumerate(want):
+        assert abs(got[i].posterior - p.max()) < 1e-5 and (got[i].language == names[p.argmax()] or np.sort(p)[-2] > p.max() - 1e-5), i
+    assert len({r.language for r in got.values()}) >= 3
+
+
 def test_rare_languages_are_profiled(spark, sf, monkeypatch):
     monkeypatch.setattr(language, "HELD", 2, raising=False)
     many = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] * 10
