@@ -71,28 +71,32 @@ def hits(text: Column, words: list[str]) -> Column:
     return sum((F.when(F.contains(text, F.lit(w)), 1).otherwise(0) for w in words[1:]), F.when(F.contains(text, F.lit(words[0])), 1).otherwise(0))
 
 
-def classify(text: Column, classes: dict[str, list[str]], other: str = "general") -> Column:
-    """The class with the most hits, the first of equal ones; `other` without any."""
+def classify(text: Column, financial: list[str], risk: list[str], business: list[str]) -> Column:
+    """Financial if it has as many keywords as risk or more, else risk if any, else business; general without any."""
     low = F.lower(text)
-    counts = {c: hits(low, ws) for c, ws in classes.items()}
-    most = F.greatest(*counts.values())
-    out = F.when(most == 0, other)
-    for c, n in counts.items():
-        out = out.when(n == most, c)
-    return out
+    f, r, b = hits(low, financial), hits(low, risk), hits(low, business)
+    return F.when((f >= 1) & (f >= r), "financial").when(r >= 1, "risk").when(b >= 1, "business").otherwise("general")
 
 
 def language(text: Column, hints: dict[str, list[str]], least: int = 3, scan: int = 4000, shortest: int = 40) -> Column:
-    """The language with the most distinct hint words in the first `scan` characters, in table order on ties; fewer than `least`, or a short text: inconclusive."""
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.substring(text, 1, scan)), r"[\s.,;:!?]+", " "), F.lit(" "))
+    """K10, the content's part: the language with the most distinct hint words between spaces in the first `scan` characters, in table
+    order on ties; null (inconclusive) with fewer than `least`, or for a short text."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
+    low = F.concat(F.lit(" "), F.lower(F.substring(bare, 1, scan)), F.lit(" "))
     counts = {lang: hits(low, [f" {w} " for w in ws]) for lang, ws in hints.items()}
     most = F.greatest(*counts.values())
-    out = F.when((F.length(text) < shortest) | (most < least) | text.isNull(), "inconclusive")
+    out = F.when((F.length(bare) < shortest) | (most < least), F.lit(None).cast("string"))
     for lang, n in counts.items():
         out = out.when(n == most, lang)
     return out
 
 
+def language_or_hint(content: Column, hint: Column, supported: list[str]) -> tuple[Column, Column]:
+    """(language, whether the content told it): the content's language, else the hint's first two letters if supported, else English."""
+    code = F.substring(F.lower(F.trim(hint)), 1, 2)
+    return F.coalesce(content, F.when(code.isin(supported), code), F.lit("en")), content.isNotNull()
+
+
 def number(raw: Column) -> Column:
     """The last of comma and dot is the decimal point; one comma with three digits after it groups; null if not a number."""
     s = F.regexp_replace(F.trim(raw), r"[\s ']", "")

@@ -11,6 +11,13 @@ from tessera.functions import text as T
 THEMES = {"energy": ["energy", "grid", "solar"], "defence": ["defence", "shield", "guard"], "growth": ["growth", "expand", "rising"], "trade": ["the", "and", "for"]}
 CLASSES = {"financial": ["revenue", "profit", "margin", "income"], "risk": ["risk", "worthless", "threat"], "business": ["market", "product", "blend"]}
 HINTS = {"en": ["the", "and", "of", "to", "in", "is"], "fr": ["le", "la", "les", "des", "et", "que"], "de": ["der", "die", "und", "den", "von", "mit"], "es": ["el", "los", "las", "que", "por", "una"]}
+GAP = r"[^\n.;]{0,60}?"
+VALUE = r"(?:[€£$]\s*\d[\d.,]{0,14}|\d[\d.,]{0,14}\s*(?:million|billion|thousand|m\b|bn\b|k\b)|\d[\d.,]{0,14}\s*%)"
+METRICS = [rf"(?i)\b{label}{GAP}{VALUE}" for label in ("revenues?", "operating profit", "net income", "margin", "cash flow", "total assets")]
+SEGMENT = r"(?i)\b(?:segment|division|business unit|region)\b"
+SECTION = r"(?i)\b(?:financial highlights|income statement|cash flow statement|balance sheet|financial review)\b"
+PERIOD = r"(?i)\b(?:FY ?20\d\d|(?:19|20)\d\d|(?:six|nine|three) months? ended|year ended|for the year)\b"
+LISTED = r"^(?:.{1,70}?\s+\d{1,4}|\d{1,3}\.\s+\S.*|\d{1,4})$"
 FORBIDDEN = {"rating": r"\b(?:BUY|SELL|HOLD)\b", "rating_in_context": r"(?i)\b(?:recommend|rated|rating)\b[^.!?]{0,40}\b(?:buy|sell|hold)\b", "phrase": r"(?i)price target|guaranteed return|worthless"}
 NEUTRAL = [(r"(?i)price targets?", "valuation reference"), (r"(?i)guaranteed returns?", "expected outcome"), (r"(?i)worthless", "low value"), (r"\b(?:BUY|SELL|HOLD)\b", "[rating removed]"), (r"(?i)(\b(?:recommend|rated|rating)\b[^.!?]{0,40}?)\b(?:buy|sell|hold)\b", "$1[rating removed]")]
 
@@ -49,13 +56,21 @@ def themes(text: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(T.hits(low, words) > 0, name) for name, words in THEMES.items()])), ",")
 
 
+def metric_values(text: Column) -> Column:
+    """How many of the metrics stand before a money amount or a percentage in the same clause."""
+    return sum((F.when(text.rlike(p), 1).otherwise(0) for p in METRICS[1:]), F.when(text.rlike(METRICS[0]), 1).otherwise(0))
+
+
 def relevance(text: Column) -> Column:
-    """Keyword hits, six for each number with a unit up to three, two for long blocks, less eight for boilerplate."""
-    low = F.lower(text)
-    words = [w for ws in CLASSES.values() for w in ws]
-    units = F.least(F.regexp_count(text, F.lit(r"\d[\d.,]*\s*(?:%|million|bn)")), F.lit(3))
-    boiler = low.rlike(r"all rights reserved|licen[cs]ed under|cookie|copyright")
-    return T.hits(low, words) + 6 * units + F.when(F.length(text) > 400, 2).otherwise(0) - F.when(boiler, 8).otherwise(0)
+    """A point for each keyword, six for each metric with its value, three if a segment is named beside one, two for a headline
+    section, one for a period; less eight, but not under zero, if most lines look like a table of contents."""
+    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    found = metric_values(text)
+    score = T.hits(low, [w for ws in CLASSES.values() for w in ws]) + 6 * found + F.when((found > 0) & text.rlike(SEGMENT), 3).otherwise(0) + F.when(text.rlike(SECTION), 2).otherwise(0) + F.when(text.rlike(PERIOD), 1).otherwise(0)
+    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    listed = F.size(F.filter(lines, lambda x: x.rlike(LISTED)))
+    boiler = text.contains("\n") & (F.size(lines) >= 4) & (listed >= 0.6 * F.size(lines))
+    return F.when(boiler, F.greatest(score - 8, F.lit(0))).otherwise(score)
 
 
 def forbidden(text: Column) -> Column:
@@ -97,3 +112,43 @@ def claim_coverage(claims: DataFrame, evidence: DataFrame, key: str) -> DataFram
     known = evidence.select(key).distinct().withColumn("known", F.lit(1))
     joined = cited.join(known, key, "left").groupBy("claim_id").agg(F.count("known").alias("valid"), F.count_if(F.col("known").isNull()).alias("invalid"))
     return joined.withColumn("status", F.when(F.col("valid") == 0, "unsupported").when(F.col("invalid") > 0, "partly_supported").otherwise("supported"))
+
+
+def bare(html: Column) -> Column:
+    """The text that tags leave, white space folded."""
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def headings(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """Level, title and path of every heading with a title: the path has the open headings above it, outermost first."""
+    tags = F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>)"), F.lit(1))
+    each = F.transform(tags, lambda t: F.struct(F.substring(t, 3, F.lit(1)).cast("int").alias("level"), bare(t).alias("title")))
+    each = F.filter(each, lambda h: h.title != "")
+    rows = pages.select(id_col, each.alias("hs")).select(id_col, "hs", F.posexplode("hs").alias("n", "h"))
+    above = F.aggregate(
+        F.slice("hs", F.lit(1), F.col("n") + 1), F.array().cast("array<struct<level:int,title:string>>"), lambda stack, h: F.array_append(F.filter(stack, lambda s: s.level < h.level), h), lambda stack: F.transform(stack, lambda s: s.title)
+    )
+    return rows.select(id_col, "n", F.col("h.level").alias("level"), F.col("h.title").alias("title"), F.array_join(above, " > ").alias("path"))
+
+
+def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """A row for each table row that has cells: table_no, row_no, and the cells' texts."""
+    find = lambda c, tag: F.regexp_extract_all(c, F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}>)"), F.lit(1))
+    rows = pages.select(id_col, F.posexplode(find(F.coalesce(html_col, F.lit("")), "table")).alias("table_no", "t")).select(id_col, "table_no", F.posexplode(find(F.col("t"), "tr")).alias("row_no", "r"))
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)(<t[dh]\b[^>]*>.*?</t[dh]>)"), F.lit(1)), bare)
+    return rows.select(id_col, "table_no", "row_no", cells.alias("cells")).filter(F.size("cells") > 0)
+
+
+def labelled_facts(df: DataFrame, keys: list[str], text_col: str, labels: dict[str, str], percents: dict[str, str]) -> DataFrame:
+    """Of each label the first money amount (with scale, not a percentage) or percentage that its clause states: the label, a period,
+    a change ("rose 4%"), a connector and at most 25 characters without digit, sentence end, semicolon or "but" may come before it."""
+    period, change, link, gap = r"(?:\s+(?:for|in)\s+(?:the\s+year\s+|fiscal\s+)?(?:19|20)\d\d)?", r"(?:\s+(?:was up|rose|grew|fell|was down)(?:\s+by)?\s+[\d.]+\s*%)?+", r"(?:\s+(?:of|was|were|to|at|amounted to|reached))?", r"(?:(?!\bbut\b|\bwhile\b)[^\d\n.;%]){0,25}?"
+    found = []
+    for name, label in labels.items():
+        p = rf"(?i)\b(?:{label}){period}{change}{link}{gap}[€£$]?\s*(\d[\d,]*(?:\.\d+)?)(?![\d.,]*\d)\s*(thousand|million|billion)?(?!\s*%)"
+        found.append(F.struct(F.lit(name).alias("label"), F.lit("money").alias("kind"), F.regexp_extract(text_col, p, 1).alias("raw"), F.lower(F.regexp_extract(text_col, p, 2)).alias("scale")))
+    for name, label in percents.items():
+        p = rf"(?i)\b(?:{label}){period}(?:\s+(?:of|was|were|stood at|reached|at))?{gap}(\d[\d,]*(?:\.\d+)?)\s*%"
+        found.append(F.struct(F.lit(name).alias("label"), F.lit("percent").alias("kind"), F.regexp_extract(text_col, p, 1).alias("raw"), F.lit("").alias("scale")))
+    rows = df.select(*keys, F.inline(F.array(*found))).filter("raw <> ''")
+    return rows.select(*keys, "label", "kind", F.regexp_replace("raw", ",", "").cast("double").alias("value"), F.nullif("scale", F.lit("")).alias("scale"))

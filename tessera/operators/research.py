@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.scoring import clamp, points, tenth
 
+#: Qualities of references without content, and the source types and fields of evidence.
+BARE_QUALITIES = ["metadata_only", "link_metadata_only"]
+FACT_TYPES = ["sec_financial_statement", "company_filing", "company_ir_financial_fact"]
+TREND_TYPES = ["derived_financial_metric", "market_metric", "price_metric", "trend_signal", "financial_snapshot"]
+TREND_FIELDS = ["latest_close", "market_cap_usd_m", "market_cap_mln", "enterprise_value_usd_m", "enterprise_value_mln", "ebitda_ttm_usd_m", "revenue_ttm_usd_m", "pe_ratio"]
+DOCUMENT_TYPES = ["company_ir_annual_report_text", "company_ir_annual_report_excerpt", "company_ir_business_description", "company_ir_risk_excerpt", "sec_filing_financial_fact"]
+
 
 def thesis_relevance(themes: Column, keywords: Column, sector: Column, industry: Column, region: Column, catalyst: Column, confidence: Column, unsourced: Column) -> Column:
     """45 for the theme, 5 for each keyword up to 15, 10 sector, 10 industry, 12 region, 4 catalyst, 4 times the confidence, less 15 if unsourced."""
@@ -25,9 +34,19 @@ def relevance_level(score: Column) -> Column:
     return F.when(score >= 0.6, "high").when(score >= 0.4, "medium").when(score >= 0.2, "low").otherwise("irrelevant")
 
 
-def evidence_category(source_type: Column, tier: Column, factual: Column) -> Column:
-    """The first rule that holds."""
-    return F.when(source_type == "system", "company_identity").when(factual & (tier <= 2), "financial_fact").when(factual, "financial_summary").when(source_type == "user", "material_news").when(tier >= 5, "low_tier_news").otherwise("source_reference")
+def evidence_category(quality: Column, source_type: Column, tier: Column, fields: Column) -> Column:
+    """The first rule that holds: references without content, statement facts, price and trend figures, summaries, statement tables,
+    document excerpts, then events by source and tier (1 the strongest), press, and references."""
+    kind = F.lower(F.trim(F.coalesce(source_type, F.lit(""))))
+    has = lambda *words: reduce(lambda a, b: a | b, (F.contains(kind, F.lit(w)) for w in words))
+    event = F.array_contains(fields, "catalyst") | has("event", "news")
+    by_tier = F.when((tier == 1) | has("press"), "company_press").when(tier <= 2, "regulator_event").when(tier.isin(3, 4), "material_news").otherwise("low_tier_news")
+    return (
+        F.when(F.lower(F.trim(F.coalesce(quality, F.lit("")))).isin(BARE_QUALITIES), "source_reference").when(kind.isin(FACT_TYPES), "financial_fact")
+        .when(kind.isin(TREND_TYPES) | F.arrays_overlap(fields, F.array(*map(F.lit, TREND_FIELDS))), "price_trend_metric").when(kind == "financial_data_summary", "financial_summary")
+        .when(kind == "company_ir_statement_excerpt", "statement_table_content").when(kind.isin(DOCUMENT_TYPES) | has("excerpt", "annual_report"), "primary_document")
+        .when(F.coalesce(event, F.lit(False)), by_tier).when(has("press"), "company_press").otherwise("source_reference")
+    )
 
 
 def catalyst_class(item_code: Column, form: Column, text: Column) -> tuple[Column, Column]:

@@ -42,9 +42,9 @@ def momentum(label: str = "momentum_label", returns: tuple[str, ...] = ("return_
 
 
 def catalyst(status: str, events: str, high: str, primary: str, press: str, weak: str, warnings: str) -> Column:
-    """R2: base of the coverage, capped counts for and against."""
+    """R2: base of the coverage (10 for an unknown one), capped counts for and against; up to eight events count two each."""
     capped = lambda c, each, most: F.least(F.col(c) * float(each), F.lit(float(most)))
-    score = lookup(COVERAGE_BASE, status, 5) + capped(events, 2, 8) + capped(high, 4, 12) + capped(primary, 3, 12) + capped(press, 2, 8) - capped(weak, 2, 8) - F.least(F.col(warnings), F.lit(3)) * 2.0
+    score = F.when(F.col(status).isNull(), 5.0).otherwise(lookup(COVERAGE_BASE, status, 10)) + capped(events, 2, 16) + capped(high, 4, 12) + capped(primary, 3, 12) + capped(press, 2, 8) - capped(weak, 2, 8) - F.least(F.col(warnings), F.lit(3)) * 2.0
     return tenth(clamp(score, 0.0, 100.0))
 
 
@@ -72,14 +72,22 @@ def weighted(weights: dict[str, float]) -> Column:
     return sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
 
 
-def candidate(df: DataFrame, penalty: str = "risk_penalty") -> DataFrame:
-    """Weighted score less the penalty, grade, and the labels that apply, in order."""
+def candidate(
+    df: DataFrame, penalty: str = "risk_penalty", failed: str = "failed", mock: str = "mock", facts: str = "has_facts", prices: str = "has_prices", events: str = "events", missing: str = "missing_count"
+) -> DataFrame:
+    """Weighted score less the penalty, grade, and the labels that apply, in order. Failed and mock candidates, and those without
+    prices, facts and events, have insufficient data whatever their score."""
     out = df.withColumn("candidate_score", tenth(clamp(weighted(CANDIDATE_WEIGHTS) - F.col(penalty), 0.0, 100.0)))
-    none = (F.col("momentum_score") == 0) & (F.col("fundamentals_score") == 0)
-    grade = F.when(none, "data_insufficient").when(F.col("candidate_score") >= 65, "strong").when(F.col("candidate_score") >= 40, "moderate").otherwise("weak")
-    out = out.withColumn("grade", grade)
-    labels = F.array_compact(F.array(F.when(F.col("momentum_score") >= 60, "momentum"), F.when(F.col("catalyst_score") >= 60, "catalyst"), F.when(F.col("fundamentals_score") >= 60, "fundamentals"), F.when(F.col(penalty) >= 15, "risk")))
-    return out.withColumn("labels", F.array_join(labels, ","))
+    unfit = F.col(failed) | F.col(mock)
+    nothing = unfit | (~F.col(facts) & ~F.col(prices) & (F.col(events) == 0))
+    score = F.col("candidate_score")
+    out = out.withColumn("grade", F.when(nothing, "data_insufficient").when(score >= 65, "high_internal_interest").when(score >= 40, "medium_internal_interest").otherwise("low_internal_interest"))
+    rich = F.coalesce(F.col("coverage_status").isin("strong", "adequate"), F.lit(False)) | (F.col(events) >= 3)
+    labels = [
+        F.lit("internal_research_candidate"), F.lit("needs_human_review"), F.when(F.col("momentum_label") == "positive", "positive_momentum_candidate"), F.when(rich, "catalyst_rich_candidate"),
+        F.when(F.col(facts), "fundamentals_available"), F.when(unfit | (F.col(missing) >= 8), "data_sparse"), F.when(nothing, "research_incomplete"),
+    ]
+    return out.withColumn("labels", F.array_join(F.array_compact(F.array(*labels)), ","))
 
 
 def combined(df: DataFrame, missing: str = "missing_count") -> DataFrame:
@@ -121,11 +129,82 @@ def judge(df: DataFrame) -> DataFrame:
     return df.withColumn("judge_score", s).withColumn("judge_status", status)
 
 
-def source_quality(strong: str, weak: str, base: dict[str, int] | None = None) -> tuple[Column, Column]:
-    """Overall quality from counts of strong and weak sources, and its score."""
+def quality(strong: str, weak: str) -> Column:
+    """Overall quality from counts of strong and weak sources."""
     s, w = F.col(strong) > 0, F.col(weak) > 0
-    overall = F.when(s & ~w, "strong").when(s & w, "adequate").when(w, "weak").otherwise("insufficient")
-    base = base or {"strong": 80, "adequate": 55, "weak": 35, "insufficient": 15}
-    points_ = F.when(s & ~w, base["strong"]).when(s & w, base["adequate"]).when(w, base["weak"]).otherwise(base["insufficient"])
-    score = points_ + F.least(F.col(strong) * 2.0, F.lit(10.0)) - F.least(F.col(weak) * 1.0, F.lit(10.0)) + points(s, 8)
-    return overall, tenth(clamp(score.cast("double"), 0.0, 100.0))
+    return F.when(s & ~w, "strong").when(s & w, "adequate").when(w, "weak").otherwise("insufficient")
+
+
+def source_quality(overall: Column, strong: str, weak: str, aggregators: str, first_tiers: Column) -> Column:
+    """Base of the overall quality (25 for an unknown one), 3 for each strong source up to 12, less 2 for each weak one up to 8 and 3
+    for each seen through aggregators alone up to 12, and 8 if any source is of the first two tiers."""
+    base = F.when(overall == "strong", 80.0).when(overall.isin("medium", "adequate"), 55.0).when(overall == "weak", 35.0).when(F.coalesce(overall, F.lit("insufficient")) == "insufficient", 15.0).otherwise(25.0)
+    capped = lambda c, each, most: F.least(F.col(c) * float(each), F.lit(float(most)))
+    return tenth(clamp(base + capped(strong, 3, 12) - capped(weak, 2, 8) - capped(aggregators, 3, 12) + points(first_tiers, 8), 0.0, 100.0))
+
+
+#: Points of source tiers, of overall qualities and of valuation readiness; field names, sectors and terms that the dimensions look for.
+TIER_QUALITY = {"T1": 95, "T2": 85, "T3": 70, "T4": 60, "T5": 40, "T6": 15}
+OVERALL_QUALITY = {"strong": 90, "adequate": 65, "weak": 30, "insufficient": 10}
+READINESS = {"not_ready": 5, "partial": 30, "basic": 60, "deeper": 85}
+FINANCIAL_FIELDS = ["market_cap", "market_cap_usd_m", "revenue_ttm", "ebitda", "ev_ebitda", "pe_ratio", "fcf_ttm", "net_debt", "shares_outstanding"]
+SECTORS = ["energy", "utilities", "materials", "industrials", "financials", "technology", "healthcare", "real estate"]
+GROWTH_TERMS = ["growth", "expansion", "market share", "tailwind", "transition", "demand", "adoption", "scale", "pipeline", "backlog"]
+CATALYST_TERMS = ["catalyst", "trigger", "contract", "award", "permit", "deal", "announcement", "event", "approval", "launch"]
+
+
+def matches(text: Column, words: list[str]) -> Column:
+    """How many of the words the lower-cased text has."""
+    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w)))
+
+
+def whole(x: Column) -> Column:
+    """Cut to whole points; the step over six places keeps 0.29 * 100 at 29 on every engine."""
+    return F.floor(F.round(x, 6)).cast("int")
+
+
+def theme_points(text: Column, themes: dict[str, list[str]], base: int) -> Column:
+    """15 points for each keyword of the theme that has most, and the base."""
+    return F.least(F.lit(100), F.greatest(*[matches(text, words) * 15 for words in themes.values()], F.lit(0)) + base)
+
+
+def candidate_dimensions(df: DataFrame, themes: dict[str, list[str]], expected: list[str] = FINANCIAL_FIELDS) -> DataFrame:
+    """Nine dimensions of a screened candidate from its columns source_tier, is_mock, warnings (a number), primary_facts (a number),
+    available and missing (arrays of field names), reasons (an array), ticker, name, sector, country and valuation_readiness."""
+    text = F.concat_ws(" ", F.concat_ws(" ", "reasons"), "name", "sector")
+    n, lack = F.size("available"), F.size("missing")
+    tier, mock, none = F.col("source_tier"), F.col("is_mock"), F.size("reasons") == 0
+    shift = F.least(F.greatest(F.col("primary_facts"), F.lit(0)), lack)
+    quality_base = F.when(mock, 5.0).otherwise(lookup(TIER_QUALITY, "source_tier", 10))
+    quality_score = F.when(F.col("primary_facts") > 0, F.least(F.lit(95.0), quality_base + F.least(F.lit(45.0), F.col("primary_facts") * 15.0))).otherwise(quality_base)
+    long = lambda c, least: F.coalesce(F.length(c) >= least, F.lit(False))
+    business = points(long("ticker", 2), 20) + points(long("name", 3), 20) + points(long("sector", 3), 30) + points(long("country", 2), 15) + points(F.coalesce(F.lower("sector").isin(SECTORS), F.lit(False)), 15)
+    have = F.size(F.array_intersect("available", F.array(*map(F.lit, expected))))
+    share = whole(have * 80 / len(expected))
+    strength = F.when(have == 0, 5).when(tier == "T6", F.greatest(F.lit(0), share - 20)).when(tier == "T5", F.greatest(F.lit(0), share - 10)).otherwise(F.least(F.lit(100), share + 10))
+    grown = F.least(F.lit(100), matches(F.concat_ws(" ", F.concat_ws(" ", "reasons"), "sector"), GROWTH_TERMS) * 15 + 20)
+    risk = F.when(mock, 40).when(tier == "T5", 20).when(tier == "T6", 35).otherwise(0) + F.least(F.lit(30), lack * 2) + F.least(F.lit(20), F.col("warnings") * 5)
+    scores = {
+        "source_quality": quality_score, "completeness": F.when(n + lack == 0, 0).otherwise(whole((n + shift) * 100 / F.nullif(n + lack, F.lit(0)))), "theme": F.when(none, 10).otherwise(theme_points(text, themes, 10)),
+        "business": F.least(F.lit(100.0), business), "financial": strength, "valuation": lookup(READINESS, "valuation_readiness", 5), "growth": F.when(none, 10).when(tier.isin("T5", "T6"), F.least(grown, F.lit(50))).otherwise(grown),
+        "catalyst": F.when(none, 10).otherwise(F.least(F.lit(100), matches(F.concat_ws(" ", "reasons"), [*CATALYST_TERMS, "milestone"]) * 20 + 15)), "risk": F.least(F.lit(100), risk),
+    }
+    return df.withColumns({k: v.cast("int") for k, v in scores.items()})
+
+
+def analysis_dimensions(df: DataFrame, themes: dict[str, list[str]]) -> DataFrame:
+    """Eight dimensions of an analysed company from overall_quality, is_mock, source_tier, n_available, n_missing, bull, tailwinds,
+    headwinds and next_steps (arrays), sector, valuation_readiness, and the numbers blocking_gaps and valuation_blockers."""
+    bull, tail, head = F.size("bull"), F.size("tailwinds"), F.size("headwinds")
+    total = F.col("n_available") + F.col("n_missing")
+    base = whole(F.col("n_available") * 80 / F.nullif(total, F.lit(0)))
+    weak = F.coalesce(F.col("overall_quality"), F.lit("insufficient")).isin("weak", "insufficient")
+    risk = F.when(F.col("is_mock"), 40).otherwise(0) + F.when(weak, 25).otherwise(0) + F.least(F.lit(20), F.col("blocking_gaps") * 5) + F.least(F.lit(15), F.col("valuation_blockers") * 5)
+    scores = {
+        "source_quality": F.when(F.col("is_mock"), 5.0).otherwise(lookup(OVERALL_QUALITY, "overall_quality", 10)), "financial": F.when(total == 0, 0).when(F.col("source_tier").isin("T5", "T6"), F.greatest(F.lit(0), base - 15)).otherwise(base),
+        "theme": F.when(bull == 0, 15).otherwise(theme_points(F.concat_ws(" ", F.concat_ws(" ", "bull"), "sector"), themes, 15)),
+        "growth": F.when((bull == 0) & (tail == 0), 10).otherwise(F.greatest(F.lit(5), F.least(F.lit(100), bull * 12 + tail * 10 - head * 5 + 10))),
+        "catalyst": F.when(bull == 0, 10).otherwise(F.least(F.lit(100), matches(F.concat_ws(" ", F.concat_ws(" ", "bull"), F.concat_ws(" ", "next_steps")), CATALYST_TERMS) * 20 + 10)),
+        "valuation": lookup(READINESS | {"ready": 80}, "valuation_readiness", 5), "risk": F.least(F.lit(100), risk),
+    }
+    return df.withColumns({k: v.cast("int") for k, v in scores.items()})

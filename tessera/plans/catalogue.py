@@ -198,7 +198,7 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
     """One row per supplier: trend, and a nation's facts and events as the company's."""
     trend = W.trend_signals(prices(spark, sf))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("instrument"), F.col("s_nationkey").alias("entity"), "s_acctbal")
-    f = FU.margins(facts(spark, sf).filter("fy = 2000")).drop("fy")
+    f = S.latest(FU.margins(facts(spark, sf)), ["entity"], [F.desc("fy")]).drop("fy")
     c = E.coverage(event_feed(spark, sf).withColumn("entity", F.col("entity") % 25), "2024-01-31", 14)
     counts = E.event_summary(event_feed(spark, sf).withColumn("entity", F.col("entity") % 25)).drop("last_date", "value")
     rows = trend.join(s, "instrument").join(f, "entity", "left").join(c.select("entity", "coverage_status"), "entity", "left").join(counts, "entity", "left")
@@ -206,14 +206,15 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    x = _signals(spark, sf).withColumn("momentum_score", R.momentum()).withColumn("small", F.col("n_view") % 5)
+    x = _signals(spark, sf).withColumn("momentum_score", R.momentum()).withColumn("events", F.coalesce("n_events", F.lit(0)) % 11)
     x = x.withColumn("high", F.col("n_click") % 5).withColumn("primary", F.col("n_purchase") % 5).withColumn("press", F.col("n_signup") % 6).withColumn("weak", F.col("n_error") % 6)
-    x = x.withColumn("catalyst_score", R.catalyst("coverage_status", "small", "high", "primary", "press", "weak", "warnings"))
+    x = x.withColumn("catalyst_score", R.catalyst("coverage_status", "events", "high", "primary", "press", "weak", "warnings"))
     x = x.withColumn("has_facts", F.col("gross_margin").isNotNull()).withColumn("fundamentals_score", R.fundamentals("has_facts", ["gross_margin", "discount_rate", "tax_rate"], {"return_6m": 8, "last_close": 5, "pct_above_ma200": 4}, F.pmod("instrument", F.lit(3)) == 0))
-    overall, score = R.source_quality("primary", "weak")
-    x = x.withColumn("source_quality", overall).withColumn("source_quality_score", score).withColumn("completeness_score", R.completeness("missing_count", "blocking_count"))
-    x = x.withColumn("failed", F.pmod("instrument", F.lit(17)) == 0).withColumn("mock", F.pmod("instrument", F.lit(13)) == 0).withColumn("no_price", F.col("points") < 30)
-    return x.withColumn("risk_penalty", R.risk_penalty({"failed": 25, "mock": 20, "no_price": 8}, "warnings"))
+    x = x.withColumn("aggregators", F.col("n_view") % 5).withColumn("source_quality", R.quality("primary", "weak"))
+    x = x.withColumn("source_quality_score", R.source_quality(F.col("source_quality"), "primary", "weak", "aggregators", F.col("primary") > 0)).withColumn("completeness_score", R.completeness("missing_count", "blocking_count"))
+    x = x.withColumn("failed", F.pmod("instrument", F.lit(17)) == 0).withColumn("mock", F.pmod("instrument", F.lit(13)) == 0).withColumn("has_prices", F.col("points") >= 30)
+    x = x.withColumn("no_price", ~F.col("has_prices")).withColumn("no_facts", ~F.col("has_facts")).withColumn("no_events", F.col("events") == 0).withColumn("no_identity", F.col("s_acctbal") < 0)
+    return x.withColumn("risk_penalty", R.risk_penalty({"failed": 25, "mock": 20, "no_price": 8, "no_facts": 8, "no_events": 5, "no_identity": 4}, "warnings"))
 
 
 @query
@@ -488,7 +489,7 @@ def keyword_theme_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def text_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.classify(F.coalesce("text", F.lit("")), D.CLASSES).alias("class"))
+    return table(spark, sf, "documents").select("doc_id", T.classify(F.coalesce("text", F.lit("")), **D.CLASSES).alias("class"))
 
 
 @query
@@ -498,7 +499,10 @@ def relevance_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def language_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.language(F.col("text"), D.HINTS).alias("language"))
+    """Of every third document the declared language is the hint."""
+    d = table(spark, sf, "documents").select("doc_id", T.language(F.col("text"), D.HINTS).alias("told"), F.when(F.col("doc_id") % 3 == 0, F.upper("lang")).alias("hint"))
+    language, told = T.language_or_hint(F.col("told"), F.col("hint"), ["fr", "de", "es"])
+    return d.select("doc_id", language.alias("language"), told.alias("content_based"))
 
 
 @query

@@ -55,24 +55,24 @@ _SUMMARY = "count(*) FILTER (event_class = 'purchase') AS n_purchase, count(*) F
 SCORED = f"""{TREND}, {FACTS}, {FEED}, cover AS ({_coverage('entity % 25')}), tally AS (SELECT entity % 25 AS entity, {_SUMMARY} FROM feed GROUP BY 1
 ), signals AS (
   SELECT trend.*, s_nationkey AS entity, s_acctbal, round(gross / nullif(revenue, 0) * 100, 2) AS gross_margin, round(discounts / nullif(gross, 0) * 100, 2) AS discount_rate, round(taxes / nullif(gross, 0) * 100, 2) AS tax_rate, coalesce(coverage_status, 'none_found') AS coverage_status,
-         coalesce(n_view, 0) % 5 AS small, coalesce(n_click, 0) % 5 AS high, coalesce(n_purchase, 0) % 5 AS prim, coalesce(n_signup, 0) % 6 AS press, coalesce(n_error, 0) % 6 AS weak, instrument % 7 AS warnings, instrument % 12 AS missing_count, instrument % 4 AS blocking_count
-  FROM trend JOIN supplier ON instrument = s_suppkey LEFT JOIN (SELECT * FROM facts WHERE fy = 2000) f ON f.entity = s_nationkey LEFT JOIN cover ON cover.entity = s_nationkey LEFT JOIN tally ON tally.entity = s_nationkey
+         (coalesce(n_view, 0) + coalesce(n_click, 0) + coalesce(n_purchase, 0) + coalesce(n_signup, 0) + coalesce(n_error, 0)) % 11 AS events, coalesce(n_view, 0) % 5 AS aggregators, coalesce(n_click, 0) % 5 AS high, coalesce(n_purchase, 0) % 5 AS prim, coalesce(n_signup, 0) % 6 AS press, coalesce(n_error, 0) % 6 AS weak, instrument % 7 AS warnings, instrument % 12 AS missing_count, instrument % 4 AS blocking_count
+  FROM trend JOIN supplier ON instrument = s_suppkey LEFT JOIN (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY entity ORDER BY fy DESC) = 1) f ON f.entity = s_nationkey LEFT JOIN cover ON cover.entity = s_nationkey LEFT JOIN tally ON tally.entity = s_nationkey
 ), scored AS (
   SELECT *,
     CASE WHEN momentum_label = 'insufficient' THEN 0.0 ELSE round(round(greatest(0.0, least(100.0, CASE momentum_label WHEN 'positive' THEN 65.0 WHEN 'neutral' THEN 45.0 WHEN 'negative' THEN 25.0 ELSE 40.0 END
       + greatest(-30.0, least(30.0, coalesce((coalesce(return_1m, 0) + coalesce(return_3m, 0) + coalesce(return_6m, 0)) / nullif((return_1m IS NOT NULL)::INT + (return_3m IS NOT NULL)::INT + (return_6m IS NOT NULL)::INT, 0), 0.0))) * 0.5
       + CASE WHEN pct_above_ma50 > 0 THEN 5 ELSE 0 END + CASE WHEN pct_above_ma200 > 0 THEN 5 ELSE 0 END)), 6), 1) END::DOUBLE AS momentum_score,
-    round(greatest(0.0, least(100.0, CASE coverage_status WHEN 'strong' THEN 75 WHEN 'adequate' THEN 60 WHEN 'filings_only' THEN 45 WHEN 'limited' THEN 35 WHEN 'stale' THEN 20 ELSE 5 END + least(small * 2, 8) + least(high * 4, 12) + least(prim * 3, 12) + least(press * 2, 8) - least(weak * 2, 8) - least(warnings, 3) * 2)), 1)::DOUBLE AS catalyst_score,
+    round(greatest(0.0, least(100.0, CASE coverage_status WHEN 'strong' THEN 75 WHEN 'adequate' THEN 60 WHEN 'filings_only' THEN 45 WHEN 'limited' THEN 35 WHEN 'stale' THEN 20 WHEN 'none_found' THEN 5 ELSE 10 END + least(events, 8) * 2 + least(high * 4, 12) + least(prim * 3, 12) + least(press * 2, 8) - least(weak * 2, 8) - least(warnings, 3) * 2)), 1)::DOUBLE AS catalyst_score,
     CASE WHEN gross_margin IS NULL THEN 0.0 ELSE round(greatest(0.0, least(100.0, 45 + 7 * ((gross_margin IS NOT NULL)::INT + (discount_rate IS NOT NULL)::INT + (tax_rate IS NOT NULL)::INT) + 8 * (return_6m IS NOT NULL)::INT + 5 * (last_close IS NOT NULL)::INT + 4 * (pct_above_ma200 IS NOT NULL)::INT - CASE WHEN instrument % 3 = 0 THEN 15 ELSE 0 END)), 1) END::DOUBLE AS fundamentals_score,
     CASE WHEN prim > 0 AND weak = 0 THEN 'strong' WHEN prim > 0 THEN 'adequate' WHEN weak > 0 THEN 'weak' ELSE 'insufficient' END AS source_quality,
-    round(greatest(0.0, least(100.0, CASE WHEN prim > 0 AND weak = 0 THEN 80 WHEN prim > 0 THEN 55 WHEN weak > 0 THEN 35 ELSE 15 END + least(prim * 2, 10) - least(weak, 10) + CASE WHEN prim > 0 THEN 8 ELSE 0 END)), 1)::DOUBLE AS source_quality_score,
+    round(greatest(0.0, least(100.0, CASE WHEN prim > 0 AND weak = 0 THEN 80 WHEN prim > 0 THEN 55 WHEN weak > 0 THEN 35 ELSE 15 END + least(prim * 3, 12) - least(weak * 2, 8) - least(aggregators * 3, 12) + CASE WHEN prim > 0 THEN 8 ELSE 0 END)), 1)::DOUBLE AS source_quality_score,
     (100.0 - least(missing_count * 3, 60) - least(blocking_count * 10, 40))::DOUBLE AS completeness_score,
-    least(CASE WHEN instrument % 17 = 0 THEN 25 ELSE 0 END + CASE WHEN instrument % 13 = 0 THEN 20 ELSE 0 END + CASE WHEN points < 30 THEN 8 ELSE 0 END + least(warnings, 5), 40)::DOUBLE AS risk_penalty
+    least(CASE WHEN instrument % 17 = 0 THEN 25 ELSE 0 END + CASE WHEN instrument % 13 = 0 THEN 20 ELSE 0 END + CASE WHEN points < 30 THEN 8 ELSE 0 END + CASE WHEN gross_margin IS NULL THEN 8 ELSE 0 END + CASE WHEN events = 0 THEN 5 ELSE 0 END + CASE WHEN s_acctbal < 0 THEN 4 ELSE 0 END + least(warnings, 5), 40)::DOUBLE AS risk_penalty
   FROM signals
 ), candidates AS (
   SELECT *, round(round(greatest(0.0, least(100.0, momentum_score * 0.30::DOUBLE + catalyst_score * 0.25::DOUBLE + fundamentals_score * 0.20::DOUBLE + source_quality_score * 0.15::DOUBLE + completeness_score * 0.10::DOUBLE - risk_penalty)), 6), 1) AS candidate_score FROM scored
 ), graded AS (
-  SELECT *, CASE WHEN momentum_score = 0 AND fundamentals_score = 0 THEN 'data_insufficient' WHEN candidate_score >= 65 THEN 'strong' WHEN candidate_score >= 40 THEN 'moderate' ELSE 'weak' END AS grade FROM candidates
+  SELECT *, CASE WHEN instrument % 17 = 0 OR instrument % 13 = 0 OR (gross_margin IS NULL AND points < 30 AND events = 0) THEN 'data_insufficient' WHEN candidate_score >= 65 THEN 'high_internal_interest' WHEN candidate_score >= 40 THEN 'medium_internal_interest' ELSE 'low_internal_interest' END AS grade FROM candidates
 )"""
 PEOPLE = "people AS (SELECT customer.*, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 NEWEST = "newest AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)"
@@ -90,6 +90,19 @@ def _hits(words: list[str], low: str = "low") -> str:
 
 _CLASSES = {"financial": ["revenue", "profit", "margin", "income"], "risk": ["risk", "worthless", "threat"], "business": ["market", "product", "blend"]}
 _HINTS = {"en": ["the", "and", "of", "to", "in", "is"], "fr": ["le", "la", "les", "des", "et", "que"], "de": ["der", "die", "und", "den", "von", "mit"], "es": ["el", "los", "las", "que", "por", "una"]}
+_VALUE = r"(?:[€£$]\s*\d[\d.,]{0,14}|\d[\d.,]{0,14}\s*(?:million|billion|thousand|m\b|bn\b|k\b)|\d[\d.,]{0,14}\s*%)"
+
+
+def _relevance(text: str) -> str:
+    found = "(" + " + ".join(f"regexp_matches({text}, '(?i)\\b{label}[^\\n.;]{{0,60}}?{_VALUE}')::INT" for label in ("revenues?", "operating profit", "net income", "margin", "cash flow", "total assets")) + ")"
+    low = f"(' ' || lower({text}) || ' ')"
+    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    score = rf"""({_hits([w for ws in _CLASSES.values() for w in ws], low)} + 6 * {found} + CASE WHEN {found} > 0 AND regexp_matches({text}, '(?i)\b(?:segment|division|business unit|region)\b') THEN 3 ELSE 0 END
+        + CASE WHEN regexp_matches({text}, '(?i)\b(?:financial highlights|income statement|cash flow statement|balance sheet|financial review)\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches({text}, '(?i)\b(?:FY ?20\d\d|(?:19|20)\d\d|(?:six|nine|three) months? ended|year ended|for the year)\b') THEN 1 ELSE 0 END)"""
+    listed = rf"len(list_filter({lines}, lambda x: regexp_full_match(x, '.{{1,70}}?\s+\d{{1,4}}|\d{{1,3}}\.\s+\S.*|\d{{1,4}}')))"
+    return f"CASE WHEN len({lines}) >= 4 AND {listed} >= 0.6 * len({lines}) THEN greatest({score} - 8, 0) ELSE {score} END"
+
+
 _DOCS = "docs AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents)"
 _NORMAL_URL = r"""rtrim(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) || substr(bare, length(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) + 1), '/')"""
 _URLS = rf"""cut AS (SELECT page_id, url, split_part(trim(url), '#', 1) AS u FROM pages
@@ -165,7 +178,7 @@ SQL = {
                CASE WHEN s_acctbal > 1000 THEN round(cap / s_acctbal, 2) WHEN s_acctbal / 100 > 0 THEN round(close / (s_acctbal / 100), 2) END AS pe_ratio FROM m""",
     "staleness": f"WITH {FACTS} SELECT entity, max(fy) AS fy, max(fy) < 2002 AS stale_signal, max(fy) < 2001 AS stale_normaliser FROM facts GROUP BY entity",
     "component_scores": f"WITH {SCORED} SELECT instrument, momentum_score, catalyst_score, fundamentals_score, source_quality, source_quality_score, completeness_score, risk_penalty FROM scored",
-    "candidate_score": f"""WITH {SCORED} SELECT instrument, candidate_score, grade, array_to_string(list_filter([CASE WHEN momentum_score >= 60 THEN 'momentum' END, CASE WHEN catalyst_score >= 60 THEN 'catalyst' END, CASE WHEN fundamentals_score >= 60 THEN 'fundamentals' END, CASE WHEN risk_penalty >= 15 THEN 'risk' END], lambda x: x IS NOT NULL), ',') AS labels FROM graded""",
+    "candidate_score": f"""WITH {SCORED} SELECT instrument, candidate_score, grade, array_to_string(list_filter(['internal_research_candidate', 'needs_human_review', CASE WHEN momentum_label = 'positive' THEN 'positive_momentum_candidate' END, CASE WHEN coverage_status IN ('strong', 'adequate') OR events >= 3 THEN 'catalyst_rich_candidate' END, CASE WHEN gross_margin IS NOT NULL THEN 'fundamentals_available' END, CASE WHEN instrument % 17 = 0 OR instrument % 13 = 0 OR missing_count >= 8 THEN 'data_sparse' END, CASE WHEN grade = 'data_insufficient' THEN 'research_incomplete' END], lambda x: x IS NOT NULL), ',') AS labels FROM graded""",
     "combined_score": f"""WITH {SCORED}, c AS (SELECT *, round(round(greatest(0.0, least(100.0, least(s_acctbal / 100, 100.0) * 0.45::DOUBLE + candidate_score * 0.35::DOUBLE + catalyst_score * 0.10::DOUBLE + source_quality_score * 0.10::DOUBLE - least(missing_count * 1.5::DOUBLE, 15))), 6), 1) AS combined_score FROM graded)
         SELECT instrument, combined_score, CASE WHEN grade = 'data_insufficient' THEN 'insufficient_data' WHEN combined_score >= 65 THEN 'high' WHEN combined_score >= 40 THEN 'medium' WHEN combined_score >= 20 THEN 'low' ELSE 'watch' END AS interest_label FROM c""",
     "scorecard": f"""WITH a AS (SELECT p_partkey, p_size % 6 + 1 AS tier, p_partkey % 11 = 0 AS mock, greatest(0, least(100, trunc(round({_CARD}, 6)) - trunc(round(p_size * 0.2::DOUBLE, 6)))) AS t FROM part),
@@ -227,10 +240,11 @@ SQL = {
     "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "prefix_dedup": "SELECT min(doc_id) AS doc_id, md5(p) AS prefix_md5, count(*) AS copies FROM (SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 160) AS p FROM documents WHERE text IS NOT NULL) GROUP BY p",
     "keyword_theme_match": f"WITH {_DOCS} SELECT doc_id, array_to_string(list_filter([CASE WHEN {_hits(['energy', 'grid', 'solar'])} > 0 THEN 'energy' END, CASE WHEN {_hits(['defence', 'shield', 'guard'])} > 0 THEN 'defence' END, CASE WHEN {_hits(['growth', 'expand', 'rising'])} > 0 THEN 'growth' END, CASE WHEN {_hits(['the', 'and', 'for'])} > 0 THEN 'trade' END], lambda x: x IS NOT NULL), ',') AS themes FROM docs",
-    "text_classify": f"WITH {_DOCS}, c AS (SELECT doc_id, {', '.join(f'{_hits(w)} AS {n}' for n, w in _CLASSES.items())} FROM docs), m AS (SELECT *, greatest({', '.join(_CLASSES)}) AS most FROM c) SELECT doc_id, CASE WHEN most = 0 THEN 'general' {' '.join(f'''WHEN {n} = most THEN '{n}' ''' for n in _CLASSES)} END AS class FROM m",
-    "relevance_score": rf"""WITH {_DOCS} SELECT doc_id, CAST({_hits([w for ws in _CLASSES.values() for w in ws])} + 6 * least(len(regexp_extract_all(text, '\d[\d.,]*\s*(?:%|million|bn)')), 3) + CASE WHEN length(text) > 400 THEN 2 ELSE 0 END - CASE WHEN regexp_matches(low, 'all rights reserved|licen[cs]ed under|cookie|copyright') THEN 8 ELSE 0 END AS INTEGER) AS relevance FROM docs""",
-    "language_detect": rf"""WITH d AS (SELECT doc_id, text, ' ' || regexp_replace(lower(substr(text, 1, 4000)), '[\s.,;:!?]+', ' ', 'g') || ' ' AS low FROM documents), c AS (SELECT doc_id, text, {', '.join(f"{_hits([f' {w} ' for w in ws])} AS {n}" for n, ws in _HINTS.items())} FROM d), m AS (SELECT *, greatest(en, fr, de, es) AS most FROM c)
-        SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 40 OR most < 3 THEN 'inconclusive' WHEN en = most THEN 'en' WHEN fr = most THEN 'fr' WHEN de = most THEN 'de' ELSE 'es' END AS language FROM m""",
+    "text_classify": f"WITH {_DOCS}, c AS (SELECT doc_id, {', '.join(f'{_hits(w)} AS {n}' for n, w in _CLASSES.items())} FROM docs) SELECT doc_id, CASE WHEN financial >= 1 AND financial >= risk THEN 'financial' WHEN risk >= 1 THEN 'risk' WHEN business >= 1 THEN 'business' ELSE 'general' END AS class FROM c",
+    "relevance_score": f"WITH {_DOCS} SELECT doc_id, CAST({_relevance('text')} AS INTEGER) AS relevance FROM docs",
+    "language_detect": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang END AS hint, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS bare FROM documents), w AS (SELECT doc_id, hint, bare, ' ' || lower(substr(bare, 1, 4000)) || ' ' AS low FROM d), c AS (SELECT doc_id, hint, bare, {', '.join(f"{_hits([f' {w} ' for w in ws])} AS {n}" for n, ws in _HINTS.items())} FROM w), m AS (SELECT *, greatest(en, fr, de, es) AS most FROM c
+        ), t AS (SELECT *, CASE WHEN length(bare) < 40 OR most < 3 THEN NULL WHEN en = most THEN 'en' WHEN fr = most THEN 'fr' WHEN de = most THEN 'de' ELSE 'es' END AS told FROM m)
+        SELECT doc_id, coalesce(told, CASE WHEN hint IN ('fr', 'de', 'es') THEN hint END, 'en') AS language, told IS NOT NULL AS content_based FROM t""",
     "safety_scan": f"WITH {_DOCS}, n AS (SELECT doc_id, text, {_neutral('text')} AS clean FROM docs) SELECT doc_id, {_scan('text')} AS hits, {_scan('clean')} AS hits_after FROM n",
     "neutralize_text": f"SELECT conv_id, turn, md5({_neutral('''coalesce(text, '')''')}) AS text_md5 FROM conversations",
     "year_infer": r"WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\b(?:199\d|20\d\d)\b'), lambda y: CAST(y AS INTEGER)) AS ys FROM documents) SELECT doc_id, list_max(ys) AS year FROM d",

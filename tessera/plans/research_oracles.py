@@ -1,10 +1,10 @@
 """SQL for research_queries."""
 
-from tessera.plans.oracles import _CLASSES, FACTS, FEED, PRICES, TREND, _hits
+from tessera.plans.oracles import _CLASSES, FACTS, FEED, PRICES, TREND, _hits, _relevance
 
 _D = "docs AS (SELECT doc_id, source, lower(substr(coalesce(text, ''), 1, 300)) AS t FROM documents)"
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
-_RELEVANCE = rf"""{_hits([w for ws in _CLASSES.values() for w in ws])} + 6 * least(len(regexp_extract_all(text, '\d[\d.,]*\s*(?:%|million|bn)')), 3) + CASE WHEN length(text) > 400 THEN 2 ELSE 0 END - CASE WHEN regexp_matches(low, 'all rights reserved|licen[cs]ed under|cookie|copyright') THEN 8 ELSE 0 END"""
+_RELEVANCE = _relevance("text")
 
 SQL = {
     "price_csv_scan": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, 1.5::DOUBLE AS open, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS DOUBLE) AS low, o_totalprice AS close, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS volume
@@ -33,7 +33,15 @@ SQL = {
     "news_relevance": f"""WITH {_D}, s AS (SELECT doc_id, CASE WHEN contains(t, 'worthless') THEN 0.0::DOUBLE ELSE round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN contains(t, 'thereness') OR contains(t, ' les ') THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN contains(t, ' the ') THEN 0.4::DOUBLE WHEN contains(t, ' und ') THEN 0.25::DOUBLE ELSE 0 END
           + CASE doc_id % 3 + 1 WHEN 1 THEN 0.15::DOUBLE WHEN 2 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN doc_id % 40 >= 30 THEN 0 WHEN doc_id % 40 <= 14 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END + CASE WHEN contains(t, 'tion') THEN 0.05::DOUBLE ELSE 0 END - CASE WHEN source = 'src1' THEN 0.1::DOUBLE ELSE 0 END)), 6), 2) END AS score FROM docs)
         SELECT doc_id, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' WHEN score >= 0.2 THEN 'low' ELSE 'irrelevant' END AS level FROM s""",
-    "evidence_categories": """SELECT role, CASE WHEN role = 'system' THEN 'company_identity' WHEN turn % 3 = 0 AND conv_id % 6 + 1 <= 2 THEN 'financial_fact' WHEN turn % 3 = 0 THEN 'financial_summary' WHEN role = 'user' THEN 'material_news' WHEN conv_id % 6 + 1 >= 5 THEN 'low_tier_news' ELSE 'source_reference' END AS category, count(*) AS n FROM conversations GROUP BY 1, 2""",
+    "evidence_categories": """WITH k AS (
+          SELECT role, CASE WHEN role = 'system' THEN 'metadata_only' ELSE '' END AS quality, conv_id % 6 + 1 AS tier, turn % 7 = 0 AS ratio, turn % 5 = 0 AS catalyst,
+                 coalesce(['sec_financial_statement', 'company_filing', 'company_ir_financial_fact', 'derived_financial_metric', 'market_metric', 'financial_data_summary', 'company_ir_statement_excerpt', 'company_ir_annual_report_text', 'own_excerpt', 'catalyst_event', 'market_news', 'press_release', 'website', NULL][length(coalesce(text, '')) % 14 + 1], '') AS st
+          FROM conversations)
+        SELECT role, CASE WHEN quality = 'metadata_only' THEN 'source_reference' WHEN st IN ('sec_financial_statement', 'company_filing', 'company_ir_financial_fact') THEN 'financial_fact' WHEN st IN ('derived_financial_metric', 'market_metric') OR ratio THEN 'price_trend_metric'
+            WHEN st = 'financial_data_summary' THEN 'financial_summary' WHEN st = 'company_ir_statement_excerpt' THEN 'statement_table_content' WHEN st LIKE '%excerpt%' OR st LIKE '%annual_report%' THEN 'primary_document'
+            WHEN catalyst OR st LIKE '%event%' OR st LIKE '%news%' THEN CASE WHEN tier = 1 OR st LIKE '%press%' THEN 'company_press' WHEN tier <= 2 THEN 'regulator_event' WHEN tier IN (3, 4) THEN 'material_news' ELSE 'low_tier_news' END
+            WHEN st LIKE '%press%' THEN 'company_press' ELSE 'source_reference' END AS category, count(*) AS n
+        FROM k GROUP BY 1, 2""",
     "catalyst_classify": """WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
         SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'results' WHEN doc_id % 7 = 0 THEN 'management' WHEN doc_id % 4 = 0 THEN 'annual_report' WHEN doc_id % 9 = 0 THEN 'interim_report' WHEN regexp_matches(t, 'order|contract') THEN 'contract' WHEN regexp_matches(t, 'result|revenue') THEN 'results' WHEN regexp_matches(t, 'the|and') THEN 'general' ELSE 'other' END AS category,
                CASE WHEN regexp_matches(t, 'worthless|threat|loss') THEN 'negative' WHEN regexp_matches(t, 'growth|rising|gain') THEN 'positive' ELSE 'neutral' END AS direction FROM d""",
@@ -94,7 +102,7 @@ SQL = {
     "report_join": "SELECT c_nationkey, o_orderkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "excerpt_ranking": rf"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n+')) AS raw, generate_subscripts(regexp_split_to_array(text, '\n+'), 1) - 1 AS block_no FROM documents), b AS (SELECT doc_id, block_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text FROM p), l AS (SELECT *, lower(text) AS low FROM b WHERE length(text) >= 40),
         c AS (SELECT doc_id, block_no, text, {_RELEVANCE} AS relevance, {', '.join(f'{_hits(w)} AS {n}' for n, w in _CLASSES.items())} FROM l),
-        k AS (SELECT doc_id, block_no, relevance, CASE WHEN greatest(financial, risk, business) = 0 THEN 'general' WHEN financial = greatest(financial, risk, business) THEN 'financial' WHEN risk = greatest(financial, risk, business) THEN 'risk' ELSE 'business' END AS kind,
+        k AS (SELECT doc_id, block_no, relevance, CASE WHEN financial >= 1 AND financial >= risk THEN 'financial' WHEN risk >= 1 THEN 'risk' WHEN business >= 1 THEN 'business' ELSE 'general' END AS kind,
                substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 160) AS beg, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) = 1 AS lead FROM c),
         d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, beg ORDER BY lead DESC, relevance DESC, block_no) = 1), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lead, kind ORDER BY relevance DESC, block_no) AS rnd FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lead DESC, rnd, relevance DESC, block_no) AS place FROM r)
         SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, CAST(relevance AS INTEGER) AS relevance, kind, lead, CAST(place AS INTEGER) AS place FROM o WHERE place <= 8""",

@@ -147,8 +147,12 @@ def news_relevance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def evidence_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as evidence; their texts' lengths choose among source types, role and turn give quality and tier."""
     c = table(spark, sf, "conversations")
-    x = c.select("role", RS.evidence_category(F.col("role"), F.col("conv_id") % 6 + 1, F.col("turn") % 3 == 0).alias("category"))
+    kinds = [*RS.FACT_TYPES, *RS.TREND_TYPES[:2], "financial_data_summary", "company_ir_statement_excerpt", RS.DOCUMENT_TYPES[0], "own_excerpt", "catalyst_event", "Market_News ", "press_release", "website", None]
+    kind = F.element_at(F.array(*[F.lit(k).cast("string") for k in kinds]), (F.length(F.coalesce("text", F.lit(""))) % len(kinds) + 1).cast("int"))
+    fields = F.array_compact(F.array(F.when(F.col("turn") % 7 == 0, "pe_ratio"), F.when(F.col("turn") % 5 == 0, "catalyst"), F.lit("revenue")))
+    x = c.select("role", RS.evidence_category(F.when(F.col("role") == "system", "Metadata_only"), kind, F.col("conv_id") % 6 + 1, fields).alias("category"))
     return x.groupBy("role", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -343,7 +347,7 @@ def price_provenance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def excerpt_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    b = D.paragraphs(table(spark, sf, "documents"), "doc_id", "text").withColumn("relevance", D.relevance(F.col("block"))).withColumn("kind", T.classify(F.col("block"), D.CLASSES))
+    b = D.paragraphs(table(spark, sf, "documents"), "doc_id", "text").withColumn("relevance", D.relevance(F.col("block"))).withColumn("kind", T.classify(F.col("block"), **D.CLASSES))
     return PK.excerpts(b, "doc_id", "block_no", "block", "relevance", "kind").select("doc_id", "block_no", "relevance", "kind", "lead", "place")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +95,62 @@ def envelope(df: DataFrame, keys: list[str], text: str, items: str, chars: int,
     """Text cut to `chars`, lists to `most` with the number left out, as JSON."""
     s = F.struct(F.substring(text, 1, chars).alias("text"), F.slice(items, 1, most).alias("items"), F.greatest(F.size(items) - most, F.lit(0)).alias("omitted"))
     return df.select(*keys, F.to_json(s).alias("envelope"))
+
+
+STATEMENT_JSON = "struct<General:struct<Code:string,Sector:string>,Highlights:struct<MarketCapitalization:string,PERatio:string>,Financials:struct<Income_Statement:struct<yearly:map<string,struct<date:string,totalRevenue:string,grossProfit:string>>>>>"
+
+
+def vendor_statements(payloads: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """field_name, value, unit of a nested fundamentals document: highlights, and the latest yearly statement; money in millions."""
+    d = payloads.select(*keys, F.from_json(F.col(payload), STATEMENT_JSON).alias("d"))
+    years = F.col("d.Financials.Income_Statement.yearly")
+    d = d.withColumn("last", F.array_max(F.map_keys(years))).withColumn("s", F.element_at(years, F.col("last")))
+    date = F.coalesce(F.col("s.date"), F.col("last"))
+    mln = lambda c: F.round(safe_number(F.col(c)) / 1e6, 4)
+    points = [
+        (F.lit("market_cap_mln"), mln("d.Highlights.MarketCapitalization"), "USD_m"), (F.lit("pe_ratio"), safe_number(F.col("d.Highlights.PERatio")), "ratio"),
+        (F.concat(F.lit("income_statement."), date, F.lit(".total_revenue_mln")), mln("s.totalRevenue"), "USD_m"), (F.concat(F.lit("income_statement."), date, F.lit(".gross_profit_mln")), mln("s.grossProfit"), "USD_m"),
+    ]
+    return d.select(*keys, F.inline(F.array(*[F.struct(n.alias("field_name"), v.alias("value"), F.lit(u).alias("unit")) for n, v, u in points]))).filter("value IS NOT NULL AND field_name IS NOT NULL")
+
+
+def news_json(payloads: DataFrame, keys: list[str], payload: str, tiers: dict[str, int], other: int = 5) -> DataFrame:
+    """Articles of a payload, a list or an object that holds one under any of the usual names; items without a headline are left out.
+    A known media domain gives its tier, everything else is an aggregator's."""
+    raw = F.col(payload)
+    lists = [F.get_json_object(raw, f"$.{k}") for k in ("articles", "results", "data", "items", "news")]
+    found = F.coalesce(F.when(F.ltrim(raw).startswith("["), raw), *[F.when(F.ltrim(x).startswith("["), x) for x in lists])
+    rows = payloads.select(*keys, F.posexplode(F.from_json(found, "array<string>")).alias("n", "a"))
+    get = lambda *names: F.coalesce(*[F.nullif(F.get_json_object("a", f"$.{k}"), F.lit("")) for k in names])
+    source = F.coalesce(F.get_json_object("a", "$.source.name"), F.when(~F.get_json_object("a", "$.source").startswith("{"), F.get_json_object("a", "$.source")), F.get_json_object("a", "$.publisher"))
+    rows = rows.select(*keys, "n", get("title", "headline", "name").alias("headline"), get("url", "link").alias("url"), get("publishedAt", "published_at", "date", "seendate").alias("published_at"), source.alias("source_name"), get("description", "summary").alias("summary"))
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), r"^www\.", "")
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv]), host)
+    return rows.filter("headline IS NOT NULL").withColumn("source_tier", F.coalesce(known, F.lit(other)))
+
+
+def balanced_slice(text: Column) -> Column:
+    """From the first { or [ to its match, strings and escapes aside; null without one. A helper over Arrow batches: brackets nest."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            start = min((i for i in (t.find("{"), t.find("[")) if i >= 0), default=-1) if t else -1
+            depth, quoted, escaped = 0, False, False
+            for i in range(start, len(t)) if start >= 0 else ():
+                c = t[i]
+                if quoted:
+                    quoted, escaped = escaped or c != '"', not escaped and c == "\\"
+                elif c == '"':
+                    quoted = True
+                elif c in "{[":
+                    depth += 1
+                elif c in "}]":
+                    depth -= 1
+                    if not depth:
+                        return t[start : i + 1]
+            return None
+
+        return texts.map(one)
+
+    return cut(text)

@@ -210,3 +210,60 @@ def test_names(spark):
     assert value(spark, RS.names_match(F.lit("Acme Inc"), F.lit("ACME Holding AG"))) and not value(spark, RS.names_match(F.lit("Acme"), F.lit("Bolt")))
     assert value(spark, RS.placeholder_name(F.lit("aapl.us"), F.lit("AAPL"))) and value(spark, RS.placeholder_name(F.lit(None).cast("string"), F.lit("X")))
     assert value(spark, RS.json_from_text(F.lit('a ```json\n{"k": 1}\n``` b'))) == '{"k": 1}' and value(spark, RS.json_from_text(F.lit("none"))) is None
+
+
+def test_insert_rows_twice_adds_nothing(spark, tmp_path):
+    from tessera.sources.sinks import insert_rows
+
+    path = str(tmp_path / "rows")
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "id long, v string")
+    insert_rows(rows, path, ["id"])
+    insert_rows(rows.union(spark.createDataFrame([(3, "c")], "id long, v string")), path, ["id"])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_risk_grade_and_labels_follow_the_signal(spark):
+    from pyspark.sql import functions as F
+    from tessera.operators import scoring as R
+
+    rows = [("failed", True, False, True, True, 9, 0, 90.0), ("bare", False, False, False, False, 0, 9, 90.0), ("good", False, False, True, True, 4, 0, 90.0), ("some", False, False, True, False, 0, 8, 60.0)]
+    x = spark.createDataFrame(rows, "name string, failed boolean, mock boolean, has_facts boolean, has_prices boolean, events int, missing_count int, s double")
+    x = x.withColumns({c: F.col("s") for c in R.CANDIDATE_WEIGHTS}).withColumn("risk_penalty", F.lit(5.0)).withColumn("momentum_label", F.lit("positive")).withColumn("coverage_status", F.lit("limited"))
+    got = {r.name: (r.candidate_score, r.grade, r.labels.split(",")[2:]) for r in R.candidate(x).collect()}
+    assert got["failed"] == (85.0, "data_insufficient", ["positive_momentum_candidate", "catalyst_rich_candidate", "fundamentals_available", "data_sparse", "research_incomplete"])
+    assert got["bare"] == (85.0, "data_insufficient", ["positive_momentum_candidate", "data_sparse", "research_incomplete"])
+    assert got["good"] == (85.0, "high_internal_interest", ["positive_momentum_candidate", "catalyst_rich_candidate", "fundamentals_available"])
+    assert got["some"][1:] == ("medium_internal_interest", ["positive_momentum_candidate", "fundamentals_available", "data_sparse"])
+
+
+def test_source_and_catalyst_scores(spark):
+    from pyspark.sql import functions as F
+    from tessera.operators import scoring as R
+
+    rows = [("medium", 5, 5, 5, False, "strong"), ("odd", 1, 0, 1, True, "odd"), (None, 0, 0, 0, False, None), ("strong", 1, 1, 0, True, "stale")]
+    x = spark.createDataFrame(rows, "overall string, strong int, weak int, agg int, first boolean, coverage string")
+    got = [(r.q, r.c) for r in x.select(R.source_quality(F.col("overall"), "strong", "weak", "agg", F.col("first")).alias("q"), R.catalyst("coverage", "strong", "weak", "agg", "agg", "weak", "weak").alias("c")).collect()]
+    # 55+12-8-12; 25+3-3+8; 15; 80+3-2+8, and 75+10+12+12+8-8-6 (clamped); 10+2+3+2; 5; 20+2+4-2-2
+    assert got == [(47.0, 100.0), (33.0, 17.0), (15.0, 5.0), (89.0, 22.0)]
+
+
+def test_text_classes_and_language_fallbacks(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions import text as T
+    from tessera.operators import documents as D
+
+    texts = ["profit at risk", "risk and threat to profit", "product", "product risk", "nothing"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.classify(F.col("t"), **D.CLASSES)).collect()]
+    assert got == ["financial", "risk", "business", "risk", "general"]
+    rows = [("the cat and the dog went to the river in the end", "FR", "en", True), ("short", "de-AT", "de", False), (None, "xx", "en", False), ("le chat et les chiens que la dame des bois a vus, et la fin", None, "fr", True), ("  \n", "fr", "fr", False)]
+    x = spark.createDataFrame(rows, "t string, hint string, want string, told boolean").withColumn("content", T.language(F.col("t"), D.HINTS))
+    code, told = T.language_or_hint(F.col("content"), F.col("hint"), ["fr", "de", "es"])
+    assert all(r[0] == r[2] and r[1] == r[3] for r in x.select(code, told, "want", "told").collect())
+
+
+def test_labelled_facts_stay_in_their_clause(spark):
+    from tessera.operators import documents as D
+
+    texts = ["Revenue rose 5%", "Revenue rose by 5% to $1,200.5 million", "revenue fell; profit of 3 million", "Revenue for 2003 was 7 billion", "revenue but costs of 9 million", "Margin of 4.5%", "revenue was 12.5%"]
+    got = D.labelled_facts(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), ["id"], "t", {"revenue": "revenue"}, {"margin": "margin"}).collect()
+    assert sorted((r.id, r.label, r.value, r.scale) for r in got) == [(1, "revenue", 1200.5, "million"), (3, "revenue", 7.0, "billion"), (5, "margin", 4.5, None)]
