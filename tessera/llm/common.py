@@ -6,12 +6,14 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RID = "__tessera_row"
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH = "4m"
+MOST_FILES = 200_000  # rows of the broadcast table of files, of some hundred bytes each
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,8 +82,21 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def kept_numbers(df: DataFrame, name: str = "numbered") -> DataFrame:
-    """df with RID, written once, so that all later scans have the same numbers."""
-    return df if RID in df.columns else stored(numbered(df), name, "zstd")
+    """df with RID, the same in all later scans. A scan of Parquet files gets it from file and place in the file, which don't depend on
+    splits, while the files' numbers are few enough to broadcast (MOST_FILES); anything else is written once with its numbers."""
+    if RID in df.columns:
+        return df
+    try:
+        path, place = (df.metadataColumn("_metadata").getField(f) for f in ("file_path", "row_index"))
+        files = df.select(path.alias("__tessera_file")).distinct()
+        known = files.limit(MOST_FILES + 1).count()
+    except (AnalysisException, IllegalArgumentException):  # not a scan of Parquet files
+        known = 0
+    if not 0 < known <= MOST_FILES:
+        return stored(numbered(df), name, "zstd")
+    files = stored(files.withColumn("__tessera_number", F.row_number().over(Window.orderBy("__tessera_file"))), "files")
+    placed = df.select("*", path.alias("__tessera_file"), place.alias("__tessera_place")).join(F.broadcast(files), "__tessera_file")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft(F.col("__tessera_number").cast("long"), 40) + F.col("__tessera_place")).alias(RID))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Decisions meet their rows, also when the input's splits change between two scans, as they do when executors come and go."""
 
 import pytest
-from tessera.llm import exact_dedup, language, mixing, pii, simhash, warc
+from tessera.llm import common, exact_dedup, language, mixing, pii, simhash, warc
 
 OPEN_COST = "spark.sql.files.openCostInBytes"
 
@@ -42,3 +42,25 @@ def test_other_splits_while_archives_are_written(spark, files, monkeypatch):
 
     monkeypatch.setattr(warc, "stored", stored)
     assert sorted(map(repr, warc.round_trip(pages()).collect())) == want
+
+
+def test_scans_of_files_are_numbered_without_a_copy(spark, files):
+    def held(df):
+        return sorted((r.doc_id, r.text or "", r[common.RID]) for r in df.collect())
+
+    docs = common.kept_numbers(spark.read.parquet(files))
+    want = held(docs)
+    assert len({r[2] for r in want}) == len(want) and docs.columns[:-1] == spark.read.parquet(files).columns
+    assert {f.rsplit("/", 1)[0] for f in docs.inputFiles()} != {f.rsplit("/", 1)[0] for f in common.kept_numbers(spark.range(3).toDF("doc_id")).inputFiles()}
+    assert any("/docs/" in f for f in docs.inputFiles())
+    spark.conf.set(OPEN_COST, "128m")
+    assert held(common.kept_numbers(spark.read.parquet(files))) == want
+
+
+def test_a_cluster_needs_the_shared_folder(spark, monkeypatch):
+    import types
+
+    fake = lambda master: types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *a: None), sparkContext=types.SimpleNamespace(master=master, applicationId="app"), _jvm=spark._jvm, _jsc=spark._jsc)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(fake("spark://host:7077"))
+    assert common.shared_folder(fake("local[2]")) == common.shared_folder(fake("local[2]")) and "tessera-" in common.shared_folder(fake("local[2]"))
