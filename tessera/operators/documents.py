@@ -78,6 +78,22 @@ def forbidden(text: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, p in FORBIDDEN.items()])), ",")
 
 
+def safety(text: Column) -> dict[str, Column]:
+    """Hits, and hits_after neutralising. One pass finds the texts that have any; only those are scanned by tier and rewritten, once."""
+    any_hit = text.rlike("|".join(f"(?:{p})" for p in FORBIDDEN.values()))
+    after = F.get(F.transform(F.array(neutralize(text)), forbidden), 0)  # a lambda's variable holds the rewritten text
+    return {"hits": F.when(any_hit, forbidden(text)).otherwise(""), "hits_after": F.when(any_hit, after).otherwise("")}
+
+
+def safety_hits(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """Tier, term and matched text of every hit, one for each rating token and phrase, and the first rating in context."""
+    terms = [("rating", t, rf"\b({t})\b") for t in ("BUY", "SELL", "HOLD")] + [("rating_in_context", None, f"({FORBIDDEN['rating_in_context']})")] + [("phrase", t, rf"(?i)({t})") for t in ("price target", "guaranteed return", "worthless")]
+    hit = lambda p: F.nullif(F.regexp_extract(text_col, p, 1), F.lit(""))
+    found = F.array(*[F.struct(F.lit(tier).alias("tier"), (F.lit(term) if term else F.trim(hit(p))).alias("term"), hit(p).alias("matched_text")) for tier, term, p in terms])
+    rows = df.filter(F.col(text_col).rlike("|".join(f"(?:{p})" for p in FORBIDDEN.values())))
+    return rows.select(*keys, F.inline(found)).filter("matched_text IS NOT NULL")
+
+
 def neutralize(text: Column, passes: int = 2) -> Column:
     """Ordered replacements, again and again, so that the scan finds nothing."""
     for _ in range(passes):

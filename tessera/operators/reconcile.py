@@ -26,6 +26,14 @@ def subtotals(rows: DataFrame, keys: list[str], total: str, parts: list[str], sh
     return rows.select(*keys, F.round(expected, 2).alias("expected"), F.col(total).alias("reported"), F.when(expected.isNull() | F.col(total).isNull(), "not_checked").when(off, "demoted").otherwise("consistent").alias("check"))
 
 
+def balance_identity(rows: DataFrame, keys: list[str], assets: str, liabilities: str, equity: str, share: float = 0.01, least: float = 0.5) -> DataFrame:
+    """V5: assets against liabilities and equity. With all three there, a difference beyond the tolerance makes all of them excerpts, since
+    it can't be told which is wrong; with one missing nothing is judged."""
+    total = F.col(liabilities) + F.col(equity)
+    off = F.abs(F.col(assets) - total) > F.greatest(F.abs(assets) * share, F.lit(least))
+    return rows.select(*keys, F.when(off.isNull(), "not_checked").when(off, "excerpt_only").otherwise("consistent").alias("identity"))
+
+
 def semantic_key(*parts: str, value: str):
     """D3: parts in lower case and the value to four places, so that equal facts have equal keys."""
     return F.concat_ws("|", *[F.lower(F.coalesce(F.col(p).cast("string"), F.lit(""))) for p in parts], F.format_number(F.col(value), 4))

@@ -92,23 +92,26 @@ def mixed_scopes(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return agg.withColumn("violation", (F.col("numbers") >= 2) & ((F.col("scopes") > 1) | (F.col("periods") > 1)))
 
 
-def category_budget(df: DataFrame, key: str, order: str, category: str, caps: dict[str, int], shared: dict[str, int], floors: dict[str, int], most: int) -> DataFrame:
-    """In order, first the floor of every category, then the rest, under caps of categories, a cap that several categories share and a total.
+def category_budget(df: DataFrame, key: str, order: str, category: str, caps: dict[str, int], shared: list[tuple[list[str], int]], floors: dict[str, int], most: int) -> DataFrame:
+    """In order, first the floor of every category, then the rest, under caps of categories, caps that several categories share
+    (pairs of members and cap; a category may be in several) and a total.
 
-    The shared cap makes choices depend on earlier ones, so one key's (order, category) pairs are folded; everything else is windows.
+    A shared cap makes choices depend on earlier ones, so one key's (order, category) pairs are folded; everything else is windows.
     """
     w = Window.partitionBy(key, category).orderBy(order)
     lookup = lambda table, c, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(other))
     rows = df.withColumn("__n", F.row_number().over(w)).withColumn("reserved", F.col("__n") <= lookup(floors, F.col(category), 0)).filter(F.col("__n") <= lookup(caps, F.col(category), most))
     lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((~F.col("reserved")).alias("later"), F.col(order).cast("long").alias("o"), F.col(category).alias("c")))).alias("all"))
-    group = ",".join(shared)
-    limit = next(iter(shared.values()))
-    start = F.struct(F.lit(0).alias("shared"), F.array().cast("array<long>").alias("kept"))
+    count = lambda acc, i: F.get(acc.shared, F.lit(i))
+    start = F.struct(F.array(*[F.lit(0) for _ in shared]).cast("array<int>").alias("shared"), F.array().cast("array<long>").alias("kept"))
 
     def step(acc, x):
-        in_group = F.array_contains(F.split(F.lit(group), ","), x.c)
-        fits = (F.size(acc.kept) < most) & (~in_group | (acc.shared < limit))
-        return F.struct(F.when(fits & in_group, acc.shared + 1).otherwise(acc.shared).alias("shared"), F.when(fits, F.concat(acc.kept, F.array(x.o))).otherwise(acc.kept).alias("kept"))
+        inside = [x.c.isin(list(members)) for members, _ in shared]
+        fits = F.size(acc.kept) < most
+        for i, (_, cap) in enumerate(shared):
+            fits = fits & (~inside[i] | (count(acc, i) < cap))
+        counts = F.array(*[count(acc, i) + F.when(fits & inside[i], 1).otherwise(0) for i in range(len(shared))]).cast("array<int>")
+        return F.struct(counts.alias("shared"), F.when(fits, F.concat(acc.kept, F.array(x.o))).otherwise(acc.kept).alias("kept"))
 
     kept = lists.select(key, F.posexplode(F.aggregate("all", start, step, lambda acc: acc.kept)).alias("place", order))
     return df.join(kept, [key, order])

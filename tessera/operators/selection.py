@@ -16,15 +16,10 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
-
-
 def capped(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """T5: top k of each key with `cut`, whether more were there."""
-    w = Window.partitionBy(*keys)
-    out = df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("cut", F.count(F.lit(1)).over(w) > k)
-    return out.filter(F.col("rank") <= k)
+    """T5: top k of each key with `cut`, whether more were there. Only k + 1 rows of a key are ranked to the end."""
+    out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k + 1)
+    return out.withColumn("cut", F.max("rank").over(Window.partitionBy(*keys)) > k).filter(F.col("rank") <= k)
 
 
 def class_floor(df: DataFrame, key: str, cls: str, newest: list[Column], floor: int, most: int) -> DataFrame:
@@ -54,14 +49,16 @@ def budget(df: DataFrame, key: str, order: str, size: str, most: int, items: int
     """Rows of a key in `order` while their sizes fit in `most`; a row that doesn't fit is skipped, not the end;
     the first always stays. Survivors are numbered E1, E2, .... Whether a row fits depends on the earlier ones, so one key's
     (order, size) pairs are folded. What is used only grows, so of equal sizes the first rows are taken: more of a size than
-    fit, or than `items`, needn't be gathered, which bounds a key's list by the budget, whatever the key's rows.
+    fit, or than `items`, needn't be gathered, nor those over the budget but the first row of all, which bounds a key's list by the
+    budget, whatever the key's rows.
     """
     of_size = F.row_number().over(Window.partitionBy(key, size).orderBy(order))
     fits_at_most = F.when(F.col(size) > 0, F.lit(most) / F.col(size)).otherwise(float("inf"))
     pairs = df.withColumn("__n", of_size)
     if items is not None:
         pairs = pairs.filter(F.col("__n") <= items)
-    pairs = pairs.filter((F.col("__n") <= fits_at_most) | (F.col("__n") == 1))
+    firsts = df.groupBy(key).agg(F.min(order).alias("__first"))
+    pairs = pairs.join(firsts, key).filter((F.col("__n") <= fits_at_most) | (F.col(order) == F.col("__first")))
     lists = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("all"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
 

@@ -372,8 +372,8 @@ def class_floor_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def multi_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Opening words of documents that two sources share."""
-    d = table(spark, sf, "documents").filter("text IS NOT NULL").select("source", T.normalize_title(F.substring("text", 1, 60)).alias("title"))
+    """Whole normalised texts that two sources share, by their digest."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL").select("source", F.md5(T.normalize_title(F.col("text")).cast("binary")).alias("title"))
     return E.multi_source(d, F.col("title"), "source")
 
 
@@ -464,7 +464,7 @@ def paragraph_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def title_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.normalize_title(F.substring("text", 1, 200)).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", T.normalize_title(F.col("text")).alias("title")).select("doc_id", F.length("title").alias("n_chars"), F.md5(F.col("title").cast("binary")).alias("title_md5"))
 
 
 @query
@@ -508,7 +508,22 @@ def language_detect(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def safety_scan(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.select("doc_id", D.forbidden(F.col("text")).alias("hits"), D.forbidden(D.neutralize(F.col("text"))).alias("hits_after"))
+    return d.select("doc_id", *[c.alias(n) for n, c in D.safety(F.col("text")).items()])
+
+
+@query
+def safety_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term found in turns and documents, with tier, matched text and path."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.concat(F.lit("turns["), F.col("turn").cast("string"), F.lit("].text")).alias("path"), "text")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("text").alias("path"), F.concat_ws(" ", "text", F.when(F.col("doc_id") % 5 == 0, "We rated it a buy. SELL Now: Guaranteed Return")).alias("text"))
+    return D.safety_hits(turns.unionByName(docs), ["id", "path"], "text")
+
+
+@query
+def balance_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """V5: revenue as assets, gross less discounts as liabilities, and an equity that misses by up to 4 %."""
+    f = facts(spark, sf).select("entity", "fy", F.col("revenue").alias("assets"), (F.col("gross") * 0.5).alias("liabilities"), (F.col("revenue") * (1 + (F.col("fy") % 5) / 100) - F.col("gross") * 0.5).alias("equity"))
+    return RC.balance_identity(f, ["entity", "fy"], "assets", "liabilities", "equity")
 
 
 @query
@@ -534,7 +549,7 @@ def year_infer(spark: SparkSession, sf: str) -> DataFrame:
 def fact_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """V3, V4: unit prices of a part from two ways of return as methods."""
     li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("label"), F.col("l_linenumber").alias("scope"), F.col("l_returnflag").alias("method"), F.col("l_quantity").alias("value"), (F.lit(0.5) + F.col("l_discount") * 4).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
-    return RC.resolve(li, ["label", "scope"], "method", "value", "confidence", "tie", 0.3)
+    return RC.resolve(li, ["label", "scope"], "method", "value", "confidence", "tie")
 
 
 @query

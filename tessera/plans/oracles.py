@@ -210,7 +210,7 @@ SQL = {
     "coverage_status": f"WITH {FEED} {_coverage('entity')}",
     "class_floor_topk": f"""WITH {FEED}, a AS (SELECT *, row_number() OVER (PARTITION BY entity, event_class ORDER BY ts DESC, event_id DESC) <= 4 AS reserved FROM feed), b AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY reserved DESC, ts DESC, event_id DESC) AS p FROM a)
         SELECT entity, event_class, event_id, reserved, CAST(row_number() OVER (PARTITION BY entity ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM b WHERE p <= 12""",
-    "multi_source": "SELECT title_key, count(DISTINCT source) AS providers, count(*) AS items FROM (SELECT source, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT source) >= 2",
+    "multi_source": "SELECT title_key, count(DISTINCT source) AS providers, count(*) AS items FROM (SELECT source, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS title_key FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT source) >= 2",
     "news_dedup": f"WITH {FEED} SELECT event_id, entity, event_class, date, k, position FROM (SELECT *, min(event_id) OVER (PARTITION BY entity, event_class, date) AS position, row_number() OVER (PARTITION BY entity, event_class, date ORDER BY k ASC NULLS FIRST, event_id) AS n FROM feed) WHERE n = 1",
     "lookback_filters": f"WITH {FEED}, d AS (SELECT event_id, CASE WHEN event_class <> 'purchase' THEN date_diff('day', date, DATE '2024-01-31') END AS age FROM feed) SELECT event_id, age BETWEEN 0 AND 14 AS recent, coalesce(age BETWEEN -1 AND 14, TRUE) AS in_feed FROM d",
     "attempt_upsert": f"""WITH {FEED}, cur AS (SELECT entity, event_class, max(event_id) AS event_id, max_by(value, event_id) AS value FROM feed WHERE event_id % 2 = 0 GROUP BY 1, 2), inc AS (SELECT entity, event_class, max(event_id) AS event_id, max_by(value, event_id) AS value FROM feed WHERE event_id % 2 = 1 AND event_class IN ('view', 'click', 'purchase') GROUP BY 1, 2)
@@ -235,7 +235,7 @@ SQL = {
         SELECT page_id, count(*) AS blocks, CAST(sum(length(block)) AS BIGINT) AS chars FROM t WHERE length(block) >= 40 GROUP BY 1""",
     "paragraph_blocks": r"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n+')) AS raw, generate_subscripts(regexp_split_to_array(text, '\n+'), 1) - 1 AS block_no FROM documents), b AS (SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS block FROM p)
         SELECT doc_id, block_no, CAST(length(block) AS INTEGER) AS chars, md5(block) AS block_md5 FROM b WHERE length(block) >= 40""",
-    "title_normalize": "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents",
+    "title_normalize": "SELECT doc_id, CAST(length(title) AS INTEGER) AS n_chars, md5(title) AS title_md5 FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents)",
     "exact_dedup_sha1": "SELECT substr(sha1(lower(trim(text))), 1, 16) AS hash16, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "prefix_dedup": "SELECT min(doc_id) AS doc_id, md5(p) AS prefix_md5, count(*) AS copies FROM (SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 160) AS p FROM documents WHERE text IS NOT NULL) GROUP BY p",
@@ -246,6 +246,12 @@ SQL = {
         ), t AS (SELECT *, CASE WHEN length(bare) < 40 OR most < 3 THEN NULL WHEN en = most THEN 'en' WHEN fr = most THEN 'fr' WHEN de = most THEN 'de' ELSE 'es' END AS told FROM m)
         SELECT doc_id, coalesce(told, CASE WHEN hint IN ('fr', 'de', 'es') THEN hint END, 'en') AS language, told IS NOT NULL AS content_based FROM t""",
     "safety_scan": f"WITH {_DOCS}, n AS (SELECT doc_id, text, {_neutral('text')} AS clean FROM docs) SELECT doc_id, {_scan('text')} AS hits, {_scan('clean')} AS hits_after FROM n",
+    "safety_hits": r"""WITH t AS (SELECT conv_id AS id, 'turns[' || turn || '].text' AS path, text FROM conversations UNION ALL SELECT doc_id, 'text', concat_ws(' ', text, CASE WHEN doc_id % 5 = 0 THEN 'We rated it a buy. SELL Now: Guaranteed Return' END) FROM documents
+        ), c AS (SELECT *, regexp_extract(text, '(?i)\b(?:recommend|rated|rating)\b[^.!?]{0,40}\b(?:buy|sell|hold)\b') AS context FROM t
+        ), h AS (SELECT id, path, 'rating' AS tier, w AS term, regexp_extract(text, '\b' || w || '\b') AS matched_text FROM t, (SELECT unnest(['BUY', 'SELL', 'HOLD']) AS w)
+          UNION ALL SELECT id, path, 'rating_in_context', trim(context), context FROM c UNION ALL SELECT id, path, 'phrase', w, regexp_extract(text, '(?i)' || w) FROM t, (SELECT unnest(['price target', 'guaranteed return', 'worthless']) AS w))
+        SELECT * FROM h WHERE matched_text <> ''""",
+    "balance_identity": f"""WITH {FACTS} SELECT entity, fy, CASE WHEN gross IS NULL OR revenue IS NULL THEN 'not_checked' WHEN abs(revenue - (gross * 0.5::DOUBLE + (revenue * (1 + (fy % 5) / 100.0::DOUBLE) - gross * 0.5::DOUBLE))) > greatest(abs(revenue) * 0.01::DOUBLE, 0.5) THEN 'excerpt_only' ELSE 'consistent' END AS identity FROM facts""",
     "neutralize_text": f"SELECT conv_id, turn, md5({_neutral('''coalesce(text, '')''')}) AS text_md5 FROM conversations",
     "year_infer": r"WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\b(?:199\d|20\d\d)\b'), lambda y: CAST(y AS INTEGER)) AS ys FROM documents) SELECT doc_id, list_max(ys) AS year FROM d",
     "number_facts": r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\w.,])(\d[\d.,]*\d%?|\d%?)', 1)) AS raw FROM documents WHERE text IS NOT NULL),
@@ -257,7 +263,7 @@ SQL = {
     "fact_reconcile": """WITH c AS (SELECT l_partkey AS label, l_linenumber AS scope, l_returnflag AS method, l_quantity AS value, 0.5::DOUBLE + l_discount * 4 AS confidence, l_orderkey * 10 + l_linenumber AS tie FROM lineitem),
         b AS (SELECT *, row_number() OVER (PARTITION BY label, scope ORDER BY confidence DESC, tie ASC, value DESC, method DESC) AS r FROM c),
         g AS (SELECT label, scope, min(value) AS low, max(value) AS high, count(DISTINCT method) AS methods, count(*) AS n, max(confidence) FILTER (r = 1) AS conf, max(value) FILTER (r = 1) AS v FROM b GROUP BY 1, 2),
-        j AS (SELECT *, high - low <= greatest(greatest(abs(high), abs(low)) * 0.3::DOUBLE, 0.5) AS agree, least(1.0::DOUBLE, conf + CASE WHEN methods > 1 THEN 0.1::DOUBLE ELSE 0 END) AS boosted FROM g)
+        j AS (SELECT *, high - low <= greatest(greatest(abs(high), abs(low)) * 0.01::DOUBLE, 0.5) AS agree, least(1.0::DOUBLE, conf + CASE WHEN methods > 1 THEN 0.1::DOUBLE ELSE 0 END) AS boosted FROM g)
         SELECT label, scope, n, methods, CASE WHEN NOT agree AND methods > 1 THEN 'rejected' WHEN NOT agree OR boosted < 0.6 THEN 'excerpt_only' ELSE 'validated' END AS validation, CASE WHEN agree THEN v END AS value, CASE WHEN agree THEN round(boosted, 4) END AS confidence FROM j""",
     "subtotal_check": """WITH l AS (SELECT l_orderkey, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS e FROM lineitem GROUP BY 1)
         SELECT o_orderkey AS l_orderkey, round(e, 2) AS expected, o_totalprice AS reported, CASE WHEN e IS NULL OR o_totalprice IS NULL THEN 'not_checked' WHEN abs(e - o_totalprice) > greatest(abs(o_totalprice) * 0.01::DOUBLE, 0.5) THEN 'demoted' ELSE 'consistent' END AS "check" FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""",

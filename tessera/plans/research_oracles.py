@@ -2,7 +2,7 @@
 
 from tessera.plans.oracles import _CLASSES, FACTS, FEED, PRICES, TREND, _hits, _relevance
 
-_D = "docs AS (SELECT doc_id, source, lower(substr(coalesce(text, ''), 1, 300)) AS t FROM documents)"
+_D = "docs AS (SELECT doc_id, source, lower(coalesce(text, '')) AS t FROM documents)"
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
 _RELEVANCE = _relevance("text")
 
@@ -54,9 +54,9 @@ SQL = {
         SELECT claim_id, numbers, count(DISTINCT source) AS scopes, count(DISTINCT lang) AS periods, numbers >= 2 AND (count(DISTINCT source) > 1 OR count(DISTINCT lang) > 1) AS violation FROM c JOIN documents USING (doc_id) GROUP BY 1, 2""",
     "category_budget": f"""WITH RECURSIVE {FEED}, r AS (SELECT entity, event_class, event_id, row_number() OVER (PARTITION BY entity, event_class ORDER BY event_id) AS n FROM feed),
         k AS (SELECT *, n <= CASE event_class WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS reserved FROM r WHERE n <= CASE event_class WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 10 END),
-        o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY NOT reserved, event_id) AS i, event_class IN ('view', 'click') AS grp FROM k),
-        walk AS (SELECT entity, i, event_class, event_id, 1 AS kept, grp::INT AS shared, TRUE AS taken FROM o WHERE i = 1
-          UNION ALL SELECT o.entity, o.i, o.event_class, o.event_id, kept + (kept < 10 AND (NOT grp OR shared < 5))::INT, shared + (kept < 10 AND grp AND shared < 5)::INT, kept < 10 AND (NOT grp OR shared < 5) FROM walk JOIN o ON o.entity = walk.entity AND o.i = walk.i + 1)
+        o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY NOT reserved, event_id) AS i, event_class IN ('view', 'click') AS grp, event_class IN ('click', 'purchase') AS grp2 FROM k),
+        walk AS (SELECT entity, i, event_class, event_id, 1 AS kept, grp::INT AS shared, grp2::INT AS shared2, TRUE AS taken FROM o WHERE i = 1
+          UNION ALL SELECT o.entity, o.i, o.event_class, o.event_id, kept + fits::INT, shared + (fits AND grp)::INT, shared2 + (fits AND grp2)::INT, fits FROM (SELECT walk.kept, walk.shared, walk.shared2, o.*, kept < 10 AND (NOT grp OR shared < 5) AND (NOT grp2 OR shared2 < 4) AS fits FROM walk JOIN o ON o.entity = walk.entity AND o.i = walk.i + 1) o)
         SELECT entity, event_id, event_class, CAST(kept - 1 AS INTEGER) AS place FROM walk WHERE taken""",
     "news_query_plan": "SELECT s_suppkey, unnest(range(4))::INTEGER AS n, unnest([s_name || ' results', s_name || ' ' || n_name, n_name || ' industry', n_name || ' regulation']) AS query FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "brand_domains": f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), r AS (SELECT *, split_part(host, '.', 1) AS root, replace(host, '-', '') AS bare FROM h)
@@ -70,7 +70,7 @@ SQL = {
     "country_regions": "SELECT c_mktsegment, min_by(n_regionkey, c_custkey) AS first_region, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS nations FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "chair_actions": "SELECT s_nationkey, CASE WHEN s_acctbal < 0 THEN 'drop' WHEN s_acctbal < 5000 THEN 'watch' ELSE 'advance' END AS action, count(*) AS n, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS suppliers FROM supplier GROUP BY 1, 2",
     "evidence_inventory": "SELECT source, count(*) AS \"references\", count(quality) AS extracted, count(*) FILTER (quality = 1) AS validated, count(*) FILTER (quality IS NULL) AS metadata_only, count(*) FILTER (toxic = 1) AS failed, count(DISTINCT lang) AS languages FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
-    "fact_dedup": "SELECT l_partkey, l_returnflag, l_linestatus, round(l_quantity, 4) AS value, min(l_orderkey) AS first_order, count(*) AS copies FROM lineitem GROUP BY 1, 2, 3, 4",
+    "fact_dedup": "SELECT l_partkey || '|' || lower(l_returnflag) || '|' || lower(l_linestatus) || '|' || printf('%.4f', l_quantity) AS fact_key, min(l_orderkey) AS first_order, count(*) AS copies FROM lineitem GROUP BY 1",
     "document_get_or_create": """WITH d AS (SELECT doc_id, sha1(coalesce(text, '')) AS hash FROM documents), o AS (SELECT hash, min(doc_id) AS old FROM d WHERE doc_id % 2 = 0 GROUP BY 1), n AS (SELECT hash, min(doc_id) AS new, count(*) AS requests FROM d WHERE doc_id % 2 = 1 GROUP BY 1)
         SELECT hash, coalesce(old, new) AS doc_id, requests, CASE WHEN old IS NULL THEN 'inserted' ELSE 'reused' END AS action FROM n LEFT JOIN o USING (hash)""",
     "event_dates": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(ts AS DATE) END AS day FROM events",
@@ -110,7 +110,7 @@ SQL = {
         o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY relevance DESC, doc_id) AS place FROM f),
         walk AS (SELECT source, doc_id, size, relevance, place, size AS used, 1 AS n, TRUE AS kept FROM o WHERE place = 1
           UNION ALL SELECT o.source, o.doc_id, o.size, o.relevance, o.place, CASE WHEN used + o.size <= 20000 AND n < 10 THEN used + o.size ELSE used END, CASE WHEN used + o.size <= 20000 AND n < 10 THEN n + 1 ELSE n END, used + o.size <= 20000 AND n < 10 FROM walk JOIN o ON o.source = walk.source AND o.place = walk.place + 1)
-        SELECT source, doc_id, CAST(size AS INTEGER) AS size, CAST(relevance AS INTEGER) AS relevance, place, 'E' || n AS label FROM walk WHERE kept""",
+        SELECT source, doc_id, CAST(size AS INTEGER) AS size, CAST(relevance AS INTEGER) AS relevance, 'E' || n AS label FROM walk WHERE kept""",
     "symbol_builder": "SELECT s_suppkey, 't' || s_suppkey || '.' || CASE r_name WHEN 'AFRICA' THEN 'af' WHEN 'AMERICA' THEN 'us' WHEN 'ASIA' THEN 'as' WHEN 'EUROPE' THEN 'eu' ELSE 'us' END AS symbol FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
     "lei_records": "SELECT c_custkey, 'LEI0' || lpad(CAST(c_custkey AS VARCHAR), 14, '0') || CASE WHEN c_custkey % 4 = 0 THEN 'XX' ELSE '42' END AS lei, c_custkey % 4 > 0 AS valid, c_name AS name, c_nationkey AS country FROM customer",
     "source_gaps": "SELECT c_nationkey, source, count(*) AS gaps FROM customer, (SELECT unnest(['1-URGENT', '5-LOW']) AS source) s WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = source AND o_totalprice > 250000) GROUP BY 1, 2",

@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import events as E
 from tessera.operators import documents as D
 from tessera.operators import packs as PK
+from tessera.operators import reconcile as RC
 from tessera.operators import research as RS
 from tessera.operators import scoring as R
 from tessera.operators import screening as P
@@ -77,10 +78,12 @@ def item_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def feed_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """S14, S15 on an RSS document per page: every third link is a media file, so the guid is the canonical link."""
+    """S14, S15 on an RSS document per page, every fourth an Atom one: every third link is a media file, so the guid is the canonical link."""
     p = table(spark, sf, "pages").select("page_id", F.replace("url", F.lit("&"), F.lit("&amp;")).alias("url"))
     link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://cdn.example.com/media/"), F.col("page_id").cast("string"), F.lit(".mp3"))).otherwise(F.col("url"))
     xml = F.concat(F.lit("<rss><channel><item><title>t"), F.col("page_id").cast("string"), F.lit("</title><link>"), link, F.lit("</link><guid>"), F.col("url"), F.lit("</guid></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed><entry><title>t'), F.col("page_id").cast("string"), F.lit('</title><link rel="self" href="x"/><link href="'), link, F.lit('"/><id>'), F.col("url"), F.lit("</id></entry></feed>"))
+    xml = F.when(F.col("page_id") % 4 == 0, atom).otherwise(xml)
     items = SP.feed_items(p.select("page_id", xml.alias("xml")), "page_id", "xml")
     return items.select("page_id", "n", "title", SP.canonical_link(F.col("link"), F.col("guid")).alias("link"))
 
@@ -138,7 +141,7 @@ def thesis_relevance(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def news_relevance(spark: SparkSession, sf: str) -> DataFrame:
     """R18 on documents: their language's commonest words stand for names and tickers."""
-    d = table(spark, sf, "documents").select("doc_id", F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 300)).alias("t"), "source")
+    d = table(spark, sf, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"), "source")
     has = lambda w: F.contains(F.col("t"), F.lit(w))
     age = F.col("doc_id") % 40
     s = RS.news_relevance(has("thereness") | has(" les "), has(" the "), has(" und "), F.col("doc_id") % 3 + 1, F.when(age < 30, age <= 14), has("tion"), F.col("source") == "src1", has("worthless"))
@@ -199,9 +202,9 @@ def claim_scopes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def category_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """T8 over events of a user: views and clicks share a cap."""
+    """T8 over events of a user: views and clicks share a cap, clicks and purchases another."""
     e = event_feed(spark, sf).select("entity", "event_class", "event_id")
-    return RS.category_budget(e, "entity", "event_id", "event_class", {"error": 2, "signup": 3}, {"view": 5, "click": 5}, {"purchase": 2, "signup": 1}, 10)
+    return RS.category_budget(e, "entity", "event_id", "event_class", {"error": 2, "signup": 3}, [(["view", "click"], 5), (["click", "purchase"], 4)], {"purchase": 2, "signup": 1}, 10)
 
 
 @query
@@ -275,8 +278,8 @@ def evidence_inventory(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of a part with equal flag, status and quantity are one fact; the first order keeps it."""
-    li = table(spark, sf, "lineitem")
-    return li.groupBy("l_partkey", "l_returnflag", "l_linestatus", F.round("l_quantity", 4).alias("value")).agg(F.min("l_orderkey").alias("first_order"), F.count(F.lit(1)).alias("copies"))
+    key = RC.semantic_key("l_partkey", "l_returnflag", "l_linestatus", value="l_quantity")
+    return table(spark, sf, "lineitem").groupBy(key.alias("fact_key")).agg(F.min("l_orderkey").alias("first_order"), F.count(F.lit(1)).alias("copies"))
 
 
 @query
@@ -398,8 +401,8 @@ def flat_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct blocks of documents of a source, ranked by relevance, within a budget of characters."""
     d = table(spark, sf, "documents").filter("text IS NOT NULL").select("source", "doc_id", F.length("text").alias("size"), T.short_hash(F.col("text")).alias("h"), D.relevance(F.col("text")).alias("relevance"))
     one = S.latest(d, ["source", "h"], [F.asc("doc_id")])
-    ranked = one.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("relevance"), "doc_id")).cast("long"))
-    return S.budget(ranked.drop("h"), "source", "place", "size", 20_000, 10)
+    ranked = one.withColumn("order", F.shiftleft(F.lit(1 << 20) - F.col("relevance").cast("long"), 40) + F.col("doc_id"))  # one number for both, so that no source is ranked whole
+    return S.budget(ranked.drop("h"), "source", "order", "size", 20_000, 10).drop("order")
 
 
 # --- names, scopes, kinds

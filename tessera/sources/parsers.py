@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 CSV_SCHEMA = "Date string, Open string, High string, Low string, Close string, Volume string"
 PRICE_JSON = "array<struct<date:string,open:string,high:string,low:string,close:string,volume:string>>"
+ATOM = {"title": "title/text()", "link": "link[not(@rel) or @rel=\"alternate\"][1]/@href", "guid": "id/text()"}
 CONCEPT_JSON = "map<string,map<string,array<struct<fy:int,form:string,end:string,val:double,filed:string>>>>"
 
 
@@ -54,8 +55,8 @@ def recent_filings(rows: DataFrame, keys: list[str], forms: list[str], as_of: st
 
 
 def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
-    """Items of an RSS document with title, link, guid and origLink."""
-    path = lambda tag: F.expr(f"xpath({xml}, 'rss/channel/item/{tag}/text()')")
+    """Items of an RSS document with title, link and guid, or entries of an Atom document with title, first alternate link and id."""
+    path = lambda tag: F.expr(f"xpath({xml}, '/rss/channel/item/{tag}/text() | /feed/entry/{ATOM[tag]}')")
     rows = feeds.select(key, F.posexplode(F.arrays_zip(path("title").alias("title"), path("link").alias("link"), path("guid").alias("guid"))).alias("n", "z"))
     return rows.select(key, "n", "z.title", "z.link", "z.guid")
 
