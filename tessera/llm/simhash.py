@@ -189,8 +189,12 @@ def link(distinct: DataFrame, most: int = 3, limit: int = 16384) -> DataFrame:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
     for depth in range(7):
-        table = spark.createDataFrame([(signed(mask), list(map(signed, parts))) for mask, parts in masks.items()], "mask long, parts array<long>")  # at most BLOCKS ** depth rows
-        keyed = todo.join(F.broadcast(table), "mask").select("fp", F.explode("parts").alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        if not depth:
+            parts = F.array(*[F.lit(signed(p)) for p in split_mask(0)])
+        else:  # a row for each mask, at most BLOCKS ** depth
+            table = spark.createDataFrame([(signed(mask), list(map(signed, parts))) for mask, parts in masks.items()], "mask long, parts array<long>")
+            todo, parts = todo.join(F.broadcast(table), "mask"), F.col("parts")
+        keyed = todo.select("fp", F.explode(parts).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         masks = {p: split_mask(p) for parts in masks.values() for p in parts}
         if depth < 6:
             keyed = stored(keyed, "keyed")
