@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from .common import partitions, stored
 
 SAMPLE = 8192  # vectors that the codebooks are fitted on
 TRIAL = 256  # queries whose true neighbours are found by brute force, to choose the number of candidates
-CODE_BLOCK, SLICES = 65536, 4  # codes in a row of the index; parts of the index from which each query's best are gathered
+CODE_BLOCK, SLICES, SLICE_ROWS = 65536, 4, 16  # codes in a row of the index; parts of the index from which each query's best are gathered, at least, and rows in one
 
 
 def unit(column: pa.Array, width: int) -> np.ndarray:
@@ -128,21 +127,20 @@ def neighbours(
     neighbours of TRIAL queries needs more in this table (candidates_needed). Ties go to the smaller id.
 
     Vectors null, zero or holding null or non-finite components take no part, nor do null ids and vectors of another length
-    than the most frequent in the sample (of equally frequent ones the longest). Of rows with equal id the one with the smallest vector counts. Fewer candidates than k:
+    than the most frequent of the table (of equally frequent ones the longest). Of rows with equal id the one with the smallest vector counts. Fewer candidates than k:
     all. Empty table, empty result.
     """
     spark, n = table.sparkSession, partitions(table.sparkSession)
     good = F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0)
     usable = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(good).groupBy("id").agg(F.min("v").alias("v"))
-    sample = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not len(sample):
+    length = usable.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    if length is None:
         return empty
-    lengths = np.bincount(pc.list_value_length(sample).to_numpy(zero_copy_only=False))
-    width = int(np.flatnonzero(lengths == lengths.max())[-1])
+    width = length["width"]
     usable = usable.filter(F.size("v") == width)
-    trained = unit(sample.filter(pc.equal(pc.list_value_length(sample), width)), width)
-    codebooks = spark.sparkContext.broadcast(fit(trained, books, words, 6, seed))
+    sample = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    codebooks = spark.sparkContext.broadcast(fit(unit(sample, width), books, words, 6, seed))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -212,8 +210,9 @@ def neighbours(
     parts = -(-total // query_block)
     asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(n, "part").sortWithinPartitions("part")
     queries = stored(asked.mapInArrow(block, "part long, queries binary, vectors binary").withColumn("block", F.monotonically_increasing_id()), "queries")
+    slices = max(SLICES, -(-codes.count() // SLICE_ROWS))  # tasks grow with the index as well as with the queries
     pairs = codes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(queries, "part")
-    sliced = pairs.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(SLICES)).cast("int")).repartition(n, "block", "slice").sortWithinPartitions("block", "slice")
+    sliced = pairs.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int")).repartition(n, "block", "slice").sortWithinPartitions("block", "slice")
     found = sliced.mapInArrow(score, "query_id long, vec_id long, near float").filter("query_id <> vec_id")
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).filter(F.col("place") <= rerank).select("query_id", "vec_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)

@@ -58,3 +58,12 @@ def test_one_long_vector_leaves_the_others(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(9).normal(size=(120, 4)))]
     got = additive.neighbours(spark.createDataFrame([*rows, (150, [1.0] * 9)], "vec_id long, embedding array<double>")).collect()
     assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, n + 1): j for q, near in brute(rows).items() for n, (_, j) in enumerate(near)}
+
+
+def test_lengths_are_counted_over_the_table(spark):
+    """Half a sample of long vectors doesn't matter where most are short; an index of many slices finds the same."""
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(10).normal(size=(150, 4)))]
+    more = [(1000 + i, [1.0] * (5 + i % 3)) for i in range(140)]
+    want = {(q, n + 1): j for q, near in brute(rows).items() for n, (_, j) in enumerate(near)}
+    got = additive.neighbours(spark.createDataFrame([*more, *rows], "vec_id long, embedding array<double>")).collect()
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == want
