@@ -18,6 +18,7 @@ from .common import RID, kept_numbers, new_path, partitions, stored
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PIECE = 1 << 20  # bytes that the reader asks for or unpacks at once
+HEAD = 1 << 24  # bytes that a record's header may have
 
 
 def digest(data: bytes) -> str:
@@ -55,6 +56,8 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
                 head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}
                 begin = at + 4
                 end = begin + int(head["content-length"])
+            elif head is None and len(text) > HEAD:
+                raise ValueError("a record's header has no end")
             if end is not None and len(text) > end + 4:
                 raise ValueError("record is longer than its content length")
         if end is None or bytes(text[end:]) != b"\r\n\r\n":
