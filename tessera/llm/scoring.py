@@ -151,6 +151,44 @@ class Model:
         return self.classes(every).astype(np.float32), norm, {k: v.reshape(len(v), UNITS).astype(np.float32) for k, v in self.slot_w.items()}
 
 
+    def add(self, sums: dict[str, np.ndarray], what: str, ids: np.ndarray, part: np.ndarray) -> None:
+        level, name = what.split(":")
+        weights, width = (self.class_w, CLASSES) if level == "class" else (self.slot_w, SLOTS)
+        np.add.at(sums.setdefault(what, np.zeros((weights[name].size // width, 2 * width))), ids, part)
+
+    def step(self, sums: dict[str, np.ndarray], prior: float) -> None:
+        """Moves each weight by its gradient over the expected count, by one at most."""
+        for what, s in sums.items():
+            level, name = what.split(":")
+            weights = self.class_w if level == "class" else self.slot_w
+            width = s.shape[1] // 2
+            w = weights[name].reshape(-1, width)
+            step = (s[:, :width] - prior * w * (name != "bias")) / (len(weights) * s[:, width:] + prior)
+            weights[name] = (w + np.clip(step, -1, 1)).reshape(weights[name].shape)
+
+
+def feature_sums(model: Model, previous: np.ndarray, skip: np.ndarray, unit: np.ndarray, n: np.ndarray) -> Iterator[tuple[str, str, np.ndarray, np.ndarray]]:
+    """(level, feature, values, sums): for each value of a feature the gradient of the transitions' log likelihood (observed less
+    expected counts) and the expected counts."""
+    context = previous.astype(np.int64) * (CLASSES + 1) + skip
+    for level in ("class", "slot"):
+        key, width = (context, CLASSES) if level == "class" else (context * CLASSES + unit // SLOTS, SLOTS)
+        rows, where = np.unique(key, return_inverse=True)
+        seen = np.zeros((len(rows), width))
+        np.add.at(seen, (where, unit // SLOTS if level == "class" else unit % SLOTS), n)
+        ctx, cls = (rows, None) if level == "class" else (rows // CLASSES, rows % CLASSES)
+        expected = np.exp(model.classes(ctx) if cls is None else model.slots(ctx, cls)) * seen.sum(axis=1, keepdims=True)
+        both = np.concatenate([seen - expected, expected], axis=1)
+        features = {"bias": np.zeros(len(rows), np.int64), "previous": ctx // (CLASSES + 1), "skip": ctx % (CLASSES + 1)}
+        if cls is None:
+            features["joint"] = joint(ctx).astype(np.int64)
+        for name, value in features.items():
+            value = value if cls is None else value * CLASSES + cls
+            order = np.argsort(value, kind="stable")
+            ids, start = np.unique(value[order], return_index=True)
+            yield level, name, ids, np.add.reduceat(both[order], start, axis=0)
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=-1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
@@ -168,39 +206,15 @@ def train(counts: DataFrame, unit_counts: np.ndarray, rounds: int, prior: float)
             if not cells:
                 return
             previous, skip, unit, n = (np.concatenate([b.column(c).to_numpy() for b in cells]) for c in ("previous", "skip", "unit", "n"))
-            context = previous.astype(np.int64) * (CLASSES + 1) + skip
-            for level in ("class", "slot"):
-                key, width = (context, CLASSES) if level == "class" else (context * CLASSES + unit // SLOTS, SLOTS)
-                rows, where = np.unique(key, return_inverse=True)
-                seen = np.zeros((len(rows), width))
-                np.add.at(seen, (where, unit // SLOTS if level == "class" else unit % SLOTS), n)
-                ctx, cls = (rows, None) if level == "class" else (rows // CLASSES, rows % CLASSES)
-                expected = np.exp(now.classes(ctx) if cls is None else now.slots(ctx, cls)) * seen.sum(axis=1, keepdims=True)
-                both = np.concatenate([seen - expected, expected], axis=1)
-                features = {"bias": np.zeros(len(rows), np.int64), "previous": ctx // (CLASSES + 1), "skip": ctx % (CLASSES + 1)}
-                if cls is None:
-                    features["joint"] = joint(ctx).astype(np.int64)
-                for name, value in features.items():
-                    value = value if cls is None else value * CLASSES + cls
-                    order = np.argsort(value, kind="stable")
-                    ids, start = np.unique(value[order], return_index=True)
-                    sums = np.add.reduceat(both[order], start, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{level}:{name}"]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([sums.astype("<f8").tobytes()], pa.binary())], names=["what", "ids", "sums"])
+            for level, name, ids, sums in feature_sums(now, previous, skip, unit, n):
+                yield pa.RecordBatch.from_arrays([pa.array([f"{level}:{name}"]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([sums.astype("<f8").tobytes()], pa.binary())], names=["what", "ids", "sums"])
 
         sums: dict[str, np.ndarray] = {}
         for what, ids, data in counts.mapInArrow(run, "what string, ids binary, sums binary").toLocalIterator():
-            level, name = what.split(":")
-            width = CLASSES if level == "class" else SLOTS
-            into = sums.setdefault(what, np.zeros(((model.class_w if level == "class" else model.slot_w)[name].size // width, 2 * width)))
-            np.add.at(into, np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, 2 * width))
+            width = CLASSES if what.startswith("class") else SLOTS
+            model.add(sums, what, np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, 2 * width))
         held.unpersist()
-        for what, s in sums.items():
-            level, name = what.split(":")
-            weights = model.class_w if level == "class" else model.slot_w
-            width = s.shape[1] // 2
-            w = weights[name].reshape(-1, width)
-            step = (s[:, :width] - prior * w * (name != "bias")) / (len(weights) * s[:, width:] + prior)
-            weights[name] = (w + np.clip(step, -1, 1)).reshape(weights[name].shape)
+        model.step(sums, prior)
     return model
 
 

@@ -258,6 +258,8 @@ def test_reader_checks_what_it_reads():
     for bad in (good[:-9], gzip.compress(re.sub(rb"Content-Length: \d+", b"Content-Length: 9", text, count=1)), gzip.compress(re.sub(rb"Content-Length: \d+", b"Content-Length: 999", text, count=1)), gzip.compress(text + b"more"), gzip.compress(b"GARBAGE\r\n\r\n")):
         with pytest.raises((ValueError, KeyError)):
             [warc.parsed(*r) for r in warc.records(io.BytesIO(bad))]
+    with pytest.raises(ValueError, match="no end"):
+        list(warc.records(io.BytesIO(gzip.compress(b"WARC/1.1\r\nX: " + b"y" * (warc.HEAD + 2 * warc.PIECE)))))
     with pytest.raises(ValueError):
         [warc.parsed(*r) for r in warc.records(io.BytesIO(gzip.compress(text.replace(b"hello", b"hallo"))))]
 
@@ -517,5 +519,76 @@ def test_model_is_a_distribution_and_gradients_fit():
         assert abs(np.exp(logp.astype(float)).sum() - 1) < 1e-4
 
 
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(3)
+    model = scoring.Model(rng.integers(1, 50, scoring.UNITS).astype(float))
+    for w in (*model.class_w.values(), *model.slot_w.values()):
+        w += rng.normal(size=w.shape, scale=0.3)
+    n = 400
+    previous, skip, unit, count = rng.integers(0, 6, n), rng.integers(0, 3, n), rng.integers(0, scoring.UNITS, n), rng.integers(1, 9, n)
+
+    def likelihood():
+        ctx = previous * (scoring.CLASSES + 1) + skip
+        return sum(count * (model.classes(ctx)[np.arange(n), unit // scoring.SLOTS] + model.slots(ctx, unit // scoring.SLOTS)[np.arange(n), unit % scoring.SLOTS]))
+
+    for level, name, ids, sums in scoring.feature_sums(model, previous, skip, unit, count):
+        weights = (model.class_w if level == "class" else model.slot_w)[name]
+        width = scoring.CLASSES if level == "class" else scoring.SLOTS
+        flat = weights.reshape(-1, width)
+        for i, j in zip(rng.integers(0, len(ids), 4), rng.integers(0, width, 4)):
+            flat[ids[i], j] += 1e-4
+            high = likelihood()
+            flat[ids[i], j] -= 2e-4
+            low = likelihood()
+            flat[ids[i], j] += 1e-4
+            assert abs((high - low) / 2e-4 - sums[i, j]) < 1e-4 * (1 + abs(sums[i, j])), (level, name)
+
+
+def plain_scores(rows, rounds, prior=1.0):
+    """The same model, trained and applied a token at a time on the driver."""
+    token = lambda t: [*lower(t).split(), b""]
+    learn = [token(t) for d, t, _ in rows if zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2]
+    c = collections.Counter(w for t in learn for w in t)
+    own = {w: i for i, w in enumerate(sorted(c, key=lambda w: (-c[w], w))[: scoring.OWN])}
+    unit = lambda w: own[w] if w in own else scoring.OWN + zlib.crc32(w) % (scoring.UNITS - scoring.OWN)
+    mass, kinds = np.zeros(scoring.UNITS), np.zeros(scoring.UNITS)
+    for w, n in c.items():
+        mass[unit(w)] += n
+        kinds[unit(w)] += w not in own
+
+    def walk(words):
+        one, two = scoring.START, scoring.START
+        for w in words:
+            yield one, two // scoring.SLOTS, unit(w), w
+            one, two = unit(w), one
+
+    seen = collections.Counter(x[:3] for t in learn for x in walk(t))
+    model = scoring.Model(mass)
+    cells = [np.array(x) for x in zip(*seen)] + [np.array(list(seen.values()))]
+    for _ in range(rounds):
+        sums = {}
+        for level, name, ids, part in scoring.feature_sums(model, *cells):
+            model.add(sums, f"{level}:{name}", ids, part)
+        model.step(sums, prior)
+    out = []
+    for d, t, _ in rows:
+        total = 0.0
+        for one, two, u, w in walk(token(t)):
+            ctx = np.array([one * (scoring.CLASSES + 1) + two])
+            p = model.classes(ctx)[0, u // scoring.SLOTS] + model.slots(ctx, np.array([u // scoring.SLOTS]))[0, u % scoring.SLOTS]
+            total += p / math.log(10) + (0 if w in own else math.log10((c[w] + 1) / (mass[u] + kinds[u] + 1)))
+        out.append((d, total))
+    return out
+
+
+def test_scores_equal_a_plain_scorer(spark, make, sf):
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for rows in (AWKWARD[:8] + AWKWARD[10:], real(spark, sf, 25)):
+        got = sorted(((r.doc_id, r.score) for r in scoring.score(make(rows), rounds=3).collect()), key=key)
+        want = sorted(plain_scores(rows, 3), key=key)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-4, atol=1e-3)
+
+
 def test_scoring_nothing(make):
     assert scoring.score(make([])).count() == 0
