@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 from .common import RID, numbered, stored
 
-CLASSES, SLOTS = 16, 32  # output units: CLASSES * SLOTS; class and slot of unit u are u // SLOTS and u % SLOTS
+CLASSES, SLOTS = 32, 64  # output units: CLASSES * SLOTS; class and slot of unit u are u // SLOTS and u % SLOTS
 UNITS, OWN = CLASSES * SLOTS, CLASSES * SLOTS // 2  # the OWN most frequent words have units of their own, others share hashed ones
-START, FLUSH = UNITS, 300_000  # START: the unit before a text
-CONTEXTS = (UNITS + 1) * (CLASSES + 1)  # previous unit x class of the one before it
-JOINT = 1 << 12  # hashed features of both together
+PREVIOUS = 1 << 14  # values of the feature "word before": half are the most frequent words' own, others are hashed
+SKIPS, PAIRS = 16, 4  # values of the skip feature, the word two back; hashed ones of it that are joined with the word before
+START, FLUSH, TOKENS = PREVIOUS, 300_000, 2_000_000  # START: the word before a text; SKIPS stands two places before a text
+CONTEXTS = (PREVIOUS + 1) * (SKIPS + 1)  # word before x skip
+CELLS = UNITS + (SKIPS + 1) * CLASSES  # of a word before: units, then skip x class
+SPREAD = 24  # blocks of weights
 COMMON = 1_000_000  # a word with over 1/COMMON of the tokens is scored where it is read: fewer than COMMON words
 END = b""
 
@@ -27,32 +31,42 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def joint(context: np.ndarray) -> np.ndarray:
-    return (context.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - 12)
+def pair(context: np.ndarray) -> np.ndarray:
+    """The hashed feature of both words: PAIRS values for each word before."""
+    one, two = np.divmod(context, SKIPS + 1)
+    return one * PAIRS + (two * 11 >> 2) % PAIRS
 
 
-class Units:
-    """Units of words: `own` has those of the most frequent; keeps up to FLUSH others."""
+class Codes:
+    """Codes of words, previous * UNITS + unit: `own` ranks the most frequent; keeps up to FLUSH others."""
 
     def __init__(self, own: dict[bytes, int]):
-        self.own, self.seen = own, dict(own)
+        self.own = {w: self.code(w, r) for w, r in own.items()}
+        self.seen = dict(self.own)
+
+    @staticmethod
+    def code(word: bytes, rank: int = PREVIOUS) -> int:
+        h = zlib.crc32(word)
+        unit = rank if rank < OWN else OWN + h % (UNITS - OWN)
+        previous = rank if rank < PREVIOUS // 2 else PREVIOUS // 2 + (h >> 12) % (PREVIOUS - PREVIOUS // 2)
+        return previous * UNITS + unit
 
     def of(self, words: list[bytes]) -> np.ndarray:
         seen = self.seen
-        if len(seen) > FLUSH:
+        if len(seen) > FLUSH + len(self.own):
             seen = self.seen = dict(self.own)
         for w in set(words).difference(seen):
-            seen[w] = OWN + zlib.crc32(w) % (UNITS - OWN)
+            seen[w] = self.code(w)
         return np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
 
 
-def contexts_of(units: np.ndarray, first: np.ndarray) -> np.ndarray:
+def contexts_of(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The context of each token; first has the places where texts begin."""
-    one, two = np.r_[START, units][: len(units)], np.r_[START, START, units][: len(units)]
-    one[first], two[first] = START, START
+    one, two = np.r_[START, codes // UNITS][: len(codes)], np.r_[SKIPS, SKIPS, codes % UNITS * SKIPS // UNITS][: len(codes)]
+    one[first], two[first] = START, SKIPS
     second = first + 1
-    two[second[second < len(units)]] = START  # in a text of one token this is the next one's start, set already
-    return one * (CLASSES + 1) + two // SLOTS
+    two[second[second < len(codes)]] = SKIPS  # in a text of one token this is the next one's start, set already
+    return (one * (SKIPS + 1) + two).astype(np.int32)
 
 
 def _flat(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -97,122 +111,150 @@ def vocabulary(train: DataFrame) -> DataFrame:
 
 
 def transitions(train: DataFrame, own: dict[bytes, int]) -> DataFrame:
-    """(previous, skip, unit, n): how often each unit follows each context in train."""
+    """(previous, cell, n): how often each unit, and each class with each skip, follows each word before in train."""
     held = train.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, keys, counts = Units(held.value), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes, keys, size = Codes(held.value), [], 0
 
         def out() -> pa.RecordBatch:
-            context = keys // UNITS
-            return pa.RecordBatch.from_arrays([pa.array((context // (CLASSES + 1)).astype(np.int32)), pa.array((context % (CLASSES + 1)).astype(np.int32)), pa.array((keys % UNITS).astype(np.int32)), pa.array(counts)], names=["previous", "skip", "unit", "n"])
+            key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int32), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key // CELLS), pa.array(key % CELLS), pa.array(n)], names=["previous", "cell", "n"])
 
         for batch in batches:
             for part in _pieces(batch):
                 words, first, _ = _flat(part.column("t").to_pylist())
-                u = units.of(words)
-                new, n = np.unique(contexts_of(u, first).astype(np.int64) * UNITS + u, return_counts=True)
-                both, where = np.unique(np.r_[keys, new], return_inverse=True)
-                counts = np.bincount(where, np.r_[counts, n], len(both)).astype(np.int64)
-                keys = both
-                if len(keys) > 2 * FLUSH:
+                code = codes.of(words)
+                one, two = np.divmod(contexts_of(code, first), SKIPS + 1)
+                unit = code % UNITS
+                keys += [one * CELLS + unit, one * CELLS + UNITS + two * CLASSES + unit // SLOTS]
+                size += len(words)
+                if size > TOKENS:
                     yield out()
-                    keys, counts = keys[:0], counts[:0]
+                    keys, size = [], 0
         yield out()
 
-    return train.mapInArrow(run, "previous int, skip int, unit int, n long").groupBy("previous", "skip", "unit").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(run, "previous int, cell int, n long").groupBy("previous", "cell").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Weights of the features: bias, previous unit, class before it (a skip), for classes also the hashed pair of both."""
+    """Weights of the classes' features (bias, word before, skip, hashed pair of both) and of the slots' (bias, word before)."""
 
     def __init__(self, unit_counts: np.ndarray):
         share = np.log(unit_counts + 0.5)
-        self.class_w = {"bias": np.log(np.exp(share).reshape(CLASSES, SLOTS).sum(axis=1))[None], "previous": np.zeros((UNITS + 1, CLASSES)), "skip": np.zeros((CLASSES + 1, CLASSES)), "joint": np.zeros((JOINT, CLASSES))}
-        self.slot_w = {"bias": share.reshape(1, CLASSES, SLOTS), "previous": np.zeros((UNITS + 1, CLASSES, SLOTS)), "skip": np.zeros((CLASSES + 1, CLASSES, SLOTS))}
+        self.class_w = {"bias": np.log(np.exp(share).reshape(CLASSES, SLOTS).sum(axis=1))[None], "previous": np.zeros((PREVIOUS + 1, CLASSES)), "skip": np.zeros((SKIPS + 1, CLASSES)), "pair": np.zeros(((PREVIOUS + 1) * PAIRS, CLASSES))}
+        self.slot_bias = share.reshape(CLASSES, SLOTS)
+        self.slot_w = np.zeros((PREVIOUS + 1, UNITS), np.float16)
 
     def classes(self, context: np.ndarray) -> np.ndarray:
         w = self.class_w
-        return _log_softmax(w["bias"] + w["previous"][context // (CLASSES + 1)] + w["skip"][context % (CLASSES + 1)] + w["joint"][joint(context)])
+        return _log_softmax(w["bias"] + w["previous"][context // (SKIPS + 1)] + w["skip"][context % (SKIPS + 1)] + w["pair"][pair(context)])
 
-    def slots(self, context: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        w = self.slot_w
-        return _log_softmax(w["bias"][0, cls] + w["previous"][context // (CLASSES + 1), cls] + w["skip"][context % (CLASSES + 1), cls])
+    def only_classes(self) -> Model:
+        """The same classes' weights in single precision, without the slots'."""
+        out = copy.copy(self)
+        out.class_w, out.slot_w = {k: v.astype(np.float32) for k, v in self.class_w.items()}, None
+        return out
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, dict]:
-        """Log probabilities of classes by context; log normalisers of slots by context and class; slot weights."""
-        every = np.arange(CONTEXTS)
-        norm = np.zeros((CONTEXTS, CLASSES), np.float32)
-        for cls in range(CLASSES):
-            w = {k: v[:, cls] for k, v in self.slot_w.items()}
-            logits = w["bias"] + w["previous"][every // (CLASSES + 1)] + w["skip"][every % (CLASSES + 1)]
-            top = logits.max(axis=1)
-            norm[:, cls] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        return self.classes(every).astype(np.float32), norm, {k: v.reshape(len(v), UNITS).astype(np.float32) for k, v in self.slot_w.items()}
+    def norms(self, step: int = 512) -> np.ndarray:
+        """Log normalisers of the slots by word before and class, of the weights as they are held."""
+        out = np.empty((PREVIOUS + 1, CLASSES), np.float32)
+        for at in range(0, PREVIOUS + 1, step):
+            out[at : at + step] = _log_sum(self.slot_bias + self.slot_w[at : at + step].astype(np.float64).reshape(-1, CLASSES, SLOTS))[..., 0]
+        return out
 
+    def step(self, sums: dict[str, np.ndarray], prior: float) -> None:
+        """Moves each class weight by its gradient over the expected count, by one at most."""
+        for name, s in sums.items():
+            w = self.class_w[name]
+            step = (s[:, :CLASSES] - prior * w * (name != "bias")) / (len(self.class_w) * s[:, CLASSES:] + prior)
+            w += np.clip(step, -1, 1)
+
+
+def class_sums(model: Model, context: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(feature, values, sums): for each value of a feature the gradient of the classes' log likelihood (observed less expected
+    counts) and the expected counts."""
+    rows, where = np.unique(context, return_inverse=True)
+    seen = np.zeros((len(rows), CLASSES))
+    np.add.at(seen, (where, cls), n)
+    expected = np.exp(model.classes(rows)) * seen.sum(axis=1, keepdims=True)
+    both = np.concatenate([seen - expected, expected], axis=1)
+    for name, value in {"bias": np.zeros(len(rows), np.int64), "previous": rows // (SKIPS + 1), "skip": rows % (SKIPS + 1), "pair": pair(rows)}.items():
+        order = np.argsort(value, kind="stable")
+        ids, start = np.unique(value[order], return_index=True)
+        yield name, ids, np.add.reduceat(both[order], start, axis=0)
+
+
+def slot_gradient(seen: np.ndarray, bias: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Observed less expected counts, and expected counts, of slots within classes, for each word before."""
+    expected = np.exp(_log_softmax(bias + w)) * seen.sum(axis=-1, keepdims=True)
+    return seen - expected, expected
+
+
+def fit_slots(seen: np.ndarray, bias: np.ndarray, rounds: int, prior: float) -> np.ndarray:
+    """Slot weights of words before whose counts are seen[i, class, slot]."""
+    w = np.zeros(seen.shape)
+    for _ in range(rounds):
+        gradient, expected = slot_gradient(seen, bias, w)
+        w += np.clip((gradient - prior * w) / (expected + prior), -1, 1)
+    return w
 
-    def add(self, sums: dict[str, np.ndarray], what: str, ids: np.ndarray, part: np.ndarray) -> None:
-        level, name = what.split(":")
-        weights, width = (self.class_w, CLASSES) if level == "class" else (self.slot_w, SLOTS)
-        np.add.at(sums.setdefault(what, np.zeros((weights[name].size // width, 2 * width))), ids, part)
 
-    def step(self, sums: dict[str, np.ndarray], prior: float) -> None:
-        """Moves each weight by its gradient over the expected count, by one at most."""
-        for what, s in sums.items():
-            level, name = what.split(":")
-            weights = self.class_w if level == "class" else self.slot_w
-            width = s.shape[1] // 2
-            w = weights[name].reshape(-1, width)
-            step = (s[:, :width] - prior * w * (name != "bias")) / (len(weights) * s[:, width:] + prior)
-            weights[name] = (w + np.clip(step, -1, 1)).reshape(weights[name].shape)
-
-
-def feature_sums(model: Model, previous: np.ndarray, skip: np.ndarray, unit: np.ndarray, n: np.ndarray) -> Iterator[tuple[str, str, np.ndarray, np.ndarray]]:
-    """(level, feature, values, sums): for each value of a feature the gradient of the transitions' log likelihood (observed less
-    expected counts) and the expected counts."""
-    context = previous.astype(np.int64) * (CLASSES + 1) + skip
-    for level in ("class", "slot"):
-        key, width = (context, CLASSES) if level == "class" else (context * CLASSES + unit // SLOTS, SLOTS)
-        rows, where = np.unique(key, return_inverse=True)
-        seen = np.zeros((len(rows), width))
-        np.add.at(seen, (where, unit // SLOTS if level == "class" else unit % SLOTS), n)
-        ctx, cls = (rows, None) if level == "class" else (rows // CLASSES, rows % CLASSES)
-        expected = np.exp(model.classes(ctx) if cls is None else model.slots(ctx, cls)) * seen.sum(axis=1, keepdims=True)
-        both = np.concatenate([seen - expected, expected], axis=1)
-        features = {"bias": np.zeros(len(rows), np.int64), "previous": ctx // (CLASSES + 1), "skip": ctx % (CLASSES + 1)}
-        if cls is None:
-            features["joint"] = joint(ctx).astype(np.int64)
-        for name, value in features.items():
-            value = value if cls is None else value * CLASSES + cls
-            order = np.argsort(value, kind="stable")
-            ids, start = np.unique(value[order], return_index=True)
-            yield level, name, ids, np.add.reduceat(both[order], start, axis=0)
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=-1, keepdims=True)
+    return top + np.log(np.exp(x - top).sum(axis=-1, keepdims=True))
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    return x - _log_sum(x)
+
 
+def train(cells: DataFrame, unit_counts: np.ndarray, rounds: int, prior: float) -> Model:
+    """Full gradient steps on counts of all transitions.
 
-def train(counts: DataFrame, unit_counts: np.ndarray, rounds: int, prior: float) -> Model:
-    """Full gradient steps: every task sums observed less expected counts of the features over its contexts (and the expected
-    counts, which scale the step); the driver adds up these sums, whose size the model fixes, and updates the weights."""
-    spark, model = counts.sparkSession, Model(unit_counts)
+    The slots' weights of one word before depend on its own counts only, so each task holds a block of them, steps there and
+    puts them out. For the classes every task sums observed less expected counts of the features over its contexts (and the
+    expected counts, which scale the step); the driver adds up these sums, whose size the model fixes, and updates the weights.
+    """
+    spark, model = cells.sparkSession, Model(unit_counts)
+    bias = model.slot_bias
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        held = [b for b in batches if b.num_rows]
+        return [np.concatenate([b.column(c).to_numpy() for b in held]) if held else np.zeros(0, np.int64) for c in ("previous", "cell", "n")]
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        previous, unit, n = columns(batches)
+        order = np.argsort(previous, kind="stable")
+        previous, unit, n = previous[order], unit[order], n[order]
+        ids, where = np.unique(previous, return_inverse=True)
+        for at in range(0, len(ids), 64):
+            a, b = np.searchsorted(where, [at, at + 64])
+            seen = np.zeros((min(64, len(ids) - at), UNITS))
+            seen[where[a:b] - at, unit[a:b]] = n[a:b]
+            w = fit_slots(seen.reshape(-1, CLASSES, SLOTS), bias, rounds, prior).astype("<f2")
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 64]), pa.array([x.tobytes() for x in w], pa.binary())], names=["previous", "weights"])
+
+    followed = cells.filter(F.col("cell") < UNITS).repartition(SPREAD, "previous").mapInArrow(slots, "previous int, weights binary")
+    for previous, weights in followed.toLocalIterator():
+        model.slot_w[previous] = np.frombuffer(weights, "<f2")
+
+    contexts = stored(cells.filter(F.col("cell") >= UNITS).repartition(SPREAD, "previous"), "contexts")
     for _ in range(rounds):
-        held = spark.sparkContext.broadcast(model)
+        held = spark.sparkContext.broadcast(model.only_classes())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, cells = held.value, [b for b in batches if b.num_rows]
-            if not cells:
+            previous, cell, n = columns(batches)
+            if not len(n):
                 return
-            previous, skip, unit, n = (np.concatenate([b.column(c).to_numpy() for b in cells]) for c in ("previous", "skip", "unit", "n"))
-            for level, name, ids, sums in feature_sums(now, previous, skip, unit, n):
-                yield pa.RecordBatch.from_arrays([pa.array([f"{level}:{name}"]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([sums.astype("<f8").tobytes()], pa.binary())], names=["what", "ids", "sums"])
+            two, cls = np.divmod(cell - UNITS, CLASSES)
+            for name, ids, sums in class_sums(held.value, previous * (SKIPS + 1) + two, cls, n):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([sums.astype("<f8").tobytes()], pa.binary())], names=["name", "ids", "sums"])
 
         sums: dict[str, np.ndarray] = {}
-        for what, ids, data in counts.mapInArrow(run, "what string, ids binary, sums binary").toLocalIterator():
-            width = CLASSES if what.startswith("class") else SLOTS
-            model.add(sums, what, np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, 2 * width))
+        for name, ids, data in contexts.mapInArrow(run, "name string, ids binary, sums binary").toLocalIterator():
+            total = sums.setdefault(name, np.zeros((len(model.class_w[name]), 2 * CLASSES)))
+            np.add.at(total, np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, 2 * CLASSES))
         held.unpersist()
         model.step(sums, prior)
     return model
@@ -225,7 +267,7 @@ def score(docs: DataFrame, fold: int = 2, folds: int = 7, rounds: int = 8, prior
     The maximum-entropy model predicts a word's unit (own or hashed) as class, then slot in the class, from the features of
     Model, and a word within a hashed unit by its count plus one over the unit's plus one for each word and for the
     unknown. It is trained by gradient steps on counts of all training transitions. Texts are scored in batches that look
-    up rows of the weights for the units at hand.
+    up rows of the weights for the words at hand; slot weights are held in half precision, and normalised as held.
 
     Only words with over 1/COMMON of the training tokens are broadcast; a document's other words are joined with the
     vocabulary by shuffling. Null texts are empty: one end token. A null id counts as the empty string for the fold.
@@ -238,31 +280,37 @@ def score(docs: DataFrame, fold: int = 2, folds: int = 7, rounds: int = 8, prior
     known = stored(vocabulary(learn), "vocabulary")
     total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     common = known.filter(F.col("c") * COMMON > total)
-    head = common.orderBy(F.desc("c"), "word").limit(OWN).select("word").collect()
+    head = common.orderBy(F.desc("c"), "word").limit(PREVIOUS // 2).select("word").collect()
     own = {bytes(r[0]): i for i, r in enumerate(head)}
     table = common.toArrow()
     counted = dict(zip(table.column("word").to_pylist(), table.column("c").to_pylist()))
-    shared = known.withColumn("unit", OWN + F.crc32("word") % (UNITS - OWN)).filter(~F.col("word").isin([bytearray(w) for w in own]) if own else F.lit(True))
+    shared = known.withColumn("unit", OWN + F.crc32("word") % (UNITS - OWN)).filter(~F.col("word").isin([bytearray(w) for w, i in own.items() if i < OWN]) if own else F.lit(True))
     unit_n, unit_v = np.zeros(UNITS), np.zeros(UNITS)
     for w, i in own.items():
-        unit_n[i] = counted[w]
+        if i < OWN:
+            unit_n[i] = counted[w]
     for u, n, v in shared.groupBy("unit").agg(F.sum("c"), F.count(F.lit(1))).collect():
         unit_n[u], unit_v[u] = n, v
-    model = train(stored(transitions(learn, own).repartition(24, "previous"), "transitions"), unit_n, rounds, prior)
-    held = spark.sparkContext.broadcast((own, counted, model.tables(), np.r_[np.zeros(OWN), np.log10(unit_n[OWN:] + unit_v[OWN:] + 1)]))
+    model = train(stored(transitions(learn, own), "transitions"), unit_n, rounds, prior)
+    held = spark.sparkContext.broadcast((own, counted, model.only_classes(), model.slot_w, model.norms(), np.r_[np.zeros(OWN), np.log10(unit_n[OWN:] + unit_v[OWN:] + 1)]))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counted, (class_log, norm, slot_w), unit_log = held.value
-        units, logs = Units(own), {w: np.log10(c + 1) for w, c in counted.items()}
+        own, counted, classes, slot_w, norm, unit_log = held.value
+        codes, logs, bias = Codes(own), {w: np.log10(c + 1) for w, c in counted.items()}, classes.slot_bias.ravel()
+        place = np.zeros(CONTEXTS, np.int32)
         for batch in batches:
             for part in _pieces(batch):
                 texts = part.column("t").to_pylist()
                 words, first, sizes = _flat(texts)
-                u = units.of(words)
-                context = contexts_of(u, first)
-                cls = u // SLOTS
-                p = class_log[context, cls] + slot_w["bias"][0, u] + slot_w["previous"][context // (CLASSES + 1), u] + slot_w["skip"][context % (CLASSES + 1), u] - norm[context, cls]
+                code = codes.of(words)
+                context, u = contexts_of(code, first), code % UNITS
+                cls, one = u // SLOTS, context // (SKIPS + 1)
+                place[context] = 1
+                here = np.flatnonzero(place)
+                place[here] = np.arange(len(here))
+                p = classes.classes(here)[place[context], cls] + bias[u] + slot_w[one, u] - norm[one, cls]
+                place[here] = 0
                 base = np.fromiter((logs.get(w, -1.0) for w in words), np.float64, len(words))
                 rare = base < 0
                 base[rare] = 0.0

@@ -507,41 +507,53 @@ def test_model_beats_the_base_on_held_out_text(spark, sf):
     assert r.s > r.b + 0.01 * abs(r.b)
 
 
-def test_model_is_a_distribution_and_gradients_fit():
-    rng = np.random.default_rng(0)
-    model = scoring.Model(rng.integers(1, 50, scoring.UNITS).astype(float))
-    for w in (*model.class_w.values(), *model.slot_w.values()):
-        w += rng.normal(size=w.shape)
-    classes, norm, slot = model.tables()
-    for ctx in (0, 17, scoring.CONTEXTS - 1):
-        u = np.arange(scoring.UNITS)
-        logp = classes[ctx, u // scoring.SLOTS] + slot["bias"][0] + slot["previous"][ctx // (scoring.CLASSES + 1)] + slot["skip"][ctx % (scoring.CLASSES + 1)] - norm[ctx, u // scoring.SLOTS]
-        assert abs(np.exp(logp.astype(float)).sum() - 1) < 1e-4
-
-
-def test_gradient_by_finite_differences():
+def random_model():
     rng = np.random.default_rng(3)
     model = scoring.Model(rng.integers(1, 50, scoring.UNITS).astype(float))
-    for w in (*model.class_w.values(), *model.slot_w.values()):
+    for w in model.class_w.values():
         w += rng.normal(size=w.shape, scale=0.3)
+    model.slot_w = rng.normal(size=model.slot_w.shape, scale=0.5).astype(np.float16)
+    return rng, model
+
+
+def test_model_is_a_distribution():
+    _, model = random_model()
+    norm, u = model.norms(), np.arange(scoring.UNITS)
+    for ctx in (0, 20, scoring.CONTEXTS - 1):
+        one = ctx // (scoring.SKIPS + 1)
+        for classes in (model, model.only_classes()):
+            logp = classes.classes(np.array([ctx]))[0, u // scoring.SLOTS] + model.slot_bias.ravel() + model.slot_w[one] - norm[one, u // scoring.SLOTS]
+            assert abs(np.exp(logp.astype(float)).sum() - 1) < 1e-4
+
+
+def test_gradients_by_finite_differences():
+    rng, model = random_model()
     n = 400
-    previous, skip, unit, count = rng.integers(0, 6, n), rng.integers(0, 3, n), rng.integers(0, scoring.UNITS, n), rng.integers(1, 9, n)
+    context, cls, count = rng.integers(0, 40, n), rng.integers(0, scoring.CLASSES, n), rng.integers(1, 9, n)
+    likelihood = lambda: (count * model.classes(context)[np.arange(n), cls]).sum()
+
+    def slope(array, at, value):
+        array[at] += 1e-4
+        high = value()
+        array[at] -= 2e-4
+        low = value()
+        array[at] += 1e-4
+        return (high - low) / 2e-4
+
+    found = list(scoring.class_sums(model, context, cls, count))
+    assert {name for name, _, _ in found} == set(model.class_w)
+    for name, ids, sums in found:
+        for i, j in zip(rng.integers(0, len(ids), 6), rng.integers(0, scoring.CLASSES, 6)):
+            assert abs(slope(model.class_w[name], (ids[i], j), likelihood) - sums[i, j]) < 1e-4 * (1 + abs(sums[i, j])), name
+    seen, w = rng.integers(0, 5, (3, scoring.CLASSES, scoring.SLOTS)).astype(float), rng.normal(size=(3, scoring.CLASSES, scoring.SLOTS))
+    gradient, _ = scoring.slot_gradient(seen, model.slot_bias, w)
 
-    def likelihood():
-        ctx = previous * (scoring.CLASSES + 1) + skip
-        return sum(count * (model.classes(ctx)[np.arange(n), unit // scoring.SLOTS] + model.slots(ctx, unit // scoring.SLOTS)[np.arange(n), unit % scoring.SLOTS]))
+    def slot_likelihood():
+        logits = model.slot_bias + w
+        return (seen * (logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True)))).sum()
 
-    for level, name, ids, sums in scoring.feature_sums(model, previous, skip, unit, count):
-        weights = (model.class_w if level == "class" else model.slot_w)[name]
-        width = scoring.CLASSES if level == "class" else scoring.SLOTS
-        flat = weights.reshape(-1, width)
-        for i, j in zip(rng.integers(0, len(ids), 4), rng.integers(0, width, 4)):
-            flat[ids[i], j] += 1e-4
-            high = likelihood()
-            flat[ids[i], j] -= 2e-4
-            low = likelihood()
-            flat[ids[i], j] += 1e-4
-            assert abs((high - low) / 2e-4 - sums[i, j]) < 1e-4 * (1 + abs(sums[i, j])), (level, name)
+    for at in zip(rng.integers(0, 3, 9), rng.integers(0, scoring.CLASSES, 9), rng.integers(0, scoring.SLOTS, 9)):
+        assert abs(slope(w, at, slot_likelihood) - gradient[at]) < 1e-3
 
 
 def plain_scores(rows, rounds, prior=1.0):
@@ -549,33 +561,49 @@ def plain_scores(rows, rounds, prior=1.0):
     token = lambda t: [*lower(t).split(), b""]
     learn = [token(t) for d, t, _ in rows if zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2]
     c = collections.Counter(w for t in learn for w in t)
-    own = {w: i for i, w in enumerate(sorted(c, key=lambda w: (-c[w], w))[: scoring.OWN])}
-    unit = lambda w: own[w] if w in own else scoring.OWN + zlib.crc32(w) % (scoring.UNITS - scoring.OWN)
+    rank = {w: i for i, w in enumerate(sorted(c, key=lambda w: (-c[w], w))[: scoring.PREVIOUS // 2])}
+    own = {w for w, i in rank.items() if i < scoring.OWN}
+    unit = lambda w: rank[w] if w in own else scoring.OWN + zlib.crc32(w) % (scoring.UNITS - scoring.OWN)
+    before = lambda w: rank[w] if w in rank else scoring.PREVIOUS // 2 + (zlib.crc32(w) >> 12) % (scoring.PREVIOUS // 2)
     mass, kinds = np.zeros(scoring.UNITS), np.zeros(scoring.UNITS)
     for w, n in c.items():
         mass[unit(w)] += n
         kinds[unit(w)] += w not in own
 
     def walk(words):
-        one, two = scoring.START, scoring.START
+        one, two = scoring.START, scoring.SKIPS
+        last = None
         for w in words:
-            yield one, two // scoring.SLOTS, unit(w), w
-            one, two = unit(w), one
+            yield one * (scoring.SKIPS + 1) + two, one, unit(w), w
+            one, two = before(w), scoring.SKIPS if last is None else unit(last) * scoring.SKIPS // scoring.UNITS
+            last = w
 
-    seen = collections.Counter(x[:3] for t in learn for x in walk(t))
+    seen = collections.Counter((context, u // scoring.SLOTS) for t in learn for context, _, u, _ in walk(t))
     model = scoring.Model(mass)
     cells = [np.array(x) for x in zip(*seen)] + [np.array(list(seen.values()))]
     for _ in range(rounds):
-        sums = {}
-        for level, name, ids, part in scoring.feature_sums(model, *cells):
-            model.add(sums, f"{level}:{name}", ids, part)
+        sums = {k: np.zeros((len(v), 2 * scoring.CLASSES)) for k, v in model.class_w.items()}
+        for name, ids, part in scoring.class_sums(model, *cells):
+            sums[name][ids] += part
         model.step(sums, prior)
+    follow = collections.defaultdict(lambda: np.zeros(scoring.UNITS))
+    for t in learn:
+        for _, one, u, _ in walk(t):
+            follow[one][u] += 1
+    bias = model.slot_bias
+    weights = {}
+    for one, n in follow.items():
+        n, w = n.reshape(bias.shape), np.zeros(bias.shape)
+        for _ in range(rounds):
+            share = np.exp(bias + w) / np.exp(bias + w).sum(axis=1, keepdims=True) * n.sum(axis=1, keepdims=True)
+            w = w + np.clip((n - share - prior * w) / (share + prior), -1, 1)
+        weights[one] = w
     out = []
     for d, t, _ in rows:
         total = 0.0
-        for one, two, u, w in walk(token(t)):
-            ctx = np.array([one * (scoring.CLASSES + 1) + two])
-            p = model.classes(ctx)[0, u // scoring.SLOTS] + model.slots(ctx, np.array([u // scoring.SLOTS]))[0, u % scoring.SLOTS]
+        for context, one, u, w in walk(token(t)):
+            logits = (bias + weights.get(one, 0))[u // scoring.SLOTS]
+            p = model.classes(np.array([context]))[0, u // scoring.SLOTS] + logits[u % scoring.SLOTS] - np.log(np.exp(logits).sum())
             total += p / math.log(10) + (0 if w in own else math.log10((c[w] + 1) / (mass[u] + kinds[u] + 1)))
         out.append((d, total))
     return out
