@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import RID, numbered, stored
 
-CLASSES, SLOTS = 32, 64  # output units: CLASSES * SLOTS; class and slot of unit u are u // SLOTS and u % SLOTS
+CLASSES, SLOTS = 16, 128  # output units: CLASSES * SLOTS; class and slot of unit u are u // SLOTS and u % SLOTS
 UNITS, OWN = CLASSES * SLOTS, CLASSES * SLOTS // 2  # the OWN most frequent words have units of their own, others share hashed ones
-PREVIOUS = 1 << 14  # values of the feature "word before": half are the most frequent words' own, others are hashed
+PREVIOUS = 1 << 12  # values of the feature "word before": half are the most frequent words' own, others are hashed
 SKIPS, PAIRS = 16, 4  # values of the skip feature, the word two back; hashed ones of it that are joined with the word before
-START, FLUSH, TOKENS = PREVIOUS, 300_000, 2_000_000  # START: the word before a text; SKIPS stands two places before a text
+START, FLUSH, TOKENS = PREVIOUS, 300_000, 4_000_000  # START: the word before a text; SKIPS stands two places before a text
 CONTEXTS = (PREVIOUS + 1) * (SKIPS + 1)  # word before x skip
 CELLS = UNITS + (SKIPS + 1) * CLASSES  # of a word before: units, then skip x class
 SPREAD = 24  # blocks of weights
@@ -117,9 +117,17 @@ def transitions(train: DataFrame, own: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, keys, size = Codes(held.value), [], 0
 
-        def out() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int32), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key // CELLS), pa.array(key % CELLS), pa.array(n)], names=["previous", "cell", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            if not keys:
+                return
+            key = np.concatenate(keys)
+            keys.clear()
+            key.sort()
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, n = key[start], np.diff(np.r_[start, len(key)])
+            for at in range(0, len(key), FLUSH):
+                part = key[at : at + FLUSH]
+                yield pa.RecordBatch.from_arrays([pa.array(part // CELLS), pa.array(part % CELLS), pa.array(n[at : at + FLUSH])], names=["previous", "cell", "n"])
 
         for batch in batches:
             for part in _pieces(batch):
@@ -130,9 +138,9 @@ def transitions(train: DataFrame, own: dict[bytes, int]) -> DataFrame:
                 keys += [one * CELLS + unit, one * CELLS + UNITS + two * CLASSES + unit // SLOTS]
                 size += len(words)
                 if size > TOKENS:
-                    yield out()
-                    keys, size = [], 0
-        yield out()
+                    yield from out()
+                    size = 0
+        yield from out()
 
     return train.mapInArrow(run, "previous int, cell int, n long").groupBy("previous", "cell").agg(F.sum("n").alias("n"))
 
