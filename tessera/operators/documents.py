@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import prose as P
 
 #: Our own small vocabularies for the corpus.
 THEMES = {"energy": ["energy", "grid", "solar"], "defence": ["defence", "shield", "guard"], "growth": ["growth", "expand", "rising"], "trade": ["the", "and", "for"]}
@@ -155,16 +156,9 @@ def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return rows.select(id_col, "table_no", "row_no", cells.alias("cells")).filter(F.size("cells") > 0)
 
 
-def labelled_facts(df: DataFrame, keys: list[str], text_col: str, labels: dict[str, str], percents: dict[str, str]) -> DataFrame:
-    """Of each label the first money amount (with scale, not a percentage) or percentage that its clause states: the label, a period,
-    a change ("rose 4%"), a connector and at most 25 characters without digit, sentence end, semicolon or "but" may come before it."""
-    period, change, link, gap = r"(?:\s+(?:for|in)\s+(?:the\s+year\s+|fiscal\s+)?(?:19|20)\d\d)?", r"(?:\s+(?:was up|rose|grew|fell|was down)(?:\s+by)?\s+[\d.]+\s*%)?+", r"(?:\s+(?:of|was|were|to|at|amounted to|reached))?", r"(?:(?!\bbut\b|\bwhile\b)[^\d\n.;%]){0,25}?"
-    found = []
-    for name, label in labels.items():
-        p = rf"(?i)\b(?:{label}){period}{change}{link}{gap}[€£$]?\s*(\d[\d,]*(?:\.\d+)?)(?![\d.,]*\d)\s*(thousand|million|billion)?(?!\s*%)"
-        found.append(F.struct(F.lit(name).alias("label"), F.lit("money").alias("kind"), F.regexp_extract(text_col, p, 1).alias("raw"), F.lower(F.regexp_extract(text_col, p, 2)).alias("scale")))
-    for name, label in percents.items():
-        p = rf"(?i)\b(?:{label}){period}(?:\s+(?:of|was|were|stood at|reached|at))?{gap}(\d[\d,]*(?:\.\d+)?)\s*%"
-        found.append(F.struct(F.lit(name).alias("label"), F.lit("percent").alias("kind"), F.regexp_extract(text_col, p, 1).alias("raw"), F.lit("").alias("scale")))
-    rows = df.select(*keys, F.inline(F.array(*found))).filter("raw <> ''")
-    return rows.select(*keys, "label", "kind", F.regexp_replace("raw", ",", "").cast("double").alias("value"), F.nullif("scale", F.lit("")).alias("scale"))
+def labelled_facts(df: DataFrame, keys: list[str], text_col: str, labels: dict[str, list[str]], percents: dict[str, list[str]]) -> DataFrame:
+    """K15, K16 with labels of one's own: of each label the one money amount or percentage that its clause states, with its scale."""
+    found = P.mentions(df, keys, text_col, P.Scanner(labels, percents, {}))
+    strong = F.coalesce(F.col("currency").isNotNull() | F.col("scale").isNotNull(), F.lit(False)) | (F.col("unit") == "percent")
+    g = found.groupBy(*keys, "label").agg(F.min(F.when(strong, F.col("value"))).alias("low"), F.max(F.when(strong, F.col("value"))).alias("high"), F.min_by(F.struct("unit", "value", "scale"), F.struct(~F.col("strong"), F.col("start"))).alias("best"))
+    return g.filter("low IS NULL OR low = high").select(*keys, "label", F.when(F.col("best.unit") == "percent", "percent").otherwise("money").alias("kind"), "best.value", "best.scale")

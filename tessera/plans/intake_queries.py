@@ -174,7 +174,7 @@ def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("entity", "fy", text.alias("text"))
 
 
-LABELS, PERCENTS = {"revenue": "revenue", "gross": "gross sales"}, {"margin": "margin"}
+LABELS, PERCENTS = {"revenue": ["revenue"], "gross": ["gross sales"]}, {"margin": ["margin"]}
 
 
 @query

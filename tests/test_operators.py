@@ -265,5 +265,5 @@ def test_labelled_facts_stay_in_their_clause(spark):
     from tessera.operators import documents as D
 
     texts = ["Revenue rose 5%", "Revenue rose by 5% to $1,200.5 million", "revenue fell; profit of 3 million", "Revenue for 2003 was 7 billion", "revenue but costs of 9 million", "Margin of 4.5%", "revenue was 12.5%"]
-    got = D.labelled_facts(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), ["id"], "t", {"revenue": "revenue"}, {"margin": "margin"}).collect()
+    got = D.labelled_facts(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), ["id"], "t", {"revenue": ["revenue"]}, {"margin": ["margin"]}).collect()
     assert sorted((r.id, r.label, r.value, r.scale) for r in got) == [(1, "revenue", 1200.5, "million"), (3, "revenue", 7.0, "billion"), (5, "margin", 4.5, None)]
