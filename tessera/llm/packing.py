@@ -15,14 +15,14 @@ from pyspark.sql import Window
 from .common import partitions, running_totals, stored
 
 END_ID = 1
-CACHE = 400_000  # chunks and words whose ids are kept
+CACHE, LONGEST = 400_000, 64  # chunks and words whose ids are kept, and the characters of the longest: 150 MB at the very most
 MOST_BASES = 200_000
 _coders: dict = {}
 
 
 class Known(dict):
-    """What `make` gives for a key. Keeps the first `most` keys, which hold the common ones, and starts anew after four times as many
-    others, in case the texts have changed."""
+    """What `make` gives for a key. Keeps the first `most` keys of at most LONGEST characters, which hold the common ones, and starts anew
+    after four times as many others, in case the texts have changed."""
 
     def __init__(self, make, most: int):
         super().__init__()
@@ -30,6 +30,8 @@ class Known(dict):
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) < self.most:
             self[key] = value
         else:
