@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 RID = "__tessera_row"
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH = "4m"
-MOST_FILES = 200_000  # rows of the broadcast table of files, of some hundred bytes each
+MOST_FILES = 2_000_000  # rows of the broadcast table of files, two longs each: some 100 MB as a hash table, for 250 TB in files of 128 MB
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -83,20 +83,21 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def kept_numbers(df: DataFrame, name: str = "numbered") -> DataFrame:
     """df with RID, the same in all later scans. A scan of Parquet files gets it from file and place in the file, which don't depend on
-    splits, while the files' numbers are few enough to broadcast (MOST_FILES); anything else is written once with its numbers."""
+    splits: a broadcast table has the number of each path's hash. Beyond MOST_FILES files, if two paths have one hash, or if df is no
+    scan, its rows are written once with their numbers."""
     if RID in df.columns:
         return df
     try:
         path, place = (df.metadataColumn("_metadata").getField(f) for f in ("file_path", "row_index"))
-        files = df.select(path.alias("__tessera_file")).distinct()
-        known = files.limit(MOST_FILES + 1).count()
+        files = df.select(F.xxhash64(path).alias("__tessera_hash"), path.alias("__tessera_file")).distinct()
+        known, hashes = files.agg(F.count(F.lit(1)), F.countDistinct("__tessera_hash")).first()
     except (AnalysisException, IllegalArgumentException):  # not a scan of Parquet files
-        known = 0
-    if not 0 < known <= MOST_FILES:
+        known = hashes = 0
+    if not 0 < known <= MOST_FILES or hashes < known:
         return stored(numbered(df), name, "zstd")
-    files = stored(files.withColumn("__tessera_number", F.row_number().over(Window.orderBy("__tessera_file"))), "files")
-    placed = df.select("*", path.alias("__tessera_file"), place.alias("__tessera_place")).join(F.broadcast(files), "__tessera_file")
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft(F.col("__tessera_number").cast("long"), 40) + F.col("__tessera_place")).alias(RID))
+    files = stored(files.select("__tessera_hash", F.row_number().over(Window.orderBy("__tessera_file")).cast("long").alias("__tessera_number")), "files")
+    placed = df.select("*", F.xxhash64(path).alias("__tessera_hash"), place.alias("__tessera_place")).join(F.broadcast(files), "__tessera_hash")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft("__tessera_number", 40) + F.col("__tessera_place")).alias(RID))
 
 
 def ascii_lower(text: Column) -> Column:
