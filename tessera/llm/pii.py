@@ -179,8 +179,8 @@ def detect(docs: DataFrame, support: int = 3, threshold: float = 0.8, certain: f
     if told.isEmpty():
         return plain
     at = _occurrences(found, stored(told.select("term").distinct(), "terms"))
-    hits = at.join(holds.join(told.select("entity").distinct(), "entity", "left_semi"), RID).join(told, ["entity", "term"]).groupBy(RID, "start", "end").agg(F.max("kind").alias("kind"))
-    more = hits.groupBy(RID).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    gives = holds.join(told, "entity").groupBy(RID, "term").agg(F.max("kind").alias("kind"))  # a row for each document and term, however many entities
+    more = at.join(gives, [RID, "term"]).groupBy(RID).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
     return found.drop("text", "near").join(more, RID, "left").select(RID, F.col("id").alias(id_col), "base", spans.alias("spans"))
 
