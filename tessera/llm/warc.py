@@ -158,5 +158,5 @@ def round_trip(pages: DataFrame, least: int = 0, **columns) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to as read back from the archives that write() makes."""
     name = columns.get("id_col", "page_id")
     kind = pages.schema[name].dataType
-    number = lambda c: F.expr(f"nullif(split({c}, ':')[2], 'null')").cast(kind)
-    return read(write(pages, least, **columns)).select(number("record_id").alias(name), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    number = lambda c: F.nullif(F.regexp_extract(c, "(?s)^urn:page:(.*):[0-9]+$", 1), F.lit("null")).cast(kind)
+    return read(write(pages, least, **columns)).select(number("record_id").alias(name), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"))
