@@ -159,7 +159,8 @@ def link(distinct: DataFrame, most: int = 3, limit: int = 16384) -> DataFrame:
     again and again: after at most six splits under 12 bits are free, which bounds a group. Within a group, in Gray order,
     GrayIndex finds the links; what leaves a task is one edge per fingerprint at most, not all pairs.
     """
-    assert most < BLOCKS
+    if most >= BLOCKS:
+        raise ValueError(f"links of {most} bits need more than {BLOCKS} runs of bits")
     spark, n = distinct.sparkSession, partitions(distinct.sparkSession)
     masks = {0: split_mask(0)}
     todo = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
