@@ -54,5 +54,5 @@ def period_rank(period: Column) -> Column:
 
 
 def primary_credit(base: Column, facts: Column) -> Column:
-    """15 for each primary fact up to 45, at most 100 in all."""
-    return F.least(base + F.least(facts * 15, F.lit(45)), F.lit(100))
+    """15 for each primary fact up to 45, at most a primary filing's own score, 95; without such facts the score as it was."""
+    return F.when(facts > 0, F.least(base + F.least(facts * 15, F.lit(45)), F.lit(95))).otherwise(base)

@@ -171,3 +171,11 @@ def provenance(is_mock: Column, real_evidence: Column) -> Column:
 def redact(text: Column) -> Column:
     """K5: credentials in free text become ***."""
     return F.regexp_replace(F.regexp_replace(text, rf"(?i)\b({SECRETS})\s*[=:]\s*[^\s&]+", "$1=***"), r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]+=*", "bearer ***")
+
+
+def by_domain(host: Column, table: dict) -> Column:
+    """What a table has for a host or for the nearest domain above it; null for none. Labels are compared whole."""
+    labels = F.split(F.lower(host), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.get(F.filter(F.transform(above, lambda d: F.element_at(known, d)), lambda v: v.isNotNull()), 0)

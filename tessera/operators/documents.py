@@ -20,7 +20,7 @@ SECTION = r"(?i)\b(?:financial highlights|income statement|cash flow statement|b
 PERIOD = r"(?i)\b(?:FY ?20\d\d|(?:19|20)\d\d|(?:six|nine|three) months? ended|year ended|for the year)\b"
 LISTED = r"^(?:.{1,70}?\s+\d{1,4}|\d{1,3}\.\s+\S.*|\d{1,4})$"
 FORBIDDEN = {"rating": r"\b(?:BUY|SELL|HOLD)\b", "rating_in_context": r"(?i)\b(?:recommend|rated|rating)\b[^.!?]{0,40}\b(?:buy|sell|hold)\b", "phrase": r"(?i)price target|guaranteed return|worthless"}
-NEUTRAL = [(r"(?i)price targets?", "valuation reference"), (r"(?i)guaranteed returns?", "expected outcome"), (r"(?i)worthless", "low value"), (r"\b(?:BUY|SELL|HOLD)\b", "[rating removed]"), (r"(?i)(\b(?:recommend|rated|rating)\b[^.!?]{0,40}?)\b(?:buy|sell|hold)\b", "$1[rating removed]")]
+NEUTRAL = [(r"(?i)price targets?", "valuation reference"), (r"(?i)guaranteed returns?", "expected outcome"), (r"(?i)worthless", "low value"), (r"\b(?:BUY|SELL|HOLD)\b", "[removed]"), (r"(?i)(?<=\b(?:recommend|rated|rating)\b[^.!?]{0,40})\b(?:buy|sell|hold)\b", "[removed]")]
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, least: int = 40) -> DataFrame:
@@ -95,11 +95,11 @@ def safety_hits(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return rows.select(*keys, F.inline(found)).filter("matched_text IS NOT NULL")
 
 
-def neutralize(text: Column, passes: int = 2) -> Column:
-    """Ordered replacements, again and again, so that the scan finds nothing."""
-    for _ in range(passes):
-        for pattern, other in NEUTRAL:
-            text = F.regexp_replace(text, pattern, other)
+def neutralize(text: Column) -> Column:
+    """Ordered replacements, so that the scan finds nothing. Every rating word in reach of an intent goes at once; what stands in its
+    place is longer and holds no intent, so no other word comes into reach."""
+    for pattern, other in NEUTRAL:
+        text = F.regexp_replace(text, pattern, other)
     return text
 
 
@@ -131,31 +131,6 @@ def claim_coverage(claims: DataFrame, evidence: DataFrame, key: str) -> DataFram
     return joined.withColumn("status", F.when(F.col("valid") == 0, "unsupported").when(F.col("invalid") > 0, "partly_supported").otherwise("supported"))
 
 
-def bare(html: Column) -> Column:
-    """The text that tags leave, white space folded."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
-
-
-def headings(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Level, title and path of every heading with a title: the path has the open headings above it, outermost first."""
-    tags = F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>)"), F.lit(1))
-    each = F.transform(tags, lambda t: F.struct(F.substring(t, 3, F.lit(1)).cast("int").alias("level"), bare(t).alias("title")))
-    each = F.filter(each, lambda h: h.title != "")
-    rows = pages.select(id_col, each.alias("hs")).select(id_col, "hs", F.posexplode("hs").alias("n", "h"))
-    above = F.aggregate(
-        F.slice("hs", F.lit(1), F.col("n") + 1), F.array().cast("array<struct<level:int,title:string>>"), lambda stack, h: F.array_append(F.filter(stack, lambda s: s.level < h.level), h), lambda stack: F.transform(stack, lambda s: s.title)
-    )
-    return rows.select(id_col, "n", F.col("h.level").alias("level"), F.col("h.title").alias("title"), F.array_join(above, " > ").alias("path"))
-
-
-def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """A row for each table row that has cells: table_no, row_no, and the cells' texts."""
-    find = lambda c, tag: F.regexp_extract_all(c, F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}>)"), F.lit(1))
-    rows = pages.select(id_col, F.posexplode(find(F.coalesce(html_col, F.lit("")), "table")).alias("table_no", "t")).select(id_col, "table_no", F.posexplode(find(F.col("t"), "tr")).alias("row_no", "r"))
-    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)(<t[dh]\b[^>]*>.*?</t[dh]>)"), F.lit(1)), bare)
-    return rows.select(id_col, "table_no", "row_no", cells.alias("cells")).filter(F.size("cells") > 0)
-
-
 def labelled_facts(df: DataFrame, keys: list[str], text_col: str, labels: dict[str, list[str]], percents: dict[str, list[str]]) -> DataFrame:
     """K15, K16 with labels of one's own: of each label the one money amount or percentage that its clause states, with its scale."""
     found = P.mentions(df, keys, text_col, P.Scanner(labels, percents, {}))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import trees
 from tessera.operators.events import dedupe_ranked
 
 #: Instrument types that count as shares, document kinds from the most to the least wanted, method qualities and confidence limits.
@@ -13,6 +14,7 @@ KINDS = ["annual_report", "results_release", "interim_report", "presentation", "
 METHODS = {"html": 0, "native_pdf": 1, "ocr": 2}
 BOOST, MOST_CONFIDENT, OCR_CEILING, LEAST_CONFIDENT = 0.1, 0.95, 0.72, 0.6
 SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
+FULL_YEAR = 300  # days
 
 
 def vendor_rows(df: DataFrame, kind: str, exchange: str, code: str, wanted: str | None = None) -> DataFrame:
@@ -61,33 +63,25 @@ def dedupe_evidence(df: DataFrame, url: str, ident: str, source_type: str, excer
     return dedupe_ranked(df, [F.coalesce(F.nullif(empty(url), F.lit("")), empty(ident)), empty(source_type), F.substring(empty(excerpt), 1, 60)], [], ordinal)
 
 
-def freshest_alias(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """S7 on columns alias, alias_order, fy, filed, annual, value: over all aliases annual entries before quarterly ones, then the latest
-    fiscal year, the latest filing, the first alias; `prior` is the same alias's value of the year before, annual ones alone."""
-    w = Window.partitionBy(*keys, "alias", "fy", "annual").orderBy(F.desc("filed"), F.desc("value"))
-    latest = entries.filter("value IS NOT NULL").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    before = Window.partitionBy(*keys, "alias", "annual").orderBy("fy")
-    latest = latest.withColumn("prior", F.when(F.col("annual") & (F.lag("fy").over(before) == F.col("fy") - 1), F.lag("value").over(before)))
-    best = Window.partitionBy(*keys).orderBy(F.desc("annual"), F.desc("fy"), F.desc("filed"), F.asc("alias_order"))
-    out = latest.withColumn("__n", F.row_number().over(best)).filter("__n = 1")
-    return out.select(*keys, "alias", "fy", F.when(F.col("annual"), "annual").otherwise("quarterly").alias("period_type"), "value", "prior")
-
-
-def tree_leaves(df: DataFrame, spark: SparkSession, key: str, payload: str, deepest: int = 8) -> DataFrame:
-    """(key, path, value) of every scalar in a JSON text, however nested up to `deepest` levels; null leaves stay, invalid texts have none."""
-    level = df.select(key, F.lit("$").alias("path"), F.try_parse_json(F.col(payload)).alias("v")).filter("v IS NOT NULL")
-    leaves = None
-    for depth in range(deepest + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        here = level.filter(~nested).select(key, "path", F.expr("variant_get(v, '$', 'string')").alias("value"))
-        leaves = here if leaves is None else leaves.unionByName(here)
-        if depth < deepest:
-            inner = level.filter(nested).select(F.col(key).alias("k"), "path", "v")
-            step = spark.sql("SELECT k, path, e.pos AS pos, e.key AS name, e.value AS v FROM {inner}, LATERAL variant_explode(v) AS e", inner=inner)
-            at = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("name")))
-            level = step.select(F.col("k").alias(key), F.concat("path", at).alias("path"), "v")
-    return leaves
+def freshest_alias(entries: DataFrame, keys: list[str], scale: float | None = None) -> DataFrame:
+    """S7 on columns alias, alias_order, fy, filed, annual, value, and perhaps start and end: over all aliases annual entries before quarterly
+    ones, then those that span a full year (FULL_YEAR days, or no span stated: a fourth quarter in an annual form is none), then
+    the latest fiscal year, filing and end, the first alias. `prior` is the same alias's freshest full annual value of the year
+    before. scale divides both, to two places."""
+    spans = {"start", "end"} <= set(entries.columns)
+    days = F.datediff(F.col("end").cast("date"), F.col("start").cast("date")) if spans else F.lit(None).cast("int")
+    x = entries.filter("value IS NOT NULL").withColumns({"__full": F.coalesce(days >= FULL_YEAR, F.lit(True)), "__end": F.col("end").cast("string") if spans else F.lit(None).cast("string")})
+    best = Window.partitionBy(*keys).orderBy(F.desc("annual"), F.desc("__full"), F.desc("fy"), F.desc("filed"), F.desc("__end"), F.asc("alias_order"), F.desc("value"))
+    latest = x.withColumn("__n", F.row_number().over(best)).filter("__n = 1").withColumn("__before", F.when(F.col("annual"), F.col("fy") - 1))
+    before = x.filter("annual AND __full").groupBy(*keys, "alias", F.col("fy").alias("__before")).agg(F.max_by("value", F.struct("filed", "__end", "value")).alias("prior"))
+    out = latest.join(before, [*keys, "alias", "__before"], "left")
+    in_scale = lambda c: F.round(F.col(c) / scale, 2).alias(c) if scale else F.col(c)
+    return out.select(*keys, "alias", "fy", F.when(F.col("annual"), "annual").otherwise("quarterly").alias("period_type"), in_scale("value"), in_scale("prior"))
+
+
+def tree_leaves(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, path, value) of every scalar in a JSON text, however nested."""
+    return trees.tree_leaves(df, [key], payload).drop("kind")
 
 
 def validated_facts(candidates: DataFrame, keys: list[str], known: str, order: list[str]) -> DataFrame:

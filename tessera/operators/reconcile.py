@@ -20,9 +20,9 @@ def resolve(candidates: DataFrame, keys: list[str], method: str, value: str, con
 
 
 def subtotals(rows: DataFrame, keys: list[str], total: str, parts: list[str], share: float = 0.01, least: float = 0.5) -> DataFrame:
-    """V5: the sum of the parts against the reported total; a total whose parts are incomplete isn't judged."""
+    """V5: the sum of the parts against the reported total, within a share of the sum; a total whose parts are incomplete isn't judged."""
     expected = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
-    off = F.abs(expected - F.col(total)) > F.greatest(F.abs(F.col(total)) * share, F.lit(least))
+    off = F.abs(expected - F.col(total)) > F.greatest(F.abs(expected) * share, F.lit(least))
     return rows.select(*keys, F.round(expected, 2).alias("expected"), F.col(total).alias("reported"), F.when(expected.isNull() | F.col(total).isNull(), "not_checked").when(off, "demoted").otherwise("consistent").alias("check"))
 
 

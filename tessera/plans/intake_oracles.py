@@ -7,6 +7,8 @@ _REASONS = ["demand for solar power is in transition", "contract award for bolt
 _GROWTH = ["growth", "expansion", "market share", "tailwind", "transition", "demand", "adoption", "scale", "pipeline", "backlog"]
 _CATALYSTS = ["catalyst", "trigger", "contract", "award", "permit", "deal", "announcement", "event", "approval", "launch"]
 _TAG = r"trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+    _TAG = f"replace({_TAG}, '{_e}', '{_c}')"
 
 
 def _n(text: str, words: list[str]) -> str:
@@ -44,7 +46,7 @@ SQL = {
     "vendor_statements": f"""WITH {FACTS}, l AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY entity ORDER BY fy DESC) = 1)
         SELECT entity, 'market_cap_mln' AS field_name, round(entity * 1.5::DOUBLE, 4) AS value, 'USD_m' AS unit FROM l WHERE entity % 4 > 0 UNION ALL SELECT entity, 'pe_ratio', 12.5, 'ratio' FROM l WHERE entity % 3 = 0
         UNION ALL SELECT entity, 'income_statement.' || fy || '-12-31.total_revenue_mln', round(revenue / 1000000, 4), 'USD_m' FROM l WHERE fy % 3 > 0 UNION ALL SELECT entity, 'income_statement.' || fy || '-12-31.gross_profit_mln', round(gross / 1000000, 4), 'USD_m' FROM l WHERE gross IS NOT NULL""",
-    "news_json": r"""WITH p AS (SELECT page_id, url, CASE regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') WHEN 'example.com' THEN 3 WHEN 'example.org' THEN 4 ELSE 5 END AS tier FROM pages)
+    "news_json": r"""WITH p AS (SELECT page_id, url, CASE WHEN regexp_matches(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#:]+\.)?example\.com([/?#:]|$)') THEN 3 WHEN regexp_matches(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#:]+\.)?example\.org([/?#:]|$)') THEN 4 ELSE 5 END AS tier FROM pages)
         SELECT page_id, 0 AS n, 't' || page_id AS headline, url, '2024-01-02' AS published_at, 'Wire' AS source_name, tier AS source_tier FROM p WHERE page_id % 3 = 0
         UNION ALL SELECT page_id, 1, 'x', 'http://www.example.com/a', NULL, 'own', 3 FROM p WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 0, 't' || page_id, url, '2024', 'House', tier FROM p WHERE page_id % 3 = 1
         UNION ALL SELECT page_id, 1, 't' || page_id, NULL, NULL, NULL, 5 FROM p WHERE page_id % 3 = 2""",
@@ -55,7 +57,7 @@ SQL = {
         SELECT a.page_id, a.n, a.level, a.title, string_agg(b.title, ' > ' ORDER BY b.n) AS path
         FROM flat a JOIN flat b ON a.page_id = b.page_id AND b.n <= a.n AND (b.n = a.n OR b.level < a.level) AND NOT EXISTS (SELECT 1 FROM flat c WHERE c.page_id = a.page_id AND c.n > b.n AND c.n <= a.n AND c.level <= b.level)
         GROUP BY a.page_id, a.n, a.level, a.title""",
-    "html_tables": "SELECT o_orderkey, 0 AS table_no, 0 AS row_no, 'Key' AS cells FROM orders UNION ALL SELECT o_orderkey, 0, 1, o_orderkey || '|' || o_orderpriority || ' x' FROM orders UNION ALL SELECT o_orderkey, 1, 0, o_orderstatus FROM orders",
+    "html_tables": "SELECT o_orderkey, 0 AS table_no, 0 AS row_no, 'Key|' AS cells FROM orders UNION ALL SELECT o_orderkey, 0, 1, o_orderkey || '|' || o_orderpriority || ' x' FROM orders UNION ALL SELECT o_orderkey, 1, 0, o_orderstatus FROM orders",
     "json_slice": """SELECT event_id, CASE WHEN event_id % 5 > 1 THEN '{"note": "a } in \\" text [", "rows": [1, {"p": ' || props || '}]}' END AS slice FROM events""",
     "tree_leaves": """WITH e AS (SELECT * FROM events WHERE event_id % 9 > 0)
         SELECT event_id, '$.type' AS path, event_type AS value FROM e UNION ALL SELECT event_id, '$.ids[0]', CAST(event_id AS VARCHAR) FROM e UNION ALL SELECT event_id, '$.ids[1][0]', CAST(user_id AS VARCHAR) FROM e

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import documents as D
 from tessera.operators import intake as I
+from tessera.operators import markup as M
 from tessera.operators import scoring as R
 from tessera.plans.catalogue import query
 from tessera.sources import parsers as SP
@@ -104,14 +105,14 @@ def news_json(spark: SparkSession, sf: str) -> DataFrame:
 def heading_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with sections added under their own heading."""
     tail = F.concat(F.lit("<h2 class='x'>Part <b>"), F.col("page_id").cast("string"), F.lit("</b></h2><p>x</p><h4>Deep</h4><h3>Less</h3><h2></h2><h2>Next</h2>"))
-    return D.headings(table(spark, sf, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), tail).alias("html")), "page_id", "html")
+    return M.headings(M.structure(table(spark, sf, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), tail).alias("html")), "page_id", "html"), "page_id")
 
 
 @query
 def html_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Two tables for each order line count."""
     o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("<TABLE a=1><tr><th>Key<th></th></tr><tr class=r><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td><i>"), F.col("o_orderpriority"), F.lit("</i>\n x</td></tr><tr></tr></TABLE>text<table><tr><td>"), F.col("o_orderstatus"), F.lit("</td></tr></table>")).alias("html"))
-    return D.html_tables(o, "o_orderkey", "html").withColumn("cells", F.array_join("cells", "|"))
+    return M.table_rows(M.structure(o, "o_orderkey", "html"), "o_orderkey").select("o_orderkey", "table_no", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @query
@@ -128,7 +129,7 @@ def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
     """Events as nested documents; every ninth text is no JSON."""
     e = table(spark, sf, "events")
     payload = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "ids": ['), F.col("event_id").cast("string"), F.lit(", ["), F.col("user_id").cast("string"), F.lit(']], "more": {"props": '), F.col("props"), F.lit(', "none": null}}'))
-    return I.tree_leaves(e.select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("{oops")).otherwise(payload).alias("payload")), spark, "event_id", "payload")
+    return I.tree_leaves(e.select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("{oops")).otherwise(payload).alias("payload")), "event_id", "payload")
 
 
 THEMES = {"grid": ["grid", "power", "solar"], "fastening": ["bolt", "gear", "ring"]}

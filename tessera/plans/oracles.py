@@ -117,10 +117,8 @@ def _scan(x: str) -> str:
 
 
 def _neutral(x: str) -> str:
-    pairs = [(r"(?i)price targets?", "valuation reference"), (r"(?i)guaranteed returns?", "expected outcome"), (r"(?i)worthless", "low value"), (r"\b(?:BUY|SELL|HOLD)\b", "[rating removed]"), (r"(?i)(\b(?:recommend|rated|rating)\b[^.!?]{0,40}?)\b(?:buy|sell|hold)\b", r"\1[rating removed]")]
-    for _ in range(2):
-        for p, r in pairs:
-            x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
+    for p, r in [(r"(?i)price targets?", "valuation reference"), (r"(?i)guaranteed returns?", "expected outcome"), (r"(?i)worthless", "low value"), (r"\b(?:BUY|SELL|HOLD)\b", "[removed]")] + [(r"(?i)(\b(?:recommend|rated|rating)\b[^.!?]{0,40}?)\b(?:buy|sell|hold)\b", r"\1[removed]")] * 3:
+        x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
     return x
 
 
@@ -266,7 +264,7 @@ SQL = {
         j AS (SELECT *, high - low <= greatest(greatest(abs(high), abs(low)) * 0.01::DOUBLE, 0.5) AS agree, least(1.0::DOUBLE, conf + CASE WHEN methods > 1 THEN 0.1::DOUBLE ELSE 0 END) AS boosted FROM g)
         SELECT label, scope, n, methods, CASE WHEN NOT agree AND methods > 1 THEN 'rejected' WHEN NOT agree OR boosted < 0.6 THEN 'excerpt_only' ELSE 'validated' END AS validation, CASE WHEN agree THEN v END AS value, CASE WHEN agree THEN round(boosted, 4) END AS confidence FROM j""",
     "subtotal_check": """WITH l AS (SELECT l_orderkey, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS e FROM lineitem GROUP BY 1)
-        SELECT o_orderkey AS l_orderkey, round(e, 2) AS expected, o_totalprice AS reported, CASE WHEN e IS NULL OR o_totalprice IS NULL THEN 'not_checked' WHEN abs(e - o_totalprice) > greatest(abs(o_totalprice) * 0.01::DOUBLE, 0.5) THEN 'demoted' ELSE 'consistent' END AS "check" FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""",
+        SELECT o_orderkey AS l_orderkey, round(e, 2) AS expected, o_totalprice AS reported, CASE WHEN e IS NULL OR o_totalprice IS NULL THEN 'not_checked' WHEN abs(e - o_totalprice) > greatest(abs(e) * 0.01::DOUBLE, 0.5) THEN 'demoted' ELSE 'consistent' END AS "check" FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""",
     "claim_coverage": """WITH c AS (SELECT DISTINCT conv_id AS claim_id, unnest([conv_id, conv_id + turn, turn * 3]) AS doc_id FROM conversations), j AS (SELECT claim_id, count(l.doc_id) AS valid, count(*) FILTER (l.doc_id IS NULL) AS invalid FROM c LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1)
         SELECT claim_id, valid, invalid, CASE WHEN valid = 0 THEN 'unsupported' WHEN invalid > 0 THEN 'partly_supported' ELSE 'supported' END AS status FROM j""",
     "rollup_extra": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",

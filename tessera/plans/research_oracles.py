@@ -119,7 +119,7 @@ SQL = {
     "document_kinds": r"""WITH x AS (SELECT page_id, lower(['Annual report', 'half-year figures', 'Results 2001', 'Slides', 'Home'][page_id % 5 + 1] || ' ' || url) AS t FROM pages)
         SELECT CASE WHEN regexp_matches(t, 'annual|10-k') THEN 'annual_report' WHEN regexp_matches(t, 'interim|half-year|10-q') THEN 'interim_report' WHEN regexp_matches(t, 'results|earnings') THEN 'results_release' WHEN regexp_matches(t, 'presentation|slides') THEN 'presentation' ELSE 'other' END AS kind, count(*) AS n, CAST(min(CASE WHEN page_id % 2 = 0 THEN -(page_id % 30 + 1990) ELSE 10000 END) AS INTEGER) AS newest FROM x GROUP BY 1""",
     "fact_scopes": """WITH h AS (SELECT p_partkey, p_size, CASE p_size % 3 WHEN 0 THEN p_type || ' Segment' WHEN 1 THEN 'group' ELSE CASE WHEN p_partkey % 2 = 0 THEN p_type END END AS scope FROM part)
-        SELECT p_partkey, scope, CASE WHEN coalesce(scope, 'group') <> 'group' THEN 'segment' ELSE ['topline', 'earnings', 'earnings', 'cash', 'position', 'other'][p_partkey % 6 + 1] END AS category, least(p_size + least((p_partkey % 5) * 15, 45), 100) AS credit FROM h""",
+        SELECT p_partkey, scope, CASE WHEN coalesce(scope, 'group') <> 'group' THEN 'segment' ELSE ['topline', 'earnings', 'earnings', 'cash', 'position', 'other'][p_partkey % 6 + 1] END AS category, CASE WHEN p_partkey % 5 > 0 THEN least(p_size + least((p_partkey % 5) * 15, 45), 95) ELSE p_size END AS credit FROM h""",
     "gap_lists": """WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k, count(*) AS n FROM orders GROUP BY 1, 2)
         SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY k) AS labels, CAST(count(*) AS INTEGER) AS n_labels, CAST(sum(n) AS INTEGER) AS n_all FROM f GROUP BY 1""",
     "narration": f"""WITH {FACTS} SELECT entity, fy, CASE WHEN gross IS NULL THEN fy || ': no lines' ELSE fy || ': revenue ' || format('{{:,.2f}}', round(revenue / 1000000, 6)) || 'm over ' || CAST(orders AS INTEGER) || ' orders' END AS summary FROM facts""",

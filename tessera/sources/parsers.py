@@ -6,9 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 CSV_SCHEMA = "Date string, Open string, High string, Low string, Close string, Volume string"
 PRICE_JSON = "array<struct<date:string,open:string,high:string,low:string,close:string,volume:string>>"
-ATOM = {"title": "title/text()", "link": "link[not(@rel) or @rel=\"alternate\"][1]/@href", "guid": "id/text()"}
+_ELEMENTS = ["title", "guid", "id", "origLink", "originalLink", "pubDate", "published", "updated", "date", "description", "summary"]
+_ITEM = f"array<struct<{','.join(f'{e}:array<string>' for e in _ELEMENTS)},link:array<struct<_VALUE:string,_href:string,_rel:string,_type:string>>,enclosure:array<struct<_url:string,_type:string>>,content:array<struct<_url:string>>,thumbnail:array<struct<_url:string>>>>"
+FEED_XML = f"struct<channel:struct<item:{_ITEM}>,item:{_ITEM},entry:{_ITEM},malformed:string>"
 CONCEPT_JSON = "map<string,map<string,array<struct<fy:int,form:string,end:string,val:double,filed:string>>>>"
 
 
@@ -55,10 +59,23 @@ def recent_filings(rows: DataFrame, keys: list[str], forms: list[str], as_of: st
 
 
 def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
-    """Items of an RSS document with title, link and guid, or entries of an Atom document with title, first alternate link and id."""
-    path = lambda tag: F.expr(f"xpath({xml}, '/rss/channel/item/{tag}/text() | /feed/entry/{ATOM[tag]}')")
-    rows = feeds.select(key, F.posexplode(F.arrays_zip(path("title").alias("title"), path("link").alias("link"), path("guid").alias("guid"))).alias("n", "z"))
-    return rows.select(key, "n", "z.title", "z.link", "z.guid")
+    """Items of RSS and entries of Atom documents that have a title, each read by itself: n (its place among all), title, link (an
+    RSS link's text, or the first Atom link that is an alternate or has no relation), guid, orig_link, published, summary, media (the
+    first enclosure, content or thumbnail that is one) and canonical (the first of link, guid and orig_link that is an address and no
+    media file). A document that is no XML, or that defines entities, has no items."""
+    parsed = feeds.select(key, F.from_xml(F.col(xml), FEED_XML, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed", "ignoreNamespace": "true"}).alias("f"))
+    none = F.array().cast(_ITEM)
+    items = F.concat(*[F.coalesce(c, none) for c in ("f.channel.item", "f.item", "f.entry")])
+    rows = parsed.select(key, F.posexplode(items).alias("n", "i"))
+    text = lambda *names: F.coalesce(*[F.nullif(F.trim(F.get(f"i.{c}", 0)), F.lit("")) for c in names])
+    told = F.filter("i.link", lambda x: F.nullif(F.trim(x["_VALUE"]), F.lit("")).isNotNull() & x["_href"].isNull())
+    alternate = F.filter("i.link", lambda x: x["_href"].isNotNull() & F.coalesce(F.lower(x["_rel"]).isin("", "alternate"), F.lit(True)))
+    links = F.coalesce(F.trim(F.get(told, 0)["_VALUE"]), F.get(alternate, 0)["_href"])
+    shown = F.coalesce(F.col("i.enclosure"), F.array().cast("array<struct<_url:string,_type:string>>"))
+    enclosed = F.filter(shown, lambda x: x["_url"].isNotNull() & (F.coalesce(F.lower(x["_type"]).rlike("^(image|video|audio)/"), F.lit(False)) | is_media(x["_url"])))
+    media = F.coalesce(F.get(enclosed, 0)["_url"], F.get("i.content", 0)["_url"], F.get("i.thumbnail", 0)["_url"])
+    out = rows.select(key, "n", text("title").alias("title"), links.alias("link"), text("guid", "id").alias("guid"), text("origLink", "originalLink").alias("orig_link"), text("pubDate", "published", "updated", "date").alias("published"), text("description", "summary").alias("summary"), media.alias("media"))
+    return out.filter("title IS NOT NULL").withColumn("canonical", canonical_link(F.col("link"), F.col("guid"), F.col("orig_link")))
 
 
 def is_media(url: Column) -> Column:
@@ -117,7 +134,7 @@ def vendor_statements(payloads: DataFrame, keys: list[str], payload: str) -> Dat
 
 def news_json(payloads: DataFrame, keys: list[str], payload: str, tiers: dict[str, int], other: int = 5) -> DataFrame:
     """Articles of a payload, a list or an object that holds one under any of the usual names; items without a headline are left out.
-    A known media domain gives its tier, everything else is an aggregator's."""
+    A known media domain, or one below it, gives its tier, everything else is an aggregator's."""
     raw = F.col(payload)
     lists = [F.get_json_object(raw, f"$.{k}") for k in ("articles", "results", "data", "items", "news")]
     found = F.coalesce(F.when(F.ltrim(raw).startswith("["), raw), *[F.when(F.ltrim(x).startswith("["), x) for x in lists])
@@ -126,7 +143,7 @@ def news_json(payloads: DataFrame, keys: list[str], payload: str, tiers: dict[st
     source = F.coalesce(F.get_json_object("a", "$.source.name"), F.when(~F.get_json_object("a", "$.source").startswith("{"), F.get_json_object("a", "$.source")), F.get_json_object("a", "$.publisher"))
     rows = rows.select(*keys, "n", get("title", "headline", "name").alias("headline"), get("url", "link").alias("url"), get("publishedAt", "published_at", "date", "seendate").alias("published_at"), source.alias("source_name"), get("description", "summary").alias("summary"))
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), r"^www\.", "")
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv]), host)
+    known = T.by_domain(host, tiers)
     return rows.filter("headline IS NOT NULL").withColumn("source_tier", F.coalesce(known, F.lit(other)))
 
 
