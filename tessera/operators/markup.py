@@ -26,10 +26,14 @@ BOUNDS |= {"thead": "table", "tfoot": "table"}
 WIDEST = 40  # columns that one cell may span
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">]){0,2000}+)>|<[!?][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+MATTERS = re.compile("class|id|span", re.I)
 LEAST = 40  # characters of a block of text
 
 
 def _attributes(text: str) -> dict[str, str]:
+    """Those of a tag that matter here: class, id and spans."""
+    if not text or not MATTERS.search(text):
+        return {}
     return {m.group(1).lower(): html.unescape(m.group(2) or m.group(3) or m.group(4) or "") for m in ATTRIBUTE.finditer(text)}
 
 
@@ -172,8 +176,8 @@ def read(page: str) -> dict:
                     pop(i)
                 elif stack[i][0] == BOUNDS.get(tag, "table"):
                     break
-        marked = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-        skipped = tag in SKIPPED or any(x in marked for x in MARKERS)
+        marked = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower() if attributes else ""
+        skipped = tag in SKIPPED or bool(marked) and any(x in marked for x in MARKERS)
         stack.append((tag, skipped))
         standing[tag] += 1
         skipping += skipped

@@ -127,6 +127,7 @@ class Scanner:
         self.guards = R.GUARDS if guards is None else guards
         self.name = {p: n for labels in (self.money, self.percent) for n, ps in labels.items() for p in ps} | ({p: "" for p in R.NOT_LABELS} if default else {})
         self.label = re.compile(rf"(?i)(?<!\w)({_either(self.name)})s?(?!\w)")
+        self.words = sorted({max(p.split(), key=len) for p in self.name})  # a text with a label has one of them
         self.other = default  # also the fiscal year, the currency of the report and the staff
 
     @staticmethod
@@ -200,9 +201,10 @@ class Scanner:
 
     def mentions(self, text: str) -> list[Mention]:
         """Every label with a value in its clause, by place."""
-        found = [m for m in self.label.finditer(text)]
+        low = text.lower()
+        found = [m for m in self.label.finditer(text)] if any(w in low for w in self.words) else []
         out: list[Mention] = []
-        years = [y.start() for y in YEAR.finditer(text)] if found or self.other else []
+        years = [y.start() for y in YEAR.finditer(text)] if found else []
         whole: list[str | None] = []  # the currency of the text, once it is asked for
 
         def around() -> str | None:
@@ -230,19 +232,19 @@ class Scanner:
             money = (own or around()) if unit == "currency_amount" else None
             out.append(Mention(name, m.start(), end, raw, number(digits), unit, scale, money, unit == "percent" or bool(scale or own), period(m.start()), scope_of(sentence_around(text, m.start()))))
         if self.other:
-            out += self._others(text, around)
+            out += self._others(text, low, around)
         return sorted(out, key=lambda x: (x.start, x.label))
 
-    def _others(self, text: str, around) -> Iterator[Mention]:
-        cue = _MONEY_CUE.search(text)
+    def _others(self, text: str, low: str, around) -> Iterator[Mention]:
+        cue = _MONEY_CUE.search(text) if any(c in low for c in CURRENCY_CUES) else None
         if cue and around():
             yield Mention("reporting_currency", cue.start(), cue.end(), around(), None, "code", None, around(), True, None, None)
-        for m in _CUE.finditer(text):
+        for m in _CUE.finditer(text) if any(c in low for c in YEAR_CUES) else ():
             y = YEAR.search(text, m.end(), m.end() + CUE + 5)
             if y and "\n" not in text[m.end() : y.start()] and y.start() - m.end() <= CUE:
                 yield Mention("fiscal_year", m.start(), y.end(), y.group(), float(y.group()), "year", None, None, True, y.group(), None)
                 break
-        for m in _STAFF.finditer(text):
+        for m in _STAFF.finditer(text) if any(c in low for c in (*STAFF_AFTER, *STAFF_BEFORE)) else ():
             n = number(m.group(1) or m.group(2))
             if n is not None and n >= 10:
                 yield Mention("employees", m.start(), m.end(), m.group(1) or m.group(2), n, "people", None, None, True, None, None)

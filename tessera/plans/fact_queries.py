@@ -10,6 +10,7 @@ from tessera.operators import facts as FA
 from tessera.operators import markup as M
 from tessera.operators import prose as P
 from tessera.plans.catalogue import query
+from tessera.sources.staged import staged
 from tessera.sources.tables import table
 
 #: 130 characters without a digit, so that no year of the text before is near.
@@ -80,13 +81,14 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def page_facts(spark: SparkSession, sf: str) -> DataFrame:
     """V1-V6 over whole pages: facts of nested tables and of paragraphs, in every other group of six pages told apart by method; every tenth page's issuer isn't known."""
-    tree = M.structure(_reports(spark, sf), "page_id", "html")
+    tree = staged(M.structure(_reports(spark, sf), "page_id", "html").filter("size(tables) > 0 OR size(blocks) > 0").select("page_id", "tables", "blocks"), "tree")
     said = lambda f: F.get(F.filter(F.transform("blocks", lambda b: f(b.text)), lambda x: x.isNotNull()), 0)
     tables = tree.select("page_id", said(R.currency).alias("currency"), said(R.scale).alias("scale"), F.lit(None).cast("string").alias("period"), F.inline("tables"))
     from_tables = FA.reconciled(FA.table_candidates(tables, "page_id"), "page_id")
     blocks = tree.select("page_id", F.posexplode("blocks").alias("block_no", "b")).select("page_id", "block_no", F.get("b.path", F.size("b.path") - 1).alias("heading"), F.get("b.path", F.size("b.path") - 2).alias("above"), "b.text")
     keys = ["page_id", "block_no", "heading", "above"]
     stated = P.settled(P.mentions(blocks, keys, "text"), keys).withColumn("scope", F.coalesce("scope", R.heading_scope(F.col("heading"), F.col("above"))))
+    stated = staged(stated, "stated")
     from_prose = FA.prose_candidates(stated, "page_id", ["block_no", "start"])
     columns = ["page_id", "label", "value", "unit", "currency", "scale", "period", "scope", "qualified", "status"]
     place = lambda *c: F.array(*[x.cast("int") for x in c]).alias("place")
@@ -99,7 +101,7 @@ def page_facts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def page_structure(spark: SparkSession, sf: str) -> DataFrame:
     """S18 over whole pages with their reports: rows of tables, the inner one with the outer as parent, and headings outside menus."""
-    tree = M.structure(_reports(spark, sf), "page_id", "html")
+    tree = staged(M.structure(_reports(spark, sf), "page_id", "html").select("page_id", "tables", "headings"), "tree")
     rows = M.table_rows(tree, "page_id").select("page_id", F.lit("row").alias("kind"), "table_no", F.col("row_no").alias("n"), "parent", "path", F.array_join("cells", "|").alias("text"))
     heads = M.headings(tree, "page_id").filter("n = 0").select("page_id", F.lit("heading").alias("kind"), F.lit(None).cast("int").alias("table_no"), "n", F.lit(None).cast("int").alias("parent"), "path", F.col("title").alias("text"))
     return rows.filter("table_no < 2").unionByName(heads)
