@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.reporting import SEGMENT_MARKS
 from tessera.operators import prose as P
 
 #: Our own small vocabularies for the corpus.
 THEMES = {"energy": ["energy", "grid", "solar"], "defence": ["defence", "shield", "guard"], "growth": ["growth", "expand", "rising"], "trade": ["the", "and", "for"]}
 CLASSES = {"financial": ["revenue", "profit", "margin", "income"], "risk": ["risk", "worthless", "threat"], "business": ["market", "product", "blend"]}
 HINTS = {"en": ["the", "and", "of", "to", "in", "is"], "fr": ["le", "la", "les", "des", "et", "que"], "de": ["der", "die", "und", "den", "von", "mit"], "es": ["el", "los", "las", "que", "por", "una"]}
-GAP = r"[^\n.;]{0,60}?"
-VALUE = r"(?:[€£$]\s*\d[\d.,]{0,14}|\d[\d.,]{0,14}\s*(?:million|billion|thousand|m\b|bn\b|k\b)|\d[\d.,]{0,14}\s*%)"
-METRICS = [rf"(?i)\b{label}{GAP}{VALUE}" for label in ("revenues?", "operating profit", "net income", "margin", "cash flow", "total assets")]
-SEGMENT = r"(?i)\b(?:segment|division|business unit|region)\b"
-SECTION = r"(?i)\b(?:financial highlights|income statement|cash flow statement|balance sheet|financial review)\b"
-PERIOD = r"(?i)\b(?:FY ?20\d\d|(?:19|20)\d\d|(?:six|nine|three) months? ended|year ended|for the year)\b"
-LISTED = r"^(?:.{1,70}?\s+\d{1,4}|\d{1,3}\.\s+\S.*|\d{1,4})$"
+#: Fixed values of relevance: headings of statements, words of a reporting period; the amounts and lines are our own shapes.
+STATEMENTS = ["financial highlights", "income statement", "cash flow statement", "balance sheet", "financial review"]
+REPORTED = ["year ended", "months ended", "month ended", "for the year"]
+FIGURES = {"revenue": ["revenue"], "operating profit": ["operating profit"], "net income": ["net income"], "margin": ["margin"], "cash flow": ["cash flow"], "total assets": ["total assets"]}
+AMOUNT = r"[€£$]\s?\d|\d\s?%|\d\s?(?:million|billion|thousand|bn|mn|m)\b"
+CLAUSE_END = r"[;!?\n]|\.\s"
+WIDTH = 75  # characters of a line that may end in a page number
 FORBIDDEN = {"rating": r"\b(?:BUY|SELL|HOLD)\b", "rating_in_context": r"(?i)\b(?:recommend|rated|rating)\b[^.!?]{0,40}\b(?:buy|sell|hold)\b", "phrase": r"(?i)price target|guaranteed return|worthless"}
 NEUTRAL = [(r"(?i)price targets?", "valuation reference"), (r"(?i)guaranteed returns?", "expected outcome"), (r"(?i)worthless", "low value"), (r"\b(?:BUY|SELL|HOLD)\b", "[removed]"), (r"(?i)(?<=\b(?:recommend|rated|rating)\b[^.!?]{0,40})\b(?:buy|sell|hold)\b", "[removed]")]
 
@@ -57,19 +60,36 @@ def themes(text: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(T.hits(low, words) > 0, name) for name, words in THEMES.items()])), ",")
 
 
+def _holds(text: Column, words: list[str]) -> Column:
+    return F.coalesce(reduce(lambda x, y: x | y, (F.contains(text, F.lit(w)) for w in words)), F.lit(False))
+
+
+def _holder(words: list[str]):
+    return lambda text: _holds(text, words)
+
+
 def metric_values(text: Column) -> Column:
-    """How many of the metrics stand before a money amount or a percentage in the same clause."""
-    return sum((F.when(text.rlike(p), 1).otherwise(0) for p in METRICS[1:]), F.when(text.rlike(METRICS[0]), 1).otherwise(0))
+    """How many figures are named in a clause that states an amount. Texts without a figure's name aren't cut into clauses."""
+    low = F.lower(text)
+    clauses = F.filter(F.split(low, CLAUSE_END), lambda c: c.rlike(AMOUNT))
+    counted = F.aggregate(F.array(*[F.exists(clauses, _holder(ps)) for ps in FIGURES.values()]), F.lit(0), lambda n, x: n + x.cast("int"))
+    return F.when(_holds(low, [p for ps in FIGURES.values() for p in ps]), counted).otherwise(0)
+
+
+def contents_line(line: Column) -> Column:
+    """Whether a line has the shape of a table of contents: short and ending in a number of at most four digits, or numbered."""
+    return ((F.length(line) <= WIDTH) & line.rlike(r"(?:^|\s)\d{1,4}$")) | line.rlike(r"^\d{1,3}\.(?:\s|$)")
 
 
 def relevance(text: Column) -> Column:
-    """A point for each keyword, six for each metric with its value, three if a segment is named beside one, two for a headline
-    section, one for a period; less eight, but not under zero, if most lines look like a table of contents."""
-    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    """A point for each keyword, six for each figure with its amount, three if a segment is named beside one, two for a statement's
+    heading, one for a period; less eight, but not under zero, if most of four lines or more look like a table of contents."""
+    low = F.lower(text)
     found = metric_values(text)
-    score = T.hits(low, [w for ws in CLASSES.values() for w in ws]) + 6 * found + F.when((found > 0) & text.rlike(SEGMENT), 3).otherwise(0) + F.when(text.rlike(SECTION), 2).otherwise(0) + F.when(text.rlike(PERIOD), 1).otherwise(0)
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    listed = F.size(F.filter(lines, lambda x: x.rlike(LISTED)))
+    score = T.hits(F.concat(F.lit(" "), low, F.lit(" ")), [w for ws in CLASSES.values() for w in ws]) + 6 * found + F.when((found > 0) & _holds(low, SEGMENT_MARKS), 3).otherwise(0)
+    score = score + F.when(_holds(low, STATEMENTS), 2).otherwise(0) + F.when(text.rlike(r"(?<!\d)(?:19|20)\d\d(?!\d)") | _holds(low, REPORTED), 1).otherwise(0)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    listed = F.size(F.filter(lines, contents_line))
     boiler = text.contains("\n") & (F.size(lines) >= 4) & (listed >= 0.6 * F.size(lines))
     return F.when(boiler, F.greatest(score - 8, F.lit(0))).otherwise(score)
 

@@ -90,16 +90,21 @@ def _hits(words: list[str], low: str = "low") -> str:
 
 _CLASSES = {"financial": ["revenue", "profit", "margin", "income"], "risk": ["risk", "worthless", "threat"], "business": ["market", "product", "blend"]}
 _HINTS = {"en": ["the", "and", "of", "to", "in", "is"], "fr": ["le", "la", "les", "des", "et", "que"], "de": ["der", "die", "und", "den", "von", "mit"], "es": ["el", "los", "las", "que", "por", "una"]}
-_VALUE = r"(?:[€£$]\s*\d[\d.,]{0,14}|\d[\d.,]{0,14}\s*(?:million|billion|thousand|m\b|bn\b|k\b)|\d[\d.,]{0,14}\s*%)"
+_FIGURES = ["revenue", "operating profit", "net income", "margin", "cash flow", "total assets"]
+_SEGMENTS = ["segment", "by business", "by division", "by region", "business area", "business group", "business unit"]
+_STATED = ["financial highlights", "income statement", "cash flow statement", "balance sheet", "financial review"]
+_REPORTED = ["year ended", "months ended", "month ended", "for the year"]
 
 
 def _relevance(text: str) -> str:
-    found = "(" + " + ".join(f"regexp_matches({text}, '(?i)\\b{label}[^\\n.;]{{0,60}}?{_VALUE}')::INT" for label in ("revenues?", "operating profit", "net income", "margin", "cash flow", "total assets")) + ")"
+    has = lambda x, words: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+    clauses = rf"list_filter(regexp_split_to_array(lower({text}), '[;!?\n]|\.\s'), lambda c: regexp_matches(c, '[€£$]\s?\d|\d\s?%|\d\s?(?:million|billion|thousand|bn|mn|m)\b'))"
+    found = f"CASE WHEN {has(f'lower({text})', _FIGURES)} THEN " + " + ".join(f"(len(list_filter({clauses}, lambda c: contains(c, '{f}'))) > 0)::INT" for f in _FIGURES) + " ELSE 0 END"
     low = f"(' ' || lower({text}) || ' ')"
     lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-    score = rf"""({_hits([w for ws in _CLASSES.values() for w in ws], low)} + 6 * {found} + CASE WHEN {found} > 0 AND regexp_matches({text}, '(?i)\b(?:segment|division|business unit|region)\b') THEN 3 ELSE 0 END
-        + CASE WHEN regexp_matches({text}, '(?i)\b(?:financial highlights|income statement|cash flow statement|balance sheet|financial review)\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches({text}, '(?i)\b(?:FY ?20\d\d|(?:19|20)\d\d|(?:six|nine|three) months? ended|year ended|for the year)\b') THEN 1 ELSE 0 END)"""
-    listed = rf"len(list_filter({lines}, lambda x: regexp_full_match(x, '.{{1,70}}?\s+\d{{1,4}}|\d{{1,3}}\.\s+\S.*|\d{{1,4}}')))"
+    score = rf"""({_hits([w for ws in _CLASSES.values() for w in ws], low)} + 6 * ({found}) + CASE WHEN {found} > 0 AND {has(low, _SEGMENTS)} THEN 3 ELSE 0 END
+        + CASE WHEN {has(low, _STATED)} THEN 2 ELSE 0 END + CASE WHEN regexp_matches({text}, '(?:^|\D)(?:19|20)\d\d(?:\D|$)') OR {has(low, _REPORTED)} THEN 1 ELSE 0 END)"""
+    listed = rf"len(list_filter({lines}, lambda x: (length(x) <= 75 AND regexp_matches(x, '(?:^|\s)\d{{1,4}}$')) OR regexp_matches(x, '^\d{{1,3}}\.(?:\s|$)')))"
     return f"CASE WHEN len({lines}) >= 4 AND {listed} >= 0.6 * len({lines}) THEN greatest({score} - 8, 0) ELSE {score} END"
 
 
