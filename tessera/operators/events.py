@@ -72,9 +72,10 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], ordinal: st
 def supersede(old: DataFrame, new: DataFrame, group: list[str], key: list[str]) -> DataFrame:
     """Compares the key sets of a group; equal: old rows stay active and nothing is written; else old rows go inactive and
     the distinct new ones come in. A group only on one side keeps, or gets, its rows."""
-    mark = F.array_sort(F.collect_set(F.to_json(F.struct(*key))))
-    sets = old.groupBy(*group).agg(mark.alias("a")).join(new.groupBy(*group).agg(mark.alias("b")), group, "full")
-    changed = sets.select(*group, F.when(F.col("b").isNull(), False).when(F.col("a").isNull(), True).otherwise(F.col("a") != F.col("b")).alias("changed"))
+    side = lambda df, a, b: df.select(*group, F.to_json(F.struct(*key)).alias("__mark"), F.lit(a).alias("__a"), F.lit(b).alias("__b"))
+    marks = side(old, True, False).unionByName(side(new, False, True)).groupBy(*group, "__mark").agg(F.bool_or("__a").alias("__a"), F.bool_or("__b").alias("__b"))
+    sets = marks.groupBy(*group).agg(F.bool_or("__a").alias("a"), F.bool_or("__b").alias("b"), F.bool_or(F.col("__a") != F.col("__b")).alias("differ"))
+    changed = sets.select(*group, (F.col("b") & (~F.col("a") | F.col("differ"))).alias("changed"))  # no set is gathered: keys are compared one by one
     stay = old.join(changed, group).select(*old.columns, (~F.col("changed")).alias("is_active"), F.lit("old").alias("origin"))
     come = new.dropDuplicates([*group, *key]).join(changed.filter("changed").drop("changed"), group).select(*old.columns, F.lit(True).alias("is_active"), F.lit("new").alias("origin"))
     return stay.unionByName(come)

@@ -52,4 +52,15 @@ SQL = {
               + CASE recent WHEN true THEN 0.1::DOUBLE WHEN false THEN -0.1::DOUBLE ELSE 0 END + CASE WHEN catalyst THEN 0.05::DOUBLE ELSE 0 END - CASE WHEN host = 1 THEN 0.1::DOUBLE ELSE 0 END, 6))), 2) END AS base, NOT poor AND NOT cooked AND (ticker OR (named AND (NOT ambiguous OR finance))) AS specific FROM s
         ), g AS (SELECT *, NOT specific AND NOT (poor OR cooked) AND CASE sector WHEN 'energy' THEN energy ELSE retail END AS context FROM f), h AS (SELECT *, CASE WHEN context THEN greatest(base, 0.45::DOUBLE) ELSE base END AS score FROM g)
         SELECT doc_id, s_suppkey, sector, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' WHEN score >= 0.2 THEN 'low' ELSE 'irrelevant' END AS level, specific, CASE WHEN ticker AND named THEN 'ticker,name' WHEN ticker THEN 'ticker' ELSE 'name' END AS named_by, poor OR cooked AS filtered, context AS is_industry_context FROM h""",
+    "page_documents": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^http:', 'https:') AS u, page_id % 5 AS k FROM pages
+        ), o AS (SELECT *, regexp_extract(u, '^https://[^/?#]+') AS origin, regexp_extract(u, '^https://[^/?#]+(?:[^?#]*/)?') AS folder FROM p
+        ), l AS (
+          SELECT page_id, origin || '/files/annual-report-' || page_id || '.pdf?v=1' AS url, 'Annual report' AS title, 'annual_report' AS kind, 'anchors' AS strategy, 0 AS s, 0 AS n FROM o WHERE k = 0
+          UNION ALL SELECT page_id, origin || '/news/' || page_id || '.pdf', 'Press release ' || page_id, 'results_release', 'json_ld', 1, 0 FROM o WHERE k = 1
+          UNION ALL SELECT page_id, origin || '/i-' || page_id || '.pdf', 'Interim report', 'interim_report', 'hydration', 2, 0 FROM o WHERE k = 2
+          UNION ALL SELECT page_id, CASE WHEN ends_with(folder, '/') THEN folder ELSE folder || '/' END || 'deck-' || page_id || '.pdf', 'Webcast deck', 'presentation', 'hydration', 2, 0 FROM o WHERE k = 3
+          UNION ALL SELECT page_id, origin || '/e-' || page_id || '.pdf', 'e ' || page_id, 'other', 'embedded_json', 3, 1 FROM o WHERE k = 3
+          UNION ALL SELECT page_id, origin || '/g-' || page_id || '.pdf', 'g ' || page_id, 'other', 'embedded_json', 3, 0 FROM o WHERE k = 4
+          UNION ALL SELECT page_id, origin || '/fy-' || page_id || '.pdf', 'Full-year results', 'annual_report', 'feed', 4, 0 FROM o WHERE page_id % 4 = 0)
+        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY list_position(['annual_report', 'results_release', 'interim_report', 'presentation', 'other'], kind), s, n) AS INTEGER) AS place, url, title, kind, strategy, true AS is_document FROM l""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import discovery as D
 from tessera.operators import market_texts as MT
 from tessera.plans.catalogue import query
 from tessera.plans.fact_queries import filled
@@ -70,3 +71,24 @@ def market_news(spark: SparkSession, sf: str) -> DataFrame:
     scored = MT.matched_news(news, companies, "doc_id", "s_suppkey", "2025-06-30", 90, ["social.example"], ["predictions"])
     industry = MT.industry_news(news, spark.createDataFrame([("energy", "Solar & wind"), ("retail", "shoppers")], "sector string, phrase string"), "doc_id", "sector")
     return MT.with_industry_floor(scored, industry, companies, "doc_id", "s_suppkey", "sector").select("doc_id", "s_suppkey", "sector", "score", "level", "specific", "named_by", "filtered", "is_industry_context")
+
+
+LINKS = [
+    '<a href="/files/annual-report-{n}.pdf?token=a&amp;v=1">Annual report</a><a href="/files/ANNUAL-report-{n}.pdf">again</a><a href="/about">About</a>',
+    '<script type="application/ld+json">{"name": "Press release {n}", "url": "/news/{n}.pdf", "more": [{"x": {"y": "https://elsewhere.test/annual-report.pdf"}}]}</script>',
+    '<script id="__NEXT_DATA__" type="application/json">{"docs": [{"title": "Interim report", "file": "/i-{n}.pdf"}, {"file": "/i-{n}.PDF"}]}</script>',
+    '<script>window.__INITIAL_STATE__ = {"label": "Webcast deck", "u": "./deck-{n}.pdf"};</script><script>var d = [{"href": "/e-{n}.pdf"}];</script>',
+    "<script>var q = {a: '/g-{n}.pdf'}; var broken = {\"a\": [</script><script type=\"application/ld+json\">{oops</script>",
+]
+
+
+@query
+def page_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole pages, each with links put in by every strategy in turn, and a feed for every fourth page."""
+    p, n = table(spark, sf, "pages"), F.col("page_id").cast("string")
+    url = F.regexp_replace("url", "^http:", "https:")
+    pages = p.select("page_id", url.alias("url"), F.concat(filled(LINKS, F.col("page_id"), {"n": n}), F.coalesce("html", F.lit(""))).alias("html"))
+    origin = F.regexp_extract(url, "^https://[^/?#]+", 0)
+    xml = F.concat(F.lit("<rss><channel><item><title>Full-year results</title><link>"), origin, F.lit("/fy-"), n, F.lit(".pdf</link></item><item><title>Other news</title><link>"), origin, F.lit("/other</link></item></channel></rss>"))
+    feeds = p.filter("page_id % 4 = 0").select("page_id", url.alias("url"), xml.alias("xml"))
+    return D.discovered(pages, "page_id", "url", "html", 12, feeds)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from tessera.sources.committed import CommittedTable
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
@@ -26,3 +29,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """First row of each event_id within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def upserts(events: DataFrame, table: CommittedTable, name: str, late: str | None = None, time: str = "ts") -> DataStreamWriter:
+    """D8 on a stream: each batch is one commit of the table, under the stream's name, so that a replayed batch adds nothing. Of a key the row
+    with the largest ordinal stays, however late another comes; rows later than `late`, if given, are dropped."""
+    rows = events.withWatermark(time, late).dropDuplicatesWithinWatermark([*table.keys, table.ordinal]) if late else events
+    return rows.writeStream.foreachBatch(lambda df, batch: table.upsert(df, (name, batch)) and None)
