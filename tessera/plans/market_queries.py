@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import discovery as D
+from tessera.operators import grounding as G
 from tessera.operators import market_texts as MT
 from tessera.plans.catalogue import query
 from tessera.plans.fact_queries import filled
@@ -92,3 +93,20 @@ def page_documents(spark: SparkSession, sf: str) -> DataFrame:
     xml = F.concat(F.lit("<rss><channel><item><title>Full-year results</title><link>"), origin, F.lit("/fy-"), n, F.lit(".pdf</link></item><item><title>Other news</title><link>"), origin, F.lit("/other</link></item></channel></rss>"))
     feeds = p.filter("page_id % 4 = 0").select("page_id", url.alias("url"), xml.alias("xml"))
     return D.discovered(pages, "page_id", "url", "html", 12, feeds)
+
+
+CLAIMS = ["Group sales of {x} million and 12%.", "Watches grew to {x} thousand", "inflation hit the business by 3%", "nothing to count", "peer group of {x}m"]
+
+
+@query
+def claim_grounding(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant turns as claims, each citing three documents, one of which doesn't exist."""
+    t, c = table(spark, sf, "conversations").filter("role = 'assistant'"), F.col("conv_id")
+    text = F.concat_ws(" ", F.coalesce("text", F.lit("")), filled(CLAIMS, c + F.col("turn"), {"x": (c % 97 + 10).cast("string")}))
+    claims = t.select((c * 1000 + F.col("turn")).alias("claim"), (c % 2).alias("run"), text.alias("text"), F.array(c % 97, c % 89, F.lit(-1).cast("long")).alias("cited"))
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    evidence = d.select(
+        k.alias("id"), F.lit(0).cast("long").alias("run"), F.concat_ws(" ", "text", F.lit("It was"), (k + 10).cast("string"), F.lit("million."), F.when(k % 5 == 0, "Inflation.")).alias("text"),
+        F.when(k % 4 == 0, "group").when(k % 4 == 1, "Watches").alias("scope"), F.when(k % 3 == 0, "2024").when(k % 3 == 1, "2023").alias("period"),
+    )
+    return G.grounded_claims(claims, evidence)
