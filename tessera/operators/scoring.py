@@ -108,6 +108,31 @@ def scorecard(df: DataFrame, risk: str = "risk", tier: str = "source_tier", mock
     return out.withColumn("internal_status", F.when(F.col(mock), "mock_only").when(o < 20, "rejected_by_screen").when(weak & (o < 55), "needs_primary_sources").when(o < 35, "needs_data").when(o < 55, "in_research").when(o < 70, "analysis_ready").otherwise("review_ready"))
 
 
+def overall(df: DataFrame) -> DataFrame:
+    """Weighted dimensions less a fifth of the risk, both cut to whole points, from 0 to 100, capped by the source's tier; a mock without
+    a better source than an estimate has the lowest cap."""
+    raw = F.floor(F.round(weighted(SCORECARD_WEIGHTS), 6)) - F.floor(F.round(F.coalesce(F.col("risk"), F.lit(0)) * 0.2, 6))
+    cap = F.when(F.col("is_mock") & (F.col("source_tier") == "T6"), 25.0).otherwise(lookup(TIER_CAPS, "source_tier", 25))
+    return df.withColumn("overall_score", F.least(clamp(raw, 0, 100), cap).cast("int"))
+
+
+def candidate_status(score: Column, tier: Column, mock: Column, completeness: Column) -> Column:
+    """The ladder of screened candidates."""
+    return (
+        F.when(mock, "not_enough_data").when(tier.isin("T5", "T6"), F.when(score >= 50, "needs_primary_sources").otherwise("not_enough_data")).when((score < 20) | (completeness < 20), "not_enough_data")
+        .when(score < 35, "low_priority_research").when(score < 55, "needs_primary_sources").when(score < 70, "ready_for_deeper_analysis").otherwise("high_priority_for_human_review")
+    )
+
+
+def council_status(score: Column, tier: Column, mock: Column, citations: Column, quality: Column, gaps: Column) -> Column:
+    """The ladder of analysed companies: mocks, failed citations or sources, weak tiers and many gaps come before the score."""
+    known = F.coalesce(quality, F.lit("insufficient"))
+    return (
+        F.when(mock, "not_enough_data").when((F.coalesce(citations, F.lit("unknown")) == "failed") | (known == "insufficient"), "reject_due_to_data_quality").when(tier.isin("T5", "T6"), "needs_primary_sources").when(gaps > 5, "low_priority_research")
+        .when((score >= 70) & known.isin("strong", "adequate"), "high_priority_for_human_review").when(score >= 55, "ready_for_deeper_analysis").when(score >= 35, "needs_primary_sources").when(score >= 20, "low_priority_research").otherwise("not_enough_data")
+    )
+
+
 def valuation_readiness(df: DataFrame, available: str, basic: list[str], deeper: list[str]) -> DataFrame:
     """From how many of the fields for multiples and for deeper models are available."""
     n = lambda names: F.size(F.array_intersect(F.col(available), F.array(*map(F.lit, names))))
@@ -168,6 +193,16 @@ def theme_points(text: Column, themes: dict[str, list[str]], base: int) -> Colum
     return F.least(F.lit(100), F.greatest(*[matches(text, words) * 15 for words in themes.values()], F.lit(0)) + base)
 
 
+def _credited(base: Column) -> Column:
+    """15 points for each primary fact, 45 at most, up to a primary filing's score."""
+    return F.when(F.col("primary_facts") > 0, F.least(F.lit(95.0), base + F.least(F.lit(45.0), F.col("primary_facts") * 15.0))).otherwise(base)
+
+
+def _business(country: Column) -> Column:
+    long = lambda c, least: F.coalesce(F.length(c) >= least, F.lit(False))
+    return points(long("ticker", 2), 20) + points(long("name", 3), 20) + points(long("sector", 3), 30) + points(F.coalesce(F.length(country) >= 2, F.lit(False)), 15) + points(F.coalesce(F.lower("sector").isin(SECTORS), F.lit(False)), 15)
+
+
 def candidate_dimensions(df: DataFrame, themes: dict[str, list[str]], expected: list[str] = FINANCIAL_FIELDS) -> DataFrame:
     """Nine dimensions of a screened candidate from its columns source_tier, is_mock, warnings (a number), primary_facts (a number),
     available and missing (arrays of field names), reasons (an array), ticker, name, sector, country and valuation_readiness."""
@@ -176,9 +211,8 @@ def candidate_dimensions(df: DataFrame, themes: dict[str, list[str]], expected:
     tier, mock, none = F.col("source_tier"), F.col("is_mock"), F.size("reasons") == 0
     shift = F.least(F.greatest(F.col("primary_facts"), F.lit(0)), lack)
     quality_base = F.when(mock, 5.0).otherwise(lookup(TIER_QUALITY, "source_tier", 10))
-    quality_score = F.when(F.col("primary_facts") > 0, F.least(F.lit(95.0), quality_base + F.least(F.lit(45.0), F.col("primary_facts") * 15.0))).otherwise(quality_base)
-    long = lambda c, least: F.coalesce(F.length(c) >= least, F.lit(False))
-    business = points(long("ticker", 2), 20) + points(long("name", 3), 20) + points(long("sector", 3), 30) + points(long("country", 2), 15) + points(F.coalesce(F.lower("sector").isin(SECTORS), F.lit(False)), 15)
+    quality_score = _credited(quality_base)
+    business = _business(F.col("country"))
     have = F.size(F.array_intersect("available", F.array(*map(F.lit, expected))))
     share = whole(have * 80 / len(expected))
     strength = F.when(have == 0, 5).when(tier == "T6", F.greatest(F.lit(0), share - 20)).when(tier == "T5", F.greatest(F.lit(0), share - 10)).otherwise(F.least(F.lit(100), share + 10))
@@ -193,15 +227,18 @@ def candidate_dimensions(df: DataFrame, themes: dict[str, list[str]], expected:
 
 
 def analysis_dimensions(df: DataFrame, themes: dict[str, list[str]]) -> DataFrame:
-    """Eight dimensions of an analysed company from overall_quality, is_mock, source_tier, n_available, n_missing, bull, tailwinds,
-    headwinds and next_steps (arrays), sector, valuation_readiness, and the numbers blocking_gaps and valuation_blockers."""
+    """Nine dimensions of an analysed company from overall_quality, is_mock, source_tier, n_available, n_missing, bull, tailwinds,
+    headwinds and next_steps (arrays), ticker, name, sector, valuation_readiness, and the numbers primary_facts, blocking_gaps and
+    valuation_blockers. Primary facts raise the source's quality and fill missing fields."""
     bull, tail, head = F.size("bull"), F.size("tailwinds"), F.size("headwinds")
     total = F.col("n_available") + F.col("n_missing")
     base = whole(F.col("n_available") * 80 / F.nullif(total, F.lit(0)))
     weak = F.coalesce(F.col("overall_quality"), F.lit("insufficient")).isin("weak", "insufficient")
     risk = F.when(F.col("is_mock"), 40).otherwise(0) + F.when(weak, 25).otherwise(0) + F.least(F.lit(20), F.col("blocking_gaps") * 5) + F.least(F.lit(15), F.col("valuation_blockers") * 5)
+    shift = F.least(F.greatest(F.col("primary_facts"), F.lit(0)), F.col("n_missing"))
     scores = {
-        "source_quality": F.when(F.col("is_mock"), 5.0).otherwise(lookup(OVERALL_QUALITY, "overall_quality", 10)), "financial": F.when(total == 0, 0).when(F.col("source_tier").isin("T5", "T6"), F.greatest(F.lit(0), base - 15)).otherwise(base),
+        "source_quality": _credited(F.when(F.col("is_mock"), 5.0).otherwise(lookup(OVERALL_QUALITY, "overall_quality", 10))), "completeness": F.when(total == 0, 0).otherwise(whole((F.col("n_available") + shift) * 100 / F.nullif(total, F.lit(0)))),
+        "business": F.least(F.lit(100.0), _business(F.lit(None).cast("string"))), "financial": F.when(total == 0, 0).when(F.col("source_tier").isin("T5", "T6"), F.greatest(F.lit(0), base - 15)).otherwise(base),
         "theme": F.when(bull == 0, 15).otherwise(theme_points(F.concat_ws(" ", F.concat_ws(" ", "bull"), "sector"), themes, 15)),
         "growth": F.when((bull == 0) & (tail == 0), 10).otherwise(F.greatest(F.lit(5), F.least(F.lit(100), bull * 12 + tail * 10 - head * 5 + 10))),
         "catalyst": F.when(bull == 0, 10).otherwise(F.least(F.lit(100), matches(F.concat_ws(" ", F.concat_ws(" ", "bull"), F.concat_ws(" ", "next_steps")), CATALYST_TERMS) * 20 + 10)),

@@ -72,8 +72,8 @@ SQL = {
           CAST(least(100, CASE WHEN mock THEN 40 WHEN tier = 5 THEN 20 WHEN tier = 6 THEN 35 ELSE 0 END + least(30, lack * 2) + least(20, p_partkey % 6 * 5)) AS INTEGER) AS risk FROM y""",
     "analysis_dimensions": f"""WITH l AS (SELECT l_orderkey AS o_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_quantity > 40) AS large FROM lineitem GROUP BY 1
         ), x AS (SELECT orders.*, coalesce(n, 0) AS n, coalesce(returned, 0) AS returned, coalesce(large, 0) AS large FROM orders LEFT JOIN l USING (o_orderkey)
-        ), y AS (SELECT *, o_orderkey % 5 AS q, o_orderstatus = 'P' AS mock, least(returned, 5) AS bull, least(large, 5) AS tail, least(n, 5) AS head, array_to_string(list_slice({_LIST}, 1, least(returned, 5)), ' ') AS bt, array_to_string(list_slice(['await a trigger', 'sign the deal'], 1, o_orderkey % 3), ' ') AS nt, CAST(floor(round(n * 80 / nullif(n + returned, 0)::DOUBLE, 6)) AS INTEGER) AS base FROM x)
-        SELECT o_orderkey, CAST(CASE WHEN mock THEN 5 ELSE [90, 65, 30, 10, 10][q + 1] END AS INTEGER) AS source_quality, CAST(CASE WHEN n + returned = 0 THEN 0 WHEN o_orderkey % 4 >= 2 THEN greatest(0, base - 15) ELSE base END AS INTEGER) AS financial,
+        ), y AS (SELECT *, o_orderkey % 5 AS q, o_orderstatus = 'P' AS mock, CASE WHEN o_orderkey % 6 > 1 THEN o_orderkey % 6 - 2 ELSE 0 END AS pf, CASE WHEN o_orderstatus = 'P' THEN 5 ELSE [90, 65, 30, 10, 10][o_orderkey % 5 + 1] END AS sq, least(returned, 5) AS bull, least(large, 5) AS tail, least(n, 5) AS head, array_to_string(list_slice({_LIST}, 1, least(returned, 5)), ' ') AS bt, array_to_string(list_slice(['await a trigger', 'sign the deal'], 1, o_orderkey % 3), ' ') AS nt, CAST(floor(round(n * 80 / nullif(n + returned, 0)::DOUBLE, 6)) AS INTEGER) AS base FROM x)
+        SELECT o_orderkey, CAST(CASE WHEN pf > 0 THEN least(95, sq + least(45, pf * 15)) ELSE sq END AS INTEGER) AS source_quality, CAST(CASE WHEN n + returned = 0 THEN 0 ELSE floor(round((n + least(pf, returned)) * 100 / (n + returned)::DOUBLE, 6)) END AS INTEGER) AS completeness, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 0 END + 30 AS INTEGER) AS business, CAST(CASE WHEN n + returned = 0 THEN 0 WHEN o_orderkey % 4 >= 2 THEN greatest(0, base - 15) ELSE base END AS INTEGER) AS financial,
           CAST(CASE WHEN bull = 0 THEN 15 ELSE {_theme("(bt || ' ' || o_orderpriority)", 15)} END AS INTEGER) AS theme, CAST(CASE WHEN bull = 0 AND tail = 0 THEN 10 ELSE greatest(5, least(100, bull * 12 + tail * 10 - head * 5 + 10)) END AS INTEGER) AS growth,
           CAST(CASE WHEN bull = 0 THEN 10 ELSE least(100, {_n("(bt || ' ' || nt)", _CATALYSTS)} * 20 + 10) END AS INTEGER) AS catalyst, CAST([5, 80, 30, 85][o_orderkey % 4 + 1] AS INTEGER) AS valuation,
           CAST(least(100, CASE WHEN mock THEN 40 ELSE 0 END + CASE WHEN q >= 2 THEN 25 ELSE 0 END + least(20, returned * 5) + least(15, large * 5)) AS INTEGER) AS risk FROM y""",
@@ -92,3 +92,15 @@ SQL = {
           CAST(row_number() OVER (PARTITION BY entity ORDER BY validation <> 'validated', label, fy) AS INTEGER) AS place FROM s""",
     "text_predicates": r"""SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)\bthe\b') AS word, contains(' ' || lower(coalesce(text, '')) || ' ', ' of the ') AS phrase, [1e6, 1e9, 1e3, 1e3, 1e12, 1e6, NULL][doc_id % 7 + 1] AS scale FROM documents""",
 }
+_TOTAL = "CAST(floor(round(source_quality * 0.2::DOUBLE + completeness * 0.18::DOUBLE + theme * 0.15::DOUBLE + business * 0.12::DOUBLE + financial * 0.12::DOUBLE + valuation * 0.1::DOUBLE + growth * 0.08::DOUBLE + catalyst * 0.05::DOUBLE, 6)) - floor(round(risk * 0.2::DOUBLE, 6)) AS INTEGER)"
+SQL |= {
+    "candidate_scorecard": f"""WITH dims AS ({SQL['candidate_dimensions']}), o AS (SELECT p_partkey, completeness, p_size % 6 + 1 AS tier, p_partkey % 11 = 0 AS mock, greatest(0, least(100, {_TOTAL})) AS raw FROM dims JOIN part USING (p_partkey)
+        ), s AS (SELECT *, CAST(least(raw, CASE WHEN mock AND tier = 6 THEN 25 ELSE [100, 90, 80, 75, 60, 30][tier] END) AS INTEGER) AS overall_score FROM o)
+        SELECT p_partkey, overall_score, CASE WHEN mock THEN 'not_enough_data' WHEN tier >= 5 THEN CASE WHEN overall_score >= 50 THEN 'needs_primary_sources' ELSE 'not_enough_data' END WHEN overall_score < 20 OR completeness < 20 THEN 'not_enough_data' WHEN overall_score < 35 THEN 'low_priority_research'
+          WHEN overall_score < 55 THEN 'needs_primary_sources' WHEN overall_score < 70 THEN 'ready_for_deeper_analysis' ELSE 'high_priority_for_human_review' END AS status FROM s""",
+    "council_scorecard": f"""WITH dims AS ({SQL['analysis_dimensions']}), r AS (SELECT l_orderkey AS o_orderkey, count(*) FILTER (l_returnflag = 'R') AS gaps FROM lineitem GROUP BY 1
+        ), o AS (SELECT o_orderkey, o_orderstatus = 'P' AS mock, o_orderkey % 4 AS t, o_orderkey % 3 AS c, o_orderkey % 5 AS q, coalesce(gaps, 0) AS gaps, greatest(0, least(100, {_TOTAL})) AS raw FROM dims JOIN orders USING (o_orderkey) LEFT JOIN r USING (o_orderkey)
+        ), s AS (SELECT *, CAST(least(raw, CASE WHEN mock AND t = 3 THEN 25 ELSE [100, 80, 60, 30][t + 1] END) AS INTEGER) AS overall_score FROM o)
+        SELECT o_orderkey, overall_score, CASE WHEN mock THEN 'not_enough_data' WHEN c = 0 OR q >= 3 THEN 'reject_due_to_data_quality' WHEN t >= 2 THEN 'needs_primary_sources' WHEN gaps > 5 THEN 'low_priority_research' WHEN overall_score >= 70 AND q < 2 THEN 'high_priority_for_human_review'
+          WHEN overall_score >= 55 THEN 'ready_for_deeper_analysis' WHEN overall_score >= 35 THEN 'needs_primary_sources' WHEN overall_score >= 20 THEN 'low_priority_research' ELSE 'not_enough_data' END AS status FROM s""",
+}

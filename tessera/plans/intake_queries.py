@@ -136,9 +136,8 @@ THEMES = {"grid": ["grid", "power", "solar"], "fastening": ["bolt", "gear", "rin
 REASONS = ["demand for solar power is in transition", "contract award for bolt and gear supply", "product launch event", "adoption at scale", "regulator approval milestone"]
 
 
-@query
-def candidate_dimensions(spark: SparkSession, sf: str) -> DataFrame:
-    """R12 over parts: the name, type and brand identify; size, price and key choose fields, tiers and reasons."""
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as candidates: the name, type and brand identify; size, price and key choose fields, tiers and reasons."""
     p, k, size = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
     field = lambda keep: F.array_compact(F.array(*[F.when((size % (i + 2) > 0) == keep, F.lit(f)) for i, f in enumerate(R.FINANCIAL_FIELDS)]))
     reasons = F.array_compact(F.array(*[F.when((k + i) % 4 == 0, F.lit(r)) for i, r in enumerate(REASONS)]))
@@ -146,12 +145,24 @@ def candidate_dimensions(spark: SparkSession, sf: str) -> DataFrame:
         "p_partkey", F.concat(F.lit("T"), (size % 6 + 1).cast("string")).alias("source_tier"), (k % 11 == 0).alias("is_mock"), (k % 6).cast("int").alias("warnings"), (k % 4).cast("int").alias("primary_facts"), field(True).alias("available"), field(False).alias("missing"), reasons.alias("reasons"),
         F.substring("p_brand", 7, 2).alias("ticker"), F.col("p_name").alias("name"), pick(["Energy", "Utilities", "it", None], size).alias("sector"), pick(["DE", "F", None], k).alias("country"), pick(["not_ready", "partial", "basic", "deeper", "odd"], size).alias("valuation_readiness"),
     )
-    return R.candidate_dimensions(x, THEMES).select("p_partkey", "source_quality", "completeness", "theme", "business", "financial", "valuation", "growth", "catalyst", "risk")
+    return R.candidate_dimensions(x, THEMES)
 
 
 @query
-def analysis_dimensions(spark: SparkSession, sf: str) -> DataFrame:
-    """R13 over orders: lines give the counts."""
+def candidate_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """R12 over parts."""
+    return _candidates(spark, sf).select("p_partkey", "source_quality", "completeness", "theme", "business", "financial", "valuation", "growth", "catalyst", "risk")
+
+
+@query
+def candidate_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    """Overall score and status of candidates from their dimensions."""
+    x = R.overall(_candidates(spark, sf))
+    return x.select("p_partkey", "overall_score", R.candidate_status(F.col("overall_score"), F.col("source_tier"), F.col("is_mock"), F.col("completeness")).alias("status"))
+
+
+def _analysed(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as analysed companies: lines give the counts."""
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_quantity") > 40).alias("large"))
     x, k = table(spark, sf, "orders").join(lines, "o_orderkey", "left").na.fill(0, ["n", "returned", "large"]), F.col("o_orderkey")
     some = lambda c, words: F.slice(F.array(*map(F.lit, words)), F.lit(1), c.cast("int"))
@@ -159,8 +170,24 @@ def analysis_dimensions(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderkey", pick(["strong", "adequate", "weak", "insufficient", None], k).alias("overall_quality"), (F.col("o_orderstatus") == "P").alias("is_mock"), pick(["T1", "T3", "T5", "T6"], k).alias("source_tier"), F.col("n").alias("n_available"), F.col("returned").alias("n_missing"),
         some(F.col("returned"), REASONS).alias("bull"), some(F.col("large"), REASONS).alias("tailwinds"), some(F.col("n"), REASONS).alias("headwinds"), some(k % 3, ["await a trigger", "sign the deal"]).alias("next_steps"), F.col("o_orderpriority").alias("sector"),
         pick(["not_ready", "ready", "partial", "deeper"], k).alias("valuation_readiness"), F.col("returned").alias("blocking_gaps"), F.col("large").alias("valuation_blockers"),
+        F.when(k % 6 > 1, k % 6 - 2).otherwise(0).cast("int").alias("primary_facts"), F.col("o_orderstatus").alias("ticker"), F.when(k % 2 == 0, "Firm").alias("name"), pick(["failed", "passed", None], k).alias("citations"),
     )
-    return R.analysis_dimensions(x, THEMES).select("o_orderkey", "source_quality", "financial", "theme", "growth", "catalyst", "valuation", "risk")
+    return R.analysis_dimensions(x, THEMES)
+
+
+@query
+def analysis_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """R13 over orders."""
+    return _analysed(spark, sf).select("o_orderkey", "source_quality", "completeness", "business", "financial", "theme", "growth", "catalyst", "valuation", "risk")
+
+
+@query
+def council_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    """Overall score and status of analysed companies from their dimensions."""
+    x, c = R.overall(_analysed(spark, sf)), F.col
+    return x.select("o_orderkey", "overall_score", R.council_status(c("overall_score"), c("source_tier"), c("is_mock"), c("citations"), c("overall_quality"), c("blocking_gaps")).alias("status"))
+
+
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
