@@ -103,4 +103,14 @@ SQL |= {
         ), s AS (SELECT *, CAST(least(raw, CASE WHEN mock AND t = 3 THEN 25 ELSE [100, 80, 60, 30][t + 1] END) AS INTEGER) AS overall_score FROM o)
         SELECT o_orderkey, overall_score, CASE WHEN mock THEN 'not_enough_data' WHEN c = 0 OR q >= 3 THEN 'reject_due_to_data_quality' WHEN t >= 2 THEN 'needs_primary_sources' WHEN gaps > 5 THEN 'low_priority_research' WHEN overall_score >= 70 AND q < 2 THEN 'high_priority_for_human_review'
           WHEN overall_score >= 55 THEN 'ready_for_deeper_analysis' WHEN overall_score >= 35 THEN 'needs_primary_sources' WHEN overall_score >= 20 THEN 'low_priority_research' ELSE 'not_enough_data' END AS status FROM s""",
+    "vendor_fundamentals": """WITH c AS (SELECT c_custkey, c_mktsegment, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS DOUBLE) AS bal FROM customer WHERE c_custkey % 10 <> 9
+        ), y AS (SELECT *, 'income_statement.' || y || '-12-31' AS p, y FROM c, (SELECT unnest([2023, 2024]) AS y))
+        SELECT c_custkey, 'general.gic_sector' AS field_name, c_mktsegment AS text, CAST(NULL AS DOUBLE) AS value, NULL AS unit FROM c WHERE c_mktsegment <> ''
+        UNION ALL SELECT c_custkey, 'highlights.market_cap_mln', NULL, CASE c_custkey % 3 WHEN 1 THEN c_custkey * 2 ELSE c_custkey END, 'USD_m' FROM c WHERE c_custkey % 3 > 0
+        UNION ALL SELECT c_custkey, 'highlights.pe_ratio', NULL, 12.5, 'x' FROM c
+        UNION ALL SELECT c_custkey, 'shares.float_mln', NULL, round(c_custkey * 10000 / 1e6, 4), 'M shares' FROM c
+        UNION ALL SELECT c_custkey, 'technicals.52_week_high', NULL, bal, NULL FROM c
+        UNION ALL SELECT c_custkey, p || '.total_revenue_mln', NULL, round((c_custkey * 1000000 + y) / 1e6, 4), 'USD_m' FROM y
+        UNION ALL SELECT c_custkey, p || '.eps', NULL, bal, 'USD' FROM y
+        UNION ALL SELECT c_custkey, 'balance_sheet.2022.total_assets_mln', NULL, c_custkey * 3, 'USD_m' FROM c""",
 }

@@ -12,6 +12,7 @@ from tessera.operators import markup as M
 from tessera.operators import scoring as R
 from tessera.plans.catalogue import query
 from tessera.sources import parsers as SP
+from tessera.sources import vendor as V
 from tessera.sources.tables import facts, table
 
 
@@ -231,3 +232,18 @@ def text_predicates(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     word = pick(["Million", "bn", "k", "thousands", "tn", "m", "dozen"], F.col("doc_id"))
     return d.select("doc_id", T.contains_word(F.col("text"), "THE").alias("word"), T.contains_phrase(F.lower("text"), "of the").alias("phrase"), T.scale(word).alias("scale"))
+
+
+@query
+def vendor_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole document for each customer, with two yearly income statements, one balance sheet, and values that are no numbers."""
+    c, k, bal = table(spark, sf, "customer"), F.col("c_custkey"), F.col("c_acctbal").cast("decimal(12,2)").cast("string")
+    year = lambda y: F.struct(F.when(k % 2 == 0, f"{y}-12-31").alias("date"), (k * 1_000_000 + y).cast("string").alias("totalRevenue"), bal.alias("eps"), F.lit("n/a").alias("netIncome"))
+    doc = F.struct(
+        F.struct(F.col("c_mktsegment").alias("GicSector"), F.lit(" ").alias("CurrencyCode")).alias("General"), F.struct(F.when(k % 3 > 0, k * 1_000_000).alias("MarketCapitalization"), F.when(k % 3 == 1, k * 2).alias("MarketCapitalizationMln"), F.lit("12.5").alias("PERatio"), F.lit("NaN").alias("PEGRatio")).alias("Highlights"),
+        F.struct((k * 10_000).alias("SharesFloat")).alias("SharesStats"), F.struct(bal.alias("52WeekHigh")).alias("Technicals"),
+        F.struct(F.struct(F.struct(year(2023).alias("2023-12-31"), year(2024).alias("2024-12-31")).alias("yearly")).alias("Income_Statement"), F.struct(F.struct(F.struct((k * 3_000_000).alias("totalAssets")).alias("2022")).alias("yearly")).alias("Balance_Sheet")).alias("Financials"),
+    )
+    payload = F.when(k % 10 == 9, F.lit("{oops")).otherwise(F.to_json(doc))
+    out = V.vendor_fundamentals(c.select("c_custkey", payload.alias("payload")), ["c_custkey"], "payload", every_year=True)
+    return out.filter("field_name <> '_meta.raw_payload_hash'")
