@@ -13,7 +13,8 @@ from .common import RID, kept_numbers, numbered, stored
 
 BUCKETS, PIECE = 1 << 16, 1 << 20
 HELD = 32  # languages whose counts a task holds at a time
-NO_LANGUAGE = "und"
+NO_LANGUAGE, FOLDED = "und", "other"
+FITTED = 128  # declared values with a profile of their own: 64 MB of numbers in the driver, half of that in a task
 
 
 def trigrams(data: bytes) -> Iterator[np.ndarray]:
@@ -41,13 +42,26 @@ def batches_of(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, list[b
         yield first, held
 
 
+def label(docs: DataFrame, declared: str, fitted: int) -> tuple[Column, list[str] | None]:
+    """(the label that a row's text is counted under, the values that have their own): the declared value, or FOLDED for all but the
+    `fitted` values with most rows; None instead of the values if nothing is folded. Markup of a crawl declares thousands of values,
+    most of them mistakes; the fit is bounded by this number, while every row's text is counted and every row judged."""
+    value = F.col(declared)
+    named = docs.filter(value.isNotNull() & ~value.isin("", NO_LANGUAGE)).groupBy(declared).count()
+    most = [r[0] for r in named.orderBy(F.desc("count"), declared).limit(fitted + 1).collect()]
+    if len(most) <= fitted:
+        return value, None
+    kept = [v for v in most[:fitted] if v != FOLDED]
+    return F.when(value.isin("", NO_LANGUAGE, *kept), value).when(value.isNotNull(), FOLDED), kept
+
+
 def profiles(docs: DataFrame, declared: str, text: str) -> tuple[list[str], np.ndarray]:
-    """Every declared language whose rows have trigrams ('' and NO_LANGUAGE declare none), and log probabilities of the trigram
-    buckets in each, from all rows that declare one. A bucket gets half a pseudo-count, less in a language with fewer than
+    """Every label whose rows have trigrams ('' and NO_LANGUAGE are none), and log probabilities of the trigram
+    buckets in each, from all rows that have one. A bucket gets half a pseudo-count, less in a language with fewer than
     BUCKETS trigrams: all together at most half of these, so that a small profile isn't nearly uniform and draws no junk.
 
     A partition sends counts by language and bucket, and holds those of HELD languages at a time; the driver and the scoring
-    tasks hold a row of BUCKETS numbers a language.
+    tasks hold a row of BUCKETS numbers a label, of which label() leaves few.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +142,13 @@ def markup_language(html: Column) -> Column:
 
 
 def identify(
-    docs: DataFrame, declared: Column, suffix: Column, host: Column, id_col: str = "doc_id", text_col: str = "text", temper: float = 0.3, strength: float = 20.0, unknown: float = 1e-3, least: float = 0.5
+    docs: DataFrame, declared: Column, suffix: Column, host: Column, id_col: str = "doc_id", text_col: str = "text", temper: float = 0.3, strength: float = 20.0, unknown: float = 1e-3, least: float = 0.5, fitted: int = FITTED
 ) -> DataFrame:
     """One row per document: RID, id, language, posterior, text_language, accepted.
 
-    Text: naive Bayes over hashed byte trigrams, trained on all rows by their declared language. From the texts' own posteriors,
+    Text: naive Bayes over hashed byte trigrams, trained on all rows by their declared language, those of the rarest values
+    together once there are over `fitted`; a row that is best explained by that profile has the language it declares, if that is one of
+    these values, else FOLDED. From the texts' own posteriors,
     grouped aggregation gives, without a row's own part in it: how often each declared value and suffix goes with each
     language (likelihoods, smoothed towards independence), and a host's prior, smoothed towards its parent's (the host less its
     first label), that towards all documents' (strength pseudo-counts each). The posterior multiplies text, declared,
@@ -143,7 +159,8 @@ def identify(
     document is NO_LANGUAGE. Ties go to the first language in order. Ids may be null or repeat. Empty table, empty result.
     """
     labelled = docs.withColumn("__declared", declared.cast("string"))
-    langs, logs = profiles(labelled, "__declared", text_col)
+    of, kept = label(labelled, "__declared", fitted)
+    langs, logs = profiles(labelled.withColumn("__declared", of) if kept is not None else labelled, "__declared", text_col)
     k = len(langs)
     parent = F.regexp_extract(host, r"^[^.]+\.(.+)$", 1)
     columns = [F.col(id_col), declared.cast("string"), suffix.cast("string"), host.cast("string"), F.when(parent != "", parent)]
@@ -178,7 +195,11 @@ def identify(
         logs_of = F.zip_with(logs_of, part, lambda a, b: a + b)
     out = out.withColumn("sum", logs_of).withColumn("sum", F.transform("sum", lambda x: F.exp(x - F.array_max("sum")))).withColumn("post", F.transform("sum", lambda x: x / added(F.col("sum"))))
     name_at = lambda a: F.element_at(F.array(*map(F.lit, [*langs, NO_LANGUAGE])), F.array_position(a, F.array_max(a)).cast("int"))
-    out = out.select(RID, F.col("id").alias(id_col), name_at(F.col("post")).alias("language"), F.array_max("post").alias("posterior"), name_at(F.col("told")).alias("text_language"))
+    out = out.select(RID, F.col("id").alias(id_col), name_at(F.col("post")).alias("language"), F.array_max("post").alias("posterior"), name_at(F.col("told")).alias("text_language"), "declared")
+    if kept is not None:  # what the rarest values share is named by what the row declares
+        rare = F.when(F.col("declared").isNotNull() & ~F.col("declared").isin("", NO_LANGUAGE, *kept), F.col("declared"))
+        out = out.withColumns({c: F.when(F.col(c) == FOLDED, F.coalesce(rare, F.lit(FOLDED))).otherwise(F.col(c)) for c in ("language", "text_language")})
+    out = out.drop("declared")
     return out.withColumn("accepted", (F.col("language") != NO_LANGUAGE) & (F.col("posterior") >= least))
 
 
