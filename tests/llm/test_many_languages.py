@@ -52,3 +52,27 @@ def test_awkward_pages(spark, url):
     out = language.of_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(str(r.page_id) for r in out) == sorted(str(r[0]) for r in rows) and all(0 <= r.posterior <= 1 for r in out)
     assert language.of_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_page_languages_against_the_definition(spark, sf):
+    """The registered query on the whole table, against posteriors computed a page at a time."""
+    import re
+
+    import numpy as np
+    from llm.test_text_operators import brute_posteriors
+    from tessera.llm.queries import QUERIES
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    rows = []
+    for p in pages:
+        html = p.html or ""
+        found = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", html)
+        host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", p.url or "")
+        host = host.group(1).lower() if host else None
+        suffix = re.search(r"\.([^.]+)$", host) if host else None
+        rows.append((re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ", html), found.group(1).lower() if found else None, suffix.group(1) if suffix else None, host))
+    names, want = brute_posteriors(rows)
+    got = {r.page_id: r for r in QUERIES["page_languages"](spark, sf).collect()}
+    assert len(got) == len(pages) and len({r[1] for r in rows}) > 2 and len({r[3] for r in rows}) > 2
+    for p, w in zip(pages, want):
+        assert abs(got[p.page_id].posterior - w.max()) < 1e-5 and (got[p.page_id].language == names[w.argmax()] or np.sort(w)[-2] > w.max() - 1e-5)
