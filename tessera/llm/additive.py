@@ -130,9 +130,12 @@ def neighbours(
     than the most frequent of the table (of equally frequent ones the longest). Of rows with equal id the one with the smallest vector counts. Fewer candidates than k:
     all. Empty table, empty result.
     """
+    if not 0 < words <= 256:
+        raise ValueError("a code is one byte: a book has at most 256 words")
     spark, n = table.sparkSession, partitions(table.sparkSession)
     good = F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0)
     usable = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(good).groupBy("id").agg(F.min("v").alias("v"))
+    usable = stored(usable, "vectors")  # read again and again, shuffled once
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     length = usable.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
     if length is None:
