@@ -86,4 +86,15 @@ SQL = {
           valid > 0 AND scopes = 0 AND ((regexp_matches(regexp_replace(lower(c.t), '\bpeer[\s-]groups?\b', ' ', 'g'), 'consolidated|group') AND NOT regexp_matches(lower(c.t), '{_SEGMENTS}')) OR (run = 0 AND contains(lower(c.t), 'watches'))) AS unscoped,
           regexp_matches(lower(c.t), '{_MACRO}') AND valid > 0 AND segments = valid AND NOT said AS macro
         FROM c JOIN j USING (claim) LEFT JOIN g USING (claim) LEFT JOIN n USING (claim)""",
+    "submission_profiles": """WITH c AS (SELECT *, CASE WHEN c_custkey > 0 THEN lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS cik, c_custkey % 5 AS e FROM customer WHERE c_custkey % 7 <> 6)
+        SELECT c_custkey, cik, c_name AS legal_name, CASE WHEN c_custkey % 3 > 0 THEN 'T' || c_custkey ELSE cik END AS ticker, CASE WHEN c_custkey % 2 = 0 THEN 'NYSE' END AS exchange, nullif(c_mktsegment, '') AS industry, CASE e WHEN 0 THEN 'December' WHEN 1 THEN 'June' WHEN 2 THEN '1331' END AS fiscal_year_end,
+          CAST(NULL AS VARCHAR) AS website, 'SIC: ' || c_mktsegment || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '. Incorporated in: Delaware' END AS description, CASE WHEN c_custkey % 3 > 0 THEN 2 ELSE 0 END AS n_tickers FROM c""",
+    "evidence_channels": """WITH d AS (SELECT *, doc_id % 5 = 0 AS fact, doc_id % 5 = 1 AS meta FROM documents LEFT JOIN labels USING (doc_id)
+        ), e AS (SELECT source, count(*) FILTER (doc_id % 2 = 0) AS refs, count(*) FILTER (NOT fact AND NOT meta AND doc_id % 3 > 0 AND trim(coalesce(text, '')) <> '') AS extracted, count(*) FILTER (fact) AS facts, count(*) FILTER (quality = 1) AS de, count(*) FILTER (quality = 0) AS dm,
+            count(*) FILTER (quality IS NULL AND doc_id % 9 = 0) AS df FROM d GROUP BY 1
+        ), t AS (SELECT *, 'src' || conv_id % 20 AS source FROM conversations), c AS (SELECT source, count(DISTINCT conv_id % 11) AS ids, count(*) AS n FROM t WHERE role <> 'assistant' GROUP BY 1
+        ), k AS (SELECT source, count(DISTINCT sha1(coalesce(text, ''))) AS hs, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY 1
+        ), x AS (SELECT source, coalesce(refs, 0) AS refs, coalesce(extracted, 0) AS extracted, coalesce(facts, 0) AS facts, coalesce(ids, 0) + coalesce(hs, 0) AS sources, coalesce(c.n, 0) + coalesce(k.n, 0) AS cites, coalesce(k.n, 0) AS links, coalesce(de, 0) AS de, dm, coalesce(df, 0) AS df FROM e FULL JOIN c USING (source) FULL JOIN k USING (source)
+        ), n AS (SELECT *, unnest(['issuer_documents', 'regulator_facts', 'regulator_filings', 'issuer_newsroom', 'stored_citations']) AS channel, unnest([de, facts, df, 0, cites + links]) AS n FROM x)
+        SELECT source, channel, n > 0 AS available, CAST(n AS BIGINT) AS n, refs AS "references", extracted, facts, sources, cites AS citations, links, dm AS documents_metadata_only FROM n""",
 }

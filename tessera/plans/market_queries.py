@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import discovery as D
+from tessera.operators import evidence_counts as E
 from tessera.operators import grounding as G
 from tessera.operators import market_texts as MT
 from tessera.plans.catalogue import query
 from tessera.plans.fact_queries import filled
+from tessera.sources import submissions as SB
 from tessera.sources.tables import table
 
 THESES = [
@@ -110,3 +112,28 @@ def claim_grounding(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 4 == 0, "group").when(k % 4 == 1, "Watches").alias("scope"), F.when(k % 3 == 0, "2024").when(k % 3 == 1, "2023").alias("period"),
     )
     return G.grounded_claims(claims, evidence)
+
+
+@query
+def submission_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """A submissions document for each customer; some have no ticker, odd year ends, blank fields, or are no JSON."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    doc = F.struct(
+        k.alias("cik"), F.col("c_name").alias("name"), F.when(k % 3 > 0, F.array(F.concat(F.lit("T"), k.cast("string")), F.lit("X"))).otherwise(F.array().cast("array<string>")).alias("tickers"), F.when(k % 2 == 0, F.array(F.lit("NYSE"))).alias("exchanges"), F.col("c_mktsegment").alias("sicDescription"),
+        F.element_at(F.array(*map(F.lit, ["1231", "0630", "1331", "9", ""])), (k % 5 + 1).cast("int")).alias("fiscalYearEnd"), F.when(k % 4 == 0, " ").otherwise("Delaware").alias("stateOfIncorporationDescription"), F.lit("").alias("website"),
+    )
+    payload = F.when(k % 7 == 6, F.lit("[]")).otherwise(F.to_json(doc))
+    return SB.profiles(c.select("c_custkey", payload.alias("payload")), ["c_custkey"], "payload").select("c_custkey", "cik", "legal_name", "ticker", "exchange", "industry", "fiscal_year_end", "website", "description", "n_tickers")
+
+
+@query
+def evidence_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source of documents as runs; labels tell facts and states, conversations stand for citations and links."""
+    d, k = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left"), F.col("doc_id")
+    evidence = d.select("source", (k % 5 == 0).alias("is_fact"), (k % 5 == 1).alias("is_metadata"), F.when(k % 3 > 0, F.col("text")).alias("excerpt"), (k % 2 == 0).alias("is_reference"))
+    states = E.document_states(d.select("source", F.when(F.col("quality") == 1, "extracted").when(F.col("quality") == 0, "metadata_only").when(k % 9 == 0, "extraction_failed").otherwise("queued").alias("status")), "source", "status")
+    t = table(spark, sf, "conversations").withColumn("source", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")))
+    citations = t.select("source", (F.col("conv_id") % 11).alias("source_id"), F.when(F.col("role") == "assistant", "council.claim").when(F.col("role") == "user", "facts.revenue").alias("field_path"))
+    links = t.filter("role = 'assistant'").select("source", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("content_hash"))
+    counts = E.reconciliation(evidence, citations, links, "source").join(states, "source", "left").withColumns({"fact_fields": F.col("facts"), "filing_events": F.col("documents_failed"), "press_events": F.lit(0)})
+    return E.channels(counts, "source").join(counts.select("source", "references", "extracted", "facts", "sources", "citations", "links", "documents_metadata_only"), "source")
