@@ -154,3 +154,50 @@ def with_industry_floor(scored: DataFrame, industry: DataFrame, members: DataFra
     x = scored.join(members.select(company, group), company, "left").join(spoken, [item, group], "left")
     context = ~F.col("specific") & ~F.col("filtered") & F.coalesce("__spoken", F.lit(False))
     return x.withColumns({"is_industry_context": context, "score": F.when(context, F.greatest("score", F.lit(floor))).otherwise(F.col("score"))}).withColumn("level", _level(F.col("score"))).drop("__spoken")
+
+
+def search_plans(df: DataFrame, keys: list[str], exchange: list[str], filings: list[str], banned: list[str], most: int = 10) -> DataFrame:
+    """K31 on columns ticker, name, sector and industry: keys, kind, n and query of each company's plan of at most `most` searches.
+
+    Queries that hold a banned phrase are left out, equal ones (case aside) stay once, in order. A third of the budget goes to the company,
+    then at most three to primary sources, three to the industry and two to the exchange, the rest to the regulator. exchange and
+    filings are templates with {ticker}, {company}, {sector} and {industry}. Without a name the ticker stands for it."""
+    ticker = F.upper(F.coalesce("ticker", F.lit("")))
+    name = F.when(F.coalesce("name", F.lit("")) == "", ticker).otherwise(F.col("name"))
+    sector, industry = (F.nullif(F.coalesce(c, F.lit("")), F.lit("")) for c in ("sector", "industry"))
+
+    def filled(template: str) -> Column:
+        text = F.lit(template)
+        for place, value in (("ticker", ticker), ("company", name), ("sector", F.coalesce(sector, F.lit(""))), ("industry", F.coalesce(industry, F.lit("")))):
+            text = F.replace(text, F.lit("{" + place + "}"), value)
+        return text
+
+    both = sector.isNotNull() & industry.isNotNull()
+    field = [F.when(sector.isNotNull(), filled('"{sector}" sector recent news')), F.when(industry.isNotNull(), filled('"{industry}" industry recent news')), F.when(both, filled('"{industry}" supply chain regulation trends')), F.when(sector.isNull() & industry.isNull(), filled("{ticker} industry peers recent news"))]
+    kinds = {
+        "company": [filled('"{company}" {ticker} latest news'), filled('"{company}" earnings guidance product regulatory management')],
+        "primary_source": [filled('"{company}" investor relations'), filled('"{company}" newsroom press release'), filled("{ticker} press release")],
+        "industry": field, "exchange": [filled(t) for t in exchange], "regulatory": [filled(t) for t in filings],
+    }
+    limits = {"company": max(1, most // 3), "primary_source": 3, "industry": 3, "exchange": 2, "regulatory": most}
+
+    def kept(queries: list[Column]) -> Column:
+        safe = F.filter(F.transform(F.array(*[q.cast("string") for q in queries]), lambda q: F.trim(q)), lambda q: q.isNotNull() & (q != "") & ~F.lower(q).rlike("|".join(banned)))
+        low = F.transform(safe, lambda q: F.lower(q))
+        return F.filter(safe, lambda q, i: F.array_position(low, F.lower(q)) == i + 1)
+
+    x = df.select(*keys, *[kept(qs or [F.lit(None)]).alias(f"__{k}") for k, qs in kinds.items()])
+    left: Column = F.lit(max(1, most))
+    parts = []
+    for k, limit in limits.items():
+        part = F.slice(F.col(f"__{k}"), F.lit(1), F.greatest(F.lit(0), F.least(F.lit(limit), left)))
+        x = x.withColumn(f"__{k}", part)
+        left = left - F.size(f"__{k}")
+        x = x.withColumn(f"__left_{k}", left)
+        left = F.col(f"__left_{k}")
+        parts.append(F.transform(F.col(f"__{k}"), _numbered(k)))
+    return x.select(*keys, F.inline(F.concat(*parts)))
+
+
+def _numbered(kind: str):
+    return lambda q, i: F.struct(F.lit(kind).alias("kind"), i.alias("n"), q.alias("query"))

@@ -97,4 +97,14 @@ SQL = {
         ), x AS (SELECT source, coalesce(refs, 0) AS refs, coalesce(extracted, 0) AS extracted, coalesce(facts, 0) AS facts, coalesce(ids, 0) + coalesce(hs, 0) AS sources, coalesce(c.n, 0) + coalesce(k.n, 0) AS cites, coalesce(k.n, 0) AS links, coalesce(de, 0) AS de, dm, coalesce(df, 0) AS df FROM e FULL JOIN c USING (source) FULL JOIN k USING (source)
         ), n AS (SELECT *, unnest(['issuer_documents', 'regulator_facts', 'regulator_filings', 'issuer_newsroom', 'stored_citations']) AS channel, unnest([de, facts, df, 0, cites + links]) AS n FROM x)
         SELECT source, channel, n > 0 AS available, CAST(n AS BIGINT) AS n, refs AS "references", extracted, facts, sources, cites AS citations, links, dm AS documents_metadata_only FROM n""",
+    "search_plans": """WITH p AS (SELECT p_partkey, 'T' || p_partkey AS t, CASE WHEN p_partkey % 5 > 0 AND p_name <> '' THEN p_name ELSE 'T' || p_partkey END AS c, CASE WHEN p_partkey % 3 > 0 THEN nullif(p_brand, '') END AS s, CASE WHEN p_partkey % 2 = 0 THEN nullif(p_type, '') END AS i FROM part
+        ), q AS (
+          SELECT p_partkey, unnest(['company', 'company', 'primary_source', 'primary_source', 'primary_source', 'industry', 'industry', 'industry', 'industry', 'exchange', 'exchange', 'exchange', 'regulatory', 'regulatory', 'regulatory']) AS kind, unnest(range(15)) AS o,
+            unnest(['"' || c || '" ' || t || ' latest news', '"' || c || '" earnings guidance product regulatory management', '"' || c || '" investor relations', '"' || c || '" newsroom press release', t || ' press release',
+              '"' || s || '" sector recent news', '"' || i || '" industry recent news', CASE WHEN s IS NOT NULL THEN '"' || i || '" supply chain regulation trends' END, CASE WHEN s IS NULL AND i IS NULL THEN t || ' industry peers recent news' END,
+              c || ' exchange announcement', t || ' regulatory news', '{TICKER}', c || ' 10-K', trim(c || ' annual report ' || coalesce(i, '')), t || ' 8-K']) AS query FROM p
+        ), n AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, kind ORDER BY o) - 1 AS n FROM q WHERE query IS NOT NULL
+        ), cut AS (SELECT * FROM n WHERE n < CASE kind WHEN 'company' THEN 3 WHEN 'regulatory' THEN 10 WHEN 'exchange' THEN 2 ELSE 3 END
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY list_position(['company', 'primary_source', 'industry', 'exchange', 'regulatory'], kind), n) AS place FROM cut)
+        SELECT p_partkey, kind, CAST(n AS INTEGER) AS n, query FROM r WHERE place <= 10""",
 }

@@ -137,3 +137,15 @@ def evidence_channels(spark: SparkSession, sf: str) -> DataFrame:
     links = t.filter("role = 'assistant'").select("source", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("content_hash"))
     counts = E.reconciliation(evidence, citations, links, "source").join(states, "source", "left").withColumns({"fact_fields": F.col("facts"), "filing_events": F.col("documents_failed"), "press_events": F.lit(0)})
     return E.channels(counts, "source").join(counts.select("source", "references", "extracted", "facts", "sources", "citations", "links", "documents_metadata_only"), "source")
+
+
+EXCHANGE_SEARCHES = ["{company} exchange announcement", "{ticker} regulatory news", "{ticker} strong buy list", "{TICKER}", "{company} EXCHANGE announcement"]
+FILING_SEARCHES = ["{company} 10-K", "{company} annual report {industry}", "{ticker} 8-K"]
+
+
+@query
+def search_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """K31 over parts as companies; some have no sector, industry or name."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    x = p.select("p_partkey", F.concat(F.lit("t"), k.cast("string")).alias("ticker"), F.when(k % 5 > 0, F.col("p_name")).alias("name"), F.when(k % 3 > 0, F.col("p_brand")).otherwise("").alias("sector"), F.when(k % 2 == 0, F.col("p_type")).alias("industry"))
+    return MT.search_plans(x, ["p_partkey"], EXCHANGE_SEARCHES, FILING_SEARCHES, ["strong buy", "price target"], 10)

@@ -119,3 +119,16 @@ def test_relevance_of_blocks(spark):
     assert [r.r for r in rows] == [1, 10, 13, 0, 3, 0, 0]
     assert re.search(D.CLAUSE_END, "a. b") and not re.search(D.CLAUSE_END, "8.7")
     assert len(V.THEMES) == 10 and len(V.ITEMS) == 14
+
+
+def test_search_plans(spark):
+    rows = [(1, "abc", "Firm", "Tech", "Chips"), (2, "x", None, None, ""), (3, None, "", "Tech", None)]
+    df = spark.createDataFrame(rows, "id long, ticker string, name string, sector string, industry string")
+    plan = lambda most: {(r.id, r.kind): r.queries for r in MT.search_plans(df, ["id"], ["{ticker} price target", "{company} listing", "{COMPANY} Listing", "{company} LISTING"], ["{ticker} filing"], ["price target"], most).groupBy("id", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "query"))).query.alias("queries")).collect()}
+    ten = plan(10)
+    assert ten[1, "company"] == ['"Firm" ABC latest news', '"Firm" earnings guidance product regulatory management'] and ten[1, "industry"] == ['"Tech" sector recent news', '"Chips" industry recent news', '"Chips" supply chain regulation trends']
+    assert ten[1, "exchange"] == ["Firm listing", "{COMPANY} Listing"] and (1, "regulatory") not in ten
+    assert ten[2, "company"][0] == '"X" X latest news' and ten[2, "industry"] == ["X industry peers recent news"] and ten[2, "regulatory"] == ["X filing"]
+    assert ten[3, "industry"] == ['"Tech" sector recent news']
+    assert plan(1)[1, "company"] == ['"Firm" ABC latest news'] and len(plan(1)) == 3
+    assert {k[1]: len(v) for k, v in plan(4).items() if k[0] == 1} == {"company": 1, "primary_source": 3}
