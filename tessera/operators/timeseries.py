@@ -85,18 +85,22 @@ def latest_close(prices: DataFrame, key: str = "instrument") -> DataFrame:
 
 
 def horizon_return(starts: DataFrame, prices: DataFrame, benchmark: DataFrame, days: int, key: str = "instrument") -> DataFrame:
-    """For (key, start) the return of asset and benchmark from the last close by start to the last by start + days."""
+    """For (key, start) the return of asset and benchmark from the last close by start to the last by start + days.
 
-    def value_at(series: DataFrame, by: list[str], asked: DataFrame, when: str, out: str) -> DataFrame:
-        """As-of: the last close at or before a date, from one window over the union of both sides."""
-        marks = asked.select(*by, F.col(when).alias("date"), F.lit(1).alias("ask"), F.lit(None).cast("double").alias("close")).distinct()
-        both = marks.unionByName(series.select(*by, "date", F.lit(0).alias("ask"), "close"))
-        w = Window.partitionBy(*by).orderBy("date", "ask").rowsBetween(Window.unboundedPreceding, 0)
-        return both.withColumn(out, F.last("close", ignorenulls=True).over(w)).filter("ask = 1").select(*by, F.col("date").alias(when), out)
+    As-of by one window over a series and the dates asked of it, both ends of a span at once: one for the assets, and one for the
+    benchmark, which has a row for each day asked at most."""
 
-    asked = starts.select(key, "start", F.date_add("start", days).alias("end"), F.lit(0).alias("__all")).distinct()
-    ref = benchmark.select(F.lit(0).alias("__all"), "date", "close")
-    for series, by, when, out in ((prices, [key], "start", "p0"), (prices, [key], "end", "p1"), (ref, ["__all"], "start", "r0"), (ref, ["__all"], "end", "r1")):
-        asked = asked.join(value_at(series, by, asked, when, out), [*by, when], "left")
+    def as_of(series: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
+        both = marks.withColumns({"ask": F.lit(1), "close": F.lit(None).cast("double")}).unionByName(series.withColumn("ask", F.lit(0)), allowMissingColumns=True)
+        w = Window.partitionBy(*by).orderBy("date", "ask").rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn("value", F.last("close", ignorenulls=True).over(w)).filter("ask = 1").drop("ask", "close")
+
+    spans = starts.select(key, "start", F.date_add("start", days).alias("end")).distinct()
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("start").alias("date")), F.struct(F.lit(1).alias("at"), F.col("end").alias("date"))))
+    marks = spans.select(key, "start", "end", ends.alias("m")).select(key, "start", "end", "m.*")
+    own = as_of(prices.select(key, "date", "close"), marks, [key]).groupBy(key, "start", "end").agg(*[F.max(F.when(F.col("at") == i, F.col("value"))).alias(f"p{i}") for i in (0, 1)])
+    one = F.lit(0).alias("__all")
+    ref = as_of(benchmark.select(one, "date", "close"), marks.select(one, "date").distinct(), ["__all"]).drop("__all")
+    out = own.join(ref.toDF("start", "r0"), "start", "left").join(ref.toDF("end", "r1"), "end", "left")
     a, b = pct(F.col("p1"), F.col("p0")), pct(F.col("r1"), F.col("r0"))
-    return asked.select(key, "start", "end", a.alias("asset_return"), b.alias("benchmark_return"), F.round(a - b, 2).alias("relative_return"))
+    return out.select(key, "start", "end", a.alias("asset_return"), b.alias("benchmark_return"), F.round(a - b, 2).alias("relative_return"))
