@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,24 +56,25 @@ _RANK = {c: i for i, c in enumerate(CURRENCIES)}
 def currency_of(text: str) -> str | None:
     """The currency that a text names: of several, the first in the table."""
     found = {m.group() for m in _CURRENCY.finditer(text.lower())}
-    if "euros" in found or "pounds" in found:  # the longer words hold no shorter one
-        pass
     return CURRENCIES[min(found, key=_RANK.__getitem__)] if found else None
 
 
 def currency(text: Column) -> Column:
-    """currency_of() as a column function."""
-    low, out = F.lower(text), None
+    """currency_of() as a column function. A text without any of the words, even as part of others, is told by plain searches."""
+    low = F.lower(text)
+    stems = [c for c in CURRENCIES if not any(o != c and o in c for o in CURRENCIES)]
+    out = F.when(~reduce(lambda x, y: x | y, (F.contains(low, F.lit(c)) for c in stems)), F.lit(None).cast("string"))
     for word, code in CURRENCIES.items():
-        hit = text.contains(word) if word in _SYMBOLS else low.rlike(rf"(?<![a-z]){word}(?![a-z])")
-        out = F.when(hit, code) if out is None else out.when(hit, code)
+        out = out.when(text.contains(word) if word in _SYMBOLS else low.rlike(rf"(?<![a-z]){word}(?![a-z])"), code)
     return out
 
 
 def scale(text: Column) -> Column:
     """The first scale word of a text, as thousand, million or billion."""
-    word = F.regexp_extract(F.lower(text), rf"(?<![a-z])({'|'.join(sorted(SCALES, key=len, reverse=True))})s?(?![a-z0-9_])", 1)
-    return F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.nullif(word, F.lit("")))
+    low = F.lower(text)
+    word = F.regexp_extract(low, rf"(?<![a-z])({'|'.join(sorted(SCALES, key=len, reverse=True))})s?(?![a-z0-9_])", 1)
+    some = reduce(lambda x, y: x | y, (F.contains(low, F.lit(w)) for w in SCALES if w != "m")) | low.rlike("(?<![a-z])m(?![a-z0-9_])")
+    return F.when(some, F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.nullif(word, F.lit(""))))
 
 
 def row_label(cell: Column) -> Column:
