@@ -59,11 +59,35 @@ def currency_of(text: str) -> str | None:
     return CURRENCIES[min(found, key=_RANK.__getitem__)] if found else None
 
 
+def _some_currency(low: Column) -> Column:
+    """Whether a text in lower case has one of the words, perhaps as part of another: plain searches."""
+    stems = [c for c in CURRENCIES if not any(o != c and o in c for o in CURRENCIES)]
+    return reduce(lambda x, y: x | y, (F.contains(low, F.lit(c)) for c in stems))
+
+
+def _some_scale(low: Column) -> Column:
+    return reduce(lambda x, y: x | y, (F.contains(low, F.lit(w)) for w in SCALES if w != "m")) | low.rlike("(?<![a-z])m(?![a-z0-9_])")
+
+
+def first_currency(texts: Column) -> Column:
+    """The currency of the first text of an array that names one."""
+    return _first(texts, _some_currency, currency)
+
+
+def first_scale(texts: Column) -> Column:
+    """The scale of the first text of an array that states one."""
+    return _first(texts, _some_scale, scale)
+
+
+def _first(texts: Column, some, of) -> Column:
+    low = F.filter(F.transform(texts, lambda t: F.lower(t)), some)  # functions in lambdas share nothing, so each text is lower-cased once
+    return F.get(F.filter(F.transform(low, of), lambda x: x.isNotNull()), 0)
+
+
 def currency(text: Column) -> Column:
-    """currency_of() as a column function. A text without any of the words, even as part of others, is told by plain searches."""
+    """currency_of() as a column function."""
     low = F.lower(text)
-    stems = [c for c in CURRENCIES if not any(o != c and o in c for o in CURRENCIES)]
-    out = F.when(~reduce(lambda x, y: x | y, (F.contains(low, F.lit(c)) for c in stems)), F.lit(None).cast("string"))
+    out = F.when(~_some_currency(low), F.lit(None).cast("string"))
     for word, code in CURRENCIES.items():
         out = out.when(text.contains(word) if word in _SYMBOLS else low.rlike(rf"(?<![a-z]){word}(?![a-z])"), code)
     return out
@@ -73,8 +97,7 @@ def scale(text: Column) -> Column:
     """The first scale word of a text, as thousand, million or billion."""
     low = F.lower(text)
     word = F.regexp_extract(low, rf"(?<![a-z])({'|'.join(sorted(SCALES, key=len, reverse=True))})s?(?![a-z0-9_])", 1)
-    some = reduce(lambda x, y: x | y, (F.contains(low, F.lit(w)) for w in SCALES if w != "m")) | low.rlike("(?<![a-z])m(?![a-z0-9_])")
-    return F.when(some, F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.nullif(word, F.lit(""))))
+    return F.when(_some_scale(low), F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.nullif(word, F.lit(""))))
 
 
 def row_label(cell: Column) -> Column:

@@ -82,8 +82,7 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
 def page_facts(spark: SparkSession, sf: str) -> DataFrame:
     """V1-V6 over whole pages: facts of nested tables and of paragraphs, in every other group of six pages told apart by method; every tenth page's issuer isn't known."""
     tree = staged(M.structure(_reports(spark, sf), "page_id", "html").filter("size(tables) > 0 OR size(blocks) > 0").select("page_id", "tables", "blocks"), "tree")
-    said = lambda f: F.get(F.filter(F.transform("blocks", lambda b: f(b.text)), lambda x: x.isNotNull()), 0)
-    tables = tree.select("page_id", said(R.currency).alias("currency"), said(R.scale).alias("scale"), F.lit(None).cast("string").alias("period"), F.inline("tables"))
+    tables = tree.select("page_id", R.first_currency(F.col("blocks.text")).alias("currency"), R.first_scale(F.col("blocks.text")).alias("scale"), F.lit(None).cast("string").alias("period"), F.inline("tables"))
     from_tables = FA.reconciled(FA.table_candidates(tables, "page_id"), "page_id")
     blocks = tree.select("page_id", F.posexplode("blocks").alias("block_no", "b")).select("page_id", "block_no", F.get("b.path", F.size("b.path") - 1).alias("heading"), F.get("b.path", F.size("b.path") - 2).alias("above"), "b.text")
     keys = ["page_id", "block_no", "heading", "above"]
