@@ -1,14 +1,29 @@
 """SQL for intake_queries."""
 
+from html import unescape
+from html.entities import html5
+
 from tessera.plans.oracles import FACTS
 
 _FIELDS = ["market_cap", "market_cap_usd_m", "revenue_ttm", "ebitda", "ev_ebitda", "pe_ratio", "fcf_ttm", "net_debt", "shares_outstanding"]
 _REASONS = ["demand for solar power is in transition", "contract award for bolt and gear supply", "product launch event", "adoption at scale", "regulator approval milestone"]
 _GROWTH = ["growth", "expansion", "market share", "tailwind", "transition", "demand", "adoption", "scale", "pipeline", "backlog"]
 _CATALYSTS = ["catalyst", "trigger", "contract", "award", "permit", "deal", "announcement", "event", "approval", "launch"]
-_TAG = r"trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
-for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-    _TAG = f"replace({_TAG}, '{_e}', '{_c}')"
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+# Character references by HTML's rules, as html.unescape has them: named ones, some of which need no semicolon and then end at the longest name; numbers.
+_NAMES = "MAP {" + ", ".join(f"{_quoted(n)}: {_quoted(c)}" for n, c in html5.items()) + "}"
+_NUMBERS = [*range(160), *range(0xFDD0, 0xFDF0), *(plane * 0x10000 + n for plane in range(17) for n in (0xFFFE, 0xFFFF))]
+_ODD = "MAP {" + ", ".join(f"{n}: {_quoted(unescape(f'&#{n};'))}" for n in _NUMBERS if n and unescape(f"&#{n};") != chr(n)) + "}"
+_PIECES = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"
+_CODE = "coalesce(TRY_CAST(CASE WHEN lower(p[3]) = 'x' THEN '0x' || ltrim(rtrim(substr(p, 4), ';'), '0') || CASE WHEN ltrim(rtrim(substr(p, 4), ';'), '0') = '' THEN '0' ELSE '' END ELSE rtrim(substr(p, 3), ';') END AS BIGINT), 1114112)"
+_NUMBER = f"list_transform([{_CODE}], lambda n: CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) ELSE coalesce({_ODD}[n], chr(CAST(least(n, 1114111) AS INTEGER))) END)[1]"
+_NAME = f"coalesce(list_filter(list_transform(range(length(p), 2, -1), lambda i: {_NAMES}[substr(p, 2, i - 1)] || substr(p, i + 1)), lambda c: c IS NOT NULL)[1], p)"
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_BARE = r"regexp_replace(regexp_replace(x, '(?is)<(br|img|hr|wbr|input)\b[^>]*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')"
+_TAG = f"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all({_BARE}, '{_PIECES}'), lambda p: CASE WHEN NOT starts_with(p, '&') OR p = '&' THEN p WHEN p[2] = '#' THEN {_NUMBER} ELSE {_NAME} END), ''), '{_SPACE}', ' ', 'g'))"
 
 
 def _n(text: str, words: list[str]) -> str:
