@@ -43,7 +43,8 @@ def grounded_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     scope that evidence of its run has. macro: it speaks of a macroeconomic topic, while all it cites has a known scope other than
     the group's and no text of that speaks of one.
 
-    Numbers meet by evidence and bucket, labels by run and first word: no text is compared with all others. Equal rows of evidence
+    Numbers meet by evidence and bucket, labels by run and first word: no text is compared with all others, and the words that look
+    for labels travel without their text, which comes once to those that have found one. Equal rows of evidence
     count once; claims must be told apart by `claim`.
     """
     c = claims.withColumn("__numbers", numbers(F.col("text")))
@@ -53,13 +54,14 @@ def grounded_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
         F.count("__there").alias("valid"), F.count_if(F.col("__there").isNull()).alias("invalid"), F.countDistinct("scope").alias("__scopes"), F.countDistinct("period").alias("__periods"),
         F.count_if(F.col("__there") & F.col("scope").isNotNull() & ~F.col("scope").isin("", "group")).alias("__segments"), F.bool_or("macro").alias("__macro_said"),
     )
-    asked = c.select("claim", F.posexplode("__numbers").alias("n", "x")).join(cited, "claim").select("claim", "n", "id", "x.*").withColumn("bucket", F.explode(F.array(*[_bucket(F.col("value")) + i for i in (-1, 0, 1)])))
+    asked = c.select("claim", F.array_distinct("cited").alias("__ids"), F.posexplode("__numbers").alias("n", "x")).select("claim", "n", F.explode("__ids").alias("id"), "x.*").withColumn("bucket", F.explode(F.array(*[_bucket(F.col("value")) + i for i in (-1, 0, 1)])))
     told = evidence.select("id", F.explode(numbers(F.col("text"))).alias("e")).select("id", F.col("e.value").alias("__value"), F.col("e.percent").alias("percent")).withColumn("bucket", _bucket(F.col("__value"))).distinct()
     near = F.abs(F.col("value") - F.col("__value")) <= F.greatest("value", "__value") * SHARE
     hit = asked.join(told, ["id", "percent", "bucket"]).filter(near).select("claim", "n").distinct().groupBy("claim").agg(F.count(F.lit(1)).alias("grounded"))
     words = lambda t: F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     labels = evidence.filter("scope IS NOT NULL AND scope <> '' AND lower(scope) <> 'group'").select("run", F.lower("scope").alias("label")).distinct().withColumn("word", F.get(words(F.col("label")), 0))
-    named = c.select("claim", "run", F.lower("text").alias("low"), F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(labels, ["run", "word"]).filter("contains(low, label)").select("claim").distinct().withColumn("__named", F.lit(True))
+    spoken = claims.select("claim", "run", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(labels, ["run", "word"]).select("claim", "label")
+    named = spoken.join(claims.select("claim", F.lower("text").alias("low")), "claim").filter("contains(low, label)").select("claim").distinct().withColumn("__named", F.lit(True))
     x = c.select("claim", F.size("__numbers").alias("numbers"), says_group(F.col("text")).alias("__group"), F.lower("text").rlike("|".join(MACRO)).alias("__topic"))
     x = x.join(joined, "claim", "left").join(hit, "claim", "left").join(named, "claim", "left").na.fill(0, ["valid", "invalid", "grounded", "__scopes", "__periods", "__segments"]).na.fill(False, ["__named", "__macro_said", "__group", "__topic"])
     mixed = (F.col("numbers") >= 2) & ((F.col("__scopes") > 1) | (F.col("__periods") > 1))
