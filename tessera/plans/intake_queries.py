@@ -237,7 +237,7 @@ def text_predicates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def vendor_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
     """A whole document for each customer, with two yearly income statements, one balance sheet, and values that are no numbers."""
-    c, k, bal = table(spark, sf, "customer"), F.col("c_custkey"), F.col("c_acctbal").cast("decimal(12,2)").cast("string")
+    c, k, bal = table(spark, sf, "customer").repartition("c_custkey"), F.col("c_custkey"), F.col("c_acctbal").cast("decimal(12,2)").cast("string")  # few files of narrow rows, each with much work
     year = lambda y: F.struct(F.when(k % 2 == 0, f"{y}-12-31").alias("date"), (k * 1_000_000 + y).cast("string").alias("totalRevenue"), bal.alias("eps"), F.lit("n/a").alias("netIncome"))
     doc = F.struct(
         F.struct(F.col("c_mktsegment").alias("GicSector"), F.lit(" ").alias("CurrencyCode")).alias("General"), F.struct(F.when(k % 3 > 0, k * 1_000_000).alias("MarketCapitalization"), F.when(k % 3 == 1, k * 2).alias("MarketCapitalizationMln"), F.lit("12.5").alias("PERatio"), F.lit("NaN").alias("PEGRatio")).alias("Highlights"),

@@ -38,18 +38,24 @@ _YEARS = ", ".join(f"{s}: struct<yearly: map<string,map<string,string>>>" for s
 DOCUMENT = f"struct<{_FLAT}, Financials: struct<{_YEARS}>>"
 
 
-def _points(prefix: Column, values: Column, fields: dict[str, tuple[str, str]]) -> Column:
-    """field_name, text and value of each field of a map of texts: numbers that aren't finite or aren't numbers have no value."""
-    out = []
-    for theirs, (name, unit) in fields.items():
-        raw = F.nullif(F.trim(F.element_at(values, theirs)), F.lit(""))
-        number = raw.try_cast("double")
-        number = F.when(~F.isnan(number), number)
-        if unit.endswith(" m"):
-            number = F.round(number / 1e6, 4)
-        text = unit == "text"
-        out.append(F.struct(F.concat(prefix, F.lit(f".{name}")).alias("field_name"), (raw if text else F.lit(None).cast("string")).alias("text"), (F.lit(None).cast("double") if text else number).alias("value"), F.lit(None if text or not unit else unit.removesuffix(" m")).cast("string").alias("unit")))
-    return F.array(*out)
+#: Section and the vendor's name to (our name, unit, kind): `m` amounts kept in millions, `c` the market value only given in full, `t` texts.
+FIELDS = {
+    f"{theirs}.{their}": (name, None if unit in ("text", "") else unit.removesuffix(" m"), "t" if unit == "text" else "m" if unit.endswith(" m") else "")
+    for theirs, (_, fields) in (SECTIONS | STATEMENTS).items() for their, (name, unit) in fields.items()
+} | {"_cap.": ("market_cap_mln", "USD_m", "c"), "_meta.": ("raw_payload_hash", None, "t")}
+
+
+def _stated(section: str, prefix: Column, values: Column) -> Column:
+    """An entry (__key, __prefix, __text) for each name that a map of texts has; of equal names the first."""
+    first = F.filter(F.map_entries(values), lambda e, i: F.array_position(F.map_keys(values), e.key) == i + 1)
+    return F.coalesce(F.transform(first, lambda e: _entry(F.concat(F.lit(f"{section}."), e.key), prefix, e.value)), F.array().cast(_ENTRIES))
+
+
+def _entry(key: Column, prefix: Column, raw: Column) -> Column:
+    return F.struct(key.alias("__key"), prefix.alias("__prefix"), raw.alias("__text"))
+
+
+_ENTRIES = "array<struct<__key:string,__prefix:string,__text:string>>"
 
 
 def vendor_fundamentals(payloads: DataFrame, keys: list[str], payload: str, every_year: bool = False) -> DataFrame:
@@ -57,21 +63,25 @@ def vendor_fundamentals(payloads: DataFrame, keys: list[str], payload: str, ever
 
     A statement's fields carry its date, or the year's key: those of the latest year, or of all. A market value only given in full is
     kept in millions. Values are texts or numbers in the document; absent, blank and unreadable ones give no row. A document that
-    is no JSON has its hash alone. Nothing is shuffled; a document's fields are a row's arrays.
+    is no JSON has its hash alone. Nothing is shuffled: a row is made for each name that a document states, whose field is then looked up
+    once, so that the work follows what a document holds, not what it might.
     """
     d = payloads.select(*keys, F.col(payload).alias("__raw"), F.from_json(F.col(payload), DOCUMENT).alias("d"))
-    parts = [_points(F.lit(ours), F.col(f"d.{theirs}"), fields) for theirs, (ours, fields) in SECTIONS.items()]
-    full = F.element_at(F.col("d.Highlights"), "MarketCapitalization").try_cast("double")
+    parts = [_stated(theirs, F.lit(ours), F.col(f"d.{theirs}")) for theirs, (ours, _) in SECTIONS.items()]
     given = F.element_at(F.col("d.Highlights"), "MarketCapitalizationMln").try_cast("double")
-    none = F.lit(None).cast("string")
-    parts.append(F.array(F.struct(F.lit("highlights.market_cap_mln").alias("field_name"), none.alias("text"), F.when(given.isNull() & ~F.isnan(full), F.round(full / 1e6, 2)).alias("value"), F.lit("USD_m").alias("unit"))))
-    for theirs, (ours, fields) in STATEMENTS.items():
+    parts.append(F.array(_entry(F.lit("_cap."), F.lit("highlights"), F.when(given.isNull(), F.element_at(F.col("d.Highlights"), "MarketCapitalization"))), _entry(F.lit("_meta."), F.lit("_meta"), F.sha2(F.col("__raw"), 256))))
+    for theirs, (ours, _) in STATEMENTS.items():
         years = F.col(f"d.Financials.{theirs}.yearly")
         chosen = F.map_keys(years) if every_year else F.filter(F.array(F.array_max(F.map_keys(years))), lambda k: k.isNotNull())
-        of = lambda k, years=years, ours=ours, fields=fields: _points(F.concat(F.lit(f"{ours}."), F.coalesce(F.nullif(F.trim(F.element_at(F.element_at(years, k), "date")), F.lit("")), k)), F.element_at(years, k), fields)
+        of = lambda k, years=years, theirs=theirs, ours=ours: _stated(theirs, F.concat(F.lit(f"{ours}."), F.coalesce(F.nullif(F.trim(F.element_at(F.element_at(years, k), "date")), F.lit("")), k)), F.element_at(years, k))
         parts.append(F.flatten(F.transform(F.coalesce(chosen, F.array().cast("array<string>")), _one(of))))
-    parts.append(F.array(F.struct(F.lit("_meta.raw_payload_hash").alias("field_name"), F.sha2(F.col("__raw"), 256).alias("text"), F.lit(None).cast("double").alias("value"), none.alias("unit"))))
-    return d.select(*keys, F.inline(F.concat(*parts))).filter("text IS NOT NULL OR value IS NOT NULL")
+    table = payloads.sparkSession.createDataFrame([(k, *f) for k, f in FIELDS.items()], "__key string, __name string, unit string, __kind string")
+    stated = d.select(*keys, F.inline(F.concat(*parts))).filter("__text IS NOT NULL").join(F.broadcast(table), "__key")  # as many rows as FIELDS has
+    raw = F.nullif(F.trim("__text"), F.lit(""))
+    read = stated.withColumns({"text": F.when(F.col("__kind") == "t", raw), "__number": F.when(F.col("__kind") != "t", raw.try_cast("double"))}).withColumn("__number", F.when(~F.isnan("__number"), F.col("__number")))
+    value = F.when(F.col("__kind") == "m", F.round(F.col("__number") / 1e6, 4)).when(F.col("__kind") == "c", F.round(F.col("__number") / 1e6, 2)).otherwise(F.col("__number"))
+    out = read.select(*keys, F.concat("__prefix", F.lit("."), "__name").alias("field_name"), "text", value.alias("value"), "unit")
+    return out.filter("text IS NOT NULL OR value IS NOT NULL")
 
 
 def _one(f):
