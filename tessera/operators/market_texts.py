@@ -181,23 +181,18 @@ def search_plans(df: DataFrame, keys: list[str], exchange: list[str], filings: l
     }
     limits = {"company": max(1, most // 3), "primary_source": 3, "industry": 3, "exchange": 2, "regulatory": most}
 
-    def kept(queries: list[Column]) -> Column:
-        safe = F.filter(F.transform(F.array(*[q.cast("string") for q in queries]), lambda q: F.trim(q)), lambda q: q.isNotNull() & (q != "") & ~F.lower(q).rlike("|".join(banned)))
-        low = F.transform(safe, lambda q: F.lower(q))
-        return F.filter(safe, lambda q, i: F.array_position(low, F.lower(q)) == i + 1)
-
-    x = df.select(*keys, *[kept(qs or [F.lit(None)]).alias(f"__{k}") for k, qs in kinds.items()])
-    left: Column = F.lit(max(1, most))
-    parts = []
-    for k, limit in limits.items():
-        part = F.slice(F.col(f"__{k}"), F.lit(1), F.greatest(F.lit(0), F.least(F.lit(limit), left)))
-        x = x.withColumn(f"__{k}", part)
-        left = left - F.size(f"__{k}")
-        x = x.withColumn(f"__left_{k}", left)
-        left = F.col(f"__left_{k}")
-        parts.append(F.transform(F.col(f"__{k}"), _numbered(k)))
-    return x.select(*keys, F.inline(F.concat(*parts)))
+    def kept(kind: str, queries: list[Column]) -> Column:
+        asked = F.filter(F.transform(F.array(*[q.cast("string") for q in queries]), _trimmed), lambda q: q.query.isNotNull() & (q.query != "") & ~q.low.rlike("|".join(banned)))
+        once = F.aggregate(asked, F.array().cast("array<struct<query:string,low:string>>"), lambda have, q: F.when(F.exists(have, lambda h: h.low == q.low), have).otherwise(F.array_append(have, q)))
+        return F.transform(F.slice(once, 1, max(0, limits[kind])), _numbered(kind))
+
+    # each query is filled and folded once; what the kinds before leave of the budget is a slice of all
+    return df.select(*keys, F.inline(F.slice(F.concat(*[kept(k, kinds[k] or [F.lit(None)]) for k in limits]), 1, max(1, most))))
+
+
+def _trimmed(q: Column) -> Column:
+    return F.struct(F.trim(q).alias("query"), F.lower(F.trim(q)).alias("low"))
 
 
 def _numbered(kind: str):
-    return lambda q, i: F.struct(F.lit(kind).alias("kind"), i.alias("n"), q.alias("query"))
+    return lambda q, i: F.struct(F.lit(kind).alias("kind"), i.alias("n"), q.query.alias("query"))

@@ -146,6 +146,6 @@ FILING_SEARCHES = ["{company} 10-K", "{company} annual report {industry}", "{tic
 @query
 def search_plans(spark: SparkSession, sf: str) -> DataFrame:
     """K31 over parts as companies; some have no sector, industry or name."""
-    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    p, k = table(spark, sf, "part").repartition("p_partkey"), F.col("p_partkey")  # few files of narrow rows, each with much work
     x = p.select("p_partkey", F.concat(F.lit("t"), k.cast("string")).alias("ticker"), F.when(k % 5 > 0, F.col("p_name")).alias("name"), F.when(k % 3 > 0, F.col("p_brand")).otherwise("").alias("sector"), F.when(k % 2 == 0, F.col("p_type")).alias("industry"))
     return MT.search_plans(x, ["p_partkey"], EXCHANGE_SEARCHES, FILING_SEARCHES, ["strong buy", "price target"], 10)
