@@ -248,10 +248,16 @@ def lineage_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def provenance_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders (attempts) of a customer to their lines (documents), counted once per distinct part."""
+    """Orders (attempts) of a customer to their lines (documents), counted once per distinct part. Each count has rows of its own:
+    several distinct counts in one aggregate would hold every line once for each of them, with all keys, in a task's memory."""
     o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
-    li = table(spark, sf, "lineitem").filter("l_returnflag <> 'N'").select("l_orderkey", "l_partkey", "l_suppkey")
-    return o.join(li, "l_orderkey", "left").groupBy("o_custkey").agg(F.countDistinct("l_orderkey").alias("attempts"), F.countDistinct("l_partkey").alias("documents"), F.count("l_partkey").alias("links"), F.countDistinct("l_suppkey").alias("issuers"))
+    li = table(spark, sf, "lineitem").filter("l_returnflag <> 'N'")
+    once = lambda c: o.join(li.filter(F.col(c).isNotNull()).select("l_orderkey", c), "l_orderkey").groupBy("o_custkey", c).agg(F.count(F.lit(1)).alias("n")).groupBy("o_custkey")
+    parts, suppliers = once("l_partkey").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("links")), once("l_suppkey").agg(F.count(F.lit(1)).alias("issuers"))
+    attempts = o.groupBy("o_custkey").agg(F.countDistinct("l_orderkey").alias("attempts"))
+    same = lambda n: attempts["o_custkey"].eqNullSafe(F.col(n))
+    x = attempts.join(parts.withColumnRenamed("o_custkey", "__p"), same("__p"), "left").join(suppliers.withColumnRenamed("o_custkey", "__s"), same("__s"), "left")
+    return x.select("o_custkey", "attempts", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("documents", "links", "issuers")])
 
 
 @query
