@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST = 100_000  # phrases of one automaton, some 100 MB in a task; more phrases take several passes
+ROWS = 256  # texts whose finds a task holds in Python before it hands them on
 MODES = ("anywhere", "word", "spaced")
 SPACE = frozenset(" \t\n\r\x0b\x0c")
 
@@ -56,7 +57,7 @@ def _one_pass(df: DataFrame, keys: list[str], text_col: str, part: list[tuple[st
             automaton.add_word(phrase, phrase)
         automaton.make_automaton()
         inner = lambda c: c.isalnum() or c == "_"
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             rows = []
             for t in batch.column("__text"):
                 text, found = (t.as_py() or "").lower(), {}
