@@ -10,18 +10,19 @@ from tessera.functions.reporting import GROUP_MARKS, SEGMENT_MARKS
 
 #: Words of macroeconomic topics.
 MACRO = ["macroeconomic", "macro-economic", "currency headwind", "fx headwind", "inflation", "geopolitical", "consumer demand headwind", "interest rate headwind"]
-NUMBER = r"(\d[\d.,]*\d|\d)\s*(%|billion|bn|million|mn|m|thousand|k)?(?![\p{L}\d])"
+#: A number is taken whole or not at all, and not where a letter goes on (1.5x, d48fd8).
+NUMBER = r"((?>\d[\d.,]*\d|\d))\s*(%|billion|bn|million|mn|m|thousand|k)?(?![\p{L}\d])"
 FACTORS = {"billion": 1e9, "bn": 1e9, "million": 1e6, "mn": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
 SHARE = 0.01
 
 
 def numbers(text: Column) -> Column:
-    """The numbers of a text in order: value (in full, by its scale word) and whether it is a percentage."""
+    """The numbers of a text in order: value (in full, by its scale word; none that no double holds) and whether it is a percentage."""
     low = F.lower(F.coalesce(text, F.lit("")))
     factor = F.create_map(*[F.lit(x) for kv in FACTORS.items() for x in kv])
     both = F.arrays_zip(F.regexp_extract_all(low, F.lit(NUMBER), F.lit(1)).alias("raw"), F.regexp_extract_all(low, F.lit(NUMBER), F.lit(2)).alias("word"))
     full = F.transform(both, lambda x: F.struct((T.number(x.raw) * F.coalesce(F.element_at(factor, x.word), F.lit(1.0))).alias("value"), (x.word == "%").alias("percent")))
-    return F.filter(full, lambda x: x.value.isNotNull())
+    return F.filter(full, lambda x: x.value < float("inf"))
 
 
 def _bucket(value: Column) -> Column:
@@ -30,7 +31,7 @@ def _bucket(value: Column) -> Column:
 
 
 def says_group(text: Column) -> Column:
-    low = F.regexp_replace(F.lower(text), r"\bpeer[\s-]groups?\b", " ")
+    low = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}_])peer[\s-]groups?(?![\p{L}\p{N}_])", " ")
     return F.lower(text).rlike("|".join(GROUP_MARKS)) & low.rlike("|".join(GROUP_MARKS)) & ~F.lower(text).rlike("|".join(SEGMENT_MARKS))
 
 
@@ -40,8 +41,8 @@ def grounded_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     valid and invalid count its distinct citations that exist, and don't. numbers counts the numbers it states, grounded those that
     a cited text states too, percentages apart, within SHARE of the larger. mixed: two numbers or more, and the cited evidence has
     several known scopes, or periods. unscoped: all cited evidence is without a scope, while the claim speaks of the group or of a
-    scope that evidence of its run has. macro: it speaks of a macroeconomic topic, while all it cites has a known scope other than
-    the group's and no text of that speaks of one.
+    scope that evidence of its run has (the label is in it, its first word as a whole word). macro: it speaks of a macroeconomic
+    topic, while all it cites has a known scope other than the group's and no text of that speaks of one.
 
     Numbers meet by evidence and bucket, labels by run and first word: no text is compared with all others, and the words that look
     for labels travel without their text, which comes once to those that have found one. Equal rows of evidence

@@ -11,13 +11,19 @@ _rows = lambda table: ", ".join(f"({i}, {_q(v)}, {_q(p)})" for i, (v, ps) in enu
 _said = lambda use: f"(SELECT doc_id, list(v ORDER BY i) AS vs FROM (SELECT DISTINCT doc_id, i, v FROM d JOIN {use} ON contains(t, ' ' || p || ' ')) GROUP BY 1)"
 _REGION = {c: r for c, (r, _) in V.COUNTRIES.items()}
 
-_NUMBER = r"(?:\d[\d.,]*\d|\d)\s*(?:%|billion|bn|million|mn|m\b|thousand|k\b)?"
+# Nothing looks ahead in these patterns: a number takes along what follows it, and is none where that goes on as a word.
+_WHOLE = r"(?:\d[\d.,]*\d|\d)"
+_NUMBER = rf"{_WHOLE}[\t\n\x0b\f\r ]*(?:%|billion|bn|million|mn|m|thousand|k)[^\p{{L}}\d]|{_WHOLE}\p{{L}}|{_WHOLE}"
+_NUMBERS = rf"list_filter(regexp_extract_all(low || ' ', '{_NUMBER}'), lambda m: NOT regexp_matches(m, '\p{{L}}$'))"
+_UNIT = "regexp_extract(m, '%|[a-z]+')"
 _DIGITS = "regexp_extract(m, '^[0-9.,]+')"
-_VALUE = f"""CAST(CASE WHEN contains({_DIGITS}, ',') AND contains({_DIGITS}, '.') THEN CASE WHEN length({_DIGITS}) - strpos(reverse({_DIGITS}), ',') > length({_DIGITS}) - strpos(reverse({_DIGITS}), '.') THEN replace(replace({_DIGITS}, '.', ''), ',', '.') ELSE replace({_DIGITS}, ',', '') END
+_VALUE = f"""TRY_CAST(CASE WHEN contains({_DIGITS}, ',') AND contains({_DIGITS}, '.') THEN CASE WHEN length({_DIGITS}) - strpos(reverse({_DIGITS}), ',') > length({_DIGITS}) - strpos(reverse({_DIGITS}), '.') THEN replace(replace({_DIGITS}, '.', ''), ',', '.') ELSE replace({_DIGITS}, ',', '') END
     WHEN contains({_DIGITS}, ',') THEN CASE WHEN regexp_full_match({_DIGITS}, '\\d{{1,3}},\\d{{3}}') OR length({_DIGITS}) - length(replace({_DIGITS}, ',', '')) > 1 THEN replace({_DIGITS}, ',', '') ELSE replace({_DIGITS}, ',', '.') END
     WHEN length({_DIGITS}) - length(replace({_DIGITS}, '.', '')) > 1 THEN replace({_DIGITS}, '.', '') ELSE {_DIGITS} END AS DOUBLE)
-    * CASE WHEN ends_with(m, 'billion') OR ends_with(m, 'bn') THEN 1e9 WHEN ends_with(m, 'million') OR ends_with(m, 'mn') OR ends_with(m, 'm') THEN 1e6 WHEN ends_with(m, 'thousand') OR ends_with(m, 'k') THEN 1e3 ELSE 1 END"""
-_PERCENT = "ends_with(m, '%')"
+    * CASE WHEN {_UNIT} IN ('billion', 'bn') THEN 1e9 WHEN {_UNIT} IN ('million', 'mn', 'm') THEN 1e6 WHEN {_UNIT} IN ('thousand', 'k') THEN 1e3 ELSE 1 END"""
+_PERCENT = f"{_UNIT} = '%'"
+_LOWER = lambda t: f"lower(replace({t}, 'İ', 'i\u0307'))"
+_PEERS = r"(^|[^\p{L}\p{N}_])peer[\t\n\x0b\f\r -]groups?([^\p{L}\p{N}_]|$)"
 _MACRO = "macroeconomic|macro-economic|currency headwind|fx headwind|inflation|geopolitical|consumer demand headwind|interest rate headwind"
 _SEGMENTS = "segment|by business|by division|by region|business area|business group|business unit"
 
@@ -74,17 +80,17 @@ SQL = {
           UNION ALL SELECT page_id, origin || '/fy-' || page_id || '.pdf', 'Full-year results', 'annual_report', 'feed', 4, 0 FROM o WHERE page_id % 4 = 0)
         SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY list_position(['annual_report', 'results_release', 'interim_report', 'presentation', 'other'], kind), s, n) AS INTEGER) AS place, url, title, kind, strategy, true AS is_document FROM l""",
     "claim_grounding": rf"""WITH c AS (
-          SELECT conv_id * 1000 + turn AS claim, conv_id % 2 AS run, coalesce(text, '') || ' ' || replace({_list(CLAIMS)}[(conv_id + turn) % {len(CLAIMS)} + 1], '{{x}}', CAST(conv_id % 97 + 10 AS VARCHAR)) AS t, list_distinct([conv_id % 97, conv_id % 89, -1]) AS cited FROM conversations WHERE role = 'assistant'
-        ), e AS (SELECT doc_id AS id, concat_ws(' ', text, 'It was', CAST(doc_id + 10 AS VARCHAR), 'million.', CASE WHEN doc_id % 5 = 0 THEN 'Inflation.' END) AS t, CASE doc_id % 4 WHEN 0 THEN 'group' WHEN 1 THEN 'Watches' END AS scope, CASE doc_id % 3 WHEN 0 THEN '2024' WHEN 1 THEN '2023' END AS period FROM documents WHERE doc_id < 97
-        ), cn AS (SELECT claim, unnest(range(len(m))) AS n, unnest(m) AS m FROM (SELECT claim, regexp_extract_all(lower(t), '{_NUMBER}') AS m FROM c)), en AS (SELECT id, unnest(regexp_extract_all(lower(t), '{_NUMBER}')) AS m FROM e
-        ), cv AS (SELECT claim, n, {_VALUE} AS v, {_PERCENT} AS pc FROM cn), ev AS (SELECT DISTINCT id, {_VALUE} AS v, {_PERCENT} AS pc FROM en
+          SELECT conv_id || ':' || turn AS claim, conv_id % 2 AS run, {_LOWER(f"coalesce(text, '') || ' ' || replace({_list(CLAIMS)}[(conv_id + turn) % {len(CLAIMS)} + 1], '{{x}}', CAST(conv_id % 97 + 10 AS VARCHAR))")} AS low, list_distinct([conv_id % 97, conv_id % 89, -1]) AS cited FROM conversations WHERE role = 'assistant'
+        ), e AS (SELECT doc_id AS id, {_LOWER("concat_ws(' ', text, 'It was', CAST(doc_id + 10 AS VARCHAR), 'million.', CASE WHEN doc_id % 5 = 0 THEN 'Inflation.' END)")} AS low, CASE doc_id % 4 WHEN 0 THEN 'group' WHEN 1 THEN 'Watches' END AS scope, CASE doc_id % 3 WHEN 0 THEN '2024' WHEN 1 THEN '2023' END AS period FROM documents WHERE doc_id < 97
+        ), cn AS (SELECT claim, unnest(range(len(ms))) AS n, unnest(ms) AS m FROM (SELECT claim, {_NUMBERS} AS ms FROM c)), en AS (SELECT id, unnest({_NUMBERS}) AS m FROM e
+        ), cv AS (SELECT * FROM (SELECT claim, n, {_VALUE} AS v, {_PERCENT} AS pc FROM cn) WHERE isfinite(v)), ev AS (SELECT DISTINCT * FROM (SELECT id, {_VALUE} AS v, {_PERCENT} AS pc FROM en) WHERE isfinite(v)
         ), cites AS (SELECT claim, unnest(cited) AS id FROM c
         ), g AS (SELECT claim, count(DISTINCT n) AS grounded FROM cv JOIN cites USING (claim) JOIN ev USING (id, pc) WHERE abs(cv.v - ev.v) <= greatest(cv.v, ev.v) * 0.01::DOUBLE GROUP BY 1
-        ), j AS (SELECT claim, count(e.id) AS valid, count(*) FILTER (e.id IS NULL) AS invalid, count(DISTINCT scope) AS scopes, count(DISTINCT period) AS periods, count(*) FILTER (scope <> 'group') AS segments, coalesce(bool_or(regexp_matches(lower(e.t), '{_MACRO}')), false) AS said FROM cites LEFT JOIN e USING (id) GROUP BY 1
-        ), n AS (SELECT claim, count(*) AS n FROM cv WHERE v IS NOT NULL GROUP BY 1)
+        ), j AS (SELECT claim, count(e.id) AS valid, count(*) FILTER (e.id IS NULL) AS invalid, count(DISTINCT scope) AS scopes, count(DISTINCT period) AS periods, count(*) FILTER (scope <> 'group') AS segments, coalesce(bool_or(regexp_matches(e.low, '{_MACRO}')), false) AS said FROM cites LEFT JOIN e USING (id) GROUP BY 1
+        ), n AS (SELECT claim, count(*) AS n FROM cv GROUP BY 1)
         SELECT claim, valid, invalid, CAST(coalesce(n.n, 0) AS INTEGER) AS numbers, coalesce(grounded, 0) AS grounded, coalesce(n.n, 0) >= 2 AND (scopes > 1 OR periods > 1) AS mixed,
-          valid > 0 AND scopes = 0 AND ((regexp_matches(regexp_replace(lower(c.t), '\bpeer[\s-]groups?\b', ' ', 'g'), 'consolidated|group') AND NOT regexp_matches(lower(c.t), '{_SEGMENTS}')) OR (run = 0 AND contains(lower(c.t), 'watches'))) AS unscoped,
-          regexp_matches(lower(c.t), '{_MACRO}') AND valid > 0 AND segments = valid AND NOT said AS macro
+          valid > 0 AND scopes = 0 AND ((regexp_matches(regexp_replace(regexp_replace(low, '{_PEERS}', '\1 \2', 'g'), '{_PEERS}', '\1 \2', 'g'), 'consolidated|group') AND NOT regexp_matches(low, '{_SEGMENTS}')) OR (run = 0 AND regexp_matches(low, '(^|[^\p{{L}}\p{{N}}])watches([^\p{{L}}\p{{N}}]|$)'))) AS unscoped,
+          regexp_matches(low, '{_MACRO}') AND valid > 0 AND segments = valid AND NOT said AS macro
         FROM c JOIN j USING (claim) LEFT JOIN g USING (claim) LEFT JOIN n USING (claim)""",
     "submission_profiles": """WITH c AS (SELECT *, CASE WHEN c_custkey > 0 THEN lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS cik, c_custkey % 5 AS e FROM customer WHERE c_custkey % 7 <> 6)
         SELECT c_custkey, cik, c_name AS legal_name, CASE WHEN c_custkey % 3 > 0 THEN 'T' || c_custkey ELSE cik END AS ticker, CASE WHEN c_custkey % 2 = 0 THEN 'NYSE' END AS exchange, nullif(c_mktsegment, '') AS industry, CASE e WHEN 0 THEN 'December' WHEN 1 THEN 'June' WHEN 2 THEN '1331' END AS fiscal_year_end,

@@ -105,7 +105,7 @@ def claim_grounding(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns as claims, each citing three documents, one of which doesn't exist."""
     t, c = table(spark, sf, "conversations").filter("role = 'assistant'"), F.col("conv_id")
     text = F.concat_ws(" ", F.coalesce("text", F.lit("")), filled(CLAIMS, c + F.col("turn"), {"x": (c % 97 + 10).cast("string")}))
-    claims = t.select((c * 1000 + F.col("turn")).alias("claim"), (c % 2).alias("run"), text.alias("text"), F.array(c % 97, c % 89, F.lit(-1).cast("long")).alias("cited"))
+    claims = t.select(F.concat(c.cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("claim"), (c % 2).alias("run"), text.alias("text"), F.array(c % 97, c % 89, F.lit(-1).cast("long")).alias("cited"))
     d, k = table(spark, sf, "documents"), F.col("doc_id")
     evidence = d.select(
         k.alias("id"), F.lit(0).cast("long").alias("run"), F.concat_ws(" ", "text", F.lit("It was"), (k + 10).cast("string"), F.lit("million."), F.when(k % 5 == 0, "Inflation.")).alias("text"),
